@@ -77,7 +77,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     multi = level1.where("group_size > 1")
     hits = stash(rows.join(multi, "digest").select("digest", "doc_id", "keep_id", "group_size"), "digest-hits")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), index.digest(F.col(text_col)).alias("digest"), normalised(F.col(text_col)).alias("norm"))
-    found = texts.join(hits.select(F.col("doc_id").alias("h"), F.col("digest").alias("d")), F.expr("doc_id <=> h AND digest = d"), "left_semi")
+    # always a merge join: whether the texts move must not depend on how many hits there are
+    found = texts.join(hits.select(F.col("doc_id").alias("h"), F.col("digest").alias("d")).hint("merge"), F.expr("doc_id <=> h AND digest = d"), "left_semi")
     classes = found.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     clash = stash(classes.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "digest-clash")
     out = rows.join(level1, "digest")
