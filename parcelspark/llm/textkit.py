@@ -96,9 +96,9 @@ def words(buf: np.ndarray, off: np.ndarray, letter: np.ndarray) -> tuple[np.ndar
     return s, e, np.searchsorted(off, s, "right") - 1
 
 
-def word_hashes(buf: np.ndarray, off: np.ndarray, letter: np.ndarray, limit: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of each word; long inputs go in blocks cut between words, so memory stays bounded."""
-    out_h, out_r = [], []
+def word_hashes(buf: np.ndarray, off: np.ndarray, letter: np.ndarray, limit: int = 2 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and byte length of each word; long inputs go in blocks cut between words, so memory stays bounded."""
+    out_h, out_r, out_n = [], [], []
     a, n = 0, len(buf)
     while a < n:
         b = min(a + limit, n)
@@ -112,10 +112,11 @@ def word_hashes(buf: np.ndarray, off: np.ndarray, letter: np.ndarray, limit: int
         s, e, r = words(part, cut, letter)
         out_h.append(RangeHash(part)(s, e))
         out_r.append(r + lo)
+        out_n.append(e - s)
         a = b
     if not out_h:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(out_h), np.concatenate(out_r)
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_h), np.concatenate(out_r), np.concatenate(out_n)
 
 
 def shingle_hashes(h: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
