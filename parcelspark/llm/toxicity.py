@@ -100,7 +100,7 @@ def known(keys: np.ndarray, h: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, n
     return at[m], r[m]
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], n_terms: int, prior: float, epochs: int = 250, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], n_terms: int, prior: float, epochs: int = 250, rate: float = 0.05, decay: float = 1.5e-4) -> tuple[np.ndarray, float]:
     """Weights and bias from the term indices of each document; full-batch Adam."""
     both = [*pos, *unl]
     col = np.concatenate(both) if both else np.zeros(0, np.int64)
