@@ -40,8 +40,8 @@ def choose_bands(threshold: float, recall: float, max_hashes: int = 192) -> tupl
     """Bands and rows: the most rows per band for which enough bands for the recall fit into max_hashes."""
     best = None
     for rows in range(1, max_hashes + 1):
-        miss = 1 - threshold**rows
-        bands = 1 if miss <= 0 else max(1, math.ceil(math.log(1 - recall) / math.log(miss)))
+        hit = threshold**rows
+        bands = 1 if hit >= 1 else max(1, math.ceil(math.log1p(-recall) / math.log1p(-hit)))
         if bands * rows <= max_hashes:
             best = (bands, rows)
     if best is None:

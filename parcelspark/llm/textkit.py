@@ -130,22 +130,15 @@ def shingle_hashes(h: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple
     pos = np.arange(len(h)) - starts[row]
     full = pos + k <= counts[row]
     sh, r = mix(acc[full]), row[full]
-    short = np.flatnonzero((counts > 0) & (counts < k))
-    if len(short):
-        extra = []
-        for d in short:
-            x = U(counts[d])
-            for v in out[starts[d] : starts[d + 1]]:
-                x = mix((x * U(0x9E3779B97F4A7C15) + v).reshape(1))[0] if isinstance(x, np.ndarray) else mix(np.array([x * U(0x9E3779B97F4A7C15) + v], U))[0]
-            extra.append(x)
-        sh, r = np.concatenate([sh, np.array(extra, U)]), np.concatenate([r, short])
+    some = [(sh, r)]
+    for c in range(1, k):
+        short = np.flatnonzero(counts == c)
+        x = out[starts[short]]
+        for j in range(1, c):
+            x = x * U(0x9E3779B97F4A7C15) + out[starts[short] + j]
+        some.append((mix(x ^ U(c)), short))
+    if sum(len(x) for _, x in some) > len(r):
+        sh, r = np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some])
         order = np.argsort(r, kind="stable")
         sh, r = sh[order], r[order]
     return sh, r
-
-
-def crc32_text(doc_id: int | None) -> int:
-    """crc32 of an identifier written as text; a missing one counts as an empty text."""
-    import zlib
-
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
