@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.llm import exact_dedup, langid, mixing, ngram_join, packing, simhash, suffix_dedup, token_counts, toxicity
+from parcelspark.llm import exact_dedup, langid, lm_scores, mixing, ngram_join, packing, simhash, suffix_dedup, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_predictions(_documents(spark, sf_dir))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scores.lm_scores(_documents(spark, sf_dir))
+    return scored.withColumns({"log_score": F.round("log_score", 5), "mean_log_score": F.round("mean_log_score", 6)})
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(_documents(spark, sf_dir))
 
@@ -55,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op6_lm_scores": lm_scores.SQL}
