@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from parcelspark.llm.scratch import stash
+from parcelspark.scratch import stash
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

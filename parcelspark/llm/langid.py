@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm import textkit as K
-from parcelspark.llm.scratch import prepare
+from parcelspark.scratch import prepare
 
 SCHEMA = "doc_id long, lang_pred string, score double"
 #: Longest piece in bytes, and the probability of a byte that no piece covers.

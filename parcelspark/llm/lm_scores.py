@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm import textkit as K
-from parcelspark.llm.scratch import drop, free_shuffles, prepare, stash
+from parcelspark.scratch import drop, free_shuffles, prepare, stash
 
 BITS = 56
 OUT = "doc_id long, n_words long, log_score double, mean_log_score double"

@@ -100,7 +100,7 @@ def make_plan(keyed: DataFrame, target_entropy: float | None, max_repeats: float
 
 
 def _decided(docs: DataFrame, target_entropy: float | None, max_repeats: float | None, budget_share: float, blocks: int, seed: int, relative_entropy: bool, id_col: str, text_col: str, source_col: str, max_plan_rows: int = 2_000_000) -> tuple[DataFrame, float]:
-    from parcelspark.llm.scratch import stash
+    from parcelspark.scratch import stash
 
     keyed = _keyed(docs, blocks, seed, id_col, text_col, source_col)
     plan, exponent = make_plan(keyed, target_entropy, max_repeats, budget_share, seed, relative_entropy)

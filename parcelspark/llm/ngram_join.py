@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm import textkit as K
-from parcelspark.llm.components import components
-from parcelspark.llm.scratch import prepare, stash
+from parcelspark.operators.components import components
+from parcelspark.scratch import prepare, stash
 
 _SEEDS = np.random.default_rng(77).integers(1, 2**32, (2, 512), dtype=np.uint32)
 

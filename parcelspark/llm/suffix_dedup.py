@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm import textkit as K
-from parcelspark.llm.scratch import drop, free_shuffles, prepare, stash
+from parcelspark.scratch import drop, free_shuffles, prepare, stash
 
 #: Positions that fit into the low bits of an anchor's sort key, and windows per block.
 _POS_BITS, _BLOCK = K.U(23), 1 << 21

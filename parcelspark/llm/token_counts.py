@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.scratch import prepare
+from parcelspark.scratch import prepare
 from parcelspark.llm.tokens import Encoder, encoder
 
 SCHEMA = "doc_id long, n_tokens long, edited_tokens long, n_edits long, edited_chars long, reencoded_chars long"
