@@ -82,12 +82,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = found.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     clash = stash(classes.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "digest-clash")
     out = rows.join(level1, "digest")
-    if not clash.isEmpty():
+    if clash.isEmpty():
+        drop(clash)
+    else:
         apart = found.join(clash, "digest", "left_semi").withColumn("sha", F.unhex(F.sha2("norm", 256)))
         named = apart.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.first("sha").alias("sha"))
         split = rows.join(clash, "digest", "left_semi").join(named.select("digest", "sha", "keep_id", "group_size"), ["digest", "sha"])
         out = out.join(clash, "digest", "left_anti").unionByName(split.select(out.columns))
-    drop(clash)
     return out.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 

@@ -69,15 +69,18 @@ def choose_exponent(tokens: np.ndarray, target_entropy: float | None, max_repeat
 
 def _keyed(docs: DataFrame, blocks: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     h = F.xxhash64(F.col(id_col).cast("long"), F.lit(seed))
-    return docs.withColumns({"_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_tokens": n_tokens(F.col(text_col)), "_block": F.pmod(h, F.lit(blocks)).cast("int"), "_order": F.xxhash64(F.col(id_col).cast("long"), F.lit(seed + 1))})
+    return docs.withColumns({"__mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__mix_tokens": n_tokens(F.col(text_col)), "__mix_block": F.pmod(h, F.lit(blocks)).cast("int"), "__mix_order": F.xxhash64(F.col(id_col).cast("long"), F.lit(seed + 1))})
 
 
 def make_plan(keyed: DataFrame, target_entropy: float | None, max_repeats: float | None, budget_share: float, seed: int, relative_entropy: bool) -> tuple[DataFrame, float]:
-    """_source, _block, copies, last (documents with _order up to it get one more), weight; and the exponent."""
+    """The plan of each source and block: copies, the order key up to which documents get one more, weight; and the exponent.
+
+    Internal columns have the prefix __mix_, so that they meet none of the input.
+    """
     spark = keyed.sparkSession
-    sums = keyed.groupBy("_source", "_block").agg(F.sum("_tokens").alias("t"))
+    sums = keyed.groupBy("__mix_source", "__mix_block").agg(F.sum("__mix_tokens").alias("t"))
     # one row per source reaches the driver
-    totals = sums.groupBy("_source").agg(F.sum("t").alias("t")).orderBy("_source").toPandas()
+    totals = sums.groupBy("__mix_source").agg(F.sum("t").alias("t")).orderBy("__mix_source").toPandas()
     tokens = totals["t"].to_numpy(float)
     budget = budget_share * tokens.sum()
     goal = target_entropy * np.log(max((tokens > 0).sum(), 1)) if relative_entropy and target_entropy is not None else target_entropy
@@ -86,16 +89,16 @@ def make_plan(keyed: DataFrame, target_entropy: float | None, max_repeats: float
     with np.errstate(divide="ignore", invalid="ignore"):
         epochs = np.where(tokens > 0, np.floor(budget * q / np.maximum(tokens, 1) + 1e-9), 0)
     rest = np.maximum(budget * q - epochs * tokens, 0)
-    shares = spark.createDataFrame([(s, float(w), int(e), float(r)) for s, w, e, r in zip(totals["_source"], q, epochs, rest, strict=True)], "_source string, weight double, epochs long, rest double")
-    order = F.xxhash64("_source", "epochs", "_block", F.lit(seed))
-    w = Window.partitionBy("_source").orderBy(order, "_block").rowsBetween(Window.unboundedPreceding, 0)
-    laid = sums.join(F.broadcast(shares), "_source").withColumn("upto", F.sum("t").over(w))  # shares: one row per source
+    shares = spark.createDataFrame([(s, float(w), int(e), float(r)) for s, w, e, r in zip(totals["__mix_source"], q, epochs, rest, strict=True)], "__mix_source string, weight double, epochs long, rest double")
+    order = F.xxhash64("__mix_source", "epochs", "__mix_block", F.lit(seed))
+    w = Window.partitionBy("__mix_source").orderBy(order, "__mix_block").rowsBetween(Window.unboundedPreceding, 0)
+    laid = sums.join(F.broadcast(shares), "__mix_source").withColumn("upto", F.sum("t").over(w))  # shares: one row per source
     laid = laid.withColumn("whole", F.col("upto") <= F.col("rest"))
-    cut = laid.where("NOT whole AND upto - t < rest").select("_source", "_block", (F.col("rest") - F.col("upto") + F.col("t")).alias("room"))
-    inside = keyed.select("_source", "_block", "_order", "_tokens").where("_tokens > 0").join(F.broadcast(cut), ["_source", "_block"])  # at most one block per source
-    inside = inside.withColumn("sum", F.sum("_tokens").over(Window.partitionBy("_source", "_block").orderBy("_order").rangeBetween(Window.unboundedPreceding, 0)))
-    last = inside.where("sum <= room").groupBy("_source", "_block").agg(F.max("_order").alias("last"))
-    plan = laid.join(last, ["_source", "_block"], "left").select("_source", "_block", (F.col("epochs") + F.col("whole").cast("long")).alias("copies"), "last", "weight")
+    cut = laid.where("NOT whole AND upto - t < rest").select("__mix_source", "__mix_block", (F.col("rest") - F.col("upto") + F.col("t")).alias("room"))
+    inside = keyed.select("__mix_source", "__mix_block", "__mix_order", "__mix_tokens").where("__mix_tokens > 0").join(F.broadcast(cut), ["__mix_source", "__mix_block"])  # at most one block per source
+    inside = inside.withColumn("sum", F.sum("__mix_tokens").over(Window.partitionBy("__mix_source", "__mix_block").orderBy("__mix_order").rangeBetween(Window.unboundedPreceding, 0)))
+    last = inside.where("sum <= room").groupBy("__mix_source", "__mix_block").agg(F.max("__mix_order").alias("last"))
+    plan = laid.join(last, ["__mix_source", "__mix_block"], "left").select("__mix_source", "__mix_block", (F.col("epochs") + F.col("whole").cast("long")).alias("__mix_times"), F.col("last").alias("__mix_last"), F.col("weight").alias("__mix_weight"))
     return plan, exponent
 
 
@@ -106,19 +109,19 @@ def _decided(docs: DataFrame, target_entropy: float | None, max_repeats: float |
     plan, exponent = make_plan(keyed, target_entropy, max_repeats, budget_share, seed, relative_entropy)
     plan = stash(plan, "mix-plan")
     plan = F.broadcast(plan) if plan.count() <= max_plan_rows else plan.hint("merge")
-    out = keyed.join(plan, ["_source", "_block"], "left")
-    extra = F.coalesce(((F.col("_order") <= F.col("last")) & (F.col("_tokens") > 0)).cast("long"), F.lit(0))
-    return out.withColumn("_copies", F.coalesce("copies", F.lit(0)) + extra), exponent
+    out = keyed.join(plan, ["__mix_source", "__mix_block"], "left")
+    extra = F.coalesce(((F.col("__mix_order") <= F.col("__mix_last")) & (F.col("__mix_tokens") > 0)).cast("long"), F.lit(0))
+    return out.withColumn("__mix_copies", F.coalesce("__mix_times", F.lit(0)) + extra), exponent
 
 
 def mixing_plan(docs: DataFrame, target_entropy: float | None = 0.98, max_repeats: float | None = 4.0, budget_share: float = 1.0, blocks: int = 1024, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, n_tokens, weight of the source, exponent, copies of the document. target_entropy: share of the largest."""
     out, exponent = _decided(docs, target_entropy, max_repeats, budget_share, blocks, seed, True, id_col, text_col, source_col)
-    return out.select(F.col(id_col).alias("doc_id"), F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.lit(exponent).alias("exponent"), F.col("_copies").alias("copies"))
+    return out.select(F.col(id_col).alias("doc_id"), F.col("__mix_source").alias("source"), F.col("__mix_tokens").alias("n_tokens"), F.coalesce("__mix_weight", F.lit(0.0)).alias("weight"), F.lit(exponent).alias("exponent"), F.col("__mix_copies").alias("copies"))
 
 
 def mix(docs: DataFrame, target_entropy: float | None = 0.98, max_repeats: float | None = 4.0, budget_share: float = 1.0, blocks: int = 1024, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs, all columns, as often as the mix takes them."""
     out, _ = _decided(docs, target_entropy, max_repeats, budget_share, blocks, seed, True, id_col, text_col, source_col)
-    times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return out.where("_copies > 0").withColumn("_copy", times).select(*docs.columns)
+    times = F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))
+    return out.where("__mix_copies > 0").withColumn("__mix_copy", times).select(*docs.columns)

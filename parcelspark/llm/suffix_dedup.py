@@ -307,6 +307,8 @@ def repeated_windows(rows: DataFrame, width: int, gram: int, bucket_rows: int) -
 
 def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = 32, bucket_rows: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every whole text."""
+    if not 8 <= gram <= width:
+        raise ValueError("gram must hold the 8 leading bytes and fit into the width")
     prepare(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     first, *more = repeated_windows(rows, width, gram, bucket_rows)

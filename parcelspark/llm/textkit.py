@@ -125,7 +125,7 @@ def shingle_hashes(h: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple
     starts = np.concatenate([[0], np.cumsum(counts)])
     out = mix(h)
     acc = out.copy()
-    for j in range(1, k):
+    for j in range(1, min(k, len(acc))):
         acc[: len(acc) - j] = acc[: len(acc) - j] * U(0x9E3779B97F4A7C15) + out[j:]
     pos = np.arange(len(h)) - starts[row]
     full = pos + k <= counts[row]
