@@ -9,7 +9,6 @@ from __future__ import annotations
 import atexit
 import gc
 import os
-import sys
 import uuid
 from pathlib import Path
 
@@ -31,9 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
 def prepare(spark: SparkSession, rows_per_batch: int = 500) -> None:
     """Small Arrow batches (long documents stay in bounds) and this package on the workers' path."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)
+    ship(spark)
+
+
+def ship(spark: SparkSession) -> None:
+    """Puts this package on the path of Python workers that start from now on."""
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if _ROOT not in path.split(os.pathsep) and _ROOT in sys.path:
+    if _ROOT not in path.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, path) if x)
 
 
