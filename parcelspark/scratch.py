@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import time
 import uuid
 from pathlib import Path
 
@@ -64,8 +65,10 @@ def drop(*tables: DataFrame) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner runs behind the collector
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
