@@ -205,7 +205,7 @@ def log_scores(words: np.ndarray, sizes: np.ndarray, corpus: list[np.ndarray], t
     return np.bincount(row, weights=np.log(s), minlength=len(sizes)) if len(words) else np.zeros(len(sizes))
 
 
-def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, log_score and its mean per word for every whole text."""
     spark = docs.sparkSession
     blocks = stash(to_blocks(docs, id_col, text_col, block_bytes), "lm-blocks")
@@ -213,8 +213,9 @@ def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     entries = count_entries(blocks, order, 4 * parts)
-    answers = stash(answer(entries.repartition(parts, "bucket").sortWithinPartitions("bucket"), order), "lm-counts")
-    del entries
+    dealt = answer(entries.repartition(parts, "bucket").sortWithinPartitions("bucket"), order)
+    answers = stash(dealt, "lm-counts")
+    del entries, dealt
     free_shuffles(spark)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
