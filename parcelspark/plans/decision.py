@@ -137,12 +137,12 @@ def anti_unassigned(spark: SparkSession, d: str) -> DataFrame:
     return p.join(hit, "bsm", "left_anti").select("bsm")
 
 
-@query("SELECT county, count(*) AS n_parcels, min(zone_id) AS unit_id FROM (SELECT substr(p.qsdwdm, 1, 9) AS county, z.zone_id FROM parcel p LEFT JOIN zone z ON (p.x0 + p.x1) / 2 >= z.x0 AND (p.x0 + p.x1) / 2 < z.x1 AND (p.y0 + p.y1) / 2 >= z.y0 AND (p.y0 + p.y1) / 2 < z.y1 AND z.pdjb = 2) GROUP BY county", "parcel", "zone")
+@query("SELECT county, count(*) AS n_parcels, coalesce(min(zone_id), -1) AS unit_id FROM (SELECT substr(p.qsdwdm, 1, 9) AS county, z.zone_id FROM parcel p LEFT JOIN zone z ON (p.x0 + p.x1) / 2 >= z.x0 AND (p.x0 + p.x1) / 2 < z.x1 AND (p.y0 + p.y1) / 2 >= z.y0 AND (p.y0 + p.y1) / 2 < z.y1 AND z.pdjb = 2) GROUP BY county", "parcel", "zone")
 def admin_units(spark: SparkSession, d: str) -> DataFrame:
     """Township units: parcels dissolved by code, joined to the reference polygons that hold their centres."""
     p = parcel(spark, d).select("bsm", F.substring("qsdwdm", 1, 9).alias("county"), ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"))
     inside = overlay.points_in_boxes(p, zone(spark, d).where("pdjb = 2")).select(F.col("p.bsm").alias("bsm"), F.col("b.zone_id").alias("zone_id"))
-    return p.join(inside, "bsm", "left").groupBy("county").agg(F.count("*").alias("n_parcels"), F.min("zone_id").alias("unit_id"))
+    return p.join(inside, "bsm", "left").groupBy("county").agg(F.count("*").alias("n_parcels"), F.coalesce(F.min("zone_id"), F.lit(-1)).alias("unit_id"))
 
 
 @query("SELECT coalesce((SELECT n.n_name FROM nation n JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY ALL ORDER BY n DESC, k LIMIT 1) m ON m.k = n.n_nationkey), 'county_511011') AS name")
@@ -226,9 +226,9 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
     return u.select(F.col("unit_id").alias("src"), near.alias("s")).join(u.select(F.col("unit_id").alias("dst"), "row", "col"), (F.col("s.r") == F.col("row")) & (F.col("s.c") == F.col("col"))).select("src", "dst")
 
 
-@query(_GRID + f", n AS (SELECT src AS unit_id, avg(CAST(selected AS DOUBLE)) AS share FROM g JOIN unit ON unit_id = dst GROUP BY src) SELECT unit_id, round(gain + 0.2 * coalesce(share, 0) - 0.1 * cost / {_BUDGET}, 6) AS reward FROM unit LEFT JOIN n USING (unit_id)", "unit")
+@query(_GRID + f", n AS (SELECT src AS unit_id, avg(CAST(selected AS DOUBLE)) AS share FROM g JOIN unit ON unit_id = dst GROUP BY src) SELECT unit_id, round(gain + 0.2 * coalesce(share, 0) - 0.1 * cost / {_BUDGET}, 4) AS reward FROM unit LEFT JOIN n USING (unit_id)", "unit")
 def restoration_reward_default(spark: SparkSession, d: str) -> DataFrame:
-    return restoration.reward_default(unit(spark, d), _grid(spark, d), _BUDGET).withColumn("reward", F.round("reward", 6))
+    return restoration.reward_default(unit(spark, d), _grid(spark, d), _BUDGET).withColumn("reward", F.round("reward", 4))
 
 
 @query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS unit_id, 1 AS candidate, p_retailprice AS cost FROM part WHERE p_size > 5")

@@ -43,16 +43,16 @@ def zonal_join(spark: SparkSession, d: str) -> DataFrame:
     return burnt.groupBy("zone_id").agg(F.count("*").alias("n"), F.min("row").alias("first_row"), F.max("row").alias("last_row"))
 
 
-@query(_BURNT + " SELECT zone_id, round(avg(z), 6) AS mean, max(z) AS max, count(*) AS n FROM burnt GROUP BY zone_id", "pixel", "zone")
+@query(_BURNT + " SELECT zone_id, round(avg(z), 4) AS mean, max(z) AS max, count(*) AS n FROM burnt GROUP BY zone_id", "pixel", "zone")
 def zonal_stats(spark: SparkSession, d: str) -> DataFrame:
-    return overlay.zonal_stats(pixel(spark, d), zone(spark, d), 100).withColumn("mean", F.round("mean", 6))
+    return overlay.zonal_stats(pixel(spark, d), zone(spark, d), 100).withColumn("mean", F.round("mean", 4))
 
 
-@query(_BURNT + " SELECT CASE WHEN n IS NULL THEN 'none' WHEN n < 5 THEN 'few' ELSE 'pixel' END AS assignment, count(*) AS zones, round(min(mean), 6) AS lowest, round(max(mean), 6) AS highest FROM zone LEFT JOIN (SELECT zone_id, count(*) AS n, avg(z) AS mean FROM burnt GROUP BY zone_id) USING (zone_id) GROUP BY assignment", "pixel", "zone")
+@query(_BURNT + " SELECT CASE WHEN n IS NULL THEN 'none' WHEN n < 5 THEN 'few' ELSE 'pixel' END AS assignment, count(*) AS zones, round(min(mean), 4) AS lowest, round(max(mean), 4) AS highest FROM zone LEFT JOIN (SELECT zone_id, count(*) AS n, avg(z) AS mean FROM burnt GROUP BY zone_id) USING (zone_id) GROUP BY assignment", "pixel", "zone")
 def slope_report(spark: SparkSession, d: str) -> DataFrame:
     s = overlay.zonal_stats(pixel(spark, d), zone(spark, d), 100)
     kind = F.when(F.col("n").isNull(), "none").when(F.col("n") < 5, "few").otherwise("pixel")
-    return zone(spark, d).join(s, "zone_id", "left").groupBy(kind.alias("assignment")).agg(F.count("*").alias("zones"), F.round(F.min("mean"), 6).alias("lowest"), F.round(F.max("mean"), 6).alias("highest"))
+    return zone(spark, d).join(s, "zone_id", "left").groupBy(kind.alias("assignment")).agg(F.count("*").alias("zones"), F.round(F.min("mean"), 4).alias("lowest"), F.round(F.max("mean"), 4).alias("highest"))
 
 
 @query("SELECT key, z, d2 FROM (SELECT a.row * 100 + a.col AS key, b.z, (b.row - a.row) * (b.row - a.row) + (b.col - a.col) * (b.col - a.col) AS d2, row_number() OVER (PARTITION BY a.row, a.col ORDER BY (b.row - a.row) * (b.row - a.row) + (b.col - a.col) * (b.col - a.col), b.row, b.col) AS k FROM pixel a JOIN pixel b ON b.row BETWEEN a.row - 2 AND a.row + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 AND b.z > 0 WHERE a.z <= 0) WHERE k = 1", "pixel")
