@@ -44,7 +44,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edited_likeness(_documents(spark, sf_dir))
+    return simhash.with_neighbours(simhash.edited_likeness(_documents(spark, sf_dir)))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm import textkit as K
-from parcelspark.scratch import prepare
+from parcelspark.scratch import free_shuffles, prepare, stash
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 BITS = 128
@@ -157,6 +157,22 @@ def _likeness_rows(held: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCHEMA.split(", ")])
 
 
+def with_neighbours(rows: DataFrame, radius: int = 3, every: int = 50) -> DataFrame:
+    """rows with n_near: for identifiers divisible by `every` the number of other documents within the radius, else null.
+
+    Equal fingerprints are one row with a count, so a group of copies costs one row per task.
+    """
+    rows = stash(rows, "fingerprints")
+    free_shuffles(rows.sparkSession)
+    counts = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    asked = rows.where(F.col("doc_id") % every == 0)
+    pairs = within_radius(asked, counts, radius, radius + 1)
+    near = pairs.join(counts.withColumnRenamed("fingerprint", "other"), "other").groupBy("fingerprint").agg((F.sum("n") - 1).alias("n_near"))
+    # one fingerprint may hold a third of all rows; narrow rows, split by adaptive execution
+    out = rows.join(near, "fingerprint", "left")
+    return out.select(*rows.columns, F.when(F.col("doc_id") % every == 0, F.col("n_near")).alias("n_near"))
+
+
 def within_radius(queries: DataFrame, table: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """(fingerprint, other, distance) for all fingerprints of the table within the radius of each query fingerprint.
 

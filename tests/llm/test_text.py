@@ -193,6 +193,17 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert got == {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in fps for b in fps if (a ^ b).bit_count() <= 3}
 
 
+def test_neighbours_are_counted(spark, empty):
+    rows = [(i, " ".join(str(j) for j in range(30 + (i % 3) * 40))) for i in range(60)] + [(100, "1 2 3"), (150, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.with_neighbours(simhash.edited_likeness(docs), radius=3, every=10).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        close = sum((int(r.fingerprint, 16) ^ int(o.fingerprint, 16)).bit_count() <= 3 for o in got) - 1
+        assert r.n_near == (close if r.doc_id % 10 == 0 else None)
+    assert simhash.with_neighbours(simhash.edited_likeness(empty)).count() == 0
+
+
 def test_shingles_of_short_texts():
     buf = np.frombuffer(b"a b c d e f|a b|x".replace(b"|", b" "), np.uint8)
     h, r, _ = K.word_hashes(buf, np.array([0, 12, 16, 17]), ~K.SPACE)
