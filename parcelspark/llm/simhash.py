@@ -127,7 +127,8 @@ def _bucket(doc_id: Column, marks: list[int]) -> Column:
     """How many marks are at most doc_id, by binary search over the literal array."""
     if not marks:
         return F.lit(0)
-    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(len(marks).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(marks)).alias("hi")), lambda s, _: _halve(s, doc_id, F.array(*map(F.lit, marks))), lambda s: s["lo"]), F.lit(0))
+    known = F.split(F.lit(",".join(map(str, marks))), ",").cast("array<bigint>")  # folds into one literal
+    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(len(marks).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(marks)).alias("hi")), lambda s, _: _halve(s, doc_id, known), lambda s: s["lo"]), F.lit(0))
 
 
 def _halve(s: Column, doc_id: Column, marks: Column) -> Column:
