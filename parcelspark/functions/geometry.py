@@ -185,3 +185,58 @@ def to_utm(lon: np.ndarray, lat: np.ndarray, epsg: int) -> tuple[np.ndarray, np.
     x = eta + sum(a * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, a in enumerate(alpha, 1))
     y = xi + sum(a * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, a in enumerate(alpha, 1))
     return 500_000 + 0.9996 * big * x, 0.9996 * big * y + (10_000_000 if epsg // 100 == 327 else 0)
+
+
+def _segments(polygons: Polygons) -> np.ndarray:
+    """(n, 4) x0, y0, x1, y1 with x0 < x1; vertical edges bound no area between two heights and drop out."""
+    s = [np.hstack([r[:-1], r[1:]]) for p in polygons for r in p]
+    s = np.concatenate(s) if s else np.zeros((0, 4))
+    s = s[s[:, 0] != s[:, 2]]
+    turn = s[:, 0] > s[:, 2]
+    s[turn] = s[turn][:, [2, 3, 0, 1]]
+    return s
+
+
+def _runs(seg: np.ndarray, x: float) -> list[tuple[float, float]]:
+    """Inside runs on the vertical line at x, by the even-odd rule."""
+    m = (seg[:, 0] < x) & (seg[:, 2] > x)
+    a = seg[m]
+    y = np.sort(a[:, 1] + (x - a[:, 0]) * (a[:, 3] - a[:, 1]) / (a[:, 2] - a[:, 0]))
+    return list(zip(y[::2], y[1::2], strict=False))
+
+
+def overlap_area(shape: Polygons, others: list[Polygons]) -> float:
+    """Area of shape that any of the others covers, counted once.
+
+    Vertical slabs end at every vertex and every crossing of two edges. Inside a slab
+    no edges cross, so covered heights change linearly and the slab's middle gives
+    its exact area.
+    """
+    own, covers = _segments(shape), [_segments(o) for o in others]
+    if not len(own) or not covers:
+        return 0.0
+    lo, hi = own[:, 0].min(), own[:, 2].max()
+    every = np.concatenate([own, *covers])
+    every = every[(every[:, 0] < hi) & (every[:, 2] > lo)]
+    slope = (every[:, 3] - every[:, 1]) / (every[:, 2] - every[:, 0])
+    base = every[:, 1] - slope * every[:, 0]
+    ds = slope[:, None] - slope[None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cross = (base[None, :] - base[:, None]) / ds
+    ok = (ds != 0) & (cross > np.maximum(every[:, None, 0], every[None, :, 0])) & (cross < np.minimum(every[:, None, 2], every[None, :, 2]))
+    xs = np.unique(np.concatenate([every[:, 0], every[:, 2], cross[ok], [lo, hi]]))
+    xs = xs[(xs >= lo) & (xs <= hi)]
+    total = 0.0
+    for a, b in zip(xs, xs[1:], strict=False):
+        mid = (a + b) / 2
+        runs = _runs(own, mid)
+        if not runs:
+            continue
+        union: list[list[float]] = []
+        for y0, y1 in sorted(r for c in covers for r in _runs(c, mid)):
+            if union and y0 <= union[-1][1]:
+                union[-1][1] = max(union[-1][1], y1)
+            else:
+                union.append([y0, y1])
+        total += (b - a) * sum(max(0.0, min(y1, u1) - max(y0, u0)) for y0, y1 in runs for u0, u1 in union)
+    return float(total)

@@ -74,11 +74,11 @@ def zonal_stats(pixels: DataFrame, zones: DataFrame, pixel_size: float) -> DataF
     return burnt.groupBy("zone_id").agg(F.avg("z").alias("mean"), F.max("z").alias("max"), F.count("*").alias("n"))
 
 
-def nearest_pixel(points: DataFrame, pixels: DataFrame, radius: int = 2) -> DataFrame:
+def nearest_pixel(points: DataFrame, pixels: DataFrame, radius: int = 2, valid: str = "z IS NOT NULL") -> DataFrame:
     """key, z of the nearest valid cell within the radius (rows first, then columns, of equals); points: key, row, col."""
     near = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
     probe = points.withColumn("dr", near).withColumn("dc", near).select("key", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"))
-    found = probe.join(pixels.where("z > 0"), ["row", "col"])
+    found = probe.join(pixels.where(valid), ["row", "col"])
     return found.groupBy("key").agg(F.min(F.struct("d2", "row", "col", "z")).alias("b")).select("key", "b.z", "b.d2")
 
 

@@ -59,7 +59,7 @@ def slope_report(spark: SparkSession, d: str) -> DataFrame:
 def nearest_pixel_fallback(spark: SparkSession, d: str) -> DataFrame:
     p = pixel(spark, d)
     missing = p.where("z <= 0").select((F.col("row") * 100 + F.col("col")).alias("key"), "row", "col")
-    return overlay.nearest_pixel(missing, p)
+    return overlay.nearest_pixel(missing, p, valid="z > 0")
 
 
 def _horn(strict: bool) -> str:
