@@ -1,0 +1,44 @@
+import json
+
+import pytest
+
+from parcelspark import config, pipeline
+from parcelspark.__main__ import main
+from parcelspark.domain import swap
+
+
+def settings(**changes):
+    c = {s: {} for s in config.SECTIONS}
+    c["slope"] = {"source": "field"}
+    c["sample"] = {"episodes": 2, "states": 3, "actions": 3, "total_budget": 30}
+    c["train"] = {"members": 2, "epochs": 2}
+    c["plan"] = {"episodes": 1, "max_steps": 4, "horizon": 2, "top_k": 4, "cultivated_area_floor_delta_ha": 0.0}
+    return c | changes
+
+
+def test_full_run(spark, tmp_path):
+    parcels = swap(spark, "/root/testdata/sf0.001").where("bsm < 900")
+    manifest = pipeline.run_full(spark, parcels, settings(), str(tmp_path))
+    assert manifest["status"] == "ok" and [s["stage"] for s in manifest["stages"]] == ["prepare", "sample", "train", "plan", "audit"]
+    result = json.loads((tmp_path / "summary.json").read_text())["results"][0]
+    assert result["n_swaps"] > 0 and result["slope_change_pct"] < 0 and result["cultivated_area_change_ha"] >= 0
+    out = spark.read.parquet(str(tmp_path / "optimized"))
+    assert out.count() == 900 and out.where("chg_flag > 0").count() == 2 * result["n_swaps"] and out.where("chg_flag > 0 AND locked").count() == 0
+    assert isinstance(json.loads((tmp_path / "audit.json").read_text())["passed"], bool)
+
+
+def test_a_failed_stage_is_in_the_manifest(spark, tmp_path):
+    parcels = swap(spark, "/root/testdata/sf0.001").where("bsm < 300")
+    with pytest.raises(TypeError):
+        pipeline.run_full(spark, parcels, settings(sample={"episodes": None}), str(tmp_path))
+    manifest = json.loads((tmp_path / "manifest.json").read_text())
+    assert manifest["status"] == "failed" and manifest["stages"][-1]["stage"] == "sample"
+
+
+def test_command_line(tmp_path, capsys):
+    yaml = pytest.importorskip("yaml")
+    good, bad = tmp_path / "good.yml", tmp_path / "bad.yml"
+    good.write_text(yaml.safe_dump(settings()))
+    bad.write_text(yaml.safe_dump(settings(slope={"source": "dem"})))
+    assert main(["check-config", str(good)]) == 0 and main(["check-config", str(bad)]) == 2
+    assert main(["print-plan", str(good)]) == 0 and capsys.readouterr().out.split() == ["prepare", "sample", "train", "plan", "audit"]
