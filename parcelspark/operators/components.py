@@ -49,13 +49,19 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", partition_edges: int = 1_000_000) -> DataFrame:
-    """(node, root) for every node of an edge; the root is the component's smallest node. Nodes are of type long."""
+    """(node, root) for every node of an edge; the root is the component's smallest node. Nodes are of type long.
+
+    partition_edges bounds what one task contracts; a graph of no more edges is done with that.
+    """
     spark = edges.sparkSession
     ship(spark)
     pairs = stash(edges.select(F.greatest(src, dst).cast("long").alias("u"), F.least(src, dst).cast("long").alias("v")).where("u <> v"), "edges")
-    parts = max(1, -(-pairs.count() // partition_edges))
-    parts = max(parts, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * parts))
-    now = stash(pairs.repartitionByRange(parts, "v", "u").mapInArrow(_contract, "u long, v long").distinct(), "edges")
+    count = pairs.count()
+    if count <= partition_edges:
+        now = stash(pairs.coalesce(1).mapInArrow(_contract, "u long, v long"), "edges")
+        drop(pairs)
+        return _roots(now)
+    now = stash(pairs.repartitionByRange(-(-count // partition_edges) + 1, "v", "u").mapInArrow(_contract, "u long, v long").distinct(), "edges")
     drop(pairs)
     sign = _sign(now)
     while True:
@@ -70,6 +76,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", partition_e
         now, before, sign = small, sign, _sign(small)
         if sign == before:
             break
+    return _roots(now)
+
+
+def _roots(now: DataFrame) -> DataFrame:
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
