@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm import textkit as K
-from parcelspark.scratch import drop, free_shuffles, prepare, stash
+from parcelspark.scratch import free_shuffles, prepare, stash
 
 BITS = 56
 OUT = "doc_id long, n_words long, log_score double, mean_log_score double"
@@ -232,8 +232,7 @@ def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str
         none = n == 0
         return pa.table([pa.array(ids, pa.int64()), pa.array(n), pa.array(z, mask=none), pa.array(z / np.maximum(n, 1), mask=none)], names=["doc_id", "n_words", "log_score", "mean_log_score"])
 
-    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, OUT)
-    return out
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, OUT)
 
 
 SQL = r"""

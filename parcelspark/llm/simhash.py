@@ -88,7 +88,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
-    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions() if buckets else 1)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     marks = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
     bucket = _bucket(F.col("doc_id"), marks)
     # one row per bucket: at most n rows reach the driver

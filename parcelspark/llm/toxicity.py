@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm import textkit as K
-from parcelspark.scratch import prepare
+from parcelspark.scratch import drop, prepare, stash
 
 PREFIXES = (3, 4, 5, 6, 7)
 SCHEMA = "doc_id long, score double"
@@ -156,8 +156,6 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: str = "d
                 cuts = np.searchsorted(r, np.arange(j - i + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(p[i:j].astype(np.int32)), pa.ListArray.from_arrays(cuts, h.view(np.int64))], ["p", "terms"])
 
-    from parcelspark.scratch import drop, stash
-
     found = stash(rows.mapInArrow(extract, "p int, terms array<long>"), "toxic-terms")
     n_pos, n_unl = (found.where(f"p = {k}").count() for k in (1, 0))
     if not n_pos or not n_unl:
