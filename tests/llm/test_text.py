@@ -204,6 +204,35 @@ def test_neighbours_are_counted(spark, empty):
     assert simhash.with_neighbours(simhash.edited_likeness(empty)).count() == 0
 
 
+def test_all_fingerprints_within_a_wide_radius_are_counted(spark):
+    rnd = random.Random(8)
+    fps = {rnd.getrandbits(128) for _ in range(40)}
+    for x in list(fps):
+        for d in (1, 5, 12, 17, 18, 19, 24):
+            fps.add(x ^ sum(1 << b for b in rnd.sample(range(128), d)))
+    rows = [(f"{x:032x}", 1 + x % 3, x % 4 == 0) for x in fps]
+    df = spark.createDataFrame(rows, "fingerprint string, n long, asked boolean").repartition(3)
+    for radius in (0, 3, simhash.RADIUS):
+        got = {r.fingerprint: r.near for r in simhash.near_counts(df, radius).collect()}
+        assert got == {f"{x:032x}": sum(1 + y % 3 for y in fps if (x ^ y).bit_count() <= radius) for x in fps if x % 4 == 0}
+
+
+def test_near_copies_count_as_neighbours(spark):
+    """Copies with words replaced to a 5-gram Jaccard similarity of 0.8 or a little more."""
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 10))) for _ in range(2000)]
+    rows = []
+    for i in range(200):
+        words = rnd.choices(vocab, k=rnd.choice([100, 200, 400]))
+        near = list(words)
+        for j in rnd.sample(range(len(near)), len(near) * 2 // 100):
+            near[j] = rnd.choice(vocab)
+        rows += [(50 * i, " ".join(words)), (50 * i + 1, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.n_near for r in simhash.with_neighbours(simhash.edited_likeness(docs)).where("n_near IS NOT NULL").collect()]
+    assert len(got) == 200 and sum(n == 1 for n in got) >= 180 and max(got) == 1
+
+
 def test_shingles_of_short_texts():
     buf = np.frombuffer(b"a b c d e f|a b|x".replace(b"|", b" "), np.uint8)
     h, r, _ = K.word_hashes(buf, np.array([0, 12, 16, 17]), ~K.SPACE)
