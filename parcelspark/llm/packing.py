@@ -135,7 +135,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         packer = SumOfSquares(width, emit)
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = enc.ids(text or "").tobytes() + end
+                data = enc.ids_with_added(text or "").tobytes() + end
                 packer.add(Piece(doc_id, 0, data, len(data) >> 2))
             if len(rows) >= 4096:
                 yield out()

@@ -8,6 +8,7 @@ of each other.
 from __future__ import annotations
 
 import base64
+import json
 import re
 
 import numpy as np
@@ -24,7 +25,7 @@ def ranks_path(tokenizer: str) -> str:
 
 
 class Encoder:
-    """ids of texts; strings of special tokens are ordinary text."""
+    """ids of texts; strings of added tokens are ordinary text, except in ids_with_added."""
 
     def __init__(self, tokenizer: str = "byte_bpe_50k.json"):
         import public_tokenizers
@@ -33,6 +34,12 @@ class Encoder:
         with open(ranks_path(tokenizer), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(tokenizer), encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that depend on the text around them")
+        self._added = {t["content"]: t["id"] for t in added}
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")")
         self._spaced = np.zeros(max(ranks.values()) + 1, bool)
         self._spaced[[i for t, i in ranks.items() if t[:1] == b" "]] = True
 
@@ -40,6 +47,13 @@ class Encoder:
         """ids as little-endian unsigned 32-bit integers."""
         return np.array(self._bpe.encode_ordinary(text), "<u4")
 
+    def ids_with_added(self, text: str) -> np.ndarray:
+        """ids as the tokenizer file gives them: the texts of its added tokens become their one id."""
+        if not any(t in text for t in self._added):
+            return self.ids(text)
+        parts = self._split.split(text)  # every second part is an added token
+        return np.concatenate([np.array([self._added[p]], "<u4") if i % 2 else self.ids(p) for i, p in enumerate(parts)])
+
     def count(self, text: str) -> int:
         return len(self._bpe.encode_ordinary(text))
 

@@ -35,6 +35,22 @@ def test_ids_equal_the_reference_tokenizer():
     assert [enc.ids(t).tolist() for t in texts] == [x.ids for x in ref.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_packed_ids_equal_the_tokenizer_as_loaded(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd, end = random.Random(12), "<|endoftext|>"
+    texts = ["hello <|endoftext|> world", end, end * 3, f"{end} a", f"a{end}", f"a\n{end}\n b <|endoftext |> <|END|>"]
+    texts += [text(rnd, rnd.randrange(20)) + end + text(rnd, rnd.randrange(20)) for _ in range(100)] + ["no such token"]
+    want = {i: x.ids for i, x in enumerate(ref.encode_batch(texts, add_special_tokens=False))}
+    assert {i: encoder().ids_with_added(t).tolist() for i, t in enumerate(texts)} == want and 50256 in want[0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in packing.pack(docs, width=8).collect():
+        ids = np.array([*want[r.doc_id], 1], "<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
 def test_tree_counts_under_edits():
     rnd, enc = random.Random(1), encoder()
     for _ in range(300):
