@@ -23,15 +23,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal normalised text the one with the smallest identifier."""
+    """Of documents with equal normalised text one with the smallest identifier; null identifiers lose, repeated rows are one."""
     found = exact_dedup.exact_dedup(docs)
-    return _without(docs, found.where("NOT kept").select("doc_id"))
+    key = lambda sha: [F.coalesce("doc_id", F.lit(0)).alias("key_id"), F.isnull("doc_id").alias("key_null"), sha.alias("key_text")]
+    keys = ["key_id", "key_null", "key_text"]
+    # one exchange of the texts: repeated rows are merged before it, and the join finds its rows dealt by the same keys
+    one = docs.select("*", *key(F.sha2(exact_dedup.normalised(F.col("text")), 256))).dropDuplicates(keys)
+    return _without(one, found.where("NOT kept").select(*key(F.col("text_sha256"))), keys).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest identifier, of each group joined by links."""
-    found = ngram_join.jaccard_join(docs)
-    return _without(docs, found.where("NOT doc_id <=> class_id").select("doc_id"))
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    odd = stash(ids.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("odd")), "odd-ids")
+    keyed = docs.withColumn("key_id", F.col("doc_id").cast("long"))
+    if not odd.isEmpty():
+        # null and repeated identifiers: a key of identifier and text, above the others, so that they lose
+        own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+        known = keyed.where("doc_id IS NOT NULL").join(odd.hint("merge"), F.expr("doc_id = odd"), "left")
+        known = known.withColumn("key_id", F.when(F.isnull("odd"), F.col("key_id")).otherwise(own)).drop("odd")
+        keyed = stash(known.unionByName(keyed.where("doc_id IS NULL").withColumn("key_id", own)), "keyed")
+    found = ngram_join.jaccard_join(keyed, id_col="key_id")
+    return _without(keyed, found.where("NOT doc_id <=> class_id").select(F.col("doc_id").alias("key_id")), ["key_id"]).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +57,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
     # merge: whether the texts move must not depend on how many documents go
-    return docs.join(stash(dropped.distinct(), "dropped").hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(stash(dropped.distinct(), "dropped").hint("merge"), keys, "left_anti")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

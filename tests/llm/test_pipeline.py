@@ -38,3 +38,19 @@ def test_each_stage_on_its_input(spark):
 
     packed = stages[4](spark, mixed, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(count)
+
+
+def test_repeated_and_null_identifiers(spark):
+    words = lambda k, n=60: [f"w{k}x{i}" for i in range(n)]
+    a, b, c, d, e = (" ".join(words(k)) for k in range(5))
+    near = " ".join([*words(3)[:-1], "other"])
+    rows = [(1, a), (1, a), (1, a.replace(" ", "  ", 1)), (2, a), (2, b), (None, a), (None, c), (None, c), (None, d), (4, near), (5, e), (5, e), (None, near)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    one = corpus_pipeline.drop_copies(spark, docs, "").cache()
+    got = sorted(((r.doc_id, norm(r.text)) for r in one.collect()), key=repr)
+    assert got == sorted([(1, norm(a)), (2, norm(b)), (None, norm(c)), (None, norm(d)), (4, norm(near)), (5, norm(e))], key=repr)
+    assert one.columns == docs.columns
+    two = spark.createDataFrame([(7, d, 1), (7, b, 2), (8, near, 3), (None, c, 4), (None, near, 5), (None, e, 6)], "doc_id long, text string, n int")
+    apart = corpus_pipeline.drop_near_copies(spark, two, "")
+    assert apart.columns == two.columns
+    assert sorted(r.n for r in apart.collect()) == [2, 3, 4, 6]
