@@ -14,7 +14,8 @@ between positives and unlabelled, of those with min_docs positives at least and,
 by the prior, an expected share of positives of min_purity at least. Scoring covers every whole text.
 
 Defined cases: null and empty texts get the score of a text without known terms;
-without any positive every score is 0; null labels are no labels; a document
+without any positive every score is 0; where every training text has a label all
+of them, without regard to it, are the unlabelled rest; null labels are no labels; a document
 with any label 1 is a positive. Other input columns are ignored.
 """
 
@@ -138,8 +139,11 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: str = "d
     prior = min(max(float(share), 1e-3), 0.9)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where(train_on & F.col("doc_id").isNotNull())
     pick = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    rest = ids.join(marks, "doc_id", "left_anti")
+    if rest.isEmpty():
+        rest = ids.distinct()  # every text has a label; all of them, without regard to it, stand for the unlabelled
     # two samples of documented size: at most max_pos + max_unl identifiers
-    sample = pick(marks.where("y = 1").select("doc_id"), max_pos).withColumn("p", F.lit(1)).unionByName(pick(ids.join(marks, "doc_id", "left_anti"), max_unl).withColumn("p", F.lit(0)))
+    sample = pick(marks.where("y = 1").select("doc_id"), max_pos).withColumn("p", F.lit(1)).unionByName(pick(rest, max_unl).withColumn("p", F.lit(0)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("p", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

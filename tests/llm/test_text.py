@@ -220,6 +220,15 @@ def test_neighbours_are_counted(spark, empty):
     assert simhash.with_neighbours(simhash.edited_likeness(empty)).count() == 0
 
 
+def test_toxicity_where_every_document_has_a_label(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choices([f"plain{j}" for j in range(80)], k=30) + ["vile", "foul", "nasty"] * (i % 10 == 0))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxic_scores(docs, labels).collect()}
+    assert len(got) == 600 and sum(got[i] != int(i % 10 == 0) for i in got) <= 6
+
+
 def test_all_fingerprints_within_a_wide_radius_are_counted(spark):
     rnd = random.Random(8)
     fps = {rnd.getrandbits(128) for _ in range(40)}
