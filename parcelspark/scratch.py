@@ -17,20 +17,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = str(Path(__file__).resolve().parents[1])
 _WRITTEN: dict[str, object] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (tests, local mode)."""
+    """The cluster's shared folder; one of our own only in local mode, where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file:///tmp/checkpoints/parcelspark"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def prepare(spark: SparkSession, rows_per_batch: int = 500) -> None:
-    """Small Arrow batches (long documents stay in bounds) and this package on the workers' path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)
+#: Bytes of one Arrow batch (and a last row beyond it), so that very long texts stay in bounds.
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Arrow batches bounded by their bytes, and this package on the workers' path."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     ship(spark)
 
 
@@ -42,13 +51,21 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, path) if x)
 
 
-def stash(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """Writes df as zstd Parquet in the shared folder and returns the table read back."""
+def stash(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), **options: object) -> DataFrame:
+    """Writes df as zstd Parquet in the shared folder and returns the table read back.
+
+    The shuffle files of the write are removed when it ends, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     _WRITTEN[path] = spark
-    df.write.options(compression="zstd", **options).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(compression="zstd", **options).partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out._stash_path = path
     return out
