@@ -1,24 +1,35 @@
-"""Stupid-backoff language model scores from corpus-wide n-gram counts.
-
-Documents are packed into blocks of word numbers and a sorted vocabulary of word
-hashes. Each block's distinct n-grams (all orders) with their counts are cut into
-buckets by hash: the count tables, partitioned by hash. A bucket sums the counts of
-all blocks and answers each block with the corpus counts of its n-grams, in the
-order in which it listed them; the answers are joined to the block, whose exploded
-n-grams are scored and summed per document. An n-gram that occurs everywhere is
-one entry per block, so no key gathers the rows of all documents.
-
-A document is scored on the counts of all other rows: its own counts are
-subtracted. With c the counts so reduced and N their number of words,
+"""Stupid-backoff language model scores, as joins of n-gram rows with n-gram count tables.
 
     S(w | context) = c(context w) / c(context)            where c(context w) > 0
                      backoff * S(w | shorter context)     otherwise
-    S(w)           = c(w) / N, and 1 / (2 N) where c(w) = 0 (N at least 1)
+    S(w)           = c(w) / N
+
+with c the counts in the whole corpus and N its number of words; a document's first
+words have shorter contexts. `lm_scores` scores the documents of the corpus itself.
+Each of their n-grams is found there, so nothing backs off, and the log score of a
+document is a sum over its n-grams: + log c of each one that ends a word's context,
+- log c of each context (those of the first words cancel), - log N.
+
+1. The count table: rows (hash, count), pre-aggregated for each batch of documents
+   and then by hash, so an n-gram that occurs everywhere is one row per batch.
+2. Documents are exploded to rows (hash, document, sign) and joined with the count
+   table on the hash. The table has one row per hash, so adaptive execution splits
+   the rows of an n-gram that occurs everywhere.
+3. Signed logs are summed per document, pre-aggregated before the exchange.
+
+Both sides are made and joined in `slices` passes over parts of the hash range. Each
+pass reads the texts again, and its shuffle files are gone before the next, which
+divides the disk needed by the number of passes.
+
+`score_against` scores other texts with the count tables of a corpus, by joins at
+each order in turn; there n-grams are missing and the model backs off. Words in no
+document count as half an occurrence.
 
 N-grams do not cross documents. Words are runs between ASCII white space. Hashes
-have 56 bits. Defined cases: null and empty texts have no words and null scores;
-equal rows are documents of their own; an empty table gives an empty result.
-Other input columns are ignored.
+have 64 bits. Defined cases: null and empty texts have no words and null scores;
+equal rows are documents of their own, each with the score of its text; different
+texts with equal or null identifiers are documents of their own; an empty table
+gives an empty result. Other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,208 +42,136 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm import textkit as K
-from parcelspark.scratch import free_shuffles, prepare, stash
-
-BITS = 56
-OUT = "doc_id long, n_words long, log_score double, mean_log_score double"
+from parcelspark.llm.rowkeys import keyed
+from parcelspark.scratch import prepare, stash
 
-
-def pack(x: np.ndarray, ascending: bool) -> bytes:
-    """Unsigned integers as compressed byte planes, of their differences if they ascend."""
-    x = x.astype(K.U)
-    if ascending:
-        x = np.diff(x, prepend=K.U(0))
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)
-    return len(x).to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
-
-
-def unpack(raw: bytes, ascending: bool) -> np.ndarray:
-    n = int.from_bytes(raw[:4], "little")
-    planes = pa.Codec("zstd").decompress(raw[4:], 8 * n, asbytes=True) if n else b""
-    x = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view(K.U).reshape(n)
-    return np.cumsum(x, dtype=K.U) if ascending else x
-
-
-def join(parts: list[bytes]) -> bytes:
-    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
-
-
-def split(raw: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(raw):
-        n = int.from_bytes(raw[at : at + 4], "little")
-        out.append(raw[at + 4 : at + 4 + n])
-        at += 4 + n
-    return out
+_STEP = K.U(0x9E3779B97F4A7C15)
 
 
 def grams(words: np.ndarray, row: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order the hash of the n-gram that ends at each word (0 where the document is too short), 56 bits."""
+    """For each order the hash of the n-gram that ends at each word; below a document's first n words it means nothing."""
     out = [words]
     for _ in range(1, order):
-        prev = out[-1]
         h = np.zeros_like(words)
-        h[1:] = K.mix(prev[:-1] * K.U(0x9E3779B97F4A7C15) + words[1:]) >> K.U(64 - BITS)
-        ok = np.zeros(len(words), bool)
-        ok[1:] = (row[1:] == row[:-1]) & ((prev[:-1] != 0) | (len(out) == 1))
-        out.append(np.where(ok, h | K.U(1), K.U(0)))
+        h[1:] = K.mix(out[-1][:-1] * _STEP + K.mix(words[1:] ^ _STEP))
+        out.append(h)
     return out
 
 
-def to_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """block, n (words), data: packed identifiers, their words, word numbers and vocabulary."""
-    prepare(docs.sparkSession)
+def _positions(row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each word in its document, and the number of words there."""
+    size = np.bincount(row, minlength=n_rows)
+    return np.arange(len(row)) - (np.cumsum(size) - size)[row], size[row]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        base, k = TaskContext.get().partitionId() << 32, 0
-        ids, hashes, sizes, held = [], [], [], 0
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, word hashes and their rows, in parts of bounded size."""
+    for b in batches:
+        key = b.column(0).to_numpy(zero_copy_only=False)
+        buf, off = K.flat(b.column(1))
+        for i, j in K.groups(off, 2 << 20):
+            h, r, _ = K.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i], ~K.SPACE)
+            yield key[i:j], h, r
 
-        def block() -> pa.RecordBatch:
-            nonlocal ids, hashes, sizes, held, k
-            h = np.concatenate(hashes) if hashes else np.zeros(0, K.U)
-            vocabulary, number = np.unique(h, return_inverse=True)
-            keys = np.array([0 if x is None else x for x in ids], np.int64)
-            data = join([pack(keys.view(K.U), False), pack(np.array([x is None for x in ids]), False), pack(np.concatenate(sizes), False), pack(number, False), pack(vocabulary, True)])
-            out = pa.RecordBatch.from_arrays([pa.array([base + k]), pa.array([len(h)]), pa.array([data], pa.binary())], ["block", "n", "data"])
-            ids, hashes, sizes, held, k = [], [], [], 0, k + 1
-            return out
 
-        for b in batches:
-            buf, off = K.flat(b.column(1))
-            names = b.column(0).to_pylist()
-            for i, j in K.groups(off, 1 << 20):
-                h, r, _ = K.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i], ~K.SPACE)
-                ids += names[i:j]
-                hashes.append((h >> K.U(64 - BITS)) | K.U(1))
-                sizes.append(np.bincount(r, minlength=j - i))
-                held += int(off[j] - off[i])
-                if held >= block_bytes:
-                    yield block()
-        if ids:
-            yield block()
+def _batch(names: str, *cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names.split())
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "block long, n long, data binary")
+def count_rows(rows: DataFrame, orders: range, part: int = 0, parts: int = 1, id_col: str = "key", text_col: str = "text") -> DataFrame:
+    """(hash, n): occurrences of n-grams of the given orders, summed over each batch of documents."""
+    prepare(rows.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some: list[np.ndarray] = []
+            for key, h, r in _words([b]):
+                pos, _ = _positions(r, len(key))
+                for k, g in enumerate(grams(h, r, max(orders)), 1):
+                    if k in orders:
+                        g = g[pos >= k - 1]
+                        some.append(g[(g >> K.U(20)) % K.U(parts) == part])
+            h, n = np.unique(np.concatenate(some), return_counts=True) if some else (np.zeros(0, K.U), np.zeros(0, np.int64))
+            yield _batch("hash n", h.view(np.int64), n)
+
+    return rows.select(id_col, text_col).mapInArrow(run, "hash long, n long")
 
-def _load(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Identifiers, words of each document, word hashes."""
-    keys, null, sizes, number, vocabulary = split(data)
-    ids = [None if z else int(x) for x, z in zip(unpack(keys, False).view(np.int64), unpack(null, False), strict=True)]
-    return ids, unpack(sizes, False).astype(np.int64), unpack(vocabulary, True)[unpack(number, False).astype(np.int64)]
 
+def count_table(rows: DataFrame, orders: range, part: int = 0, parts: int = 1, id_col: str = "key", text_col: str = "text") -> DataFrame:
+    """(hash, n): occurrences in the whole corpus, partitioned by hash."""
+    return count_rows(rows, orders, part, parts, id_col, text_col).groupBy("hash").agg(F.sum("n").alias("n"))
 
-def _edges(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket of equal hash range begins in sorted hashes."""
-    marks = [(b << BITS) // buckets for b in range(buckets)]
-    return np.concatenate([np.searchsorted(h, np.array(marks, K.U)), [len(h)]])
 
+def signed_rows(rows: DataFrame, order: int, part: int, parts: int) -> DataFrame:
+    """(hash, key, sign, words, first): a row for each n-gram that a document's score takes the log count of.
 
-def count_entries(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """block, bucket, data: distinct n-grams of each order that fall into the bucket, and their counts."""
+    words and first are the document's number of words and 1 on one row of the document, and 0 on the others.
+    """
+    prepare(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                _, sizes, words = _load(data)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                tables = []
-                for h in grams(words, row, order):
-                    h, n = np.unique(h[h != 0], return_counts=True)
-                    tables.append((h, n, _edges(h, buckets)))
-                for k in range(buckets):
-                    cut = [(h[e[k] : e[k + 1]], n[e[k] : e[k + 1]]) for h, n, e in tables]
-                    if any(len(h) for h, _ in cut):
-                        payload = join([x for h, n in cut for x in (pack(h, True), pack(n, False))])
-                        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([k], pa.int32()), pa.array([payload], pa.binary())], ["block", "bucket", "data"])
-
-    return blocks.select("block", "data").mapInArrow(run, "block long, bucket int, data binary")
-
-
-def answer(entries: DataFrame, order: int) -> DataFrame:
-    """block, bucket, data: the corpus count of each listed n-gram. Rows come sorted by bucket."""
-
-    def finish(bucket: int, blocks: list[int], payloads: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        answers: list[list[bytes]] = [[] for _ in blocks]
-        for o in range(order):
-            parts = [unpack(p[2 * o], True) for p in payloads]
-            counts = np.concatenate([unpack(p[2 * o + 1], False) for p in payloads])
-            h = np.concatenate(parts)
-            _, at = np.unique(h, return_inverse=True)
-            total = np.bincount(at, weights=counts).astype(K.U)[at] if len(h) else h
-            ends = np.cumsum([len(x) for x in parts])
-            for i, (a, z) in enumerate(zip(ends - [len(x) for x in parts], ends, strict=True)):
-                answers[i].append(pack(total[a:z], False))
-        for block, a in zip(blocks, answers, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([join(a)], pa.binary())], ["block", "bucket", "data"])
+        for key, h, r in _words(batches):
+            pos, size = _positions(r, len(key))
+            for k, g in enumerate(grams(h, r, order), 1):
+                # the order-grams, or all words of a text that has fewer; contexts but those of the first words
+                plus = pos >= order - 1 if k == order else (size == k) & (pos == k - 1)
+                minus = (pos >= k) & (pos < size - 1) if k == order - 1 else np.zeros(len(g), bool)
+                first = plus & (pos == np.minimum(size, order) - 1)
+                at = np.flatnonzero((plus | minus) & ((g >> K.U(20)) % K.U(parts) == part))
+                one = first[at]
+                yield _batch("hash key sign words first", g[at].view(np.int64), key[r[at]], np.where(plus[at], 1, -1).astype(np.int8), np.where(one, size[at], 0).astype(np.int32), one.astype(np.int8))
+
+    return rows.select("key", "text").mapInArrow(run, "hash long, key long, sign byte, words int, first byte")
+
+
+def lm_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", slices: int = 6) -> DataFrame:
+    """doc_id, n_words, log_score and its mean per word for every whole text of a corpus."""
+    rows = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    used = range(1, order + 1)  # lower orders than order - 1 count for texts of so few words
+    sums = None
+    for part in range(slices):
+        joined = signed_rows(rows, order, part, slices).join(count_table(rows, used, part, slices), "hash")
+        own = stash(joined.groupBy("key").agg(F.sum(F.col("sign") * F.log("n")).alias("z"), F.sum("words").alias("words"), F.sum("first").alias("copies")), "lm-sums")
+        sums = own if sums is None else sums.unionByName(own)
+    summed = stash(sums.groupBy("key").agg(F.sum("z").alias("z"), F.sum("words").alias("words"), F.sum("copies").alias("copies")), "lm-documents")
+    total = summed.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    # -log N once for a document, or for each word where there are no contexts
+    n = F.col("words") / F.col("copies")
+    per = summed.select(F.col("key").alias("k"), n.cast("long").alias("n"), (F.col("z") / F.col("copies") - float(np.log(max(total, 1))) * (n if order == 1 else 1)).alias("z"))
+    out = rows.select("doc_id", "key").join(per, F.expr("key = k"), "left")
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_words"), F.col("z").alias("log_score"), (F.col("z") / F.col("n")).alias("mean_log_score"))
+
+
+def score_against(docs: DataFrame, corpus: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, log_score, mean_log_score of texts by the counts of another table, with backoff."""
+    rows = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    other = corpus.select(F.lit(0).alias("key"), F.col(text_col).alias("text"))
+    total = count_rows(other, range(1, 2)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    table = stash(count_table(other, range(1, order + 1)), "lm-table").select(F.col("hash").alias("h"), F.col("n").alias("c"))
+    names = [f"g{k}" for k in range(1, order + 1)] + [f"c{k}" for k in range(1, order)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blocks, payloads = None, [], []
-        for b in batches:
-            for block, bucket, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if bucket != now and blocks:
-                    yield from finish(now, blocks, payloads)
-                    blocks, payloads = [], []
-                now = bucket
-                blocks.append(block)
-                payloads.append(split(data))
-        if blocks:
-            yield from finish(now, blocks, payloads)
-
-    return entries.mapInArrow(run, "block long, bucket int, data binary")
-
-
-def log_scores(words: np.ndarray, sizes: np.ndarray, corpus: list[np.ndarray], total: int, order: int, backoff: float) -> np.ndarray:
-    """Summed log score of each document; corpus: counts of the block's sorted distinct n-grams by order."""
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    others = []
-    for h, counts in zip(grams(words, row, order), corpus, strict=True):
-        some = h != 0
-        table, at = np.unique(h[some], return_inverse=True)
-        _, pair, own = np.unique(row[some] * max(len(table), 1) + at, return_inverse=True, return_counts=True)
-        c = np.zeros(len(words))
-        c[some] = counts[at] - own[pair]
-        others.append(c)
-    n = np.maximum(total - sizes[row], 1)
-    s = np.where(others[0] > 0, others[0], 0.5) / n
-    for o in range(1, order):
-        context = np.concatenate([[0.0], others[o - 1][:-1]])
-        full = others[o] > 0
-        pos = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        lower = np.where(pos >= o, backoff * s, s)  # a document's first words have shorter contexts
-        s = np.where(full, others[o] / np.maximum(context, 1), lower)
-    return np.bincount(row, weights=np.log(s), minlength=len(sizes)) if len(words) else np.zeros(len(sizes))
-
-
-def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, n_words, log_score and its mean per word for every whole text."""
-    spark = docs.sparkSession
-    blocks = stash(to_blocks(docs, id_col, text_col, block_bytes), "lm-blocks")
-    prepare(spark, 8)  # rows are whole blocks from here on
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    entries = count_entries(blocks, order, 4 * parts)
-    dealt = answer(entries.repartition(parts, "bucket").sortWithinPartitions("bucket"), order)
-    answers = stash(dealt, "lm-counts")
-    del entries, dealt
-    free_shuffles(spark)
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, counts, sums = [], [], []
-        answered = [split(x) for _, x in sorted(zip(right["bucket"].to_pylist(), right["data"].to_pylist(), strict=True))]
-        corpus = [np.concatenate([unpack(a[o], False).astype(float) for a in answered]) if answered else np.zeros(0) for o in range(order)]
-        for data in left["data"].to_pylist():
-            names, sizes, words = _load(data)
-            ids += names
-            counts.append(sizes)
-            sums.append(log_scores(words, sizes, corpus, total, order, backoff))
-        n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        z = np.concatenate(sums) if sums else np.zeros(0)
-        none = n == 0
-        return pa.table([pa.array(ids, pa.int64()), pa.array(n), pa.array(z, mask=none), pa.array(z / np.maximum(n, 1), mask=none)], names=["doc_id", "n_words", "log_score", "mean_log_score"])
-
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, OUT)
+        for key, h, r in _words(batches):
+            pos, _ = _positions(r, len(key))
+            all_grams = grams(h, r, order)
+            cols = [pa.array(g.view(np.int64), mask=pos < k) for k, g in enumerate(all_grams)]
+            cols += [pa.array(np.concatenate([g[:1], g[:-1]]).view(np.int64), mask=pos <= k) for k, g in enumerate(all_grams[:-1])]
+            # one row for each word: its n-grams and their contexts, by order
+            yield pa.RecordBatch.from_arrays([pa.array(key[r]), *cols], ["key", *names])
+
+    now = rows.dropDuplicates(["key"]).select("key", "text").mapInArrow(run, ", ".join(f"{x} long" for x in ["key", *names]))
+    prepare(docs.sparkSession)
+    for k in range(order, 0, -1):
+        for name in ([f"g{k}", f"c{k - 1}"] if k > 1 else ["g1"]):
+            found = f"n_{name}"
+            if found not in now.columns:
+                now = now.join(table.select("h", F.col("c").alias(found)), F.col(name) == F.col("h"), "left").drop("h")
+    s = F.coalesce("n_g1", F.lit(0.5)) / max(total, 1)
+    for k in range(2, order + 1):
+        s = F.when(F.col(f"n_g{k}").isNotNull(), F.col(f"n_g{k}") / F.col(f"n_c{k - 1}")).when(F.col(f"g{k}").isNotNull(), backoff * s).otherwise(s)
+    per = now.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.log(s)).alias("z"))
+    out = rows.select("doc_id", "key").join(per, F.expr("key = k"), "left")
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_words"), F.col("z").alias("log_score"), (F.col("z") / F.col("n")).alias("mean_log_score"))
 
 
 SQL = r"""
@@ -241,18 +180,13 @@ WITH w AS (
   FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)),
 g AS (SELECT doc_id, i, w3, lag(w3, 1) OVER d AS w2, lag(w3, 2) OVER d AS w1 FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 n AS (
-  SELECT *, count(*) OVER (PARTITION BY w3) - count(*) OVER (PARTITION BY w3, doc_id) AS c1,
-    CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY w2, w3) - count(*) OVER (PARTITION BY w2, w3, doc_id) ELSE 0 END AS c2,
-    CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY w1, w2, w3) - count(*) OVER (PARTITION BY w1, w2, w3, doc_id) ELSE 0 END AS c3,
-    greatest(count(*) OVER () - count(*) OVER (PARTITION BY doc_id), 1) AS total
+  SELECT *, count(*) OVER (PARTITION BY w3) AS c1,
+    CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY w2, w3, i > 1) END AS c2,
+    CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY w1, w2, w3, i > 2) END AS c3,
+    count(*) OVER () AS total
   FROM g),
 s AS (SELECT *, lag(c1) OVER d AS b1, lag(c2) OVER d AS b2 FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-t AS (
-  SELECT doc_id, CASE
-    WHEN c3 > 0 THEN c3 / b2
-    WHEN c2 > 0 THEN c2 / b1 * CASE WHEN i > 2 THEN 0.4 ELSE 1 END
-    ELSE CASE WHEN c1 > 0 THEN c1 ELSE 0.5 END / total * CASE WHEN i > 2 THEN 0.16 WHEN i > 1 THEN 0.4 ELSE 1 END END AS p
-  FROM s)
-SELECT d.doc_id, coalesce(x.n, 0) AS n_words, round(x.z, 5) AS log_score, round(x.z / x.n, 6) AS mean_log_score
+t AS (SELECT doc_id, CASE WHEN i > 2 THEN c3 / b2 WHEN i > 1 THEN c2 / b1 ELSE c1 / total END AS p FROM s)
+SELECT d.doc_id, coalesce(x.n, 0) AS n_words, round(x.z, 4) AS log_score, round(x.z / x.n, 6) AS mean_log_score
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(ln(p)) AS z FROM t GROUP BY doc_id) x ON d.doc_id = x.doc_id
 """

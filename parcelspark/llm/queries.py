@@ -36,7 +36,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scores.lm_scores(_documents(spark, sf_dir))
-    return scored.withColumns({"log_score": F.round("log_score", 5), "mean_log_score": F.round("mean_log_score", 6)})
+    return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

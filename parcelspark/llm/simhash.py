@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm import textkit as K
-from parcelspark.scratch import free_shuffles, prepare, stash
+from parcelspark.scratch import prepare, stash
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 BITS = 128
@@ -49,13 +49,13 @@ def fingerprints(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         keep = pair | (counts[r] == 1)
         nxt = np.minimum(np.arange(len(h)) + 1, len(h) - 1)
         term = np.where(pair, K.mix(h) * K.U(0x9E3779B97F4A7C15) + h[nxt], h)[keep]
-        weight = np.where(pair, size + size[nxt], size)[keep].astype(np.float32)
+        weight = np.where(pair, size + size[nxt], size)[keep].astype(np.float64)
         r = r[keep]
         votes = np.zeros((j - i, BITS), np.float64)
         for a in range(0, len(term), 32768):
             t, w, rr = term[a : a + 32768], weight[a : a + 32768], r[a : a + 32768]
             both = np.stack([K.mix(t), K.mix(t ^ K.U(0xA5A5A5A55A5A5A5A))], 1)
-            signs = np.unpackbits(both.view(np.uint8).reshape(len(t), 16), axis=1).astype(np.float32)
+            signs = np.unpackbits(both.view(np.uint8).reshape(len(t), 16), axis=1).astype(np.float64)
             signs -= 0.5
             signs *= w[:, None]
             starts = np.flatnonzero(np.concatenate([[True], rr[1:] != rr[:-1]]))
@@ -166,7 +166,6 @@ def with_neighbours(rows: DataFrame, radius: int = RADIUS, every: int = 50) -> D
     Equal fingerprints are one row with a count, so a group of copies costs one row per task.
     """
     rows = stash(rows, "fingerprints")
-    free_shuffles(rows.sparkSession)
     near = near_counts(rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.col("doc_id") % every == 0), F.lit(False)).alias("asked")), radius)
     # one fingerprint may hold a third of all rows; narrow rows, split by adaptive execution
     out = rows.join(near.select("fingerprint", (F.col("near") - 1).alias("n_near")), "fingerprint", "left")
@@ -183,7 +182,7 @@ def near_counts(table: DataFrame, radius: int = RADIUS, blocks: int = 6, lead: i
     share reaches; there the rest of its block is probed at the distance that is left. A
     pair counts in the first block that holds it. No pair becomes a row.
     """
-    prepare(table.sparkSession, 10_000)
+    prepare(table.sparkSession)
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
     shares = [(radius + 1 + i) // blocks - 1 for i in range(blocks)]
     cut = [(a // 64, K.U(64 - (b - a // 64 * 64)), K.U((1 << (b - a)) - 1), b - a - lead) for a, b in zip(edges, edges[1:], strict=False)]

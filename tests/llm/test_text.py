@@ -4,12 +4,11 @@ import struct
 import zlib
 from collections import defaultdict
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from parcelspark.llm import langid, lm_scores, packing, simhash, token_counts, toxicity
+from parcelspark.llm import langid, packing, simhash, token_counts, toxicity
 from parcelspark.llm import textkit as K
 from parcelspark.llm.tokens import encoder
 
@@ -168,20 +167,6 @@ def test_language_of_held_out_documents(spark, cases, empty):
     assert langid.language_predictions(empty).count() == 0
 
 
-def test_lm_scores_equal_sql(spark, cases, empty):
-    rnd = random.Random(9)
-    rows = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(12)))) for i in range(60)] + [(70, None), (71, " \t")]
-    got = {r.doc_id: (r.n_words, r.log_score) for r in lm_scores.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block_bytes=100).collect()}
-    con = duckdb.connect()
-    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
-    want = {r[0]: (r[1], r[2]) for r in con.execute(lm_scores.SQL).fetchall()}
-    assert set(got) == set(want)
-    for k, (n, z) in want.items():
-        assert got[k][0] == n and (got[k][1] == pytest.approx(z, abs=1e-4) if n else got[k][1] is None)
-    assert lm_scores.lm_scores(cases).count() == 14
-    assert lm_scores.lm_scores(empty).count() == 0
-
-
 def test_simhash_edited_texts(spark, cases, empty):
     rnd = random.Random(4)
     rows = [(3 * i, text(rnd, rnd.randrange(50))) for i in range(97)]
