@@ -7,9 +7,7 @@ executor costs a re-read, never a recomputation of everything before it.
 from __future__ import annotations
 
 import atexit
-import gc
 import os
-import time
 import uuid
 from pathlib import Path
 
@@ -80,14 +78,6 @@ def drop(*tables: DataFrame) -> None:
             _WRITTEN.pop(path, None)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
-    for _ in range(2):  # the cleaner runs behind the collector
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
