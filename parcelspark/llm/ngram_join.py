@@ -1,22 +1,26 @@
 """Near-duplicate join: Jaccard similarity of word 5-gram sets by MinHash banding.
 
 1. Every document gets a key of its word sequence and its band hashes. Equal word
-   sequences collapse to the smallest identifier, so copies cost one row per task.
+   sequences collapse to the smallest key, so copies cost one row per task.
 2. Bands and rows are the widest bands that reach the target recall at the
    threshold. Representatives are shuffled on band hashes; the first of a bucket
-   is linked to the others (a star, not all pairs), and components of these stars
-   hold every candidate pair.
-3. Components are verified on the full n-gram sets. A component is cut into
-   blocks of bounded size and each pair of blocks is one group, so no group grows
-   with the data. Links are counted per document and each group returns a spanning
-   forest, not its pairs.
+   is linked to the others (a star, not all pairs). Components of these stars hold
+   every candidate pair.
+3. Candidates are verified on their full sets of n-gram hashes. A component within
+   the block bounds is one group. In a larger one each band bucket is a group, so
+   that only pairs that share a bucket are compared, each in the first band that it
+   shares; a bucket whose members also share an earlier band holds no such pair and
+   is left out. A bucket beyond the block bounds is cut into blocks and each pair
+   of blocks is one group, so no group grows with the data. Links are counted per
+   document and each group returns a spanning forest, not its pairs.
 4. Classes are the components of those forests: documents joined by links.
 
 Words are runs between ASCII white space, compared as they are. Defined cases:
 null text counts as empty; texts without words are equal to each other and have
-no links; a text of one to four words has one n-gram, all of them; rows with equal
-identifiers are taken for one document in the links; an empty table gives an empty
-result. Other input columns are ignored.
+no links; a text of one to four words has one n-gram, all of them; rows with null or
+repeated identifiers take part by a key of identifier and text (see rowkeys), which
+is also their class where no plain identifier is in it; an empty table gives an
+empty result. Other input columns are ignored, and kept by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm import textkit as K
+from parcelspark.llm.rowkeys import keyed, side
 from parcelspark.operators.components import components
 from parcelspark.scratch import prepare, stash
 
@@ -86,13 +91,13 @@ def _keys(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, k1, k2 (its word sequence), bands (null without words)."""
-    prepare(docs.sparkSession)
+def sketch(own: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, key, k1, k2 (its word sequence), bands (null without words)."""
+    prepare(own.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, off = K.flat(b.column(1))
+            buf, off = K.flat(b.column(2))
             for i, j in K.groups(off, 1 << 20):
                 h, r, _ = K.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i], ~K.SPACE)
                 keys = _keys(h, r, j - i)
@@ -101,9 +106,29 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col
                 some = np.bincount(r, minlength=j - i) > 0
                 cuts = pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32))
                 lists = pa.ListArray.from_arrays(cuts, pa.array(hashes.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), pa.compute.if_else(pa.array(some), lists, pa.scalar(None, lists.type))], ["doc_id", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), pa.compute.if_else(pa.array(some), lists, pa.scalar(None, lists.type))], ["doc_id", "key", "k1", "k2", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>")
+    return own.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, k1 long, k2 long, bands array<long>")
+
+
+def gram_sets(texts: DataFrame, n: int) -> DataFrame:
+    """rep, root, grams: the sorted distinct n-gram hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, off = K.flat(b.column(2))
+            for i, j in K.groups(off, 1 << 20):
+                h, r, _ = K.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i], ~K.SPACE)
+                sh, sr = K.shingle_hashes(h, r, j - i, n)
+                o = np.lexsort((sh, sr))
+                sh, sr = sh[o], sr[o]
+                first = np.ones(len(sh), bool)
+                first[1:] = (sh[1:] != sh[:-1]) | (sr[1:] != sr[:-1])
+                sh, sr = sh[first], sr[first]
+                cuts = np.searchsorted(sr, np.arange(j - i + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.ListArray.from_arrays(cuts, sh.view(np.int64))], ["rep", "root", "grams"])
+
+    return texts.select("rep", "root", "text").mapInArrow(run, "rep long, root long, grams array<long>")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -131,8 +156,11 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links(sets: list[np.ndarray], side: np.ndarray, cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Number of links of each set, and the first set of its connected part. cross: only between sides."""
+def links(sets: list[np.ndarray], side: np.ndarray, cross: bool, threshold: float, bands: np.ndarray | None = None, band: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Number of links of each set, and the first set of its connected part.
+
+    cross: only between sides. bands: only pairs whose first common band is `band`.
+    """
     size = np.array([len(s) for s in sets], float)
     both = overlaps(sets)
     union = size[:, None] + size[None, :] - both
@@ -140,6 +168,8 @@ def links(sets: list[np.ndarray], side: np.ndarray, cross: bool, threshold: floa
     np.fill_diagonal(linked, False)
     if cross:
         linked &= side[:, None] != side[None, :]
+    for b in range(band):
+        linked &= bands[:, b, None] != bands[None, :, b]
     label = np.arange(len(sets))
     while True:
         near = np.where(linked, label[None, :], len(sets)).min(1)
@@ -150,61 +180,107 @@ def links(sets: list[np.ndarray], side: np.ndarray, cross: bool, threshold: floa
         label = new
 
 
-def verify(groups: DataFrame, n: int, threshold: float) -> DataFrame:
-    """rep, links, root of each group of (root, bi, bj); rows must come sorted by group."""
+GROUP = ["band", "group", "bi", "bj"]
 
-    def finish(key: tuple, reps: list[int], blocks: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        count, label = links(sets, np.array(blocks), key[1] != key[2], threshold)
+
+def verify(groups: DataFrame, threshold: float) -> DataFrame:
+    """rep, links, root of each group; rows must come sorted by group. Columns: GROUP, rep, block, bands, grams."""
+
+    def finish(key: tuple, reps: list[int], blocks: list[int], bands: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        known = np.array(bands) if key[0] > 0 else None
+        count, label = links(sets, np.array(blocks), key[2] != key[3], threshold, known, key[0])
         ids = np.array(reps)
         m = count > 0
         return pa.RecordBatch.from_arrays([pa.array(ids[m]), pa.array(count[m].astype(np.int64)), pa.array(ids[label[m]])], ["rep", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, reps, blocks, sets, seen = None, [], [], [], set()
+        key, reps, blocks, bands, sets, seen = None, [], [], [], [], set()
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(5)]
-            buf, off = K.flat(b.column(5))
-            for i, (root, bi, bj, rep, block) in enumerate(zip(*cols, strict=True)):
-                if (root, bi, bj) != key:
+            cols = [b.column(i).to_pylist() for i in range(7)]
+            for *now, rep, block, marks, grams in zip(*cols, b.column(7), strict=True):
+                if tuple(now) != key:
                     if len(reps) > 1:
-                        yield finish(key, reps, blocks, sets)
-                    key, reps, blocks, sets, seen = (root, bi, bj), [], [], [], set()
-                if rep in seen:
+                        yield finish(key, reps, blocks, bands, sets)
+                    key, reps, blocks, bands, sets, seen = tuple(now), [], [], [], [], set()
+                if rep in seen:  # a repeated row: equal identifier and text
                     continue
                 seen.add(rep)
-                h, r, _ = K.word_hashes(buf[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]), ~K.SPACE)
                 reps.append(rep)
                 blocks.append(block)
-                sets.append(np.unique(K.shingle_hashes(h, r, 1, n)[0]))
+                bands.append(marks)
+                sets.append(grams.values.to_numpy().view(K.U))
         if len(reps) > 1:
-            yield finish(key, reps, blocks, sets)
+            yield finish(key, reps, blocks, bands, sets)
 
-    return groups.mapInArrow(run, "rep long, links long, root long")
+    return groups.select(*GROUP, "rep", "block", "bands", "grams").mapInArrow(run, "rep long, links long, root long")
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 512, block_chars: int = 8 << 20) -> DataFrame:
-    """doc_id, class_id (documents joined by links or equality), n_links (to different texts), rep_id (equal texts)."""
-    spark = docs.sparkSession
+def _groups(sets: DataFrame, reps: DataFrame, buckets: DataFrame, bands: int, block_docs: int, block_grams: int) -> DataFrame:
+    """The rows of each group that is verified: GROUP, rep, block, bands, grams."""
+    spark = sets.sparkSession
+    size = F.size("grams").cast("long")
+    roots = stash(sets.groupBy("root").agg((F.countDistinct("rep") > block_docs).alias("many"), (F.sum(size) > block_grams).alias("wide")).where("many OR wide").select(F.col("root").alias("large")), "large")
+    one = F.lit(0)
+    if roots.isEmpty():
+        out = sets.withColumns({"band": F.lit(-1), "group": F.col("root"), "bi": one, "bj": one, "block": one, "bands": F.lit(None).cast("array<long>")})
+    else:
+        wide = side(roots)
+        out = sets.join(wide, F.expr("root = large"), "left_anti").withColumns({"band": F.lit(-1), "group": F.col("root"), "bi": one, "bj": one, "block": one, "bands": F.lit(None).cast("array<long>")})
+        inner = sets.join(wide, F.expr("root = large"), "left_semi").dropDuplicates(["rep"])
+        marked = buckets.join(inner.select("rep"), "rep", "left_semi").join(reps.select("rep", "bands"), "rep")
+        # the members of a bucket share an earlier band where its least and largest hash are the same
+        same = [(F.min(F.get("bands", F.lit(i))) == F.max(F.get("bands", F.lit(i)))).alias(f"same{i}") for i in range(bands)]
+        sized = marked.join(inner.select("rep", size.alias("grams_n")), "rep").groupBy("group", "band").agg(F.count(F.lit(1)).alias("docs"), F.sum("grams_n").alias("grams_n"), *same)
+        earlier = F.exists(F.slice(F.array(*(f"same{i}" for i in range(bands))), F.lit(1), F.col("band")), lambda x: x)
+        blocks = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("grams_n") / block_grams)).cast("int")
+        kept = stash(sized.where((F.col("docs") > 1) & ~earlier).select("group", blocks.alias("nb")), "buckets")
+        placed = marked.join(kept, "group").join(inner.select("rep", "root", "grams"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        placed = placed.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
+        out = out.select(*GROUP, "rep", "block", "bands", "grams").unionByName(placed.select(*GROUP, "rep", "block", "bands", "grams"))
+    rows = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = out.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return out.repartition(max(rows, -(-held // (8 << 20))), *GROUP).sortWithinPartitions(*GROUP)
+
+
+def classes(own: DataFrame, n: int, threshold: float, recall: float, block_docs: int, block_grams: int) -> DataFrame:
+    """doc_id, key, class_id, n_links, rep_id for rows (doc_id, key, text)."""
     bands, rows = choose_bands(threshold, recall)
-    marks = stash(sketch(docs, n, bands, rows, id_col, text_col), "sketch")
-    reps = marks.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    buckets = stash(reps.select("rep", F.explode("bands").alias("band")), "bands")
-    centre = buckets.groupBy("band").agg(F.min("rep").alias("dst"), F.max("rep").alias("top")).where("dst < top").select("band", "dst")
-    stars = buckets.join(centre, "band").where("rep <> dst").select(F.col("rep").alias("src"), "dst")
-    candidates = stash(components(stars), "candidates")
-    sized = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    # merge: whether the texts move must not depend on the number of candidates
-    texts = stash(sized.join(candidates.withColumnRenamed("node", "rep").hint("merge"), "rep"), "texts")
-    blocks = texts.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum(F.length("text")) / block_chars)).cast("int").alias("nb"))
-    placed = texts.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    paired = paired.select("root", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "block", "text")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    groups = paired.repartition(parts, "root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
-    found = stash(verify(groups, n, threshold), "links")
+    marks = stash(sketch(own, n, bands, rows), "sketch")
+    reps = stash(marks.groupBy("k1", "k2").agg(F.min("key").alias("rep"), F.min_by("bands", "key").alias("bands")), "sequences")
+    every = reps.select("rep", F.posexplode("bands").alias("band", "group"))
+    centre = every.groupBy("group").agg(F.min("rep").alias("dst"), F.max("rep").alias("top")).where("dst < top").select("group", "dst")
+    buckets = stash(every.join(centre, "group"), "buckets")
+    candidates = stash(components(buckets.where("rep <> dst").select(F.col("rep").alias("src"), "dst")), "candidates")
+    texts = own.select(F.col("key").alias("rep"), "text").join(side(candidates.withColumnRenamed("node", "rep")), "rep")
+    sets = stash(gram_sets(texts, n), "gram-sets")
+    found = stash(verify(_groups(sets, reps, buckets.drop("dst"), bands, block_docs, block_grams), threshold), "links")
     roots = components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     counted = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    named = reps.select("k1", "k2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(counted, "rep", "left")
+    linked = roots.withColumnRenamed("node", "rep").join(counted, "rep")
+    named = reps.select("k1", "k2", "rep").join(linked, "rep", "left")
     named = named.select(F.col("k1").alias("a"), F.col("k2").alias("b"), F.col("rep").alias("rep_id"), F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     # one key may hold a third of all rows; narrow rows, split by adaptive execution
-    return marks.select("doc_id", "k1", "k2").join(named, F.expr("k1 = a AND k2 = b")).select("doc_id", "class_id", "n_links", "rep_id")
+    return marks.select("doc_id", "key", "k1", "k2").join(named, F.expr("k1 = a AND k2 = b")).select("doc_id", "key", "class_id", "n_links", "rep_id")
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 512, block_grams: int = 4 << 20) -> DataFrame:
+    """doc_id, class_id (documents joined by links or equality), n_links (to different texts), rep_id (equal texts)."""
+    own = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    return classes(own, n, threshold, recall, block_docs, block_grams).drop("key")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 512, block_grams: int = 4 << 20) -> DataFrame:
+    """The rows of docs, all columns, that have the smallest key of their class; one of repeated rows."""
+    own = keyed(docs, id_col, text_col, "__class_key")
+    rows = own.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__class_key").alias("key"), F.col(text_col).alias("text"))
+    found = stash(classes(rows, n, threshold, recall, block_docs, block_grams).select("key", "class_id"), "classes")
+    gone = stash(found.where("key <> class_id").select(F.col("key").alias("__class_gone")).distinct(), "dropped")
+    kept = own.join(side(gone), F.expr("__class_key = __class_gone"), "left_anti")
+    again = stash(found.where("key = class_id").groupBy("key").count().where("count > 1").select(F.col("key").alias("__class_again")), "repeated")
+    n_again = again.count()
+    if n_again:
+        same = F.expr("__class_key = __class_again")
+        once = kept.join(side(again, n_again), same, "left_semi").dropDuplicates(["__class_key"])
+        kept = kept.join(side(again, n_again), same, "left_anti").unionByName(once)
+    return kept.select(*docs.columns)

@@ -15,10 +15,18 @@ from pyspark.sql import functions as F
 from parcelspark.scratch import drop, stash
 
 HIGH = 1 << 62
+#: Rows of a narrow table that are broadcast at most, once they are counted.
+MAX_BROADCAST = 1_000_000
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "key", max_broadcast: int = 1_000_000) -> DataFrame:
-    """docs with a column `key`; the texts move only where more than max_broadcast identifiers are repeated."""
+def side(narrow: DataFrame, rows: int | None = None) -> DataFrame:
+    """The narrow side of a join: broadcast where its count is below the bound, else as Spark plans it."""
+    n = narrow.count() if rows is None else rows
+    return F.broadcast(narrow) if n <= MAX_BROADCAST else narrow
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "key") -> DataFrame:
+    """docs with a column `key`; the texts move only where more than MAX_BROADCAST identifiers are repeated."""
     doc_id = F.col(id_col).cast("long")
     own = F.xxhash64(doc_id, F.col(text_col)).bitwiseAND(F.lit(HIGH - 1)) + F.lit(HIGH)
     odd = doc_id.isNull() | (doc_id >= HIGH) | (doc_id <= -HIGH)
@@ -28,7 +36,5 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key:
     if not n:
         drop(again)
         return docs.withColumn(key, F.when(odd, own).otherwise(doc_id))
-    # bounded: counted just now
-    side = F.broadcast(again) if n <= max_broadcast else again.hint("merge")
-    out = docs.join(side, doc_id == F.col(f"{key}_again"), "left")
+    out = docs.join(side(again, n), doc_id == F.col(f"{key}_again"), "left")
     return out.withColumn(key, F.when(odd | F.col(f"{key}_again").isNotNull(), own).otherwise(doc_id)).drop(f"{key}_again")
