@@ -14,18 +14,21 @@ first window's start to its last window's end.
    whose 32 bytes also occur in a different unit are candidates, and so are the
    first units of the groups at a bucket's two ends, whose neighbours are unknown.
 2. Windows of candidates only are partitioned and sorted in the same way, each by
-   its leading bytes, its hash and its place. A window equal to the one before it
+   its leading bytes, its hashes and its place. A window equal to the one before it
    is a repeat; the first window of a bucket is compared across the boundary with
-   the last of the bucket before.
+   the last ones of the buckets before, by a join on their hashes.
 3. Repeated windows are merged per document, and the texts cut.
 
 Every position of every text is covered: no window is sampled away. Equality is by
-the leading 8 bytes and a 64-bit hash (units: 96 hash bits).
-
-Defined cases: null text is empty; texts under 100 bytes lose nothing; rows with
-equal identifiers are one document (equal places in it are no repeats of each
-other, and what is removed is removed from each); a null identifier comes before
-all others; an empty table gives an empty result. Other input columns are ignored.
+the leading 8 bytes and 96 bits of independent hashes, so that even 10**13 windows
+with the same leading bytes hold a false pair with a chance of about 0.001.
+
+Defined cases: null text is empty; texts under 100 bytes lose nothing; rows equal in
+identifier and text are one document (equal places in it are no repeats of each
+other, and what is removed is removed from each); different texts under one
+identifier are documents of their own, in an order by a hash of the text; null
+identifiers come before all others; an empty table gives an empty result. Other
+input columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,15 +42,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm import textkit as K
+from parcelspark.llm.rowkeys import keyed, side
 from parcelspark.scratch import drop, prepare, stash
 
-#: Positions that fit into the low bits of an anchor's sort key, and windows per block.
-_POS_BITS, _BLOCK = K.U(23), 1 << 21
+#: Positions that fit into the low bits of an anchor's sort key.
+_POS_BITS = K.U(23)
 NONE = -(2**63)
-UNIT = "kind int, lead long, gram int, unit long, doc long, lo long, hi long"
-RUN = "kind int, doc long, lo long, hi long"
-WINDOW = "lead long, hash long, doc long, lo long"
-EDGE = "kind int, doc long, lo long, hi long, part int, lead long, hash long"
+#: A document is its identifier and a tag, 0 but for null and repeated identifiers.
+UNIT = "kind int, lead long, gram int, unit long, doc long, tag long, lo long, hi long"
+RUN = "kind int, doc long, tag long, lo long, hi long"
+WINDOW = "lead long, hash long, more int, doc long, tag long, lo long"
+EDGE = "kind int, doc long, tag long, lo long, hi long, part int, lead long, hash long, more int"
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -111,15 +116,15 @@ def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def _blocks(buf: np.ndarray, off: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+def _blocks(buf: np.ndarray, off: np.ndarray, width: int, block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """First row, bytes, offsets and first position: whole rows together, or blocks of one long row that overlap by a window."""
-    for i, j in K.groups(off, _BLOCK):
+    for i, j in K.groups(off, block):
         n = int(off[j] - off[i])
-        if n <= _BLOCK:
+        if n <= block:
             yield i, buf[off[i] : off[j]], off[i : j + 1] - off[i], 0
         else:
-            for s in range(0, n - width + 1, _BLOCK):
-                part = buf[off[i] + s : off[i] + min(s + _BLOCK + width - 1, n)]
+            for s in range(0, n - width + 1, block):
+                part = buf[off[i] + s : off[i] + min(s + block + width - 1, n)]
                 yield i, part, np.array([0, len(part)]), s
 
 
@@ -130,11 +135,11 @@ def _merge(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return row[at], lo[at], np.maximum.reduceat(hi, at) if len(at) else hi
 
 
-def _map_units(width: int, gram: int):
+def _map_units(width: int, gram: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc = b.column(0).to_numpy(zero_copy_only=False)
-            for i, part, cut, base in _blocks(*K.flat(b.column(1)), width):
+            doc, tag = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i, part, cut, base in _blocks(*K.flat(b.column(2)), width, block):
                 r, lo, hi, lead, g, whole = units(part, cut, width, gram)
                 if not len(r):
                     continue
@@ -146,11 +151,11 @@ def _map_units(width: int, gram: int):
                     same &= k[o][1:] == k[o][:-1]
                 again[o[1:][same]] = True
                 k = ~again
-                yield _batch(UNIT, np.zeros(k.sum(), np.int32), lead[k], g[k], whole[k], doc[i + r[k]], lo[k] + base, hi[k] + base)
+                yield _batch(UNIT, np.zeros(k.sum(), np.int32), lead[k], g[k], whole[k], doc[i + r[k]], tag[i + r[k]], lo[k] + base, hi[k] + base)
                 if again.any():
                     rr, a, z = _merge(r[again], lo[again], hi[again])
                     n = np.zeros(len(rr), np.int64)
-                    yield _batch(UNIT, n.astype(np.int32) + 1, n, n.astype(np.int32), n, doc[i + rr], a + base, z + base)
+                    yield _batch(UNIT, n.astype(np.int32) + 1, n, n.astype(np.int32), n, doc[i + rr], tag[i + rr], a + base, z + base)
 
     return run
 
@@ -167,30 +172,32 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
     return [c.to_numpy() for c in t.columns]
 
 
-def _repeats(keys: list[np.ndarray], doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _repeats(keys: list[np.ndarray], place: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """In sorted order: where a new key begins, and which rows repeat an earlier place."""
-    new = np.ones(len(doc), bool)
+    new = np.ones(len(keys[0]), bool)
     for i, k in enumerate(keys):
         new[1:] = (k[1:] != k[:-1]) | (new[1:] if i else False)
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return new, (doc != doc[first]) | (lo != lo[first])
+    again = np.zeros(len(new), bool)
+    for x in place:
+        again |= x != x[first]
+    return new, again
 
 
 def _sort_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cols = _bucket(batches)
     if cols is None:
         return
-    lead, gram, unit, doc, lo, hi = cols
-    o = multikey_order([lead, gram, unit, doc, lo])
-    lead, gram, unit, doc, lo, hi = (c[o] for c in (lead, gram, unit, doc, lo, hi))
-    new, again = _repeats([lead, gram, unit], doc, lo)
+    o = multikey_order(cols[:6])
+    lead, gram, unit, doc, tag, lo, hi = (c[o] for c in cols)
+    new, again = _repeats([lead, gram, unit], [doc, tag, lo])
     group = np.cumsum(np.concatenate([[True], (lead[1:] != lead[:-1]) | (gram[1:] != gram[:-1])])) - 1
     several = np.bincount(group, weights=new) > 1
     several[[0, -1]] = True
     wanted = ~again & several[group]
     for kind, m in ((1, again), (2, wanted)):
         if m.any():
-            yield _batch(RUN, np.full(m.sum(), kind, np.int32), doc[m], lo[m], hi[m])
+            yield _batch(RUN, np.full(m.sum(), kind, np.int32), doc[m], tag[m], lo[m], hi[m])
 
 
 def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,28 +206,27 @@ def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     cols = _bucket(batches)
     if cols is None:
         return
-    lead, hashes, doc, lo = cols
-    o = multikey_order([lead, hashes, doc, lo])
-    lead, hashes, doc, lo = (c[o] for c in (lead, hashes, doc, lo))
-    _, again = _repeats([lead, hashes], doc, lo)
+    o = multikey_order(cols)
+    keys, (doc, tag, lo) = [c[o] for c in cols[:3]], (c[o] for c in cols[3:])
+    _, again = _repeats(keys, [doc, tag, lo])
     at = np.flatnonzero(again)
-    at = at[np.lexsort((lo[at], doc[at]))]
-    d, a, z = _merge(doc[at], lo[at], lo[at])
-    kind, n = np.ones(len(d), np.int32), np.zeros(len(d), np.int64)
-    part = TaskContext.get().partitionId()
-    yield _batch(EDGE, kind, d, a, z, n.astype(np.int32), n, n)
-    # the rows of the first key may repeat the last key of the bucket before
-    first = np.flatnonzero((lead == lead[0]) & (hashes == hashes[0]) & (doc == doc[0]) & (lo == lo[0]))[-1:]
-    ends = np.concatenate([first, [len(doc) - 1]])
-    yield _batch(EDGE, np.array([3, 4], np.int32), doc[ends], lo[ends], lo[ends], np.full(2, part, np.int32), lead[ends], hashes[ends])
-
-
-def _map_windows(width: int):
+    at = at[np.lexsort((lo[at], tag[at], doc[at]))]
+    row = np.cumsum(np.concatenate([[False], (doc[at][1:] != doc[at][:-1]) | (tag[at][1:] != tag[at][:-1])])) if len(at) else at
+    r, a, z = _merge(row, lo[at], lo[at])
+    start = at[np.searchsorted(row, r)]
+    n, part = np.zeros(len(r), np.int64), TaskContext.get().partitionId()
+    yield _batch(EDGE, np.ones(len(r), np.int32), doc[start], tag[start], a, z, n.astype(np.int32), n, n, n.astype(np.int32))
+    # the rows of the first key may repeat a key at the end of a bucket before
+    ends = np.array([0, len(doc) - 1])
+    yield _batch(EDGE, np.array([3, 4], np.int32), doc[ends], tag[ends], lo[ends], lo[ends], np.full(2, part, np.int32), *(k[ends] for k in keys))
+
+
+def _map_windows(width: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc = b.column(0).to_numpy()
-            buf, off = K.flat(b.column(1))
-            spans = b.column(2)
+            doc, tag = b.column(0).to_numpy(), b.column(1).to_numpy()
+            buf, off = K.flat(b.column(2))
+            spans = b.column(3)
             at = np.frombuffer(spans.buffers()[1], np.int32)[spans.offset : spans.offset + len(spans) + 1]
             values = spans.values
             lo_all, hi_all = values.field(0).to_numpy(), values.field(1).to_numpy()
@@ -232,11 +238,12 @@ def _map_windows(width: int):
                 lo, hi = lo[lo <= hi], hi[lo <= hi]
                 _, lo, hi = _merge(np.zeros(len(lo), np.int64), lo, hi)
                 for s, e in zip(lo, hi, strict=True):
-                    for a in range(int(s), int(e) + 1, _BLOCK):
-                        z = min(a + _BLOCK, int(e) + 1)
+                    for a in range(int(s), int(e) + 1, block):
+                        z = min(a + block, int(e) + 1)
                         part = text[a : z + width - 1]
                         p = np.arange(z - a)
-                        yield _batch(WINDOW, leading(part, p), K.RangeHash(part)(p, p + width).view(np.int64), np.full(z - a, doc[i]), p + a)
+                        more = (K.RangeHash(part, 1)(p, p + width) >> K.U(32)).astype(np.uint32).view(np.int32)
+                        yield _batch(WINDOW, leading(part, p), K.RangeHash(part)(p, p + width).view(np.int64), more, np.full(z - a, doc[i]), np.full(z - a, tag[i]), p + a)
 
     return run
 
@@ -273,45 +280,43 @@ def _map_cut(width: int):
     return run
 
 
-def repeated_windows(rows: DataFrame, width: int, gram: int, bucket_rows: int) -> list[DataFrame]:
-    """Tables of (doc, lo, hi): ranges of window starts that also start earlier. rows: doc, text."""
+def repeated_windows(rows: DataFrame, width: int, gram: int, bucket_rows: int, block: int) -> DataFrame:
+    """(doc, tag, lo, hi): ranges of window starts that also start earlier. rows: doc, tag, text."""
     spark = rows.sparkSession
     parts = lambda t: max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-t.count() // bucket_rows))
-    found = stash(rows.mapInArrow(_map_units(width, gram), UNIT), "suffix-units")
+    found = stash(rows.mapInArrow(_map_units(width, gram, block), UNIT), "suffix-units")
     heads = found.where("kind = 0").drop("kind")
-    ranged = heads.repartitionByRange(parts(heads), "lead", "gram", "unit", "doc", "lo")
+    ranged = heads.repartitionByRange(parts(heads), "lead", "gram", "unit", "doc", "tag", "lo")
     inner = found.where("kind = 1").select(*[x.split()[0] for x in RUN.split(", ")])
     runs = stash(ranged.mapInArrow(_sort_units, RUN).unionByName(inner), "suffix-runs")
     drop(found)
-    wanted = runs.where("kind = 2").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    # merge: whether the texts move must not depend on the number of candidates
-    windows = stash(rows.join(wanted.hint("merge"), "doc").select("doc", "text", "spans").mapInArrow(_map_windows(width), WINDOW), "suffix-windows")
-    ranged = windows.repartitionByRange(parts(windows), "lead", "hash", "doc", "lo")
+    wanted = _per_document(runs.where("kind = 2"))
+    windows = stash(rows.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "spans").mapInArrow(_map_windows(width, block), WINDOW), "suffix-windows")
+    ranged = windows.repartitionByRange(parts(windows), "lead", "hash", "more", "doc", "tag", "lo")
     edges = stash(ranged.mapInArrow(_sort_windows, EDGE), "suffix-edges")
     drop(windows)
-    # two rows per bucket: compare the first of each with the last of the one before
-    ends = edges.where("kind > 1").select("part", "kind", "doc", "lo", "lead", "hash").orderBy("part", "kind").collect()
-    across, last = [], None
-    for r in ends:
-        if r["kind"] == 3 and last is not None and (last["lead"], last["hash"]) == (r["lead"], r["hash"]) and (last["doc"], last["lo"]) != (r["doc"], r["lo"]):
-            across.append((r["doc"], r["lo"], r["lo"]))
-        if r["kind"] == 4:
-            last = r
-    span = ["doc", "lo", "hi"]
-    return [runs.where("kind = 1").select(span), edges.where("kind = 1").select(span), spark.createDataFrame(across, "doc long, lo long, hi long")]
-
-
-def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = 32, bucket_rows: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every whole text."""
+    # one row per bucket and end: a bucket's first window repeats an equal one at the end of a bucket before
+    key, place = ["lead", "hash", "more"], ["doc", "tag", "lo"]
+    last = edges.where("kind = 4").groupBy(*key).agg(F.min(F.struct("part", *place)).alias("before"))
+    first = edges.where("kind = 3").join(last, key).where("before.part < part AND (before.doc, before.tag, before.lo) <> (doc, tag, lo)")
+    span = ["doc", "tag", "lo", "hi"]
+    return runs.where("kind = 1").select(span).unionByName(edges.where("kind = 1").select(span)).unionByName(first.select(span))
+
+
+def _per_document(spans: DataFrame) -> DataFrame:
+    """doc, tag, spans; broadcast where they are few, by their count."""
+    return side(spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), 8 * spans.count())
+
+
+def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = 32, bucket_rows: int = 600_000, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 21) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every whole text. block: bytes of a long text at a time."""
     if not 8 <= gram <= width:
         raise ValueError("gram must hold the 8 leading bytes and fit into the width")
     prepare(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    first, *more = repeated_windows(rows, width, gram, bucket_rows)
-    spans = first
-    for t in more:
-        spans = spans.unionByName(t)
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    own = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    doc = F.coalesce("doc_id", F.lit(NONE))
+    rows = own.select(doc.alias("doc"), F.when(F.col("key") == doc, F.lit(0)).otherwise(F.col("key")).cast("long").alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
+    spans = stash(repeated_windows(rows, width, gram, bucket_rows, block), "suffix-spans")
     kind = "array<struct<lo:long,hi:long>>"
-    out = rows.join(spans.hint("merge"), "doc", "left").select(F.when(F.col("doc") != F.lit(NONE), F.col("doc")).alias("doc_id"), "text", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
+    out = rows.join(_per_document(spans), ["doc", "tag"], "left").select(F.when(F.col("doc") != F.lit(NONE), F.col("doc")).alias("doc_id"), "text", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
     return out.mapInArrow(_map_cut(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

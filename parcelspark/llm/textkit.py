@@ -13,9 +13,10 @@ import pyarrow as pa
 
 U = np.uint64
 _RNG = np.random.default_rng(20240607)
-_TABLE = _RNG.integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
+#: Two independent families: a table of byte values and a base each.
+_TABLES = _RNG.integers(1, 2**63, (2, 256), dtype=U) * U(2) + U(1)
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: ASCII white space, as in [\x20\x09-\x0D]
 SPACE = np.zeros(256, bool)
@@ -58,22 +59,26 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
+def _powers(n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the family's base and of its inverse."""
+    if family not in _POWERS or len(_POWERS[family][0]) < n:
+        both = []
+        for base in (_BASES[family], pow(_BASES[family], -1, 2**64)):
             p = np.full(n, base, U)
             p[0] = 1
-            _POWERS[name] = np.cumprod(p, dtype=U)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            both.append(np.cumprod(p, dtype=U))
+        _POWERS[family] = (both[0], both[1])
+    up, down = _POWERS[family]
+    return up[:n], down[:n]
 
 
 class RangeHash:
-    """64-bit hashes of any byte ranges of a buffer."""
+    """64-bit hashes of any byte ranges of a buffer, by one of two independent families."""
 
-    def __init__(self, buf: np.ndarray):
-        up, self._down = _powers(len(buf) + 1)
+    def __init__(self, buf: np.ndarray, family: int = 0):
+        up, self._down = _powers(len(buf) + 1, family)
         self._sum = np.zeros(len(buf) + 1, U)
-        np.cumsum(_TABLE[buf] * up[:-1], dtype=U, out=self._sum[1:])
+        np.cumsum(_TABLES[family][buf] * up[:-1], dtype=U, out=self._sum[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self._sum[end] - self._sum[start]) * self._down[start])

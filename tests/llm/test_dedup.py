@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parcelspark.llm import exact_dedup, ngram_join, suffix_dedup
 
@@ -65,14 +66,14 @@ def cut(rows, width):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_suffix_dedup_equals_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(1, 1 << 21), (2, 1 << 21), (3, 50)])
+def test_suffix_dedup_equals_brute_force(spark, seed, block):
     rnd = random.Random(seed)
     text = lambda n, a="ab cé": "".join(rnd.choice(a) for _ in range(n))
     parts = [text(rnd.randrange(5, 60)) for _ in range(12)]
     rows = [(i, "".join(rnd.choice(parts) if rnd.random() < 0.4 else text(rnd.randrange(1, 40), "abcdefgh ") for _ in range(rnd.randrange(0, 9)))) for i in range(80)]
     rows += [(100, "z" * 300), (101, "zy" * 200), (102, None), (103, "z" * 19), (104, "z" * 20)]
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(frame(spark, rows), width=20, gram=9, bucket_rows=40).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(frame(spark, rows), width=20, gram=9, bucket_rows=40, block=block).collect()}
     assert got == cut(rows, 20)
 
 
@@ -83,6 +84,25 @@ def test_suffix_dedup_cases(cases, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_dedup_keeps_unlike_texts_of_one_identifier(spark):
+    a, b, c = ("".join(random.Random(k).choices("abcdefgh", k=400)) for k in range(3))
+    rows = [(1, a), (7, a), (7, b), (7, b), (None, c), (None, b[:150]), (9, c)]
+    got = sorted((r.n_bytes, r.n_removed, repr(r.doc_id)) for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect())
+    assert got == sorted([(400, 0, "1"), (400, 400, "7"), (400, 150, "7"), (400, 150, "7"), (400, 0, "None"), (150, 0, "None"), (400, 400, "9")])
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    """Texts beyond one block: a passage across the border of blocks, and a copy far inside another text."""
+    rnd = np.random.default_rng(5)
+    letters = lambda n: rnd.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    x, y = letters(5_000_000), letters(300)
+    x = x[: (1 << 21) - 150] + y + x[(1 << 21) + 150 :]
+    z = letters(2_500_000) + x[3_000_000:3_000_500] + y + letters(10)
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(frame(spark, [(1, x), (2, z)])).collect()}
+    assert got[1].n_removed == 0 and (got[2].n_removed, got[2].n_spans) == (800, 1)
+    assert got[2].kept_sha256 == hashlib.sha256((z[:2_500_000] + z[-10:]).encode()).hexdigest()
+
+
 def test_multikey_order():
     rng = np.random.default_rng(0)
     keys = [rng.integers(0, 4, 500) for _ in range(4)]
@@ -114,9 +134,9 @@ def brute_links(rows, n=5, threshold=0.8):
     return {i: (label[rep[w]], len(near[rep[w]]), rep[w]) for i, w in words.items()}
 
 
-@pytest.mark.parametrize("block_docs", [512, 7])
-def test_ngram_join_equals_brute_force(spark, block_docs):
-    """A group of near copies in which not all are linked to all, in one block and in many."""
+@pytest.mark.parametrize(("block_docs", "block_grams"), [(512, 1 << 20), (30, 1 << 20), (7, 1 << 20), (512, 3000)])
+def test_ngram_join_equals_brute_force(spark, block_docs, block_grams):
+    """A group of near copies in which not all are linked to all, in one group, by band buckets, and by pairs of blocks."""
     rnd = random.Random(3)
     base = [str(rnd.randrange(10**6)) for _ in range(120)]
     rows = []
@@ -128,7 +148,7 @@ def test_ngram_join_equals_brute_force(spark, block_docs):
     rows += [(100 + i, rows[i][1]) for i in range(10)]
     rows += [(200 + i, " ".join(str(rnd.randrange(10**6)) for _ in range(rnd.randrange(0, 30)))) for i in range(40)]
     rows += [(300, "one two"), (301, "one  two"), (302, None), (303, "")]
-    got = {r.doc_id: (r.class_id, r.n_links, r.rep_id) for r in ngram_join.jaccard_join(frame(spark, rows), block_docs=block_docs).collect()}
+    got = {r.doc_id: (r.class_id, r.n_links, r.rep_id) for r in ngram_join.jaccard_join(frame(spark, rows), block_docs=block_docs, block_grams=block_grams).collect()}
     assert got == brute_links(rows)
     assert max(Counter(c for c, _, _ in got.values()).values()) > 40
 
@@ -140,6 +160,24 @@ def test_ngram_join_cases(cases, empty):
     assert ngram_join.jaccard_join(empty).count() == 0
 
 
+def test_ngram_join_of_repeated_and_null_identifiers(spark):
+    """No text is skipped because another has its identifier, and none gets another's class."""
+    words = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    a, c = words(1), words(2)
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(1, c), (7, a), (7, c + " tail"), (8, near), (None, near + " more"), (9, a), (9, a), (2**62, words(3)), (None, words(4)), (None, words(4))]
+    got = ngram_join.jaccard_join(frame(spark, rows)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.class_id, []).append((r.doc_id, r.n_links))
+    assert sorted(by[1]) == [(1, 1), (7, 1)]
+    assert sorted(by[8], key=repr) == sorted([(7, 2), (8, 2), (9, 2), (9, 2), (None, 2)], key=repr)
+    assert sorted(len(v) for v in by.values()) == [1, 2, 2, 5]
+    one = ngram_join.one_of_each(frame(spark, rows).withColumn("rep", F.lit("x")))
+    assert one.columns == ["doc_id", "text", "rep"]
+    assert sorted(((r.doc_id, r.text) for r in one.collect()), key=repr) == sorted([(1, c), (8, near), (2**62, words(3)), (None, words(4))], key=repr)
+
+
 def test_bands_reach_the_recall():
     for t in (0.5, 0.8, 0.9):
         bands, rows = ngram_join.choose_bands(t, 0.999, 400)
