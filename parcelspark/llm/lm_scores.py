@@ -19,7 +19,7 @@ document is a sum over its n-grams: + log c of each one that ends a word's conte
 
 Both sides are made and joined in `slices` passes over parts of the hash range. Each
 pass reads the texts again, and its shuffle files are gone before the next, which
-divides the disk needed by the number of passes.
+divides the disk needed, and the table that a task holds, by the number of passes.
 
 `score_against` scores other texts with the count tables of a corpus, by joins at
 each order in turn; there n-grams are missing and the model backs off. Words in no
@@ -58,6 +58,11 @@ def grams(words: np.ndarray, row: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    """Which of equal parts of the hash range each hash lies in."""
+    return ((h >> K.U(32)) * K.U(parts)) >> K.U(32)
+
+
 def _positions(row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Place of each word in its document, and the number of words there."""
     size = np.bincount(row, minlength=n_rows)
@@ -90,7 +95,7 @@ def count_rows(rows: DataFrame, orders: range, part: int = 0, parts: int = 1, id
                 for k, g in enumerate(grams(h, r, max(orders)), 1):
                     if k in orders:
                         g = g[pos >= k - 1]
-                        some.append(g[(g >> K.U(20)) % K.U(parts) == part])
+                        some.append(g[_part(g, parts) == part])
             h, n = np.unique(np.concatenate(some), return_counts=True) if some else (np.zeros(0, K.U), np.zeros(0, np.int64))
             yield _batch("hash n", h.view(np.int64), n)
 
@@ -103,9 +108,9 @@ def count_table(rows: DataFrame, orders: range, part: int = 0, parts: int = 1, i
 
 
 def signed_rows(rows: DataFrame, order: int, part: int, parts: int) -> DataFrame:
-    """(hash, key, sign, words, first): a row for each n-gram that a document's score takes the log count of.
+    """(hash, key, code): a row for each n-gram that a document's score takes the log count of.
 
-    words and first are the document's number of words and 1 on one row of the document, and 0 on the others.
+    code is -1 for a context and 1 for an n-gram, but 2 + the document's number of words on one n-gram of each document.
     """
     prepare(rows.sparkSession)
 
@@ -116,22 +121,22 @@ def signed_rows(rows: DataFrame, order: int, part: int, parts: int) -> DataFrame
                 # the order-grams, or all words of a text that has fewer; contexts but those of the first words
                 plus = pos >= order - 1 if k == order else (size == k) & (pos == k - 1)
                 minus = (pos >= k) & (pos < size - 1) if k == order - 1 else np.zeros(len(g), bool)
-                first = plus & (pos == np.minimum(size, order) - 1)
-                at = np.flatnonzero((plus | minus) & ((g >> K.U(20)) % K.U(parts) == part))
-                one = first[at]
-                yield _batch("hash key sign words first", g[at].view(np.int64), key[r[at]], np.where(plus[at], 1, -1).astype(np.int8), np.where(one, size[at], 0).astype(np.int32), one.astype(np.int8))
+                at = np.flatnonzero((plus | minus) & (_part(g, parts) == part))
+                code = np.where(plus[at], np.where(pos[at] == np.minimum(size[at], order) - 1, 2 + size[at], 1), -1)
+                yield _batch("hash key code", g[at].view(np.int64), key[r[at]], code.astype(np.int32))
 
-    return rows.select("key", "text").mapInArrow(run, "hash long, key long, sign byte, words int, first byte")
+    return rows.select("key", "text").mapInArrow(run, "hash long, key long, code int")
 
 
-def lm_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", slices: int = 6) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", slices: int = 3) -> DataFrame:
     """doc_id, n_words, log_score and its mean per word for every whole text of a corpus."""
     rows = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     used = range(1, order + 1)  # lower orders than order - 1 count for texts of so few words
-    sums = None
+    code, sums = F.col("code"), None
     for part in range(slices):
-        joined = signed_rows(rows, order, part, slices).join(count_table(rows, used, part, slices), "hash")
-        own = stash(joined.groupBy("key").agg(F.sum(F.col("sign") * F.log("n")).alias("z"), F.sum("words").alias("words"), F.sum("first").alias("copies")), "lm-sums")
+        # the table is the hashed side: a row per distinct n-gram of this part, over all partitions of the exchange
+        joined = signed_rows(rows, order, part, slices).join(count_table(rows, used, part, slices).hint("shuffle_hash"), "hash")
+        own = stash(joined.groupBy("key").agg(F.sum(F.when(code < 0, -F.log("n")).otherwise(F.log("n"))).alias("z"), F.sum(F.greatest(code - 2, F.lit(0))).alias("words"), F.count_if(code >= 2).alias("copies")), "lm-sums")
         sums = own if sums is None else sums.unionByName(own)
     summed = stash(sums.groupBy("key").agg(F.sum("z").alias("z"), F.sum("words").alias("words"), F.sum("copies").alias("copies")), "lm-documents")
     total = summed.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
