@@ -1,94 +1,165 @@
 """Exact deduplication with a log-structured merge index (DataFrame operations only).
 
-Level 0 holds one sorted digest run per task, written as that task's memtable is
-flushed, with Parquet Bloom filters on the digest so that point lookups skip
-runs. Compaction merges all runs into level 1: one row per digest with the
-smallest identifier and the number of rows. Rows whose digest occurs more than
-once are hits, and every hit is verified on its bytes: the hits' texts are
-grouped by (digest, text), which compares whole texts and pre-aggregates before
-the shuffle, so a group of copies that holds a third of all rows costs one row
-per task. Digests with two different texts get classes of their own.
+One scan of the texts writes the log: (identifier, digest) of every row. Memtables of
+the log are aggregated by digest and flushed as sorted runs (digest, smallest
+identifier, number of rows) into level 0, each with a filter: a bitmap over hashes of
+its digests, made and probed with Spark's bitmap functions. When a level holds
+`fanout` runs, they are compacted into one run of the next level, which keeps the
+smallest identifier. What is asked of the index first meets the filters, and only
+rows that pass are joined with a run by digest: rows of the log probe the filter of
+the digests with several rows, so documents without a copy are never exchanged.
+Every hit is verified on its bytes: the hits' texts are grouped by (digest, text),
+which compares whole texts and pre-aggregates before the shuffle, so a group of
+copies that holds a third of all rows costs one row per task. Digests with two
+different texts get classes of their own.
 
 Defined cases: null text counts as empty; rows equal in doc_id and text are one
-document (group_size still counts them); a null doc_id never wins against an
+document and one row of the result, while group_size counts each; a null doc_id never wins against an
 identifier; an empty table gives an empty result. Other input columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelspark.llm.rowkeys import side
 from parcelspark.scratch import drop, stash
 
 #: Runs of these characters count as one space.
 BLANKS = r"[\x20\x09-\x0D]+"
+#: Bits of a filter per digest, bits of one row of Spark's bitmap functions, and rows of a filter that are broadcast at most (4 KB each).
+FILTER_BITS, BITMAP_BITS, FILTER_ROWS = 16, 32768, 4096
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), BLANKS, " ")
 
 
+class Filter:
+    """Bitmaps over hashes of digests: a digest that does not pass is not in the table."""
+
+    def __init__(self, digests: DataFrame, count: int):
+        self.buckets = max(1, -(-count * FILTER_BITS // BITMAP_BITS))
+        place = self._place(F.col("digest"))
+        self.bits = stash(digests.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")), "digest-filter")
+
+    def _place(self, digest: Column) -> Column:
+        return F.pmod(F.xxhash64(digest), F.lit(self.buckets * BITMAP_BITS)) + 1
+
+    def passing(self, rows: DataFrame) -> DataFrame:
+        """rows (with a column digest) and `passes`. A filter beyond FILTER_ROWS lets all rows pass: its join would move as much as that by digest."""
+        if self.buckets > FILTER_ROWS:
+            return rows.withColumn("passes", F.lit(True))
+        place = self._place(F.col("digest"))
+        bit = F.bitmap_bit_position(place)
+        byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        # bounded: at most FILTER_ROWS rows of 4 KB
+        met = rows.join(F.broadcast(self.bits), F.bitmap_bucket_number(place) == F.col("bucket"), "left")
+        return met.select(*rows.columns, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)).alias("passes"))
+
+
 class DigestIndex:
-    """Level-0 runs of (digest, doc_id) and the compacted level 1."""
-
-    def __init__(self, digest_bytes: int = 32):
-        self.digest_bytes = digest_bytes
-        self.runs: list[DataFrame] = []
-        self.level1: DataFrame | None = None
-
-    def digest(self, text: Column) -> Column:
-        """sha256 of the normalised text; tests shorten it to force collisions."""
-        return F.substring(F.unhex(F.sha2(normalised(text), 256)), 1, self.digest_bytes)
-
-    def flush(self, docs: DataFrame, id_col: str, text_col: str) -> None:
-        """Adds a batch: each task sorts its memtable by digest and writes it as one run with a filter."""
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), self.digest(F.col(text_col)).alias("digest"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("sha"))
-        rows = rows.sortWithinPartitions("digest", "doc_id")
-        self.runs.append(stash(rows, "digest-run", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}))
-
-    def level0(self) -> DataFrame:
-        out = self.runs[0]
-        for run in self.runs[1:]:
-            out = out.unionByName(run)
+    """Levels of sorted runs (digest, keep_id, group_size) with their filters."""
+
+    def __init__(self, digest_bytes: int = 32, fanout: int = 2):
+        self.digest_bytes, self.fanout = digest_bytes, fanout
+        self.levels: list[list[tuple[DataFrame, Filter]]] = []
+        self.texts: list[DataFrame] = []
+
+    def digest(self, sha: Column) -> Column:
+        """The leading bytes of sha256; tests shorten it to force collisions."""
+        return F.substring(sha, 1, self.digest_bytes)
+
+    def log(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """doc_id, sha, digest of every row, from one scan of the texts."""
+        sha = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
+        rows = stash(docs.select(F.col(id_col).cast("long").alias("doc_id"), sha.alias("sha")), "digest-log")
+        return rows.withColumn("digest", self.digest(F.col("sha")))
+
+    def _run(self, merged: DataFrame) -> tuple[DataFrame, Filter]:
+        run = stash(merged.sortWithinPartitions("digest"), "digest-run")
+        return run, Filter(run.select("digest"), run.count())
+
+    def _merge(self, runs: list[tuple[DataFrame, Filter]]) -> tuple[DataFrame, Filter]:
+        rows = reduce(DataFrame.unionByName, (r for r, _ in runs))
+        out = self._run(rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
+        for r, f in runs:
+            drop(r, f.bits)
         return out
 
-    def compact(self) -> DataFrame:
-        """Merges all runs; the smallest identifier of each digest stays."""
-        merged = self.level0().groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        self.level1 = stash(merged.sortWithinPartitions("digest"), "digest-level1")
-        return self.level1
-
-    def lookup(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """The indexed identifier, if any, of each text of another table (equal digests)."""
-        level1 = self.level1 if self.level1 is not None else self.compact()
-        probe = docs.select(F.col(id_col).alias("doc_id"), self.digest(F.col(text_col)).alias("digest"))
-        return probe.join(level1, "digest", "left").select("doc_id", "keep_id")
+    def flush(self, memtable: DataFrame) -> None:
+        """Adds rows of a log as a run of level 0, and compacts the levels that are full."""
+        self._add(0, self._run(memtable.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))))
 
+    def _add(self, level: int, run: tuple[DataFrame, Filter]) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= self.fanout:
+            full, self.levels[level] = self.levels[level], []
+            self._add(level + 1, self._merge(full))
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
+    def compact(self) -> DataFrame:
+        """Merges all levels into one run; the smallest identifier of each digest stays."""
+        runs = [r for level in self.levels for r in level]
+        if len(runs) > 1:
+            self.levels = [[], [self._merge(runs)]]
+            runs = self.levels[1]
+        return runs[0][0]
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+        """Indexes a table, whose texts stay at hand for the verification of hits."""
+        self.texts.append(docs.select(F.col(id_col).cast("long").alias("keep_id"), normalised(F.col(text_col)).alias("kept")))
+        self.flush(self.log(docs, id_col, text_col))
+
+    def lookup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """doc_id and keep_id, the smallest indexed identifier (null: none) whose text has the same bytes."""
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+        rows = stash(rows.withColumn("digest", self.digest(F.unhex(F.sha2("norm", 256)))), "digest-probes")
+        hits = None
+        for level in self.levels:
+            for run, met in level:
+                own = met.passing(rows.select("digest").distinct()).where("passes").join(run.select("digest"), "digest", "left_semi").select("digest")
+                hits = own if hits is None else hits.unionByName(own)
+        if hits is None:
+            return rows.select("doc_id", F.lit(None).cast("long").alias("keep_id"))
+        texts = reduce(DataFrame.unionByName, self.texts).withColumn("digest", self.digest(F.unhex(F.sha2("kept", 256))))
+        # bytes are compared: an indexed text counts only where it is the same
+        same = texts.join(side(stash(hits.distinct(), "digest-hits")), "digest", "left_semi").groupBy("digest", "kept").agg(F.min("keep_id").alias("keep_id"))
+        return rows.alias("r").join(same.alias("s"), F.expr("r.digest = s.digest AND norm = kept"), "left").select("doc_id", "keep_id")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32, memtables: int = 4) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per document, dropped ones too."""
     index = DigestIndex(digest_bytes)
-    index.flush(docs, id_col, text_col)
-    level1 = index.compact()
-    rows = index.level0().select("digest", "doc_id", "sha").distinct()
-    # The join is by digest, and one digest may hold a third of the rows: the left side is narrow and
-    # unaggregated below the join's own exchange, so adaptive execution splits such a partition.
-    multi = level1.where("group_size > 1")
-    hits = stash(rows.join(multi, "digest").select("digest", "doc_id", "keep_id", "group_size"), "digest-hits")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), index.digest(F.col(text_col)).alias("digest"), normalised(F.col(text_col)).alias("norm"))
-    # always a merge join: whether the texts move must not depend on how many hits there are
-    found = texts.join(hits.select(F.col("doc_id").alias("h"), F.col("digest").alias("d")).hint("merge"), F.expr("doc_id <=> h AND digest = d"), "left_semi")
-    classes = found.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    clash = stash(classes.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "digest-clash")
-    out = rows.join(level1, "digest")
+    log = index.log(docs, id_col, text_col)
+    for i in range(memtables):
+        index.flush(log.where(F.pmod(F.xxhash64("digest", "doc_id"), F.lit(memtables)) == i))
+    multi = stash(index.compact().where("group_size > 1"), "digest-multi")
+    n_multi = multi.count()
+    met = Filter(multi.select("digest"), n_multi).passing(log)
+    # one digest may hold a third of the rows: where the copies are many, the left side is narrow and
+    # unaggregated below the join's own exchange, so adaptive execution splits such a partition
+    maybe = met.where("passes").join(side(multi, n_multi), "digest", "left").select("digest", "sha", "doc_id", "keep_id", "group_size")
+    hits = stash(maybe.where("group_size IS NOT NULL").distinct(), "digest-hits")
+    alone = met.where("NOT passes").select("sha", "doc_id").unionByName(maybe.where("group_size IS NULL").select("sha", "doc_id"))
+    alone = alone.select("sha", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    texts = texts.join(side(hits.select(F.col("doc_id").alias("h")).distinct()), F.expr("doc_id <=> h"), "left_semi").withColumn("full", F.unhex(F.sha2("norm", 256))).withColumn("digest", index.digest(F.col("full")))
+    # whole texts are compared; grouped before the exchange, a copy costs one row per task
+    classes = stash(texts.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.first("full").alias("sha")).drop("norm"), "digest-classes")
+    verified = classes.join(side(multi.select("digest"), n_multi), "digest", "left_semi")
+    clash = stash(verified.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "digest-clash")
     if clash.isEmpty():
         drop(clash)
+        same = hits
     else:
-        apart = found.join(clash, "digest", "left_semi").withColumn("sha", F.unhex(F.sha2("norm", 256)))
-        named = apart.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.first("sha").alias("sha"))
-        split = rows.join(clash, "digest", "left_semi").join(named.select("digest", "sha", "keep_id", "group_size"), ["digest", "sha"])
-        out = out.join(clash, "digest", "left_anti").unionByName(split.select(out.columns))
+        split = hits.join(clash, "digest", "left_semi").select("digest", "sha", "doc_id").join(verified.select("digest", "sha", "keep_id", "group_size"), ["digest", "sha"])
+        same = hits.join(clash, "digest", "left_anti").unionByName(split.select(hits.columns))
+    out = alone.unionByName(same.select(alone.columns))
     return out.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
