@@ -25,7 +25,7 @@ def ranks_path(tokenizer: str) -> str:
 
 
 class Encoder:
-    """ids of texts; strings of added tokens are ordinary text, except in ids_with_added."""
+    """ids as the tokenizer file gives them: the texts of its added tokens become their one id."""
 
     def __init__(self, tokenizer: str = "byte_bpe_50k.json"):
         import public_tokenizers
@@ -39,23 +39,21 @@ class Encoder:
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError("added tokens that depend on the text around them")
         self._added = {t["content"]: t["id"] for t in added}
+        if any(" " in t for t in self._added):
+            raise ValueError("added tokens with spaces would lie across pieces")
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")")
-        self._spaced = np.zeros(max(ranks.values()) + 1, bool)
+        self._spaced = np.zeros(max([*ranks.values(), *self._added.values()]) + 1, bool)
         self._spaced[[i for t, i in ranks.items() if t[:1] == b" "]] = True
 
     def ids(self, text: str) -> np.ndarray:
         """ids as little-endian unsigned 32-bit integers."""
-        return np.array(self._bpe.encode_ordinary(text), "<u4")
-
-    def ids_with_added(self, text: str) -> np.ndarray:
-        """ids as the tokenizer file gives them: the texts of its added tokens become their one id."""
         if not any(t in text for t in self._added):
-            return self.ids(text)
+            return np.array(self._bpe.encode_ordinary(text), "<u4")
         parts = self._split.split(text)  # every second part is an added token
-        return np.concatenate([np.array([self._added[p]], "<u4") if i % 2 else self.ids(p) for i, p in enumerate(parts)])
+        return np.concatenate([np.array([self._added[p]] if i % 2 else self._bpe.encode_ordinary(p), "<u4") for i, p in enumerate(parts)])
 
     def count(self, text: str) -> int:
-        return len(self._bpe.encode_ordinary(text))
+        return len(self.ids(text))
 
     def pieces(self, text: str) -> tuple[list[str], np.ndarray]:
         """Pieces that encode independently (all but the first without their leading space), and their token counts."""

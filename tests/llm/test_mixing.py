@@ -16,7 +16,7 @@ def test_exponent_meets_entropy_and_repeats():
 
 
 def test_copies_realise_the_weights(spark):
-    rows = [(i, "w " * (1 + i % 7), "big" if i % 10 else f"small{i % 3}") for i in range(3000)]
+    rows = [(i, "w" + " w" * (i % 7), "big" if i % 10 else f"small{i % 3}") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     got = mixing.mixing_plan(docs, blocks=16).collect()
     assert len(got) == len(rows)
@@ -32,10 +32,35 @@ def test_copies_realise_the_weights(spark):
     for s in tokens:
         assert weight[s] * total - 8 <= taken[s] <= weight[s] * total + 1e-6
         assert max(seen[s]) - min(seen[s]) <= 1 and max(seen[s]) <= 5
+    order = {}
+    for r in got:
+        assert len(r.epoch_places) == r.copies and all(0 <= p < 16 for p in r.epoch_places)
+        for epoch, place in enumerate(r.epoch_places):  # a permutation: no two blocks of an epoch have one place
+            assert order.setdefault((r.source, epoch, place), r.block) == r.block
+    first = {(s, b): p for (s, e, p), b in order.items() if e == 0}
+    assert any(first.get((s, b)) != p for (s, e, p), b in order.items() if e == 1)
     mixed = Counter(r.doc_id for r in mixing.mix(docs, blocks=16).collect())
     assert mixed == Counter({r.doc_id: r.copies for r in got if r.copies})
 
 
+def test_tokens_are_those_of_the_tokenizer(spark, cases):
+    from parcelspark.llm.tokens import encoder
+
+    want = sorted((r.doc_id or -1, encoder().count(r.text or "")) for r in cases.select("doc_id", "text").collect())
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in mixing.mixing_plan(cases).collect()) == want
+
+
+def test_unlike_texts_of_one_identifier_are_decided_apart(spark):
+    rows = [(None if i % 2 else 5, f"text number {i}", "a" if i % 4 else "b") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mixing_plan(docs, blocks=8).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.n_tokens * r.copies
+    total, weight = sum(r.n_tokens for r in got), {r.source: r.weight for r in got}
+    assert all(abs(taken[s] - weight[s] * total) <= 8 for s in weight)
+
+
 def test_mixing_cases(cases, empty):
     got = mixing.mixing_plan(cases).collect()
     assert len(got) == 14 and {r.source for r in got} == {"", "s1"}
