@@ -6,6 +6,11 @@ re-encodes those leaves only (with neighbours while a boundary is not one that
 pre-tokens respect: the boundary context), and updates the sums on the path to
 the root.
 
+The trees are a table: `build_trees` encodes every text once and keeps a row per
+document with the leaves and the sums of all nodes in heap order; `apply_edits` reads
+that table, so a document that is edited again is not encoded anew, and can return
+the edited trees, to be written as the next version of the table.
+
 Defined cases: null and empty texts have no tokens; an edit is cut to the text it
 applies to; rows with equal identifiers are counted each on their own; a null
 edit list is empty. Other input columns are ignored.
@@ -19,11 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parcelspark.scratch import prepare
+from parcelspark.scratch import prepare, stash
 from parcelspark.llm.tokens import Encoder, encoder
 
 SCHEMA = "doc_id long, n_tokens long, edited_tokens long, n_edits long, edited_chars long, reencoded_chars long"
+TREE = "doc_id long, leaves array<string>, tokens array<int>, chars array<int>"
+EDITS = "array<struct<start:long,stop:long,new:string>>"
 
 
 class TokenTree:
@@ -46,6 +54,13 @@ class TokenTree:
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
         self.reencoded = 0
 
+    @classmethod
+    def of(cls, enc: Encoder, leaves: list[str], tokens: list[int], chars: list[int]) -> "TokenTree":
+        """A tree as it was kept; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.enc, tree.leaves, tree.tokens, tree.chars, tree.size, tree.reencoded = enc, leaves, tokens, chars, len(leaves), 0
+        return tree
+
     @property
     def total(self) -> int:
         return self.tokens[1]
@@ -118,28 +133,59 @@ def _boundary(left: str, right: str) -> bool:
     return len(right) > 1 and right[0] == " " and not right[1].isspace() and left != "" and not left[-1].isspace()
 
 
-def token_counts(docs: DataFrame, edits: Column | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
-    """Tokens of each whole text, and after its edits: array<struct<start, stop, new>>, applied in order."""
+def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The tree of each whole text (see TREE), and the columns of docs named in keep."""
     prepare(docs.sparkSession)
-    kind = "array<struct<start:long,stop:long,new:string>>"
-    edits = F.lit(None) if edits is None else edits
+    fields = [docs.schema[k] for k in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                trees = [TokenTree(t or "", enc) for t in part.column(1).to_pylist()]
+                yield _tree_batch(part.column(0), trees, part.columns[2:], keep)
+
+    schema = T.StructType([*T.StructType.fromDDL(TREE).fields, *fields])
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep).mapInArrow(run, schema)
+
+
+def _tree_batch(ids: pa.Array, trees: list[TokenTree], more: list[pa.Array], names: tuple[str, ...]) -> pa.RecordBatch:
+    lists = [pa.array([t.leaves for t in trees], pa.list_(pa.string())), pa.array([t.tokens for t in trees], pa.list_(pa.int32())), pa.array([t.chars for t in trees], pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays([ids, *lists, *more], ["doc_id", "leaves", "tokens", "chars", *names])
+
+
+def apply_edits(trees: DataFrame, edits: Column, tokenizer: str = "byte_bpe_50k.json", new_trees: bool = False) -> DataFrame:
+    """Counts before and after the edits (array<struct<start, stop, new>>, applied in order; see SCHEMA), or the edited trees."""
+    prepare(trees.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            rows = []
-            for doc_id, text, changes in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                tree = TokenTree(text or "", enc)
-                before, touched = tree.total, 0
-                for c in changes or ():
-                    tree.edit(c["start"] or 0, c["stop"] or 0, c["new"] or "")
-                    touched += len(c["new"] or "")
-                rows.append((doc_id, before, tree.total, len(changes or ()), touched, tree.reencoded))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), edits.cast(kind).alias("edits")).mapInArrow(run, SCHEMA)
+            for i in range(0, b.num_rows, 64):
+                rows, done, part = [], [], b.slice(i, 64)
+                for doc_id, leaves, tokens, chars, changes in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    tree = TokenTree.of(enc, leaves, tokens, chars)
+                    before, touched = tree.total, 0
+                    for c in changes or ():
+                        tree.edit(c["start"] or 0, c["stop"] or 0, c["new"] or "")
+                        touched += len(c["new"] or "")
+                    rows.append((doc_id, before, tree.total, len(changes or ()), touched, tree.reencoded))
+                    done.append(tree)
+                if new_trees:
+                    yield _tree_batch(part.column(0), done, [], ())
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+
+    return trees.select("doc_id", "leaves", "tokens", "chars", edits.cast(EDITS).alias("edits")).mapInArrow(run, TREE if new_trees else SCHEMA)
+
+
+def token_counts(docs: DataFrame, edits: Column | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    """Tokens of each whole text, and after its edits, by a written table of trees."""
+    edits = F.lit(None) if edits is None else edits
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), edits.cast(EDITS).alias("edits"))
+    return apply_edits(stash(build_trees(own, tokenizer=tokenizer, keep=("edits",)), "token-trees"), F.col("edits"), tokenizer)
 
 
 def revision(text: Column) -> Column:

@@ -42,12 +42,28 @@ def test_exact_dedup_cases(cases, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_index_lookup(spark):
-    index = exact_dedup.DigestIndex()
-    index.flush(frame(spark, [(5, "x y"), (3, "x  y")]), "doc_id", "text")
-    index.flush(frame(spark, [(4, "z")]), "doc_id", "text")
-    found = {r.doc_id: r.keep_id for r in index.lookup(frame(spark, [(1, "x y"), (2, "q")]), "doc_id", "text").collect()}
-    assert found == {1: 3, 2: None}
+@pytest.mark.parametrize("digest_bytes", [32, 1])
+def test_index_lookup_verifies_bytes(spark, digest_bytes):
+    """Several flushes and levels; with one-byte digests most hits are collisions."""
+    rnd = random.Random(2)
+    index, known = exact_dedup.DigestIndex(digest_bytes), {}
+    for batch in range(5):
+        rows = [(batch * 100 + i, " ".join(rnd.choice("abcd") for _ in range(rnd.randrange(5)))) for i in range(30)]
+        index.add(frame(spark, rows))
+        for i, t in rows:
+            known[norm(t)] = min(i, known.get(norm(t), i))
+    assert [len(x) for x in index.levels] == [1, 0, 1]  # five flushes, two by two
+    ask = [(i, " ".join(rnd.choice("abcde") for _ in range(rnd.randrange(5)))) for i in range(60)] + [(None, None)]
+    got = sorted(((r.doc_id, r.keep_id) for r in index.lookup(frame(spark, ask)).collect()), key=repr)
+    assert got == sorted(((i, known.get(norm(t))) for i, t in ask), key=repr)
+    assert exact_dedup.DigestIndex().lookup(frame(spark, ask)).where("keep_id IS NULL").count() == len(ask)
+
+
+def test_filter_passes_all_that_it_holds(spark):
+    digests = lambda a, b: spark.range(a, b).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
+    met = exact_dedup.Filter(digests(0, 5000), 5000)
+    assert met.passing(digests(0, 5000)).where("NOT passes").count() == 0
+    assert met.passing(digests(5000, 25000)).where("passes").count() < 0.1 * 20000
 
 
 def cut(rows, width):

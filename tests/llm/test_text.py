@@ -12,7 +12,7 @@ from parcelspark.llm import langid, packing, simhash, token_counts, toxicity
 from parcelspark.llm import textkit as K
 from parcelspark.llm.tokens import encoder
 
-ALPHABET = " \n\tab1'sé。!  x"
+ALPHABET = [*" \n\tab1'sé。!  x", "<|endoftext|>", "<|end"]
 
 
 def text(rnd, n):
@@ -23,9 +23,7 @@ def reference():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_ids_equal_the_reference_tokenizer():
@@ -35,15 +33,12 @@ def test_ids_equal_the_reference_tokenizer():
 
 
 def test_packed_ids_equal_the_tokenizer_as_loaded(spark):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ref = reference()
     rnd, end = random.Random(12), "<|endoftext|>"
     texts = ["hello <|endoftext|> world", end, end * 3, f"{end} a", f"a{end}", f"a\n{end}\n b <|endoftext |> <|END|>"]
     texts += [text(rnd, rnd.randrange(20)) + end + text(rnd, rnd.randrange(20)) for _ in range(100)] + ["no such token"]
     want = {i: x.ids for i, x in enumerate(ref.encode_batch(texts, add_special_tokens=False))}
-    assert {i: encoder().ids_with_added(t).tolist() for i, t in enumerate(texts)} == want and 50256 in want[0]
+    assert {i: encoder().ids(t).tolist() for i, t in enumerate(texts)} == want and 50256 in want[0]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in packing.pack(docs, width=8).collect():
         ids = np.array([*want[r.doc_id], 1], "<u4")
@@ -65,6 +60,26 @@ def test_tree_counts_under_edits():
             assert tree.text == t and tree.total == enc.count(t)
 
 
+def test_kept_trees_take_further_edits(spark):
+    """Trees written and read again, edited twice; nothing but the edited leaves is encoded."""
+    from pyspark.sql import functions as F
+
+    from parcelspark.scratch import stash
+
+    rnd, enc = random.Random(3), encoder()
+    texts = {i: text(rnd, rnd.randrange(400)) for i in range(30)}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, leaves string").repartition(3)
+    trees = stash(token_counts.build_trees(docs), "trees")
+    one = F.array(F.struct(F.lit(10).alias("start"), F.lit(15).alias("stop"), F.lit(" new ").alias("new")))
+    for _ in range(2):
+        got = {r.doc_id: r for r in token_counts.apply_edits(trees, one).collect()}
+        trees = stash(token_counts.apply_edits(trees, one, new_trees=True), "trees")
+        for i, t in texts.items():
+            texts[i] = t[:10] + " new " + t[15:]
+            assert (got[i].n_tokens, got[i].edited_tokens) == (enc.count(t), enc.count(texts[i]))
+    assert {r.doc_id: "".join(r.leaves) for r in trees.collect()} == texts
+
+
 def test_edits_reencode_little():
     enc = encoder()
     t = "some plain words here " * 2000
