@@ -3,15 +3,17 @@
 Each language has a probability for every piece of a fixed public vocabulary
 (letters only, lower case; a space marks the beginning of a word). A word's
 probability is the sum over all its segmentations into pieces, by the forward
-algorithm; single bytes outside the vocabulary have a small fixed probability.
+algorithm; single bytes outside the vocabulary have a small fixed probability. All
+letter pieces of the vocabulary count, of any length.
 Probabilities come from expectation maximisation over the same lattices on a
-bounded sample: `per_lang` documents of each language in hash order, whole texts.
-A text's score is the posterior of its best language under a uniform prior.
+bounded sample: `per_lang` documents of each language in hash order, whole texts
+(words beyond 96 bytes are learned from in parts, cut between characters). The words
+of the sample reach the driver. A text's score is the posterior of its best language under a uniform prior.
 
 Defined cases: null texts and texts without a letter are `und` with score 0;
 equal posteriors go to the language first in alphabetical order; without any
-training document every text is `und`; null languages are not learned from;
-an empty table gives an empty result. Other input columns are ignored.
+training document every text is `und`; null languages are not learned from; more
+than MAX_LANGS languages are refused; an empty table gives an empty result. Other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelspark.llm import textkit as K
-from parcelspark.scratch import prepare
+from parcelspark.scratch import prepare, stash
 
 SCHEMA = "doc_id long, lang_pred string, score double"
-#: Longest piece in bytes, and the probability of a byte that no piece covers.
-MAX_PIECE, BYTE_FLOOR = 12, 1e-8
+#: The probability of a byte that no piece covers, and the bytes of a word that are learned from at once.
+BYTE_FLOOR, MAX_LEARNED = 1e-8, 96
+#: Pieces beyond this length are looked for only where a word's last bytes are those of one.
+SHORT_PIECE, TAIL = 12, 8
+MAX_LANGS = 5000
 
 
 def vocabulary(tokenizer: str = "piece_bpe_32k.model") -> list[bytes]:
@@ -41,10 +46,9 @@ def vocabulary(tokenizer: str = "piece_bpe_32k.model") -> list[bytes]:
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(tokenizer))
     out = set()
     for i in range(sp.get_piece_size()):
-        piece = sp.id_to_piece(i).lower()
-        body = piece.removeprefix("▁")
-        if (body.isalpha() or piece == "▁") and len(piece.encode()) - 2 * (piece != body) <= MAX_PIECE:
-            out.add(piece.replace("▁", " ").encode())
+        piece = sp.id_to_piece(i)
+        if piece.removeprefix("▁").isalpha() or piece == "▁":
+            out.add(piece.lower().replace("▁", " ").encode())
     return sorted(out)
 
 
@@ -62,6 +66,11 @@ class PieceTable:
         self.more = {int(h): i for i, h in zip(np.flatnonzero(lost), self.keys[lost], strict=True)}
         self.crowded = np.zeros(1 << 22, bool)
         self.crowded[slot[lost]] = True
+        size = np.array([len(p) for p in pieces])
+        self.lengths = sorted(set(size.tolist()))
+        self.tails = np.zeros(1 << 16, bool)
+        far = size > SHORT_PIECE
+        self.tails[K.RangeHash(buf)(ends[far] - TAIL, ends[far]) >> K.U(48)] = True
 
     def find(self, h: np.ndarray) -> np.ndarray:
         slot = (h >> K.U(42)).astype(np.int64)
@@ -86,31 +95,38 @@ class Lattice:
         self.longest = int(self.length[0]) if len(self.length) else 0
         self.active = np.searchsorted(-self.length, -np.arange(self.longest + 1), "right")
         rh = K.RangeHash(buf)
-        #: (position, piece length) -> word numbers and piece numbers
-        self.arcs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        #: position -> piece length, word numbers and piece numbers
+        self.arcs: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(self.longest + 1)]
         for p in range(1, self.longest + 1):
             s = self.start[: self.active[p]]
-            for k in range(1, min(MAX_PIECE, p) + 1):
-                at = table.find(rh(s + (p - k), s + p))
+            far = None
+            for k in table.lengths:
+                if k > p:
+                    break
+                if k > SHORT_PIECE and far is None:
+                    far = np.flatnonzero(table.tails[rh(s + (p - TAIL), s + p) >> K.U(48)])
+                own = s if k <= SHORT_PIECE else s[far]
+                if not len(own):
+                    break
+                at = table.find(rh(own + (p - k), own + p))
                 w = np.flatnonzero(at >= 0)
                 if len(w):
-                    self.arcs[p, k] = (w, at[w])
+                    self.arcs[p].append((k, w if k <= SHORT_PIECE else far[w], at[w]))
+        self.depth = max((k for x in self.arcs for k, _, _ in x), default=1)
 
     def forward(self, prob: np.ndarray) -> np.ndarray:
         """Log probability of each word (in input order) under each column of prob."""
-        n, m = len(self.length), prob.shape[1]
-        ring = np.zeros((MAX_PIECE + 1, n, m))
+        n, m, ring_size = len(self.length), prob.shape[1], self.depth + 1
+        ring = np.zeros((ring_size, n, m))
         ring[0] = 1
         scale = np.zeros((n, 1))
         out = np.zeros((n, m))
         for p in range(1, self.longest + 1):
             a = self.active[p]
-            now = ring[(p - 1) % (MAX_PIECE + 1), :a] * BYTE_FLOOR
-            for k in range(1, min(MAX_PIECE, p) + 1):
-                if (p, k) in self.arcs:
-                    w, piece = self.arcs[p, k]
-                    now[w] += ring[(p - k) % (MAX_PIECE + 1), w] * prob[piece]
-            ring[p % (MAX_PIECE + 1), :a] = now
+            now = ring[(p - 1) % ring_size, :a] * BYTE_FLOOR
+            for k, w, piece in self.arcs[p]:
+                now[w] += ring[(p - k) % ring_size, w] * prob[piece]
+            ring[p % ring_size, :a] = now
             done = slice(self.active[p + 1] if p < self.longest else 0, a)
             out[done] = np.log(now[done]) + scale[done]
             if p % 8 == 0:  # no underflow in long words
@@ -129,10 +145,8 @@ class Lattice:
         for p in range(1, self.longest + 1):
             a = self.active[p]
             alpha[p, :a] = alpha[p - 1, :a] * BYTE_FLOOR
-            for k in range(1, min(MAX_PIECE, p) + 1):
-                if (p, k) in self.arcs:
-                    w, piece = self.arcs[p, k]
-                    alpha[p, w] += alpha[p - k, w] * prob[piece]
+            for k, w, piece in self.arcs[p]:
+                alpha[p, w] += alpha[p - k, w] * prob[piece]
         beta = np.zeros((self.longest + 1, n))
         beta[self.length, np.arange(n)] = 1
         total = alpha[self.length, np.arange(n)]
@@ -140,12 +154,10 @@ class Lattice:
         counts = np.zeros(len(prob))
         for p in range(self.longest, 0, -1):
             beta[p - 1] += beta[p] * BYTE_FLOOR
-            for k in range(1, min(MAX_PIECE, p) + 1):
-                if (p, k) in self.arcs:
-                    w, piece = self.arcs[p, k]
-                    arc = beta[p, w] * prob[piece]
-                    beta[p - k, w] += arc
-                    counts += np.bincount(piece, weights=alpha[p - k, w] * arc * use[w], minlength=len(prob))
+            for k, w, piece in self.arcs[p]:
+                arc = beta[p, w] * prob[piece]
+                beta[p - k, w] += arc
+                counts += np.bincount(piece, weights=alpha[p - k, w] * arc * use[w], minlength=len(prob))
         return counts
 
 
@@ -182,8 +194,9 @@ class Model:
         out = np.zeros((len(off) - 1, len(self.langs)))
         for i, j in K.groups(off, 2 << 20):
             words, s, e, number, r = spaced_words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            for a in range(0, len(s), 50_000):  # bounds the lattice
-                b = min(a + 50_000, len(s))
+            step = max(1000, 400_000 // max(len(self.langs), 1))  # bounds the lattice
+            for a in range(0, len(s), step):
+                b = min(a + step, len(s))
                 part = words[s[a] : e[b - 1]]
                 logp = Lattice(part, s[a:b] - s[a], e[a:b] - s[a], self._table[0]).forward(self.prob)
                 m = (number >= a) & (number < b)
@@ -192,14 +205,25 @@ class Model:
         return out
 
 
+def learned_parts(word: bytes) -> list[bytes]:
+    """A word with its leading space, in parts of at most MAX_LEARNED bytes and a character."""
+    out, a = [], 0
+    while a < len(word):
+        b = min(a + MAX_LEARNED, len(word))
+        while b < len(word) and word[b] & 0xC0 == 0x80:
+            b += 1
+        out.append(b" " * (a == 0) + word[a:b])
+        a = b
+    return out
+
+
 def fit(counts: dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int = 4) -> Model:
     """Expectation maximisation for each language from its word counts."""
     langs = sorted(counts)
     table = PieceTable(pieces)
     prob = np.full((len(pieces), len(langs)), 1 / max(len(pieces), 1))
     for c, lang in enumerate(langs):
-        # very long words go in runs of 8 longest pieces, so that no product underflows
-        parts = [(b" " * (i == 0) + w[i : i + 8 * MAX_PIECE], n) for w, n in counts[lang].items() for i in range(0, len(w), 8 * MAX_PIECE)]
+        parts = [(x, n) for w, n in counts[lang].items() for x in learned_parts(w)]
         words, weight = [w for w, _ in parts], np.array([n for _, n in parts], float)
         ends = np.cumsum([len(w) for w in words])
         buf = np.frombuffer(b"".join(words), np.uint8)
@@ -221,15 +245,17 @@ def train(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
     prepare(spark)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     ids = ids.where(train_on & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    langs = sorted(r[0] for r in ids.select("lang").distinct().collect())
-    if not langs:
+    sizes = stash(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("lang_n")), "languages")
+    if (n_langs := sizes.count()) > MAX_LANGS:
+        raise ValueError(f"{n_langs} languages; at most {MAX_LANGS} are learned")
+    if not n_langs:
         return Model([], np.zeros((0, 0)), [])
-    # per_lang identifiers of each language: a sample of documented size
-    sample = None
-    for lang in langs:
-        one = ids.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang)
-        sample = one if sample is None else sample.unionByName(one)
-    rows = ids.join(F.broadcast(sample), ["doc_id", "lang"])
+    # the first per_lang identifiers of each language in hash order; a hash bound leaves about twice as many to sort
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = ids.join(F.broadcast(sizes), "lang").where(place * F.col("lang_n") <= 2 * per_lang + 64).select("lang", "doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sample = near.withColumn("at", first).where(F.col("at") <= per_lang).drop("at")
+    rows = ids.join(F.broadcast(sample), ["doc_id", "lang"])  # at most MAX_LANGS * per_lang rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,10 +270,10 @@ def train(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["word"], pa.binary()), pa.array(out["n"], pa.int64())], ["lang", "word", "n"])
 
     found = rows.select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    counts: dict[str, dict[bytes, int]] = {x: {} for x in langs}
+    counts: dict[str, dict[bytes, int]] = {x: {} for x in sorted(set(found["lang"].to_pylist()))}
     for lang, word, n in zip(*(found[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
         counts[lang][word] = n
-    return fit(counts, vocabulary(tokenizer))
+    return fit(counts, vocabulary(tokenizer)) if counts else Model([], np.zeros((0, 0)), [])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
