@@ -9,9 +9,11 @@ minimises the class-prior-corrected risk
 with the logistic loss; when the second part turns negative its gradient is
 ascended instead. The prior is the toxic share of the labelled training rows.
 The fit uses bounded samples (max_pos, max_unl documents in hash order, whole
-texts); the terms kept are the max_terms whose document shares differ most
-between positives and unlabelled, of those with min_docs positives at least and,
-by the prior, an expected share of positives of min_purity at least. Scoring covers every whole text.
+texts). Its features are the max_terms terms of the sample that tell the two classes
+apart best: by the prior the share of documents with a term among the negatives is
+(share among unlabelled - prior * share among positives) / (1 - prior), and the
+distance of the square roots of the two shares ranks the terms, toxic and harmless
+ones alike. Scoring covers every whole text.
 
 Defined cases: null and empty texts get the score of a text without known terms;
 without any positive every score is 0; where every training text has a label all
@@ -41,7 +43,7 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
 
 
 def terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of each lower-case word made of letters and of its first 3 to 7 bytes."""
+    """Hash and row of each lower-case word made of letters and of its first 3 to 7 characters."""
     hs, rs = [], []
     low = K.LOWER[buf]
     for a, b, base in _blocks(off, 1 << 20):
@@ -52,9 +54,12 @@ def terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rh = K.RangeHash(part)
         hs.append(rh(s, e))
         rs.append(r + lo)
+        begins = np.flatnonzero(part & 0xC0 != 0x80)  # characters
+        first, n = np.searchsorted(begins, s), len(begins)
         for k in PREFIXES:
-            m = e - s > k
-            hs.append(rh(s[m], s[m] + k) ^ K.U(k))
+            cut = begins[np.minimum(first + k, n - 1)] if n else s
+            m = (first + k < n) & (cut < e)
+            hs.append(rh(s[m], cut[m]) ^ K.U(k))
             rs.append(r[m] + lo)
     if not hs:
         return np.zeros(0, K.U), np.zeros(0, np.int64)
@@ -101,25 +106,34 @@ def known(keys: np.ndarray, h: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, n
     return at[m], r[m]
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], n_terms: int, prior: float, epochs: int = 250, rate: float = 0.05, decay: float = 1.5e-4) -> tuple[np.ndarray, float]:
+def risk(w: np.ndarray, col: np.ndarray, row: np.ndarray, n_pos: int, n: int, prior: float) -> tuple[float, float, np.ndarray]:
+    """Both parts of the risk, the second one as it is before the bound, and the gradient that a step goes down.
+
+    w: weights, and the bias last; row: documents, the n_pos positives first. Where the
+    second part is negative the gradient is that of its negative: the step ascends it.
+    """
+    is_pos = np.arange(n) < n_pos
+    z = np.bincount(row, weights=w[col], minlength=n) + w[-1]
+    up = 1 / (1 + np.exp(-np.clip(z, -60, 60)))  # derivative of l(-z); that of l(z) is up - 1
+    as_neg_loss = np.logaddexp(0, z)
+    first = prior * np.logaddexp(0, -z)[is_pos].mean()
+    second = as_neg_loss[~is_pos].mean() - prior * as_neg_loss[is_pos].mean()
+    as_neg = np.where(is_pos, -prior * up / n_pos, up / (n - n_pos))
+    as_pos = np.where(is_pos, prior * (up - 1) / n_pos, 0)
+    g = as_pos + as_neg if second >= 0 else -as_neg
+    return float(first), float(second), np.concatenate([np.bincount(col, weights=g[row], minlength=len(w) - 1), [g.sum()]])
+
+
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], n_terms: int, prior: float, epochs: int = 250, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias from the term indices of each document; full-batch Adam."""
     both = [*pos, *unl]
     col = np.concatenate(both) if both else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(both)), [len(x) for x in both])
-    n, p = len(both), len(pos)
-    is_pos = np.arange(n) < p
-    w, b = np.zeros(n_terms + 1), float(np.log(prior / (1 - prior)))
-    w[-1] = b
+    w = np.zeros(n_terms + 1)
+    w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, epochs + 1):
-        z = np.bincount(row, weights=w[col], minlength=n) + w[-1]
-        up = 1 / (1 + np.exp(-np.clip(z, -60, 60)))  # derivative of l(-z); that of l(z) is up - 1
-        neg_loss = np.logaddexp(0, z)
-        negative = neg_loss[~is_pos].mean() - prior * neg_loss[is_pos].mean()
-        as_neg = np.where(is_pos, -prior * up / p, up / (n - p))
-        as_pos = np.where(is_pos, prior * (up - 1) / p, 0)
-        g = as_pos + as_neg if negative >= 0 else -as_neg
-        grad = np.concatenate([np.bincount(col, weights=g[row], minlength=n_terms), [g.sum()]])
+        _, _, grad = risk(w, col, row, len(pos), len(both), prior)
         grad[:-1] += decay * w[:-1]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
@@ -127,7 +141,7 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], n_terms: int, prior:
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_pos: int = 3000, max_unl: int = 6000, max_terms: int = 2048, min_docs: int = 4, min_purity: float = 0.8) -> Model:
+def train(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_pos: int = 3000, max_unl: int = 6000, max_terms: int = 8192, min_docs: int = 4) -> Model:
     """train_on: which identifiers (column doc_id) may be learned from, labels and texts."""
     spark = docs.sparkSession
     prepare(spark)
@@ -166,10 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: str = "d
         drop(found)
         return Model(np.zeros(0, K.U), np.zeros(0), -60.0)
     shares = found.select("p", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b"))
-    # the prior makes the share of positives among a term's documents known: prior * a / n_pos against b / n_unl
-    pure = shares.where((F.col("a") >= min_docs) & (prior * F.col("a") / n_pos >= min_purity * (F.col("b") + 1) / n_unl))
-    lift = F.col("a") / n_pos - F.col("b") / n_unl
-    best = pure.orderBy((lift / F.sqrt((F.col("a") + F.col("b")))).desc(), "term").limit(max_terms).toPandas()["term"].to_numpy(np.int64)
+    p = F.col("a") / n_pos
+    q = F.greatest((F.col("b") / n_unl - prior * p) / (1 - prior), F.lit(0.0))
+    some = shares.where(F.col("a") + F.col("b") >= min_docs)
+    # at most max_terms rows
+    best = some.orderBy(F.abs(F.sqrt(p) - F.sqrt(q)).desc(), "term").limit(max_terms).toPandas()["term"].to_numpy(np.int64)
     keys = np.sort(best.view(K.U))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -171,6 +171,49 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(langid.Lattice(np.frombuffer(b" " + b"q" * 500, np.uint8), np.array([0]), np.array([501]), langid.PieceTable(pieces)).forward(prob)).all()
 
 
+def test_expected_uses_equal_brute_force():
+    """Posterior piece counts over all segmentations, and long pieces of several bytes a letter."""
+    pieces = [b" ", b" a", b"a", b"b", b"ab", b"aa", "漢字漢字漢字".encode(), "漢字".encode()]
+    prob = np.array([0.1, 0.2, 0.3, 0.1, 0.2, 0.1, 0.05, 0.02])
+    words, weight = [b" aab", b" ab", b" baa", " 漢字漢字漢字a".encode()], np.array([2.0, 1.0, 3.0, 1.5])
+
+    def paths(w):
+        if not w:
+            yield 1.0, []
+            return
+        for i, x in enumerate(pieces):
+            if w.startswith(x):
+                for p, rest in paths(w[len(x) :]):
+                    yield p * prob[i], [i, *rest]
+        for p, rest in paths(w[1:]):
+            yield p * langid.BYTE_FLOOR, rest
+
+    want, total = np.zeros(8), []
+    for w, n in zip(words, weight, strict=True):
+        every = list(paths(w))
+        z = sum(p for p, _ in every)
+        total.append(z)
+        for p, used in every:
+            for i in used:
+                want[i] += n * p / z
+    ends = np.cumsum([len(w) for w in words])
+    table = langid.PieceTable(pieces)
+    lattice = langid.Lattice(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends, table)
+    assert np.allclose(lattice.expected(prob, weight), want) and want[6] > 0
+    assert np.allclose(np.exp(lattice.forward(prob[:, None]))[:, 0], total)
+
+
+def test_the_whole_vocabulary_counts():
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    letters = {sp.id_to_piece(i).lower().replace("▁", " ").encode() for i in range(sp.get_piece_size()) if sp.id_to_piece(i).removeprefix("▁").isalpha()}
+    assert letters <= set(langid.vocabulary())
+    assert b"".join(langid.learned_parts("漢字".encode() * 50)) == b" " + "漢字".encode() * 50
+    assert all(x.decode() for x in langid.learned_parts("aé漢字".encode() * 50))
+
+
 def test_language_of_held_out_documents(spark, cases, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.language_predictions(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -182,6 +225,27 @@ def test_language_of_held_out_documents(spark, cases, empty):
     assert langid.language_predictions(empty).count() == 0
 
 
+def test_fingerprints_equal_brute_force():
+    """Votes of word pairs recounted one by one, and very long words in whatever company."""
+    long = "x" * 200_000 + " y " + "z" * 300_000
+    texts = ["a b c", "one", "", "é 漢字 ab é 漢字", long, "tail words here"]
+    buf, off = K.flat(pa.array(texts))
+    got = simhash.fingerprints(buf, off)
+    for i, t in enumerate(texts):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        words = t.split()
+        h = [int(x) for x in K.word_hashes(raw, np.array([0, len(raw)]), ~K.SPACE)[0]]
+        terms = [(int((K.mix(np.array([a], K.U)) * K.U(0x9E3779B97F4A7C15) + K.U(b))[0]), len(u.encode()) + len(v.encode())) for a, b, u, v in zip(h, h[1:], words, words[1:], strict=False)] or [(a, len(u.encode())) for a, u in zip(h, words, strict=True)]
+        votes = np.zeros(128)
+        for t_hash, weight in terms:
+            x = np.array([t_hash], K.U)
+            bits = np.unpackbits(np.stack([K.mix(x), K.mix(x ^ K.U(0xA5A5A5A55A5A5A5A))], 1).view(np.uint8))
+            votes += np.where(bits, weight, -weight)
+        want = np.packbits(votes > 0).view(K.U) if terms else np.zeros(2, K.U)
+        assert (got[i] == want).all()
+        assert (simhash.fingerprints(*K.flat(pa.array([t])))[0] == want).all()
+
+
 def test_simhash_edited_texts(spark, cases, empty):
     rnd = random.Random(4)
     rows = [(3 * i, text(rnd, rnd.randrange(50))) for i in range(97)]
@@ -272,6 +336,54 @@ def test_words_across_blocks():
     assert all((x == y).all() for x, y in zip(a, b, strict=True))
 
 
+@pytest.mark.parametrize("bias", [-1.0, -9.0])
+def test_nnpu_gradient(bias):
+    """The risk against its definition and the step against differences, where the second part is bounded and where not."""
+    rng = np.random.default_rng(1)
+    docs = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(25)]
+    col, row = np.concatenate(docs), np.repeat(np.arange(25), [len(x) for x in docs])
+    w, prior, n_pos = np.append(rng.normal(0, 1, 6), bias), 0.3, 8
+    if bias == -9.0:
+        w[:6] = np.where(rng.random(6) < 0.5, 9.0, 0.0)
+        col, row = np.concatenate([np.arange(6)] * 8 + [np.zeros(0, int)]), np.repeat(np.arange(8), 6)
+
+    def parts(w):
+        z = np.array([w[col[row == i]].sum() for i in range(25)]) + w[-1]
+        loss = lambda x: np.log1p(np.exp(-x))
+        return prior * loss(z[:8]).mean(), loss(-z[8:]).mean() - prior * loss(-z[:8]).mean()
+
+    first, second, grad = toxicity.risk(w, col, row, n_pos, 25, prior)
+    assert (first, second) == pytest.approx(parts(w)) and (second < 0) == (bias == -9.0)
+    aim = lambda w: sum(parts(w)) if second >= 0 else -parts(w)[1]
+    for i in range(7):
+        d = np.zeros(7)
+        d[i] = 1e-6
+        assert grad[i] == pytest.approx((aim(w + d) - aim(w - d)) / 2e-6, abs=1e-6)
+
+
+def test_prefixes_are_whole_characters():
+    raw = "naïveté Ünïcödé".encode()
+    buf = np.frombuffer(raw, np.uint8)
+    h, _ = toxicity.terms(buf, np.array([0, len(raw)]))
+    low = K.LOWER[buf]
+    rh, want = K.RangeHash(low), set()
+    for a, b in ((0, len("naïveté".encode())), (len("naïveté ".encode()), len(raw))):
+        word = low[a:b].tobytes().decode()
+        want.add(int(rh(np.array([a]), np.array([b]))[0]))
+        for k in range(3, 7):
+            want.add(int((rh(np.array([a]), np.array([a + len(word[:k].encode())])) ^ K.U(k))[0]))
+    assert set(h.tolist()) == want
+
+
+def test_toxicity_of_unlike_texts_of_one_identifier(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choices([f"plain{j}" for j in range(80)], k=30) + ["vile", "foul", "nasty"] * (i % 10 == 0))) for i in range(600)]
+    rows += [(1000, "plain1 plain2"), (1000, "plain1 vile foul nasty"), (None, "vile foul nasty"), (None, None)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(0, 600, 3)], "doc_id long, toxic int")
+    got = toxicity.toxic_scores(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(got) == 604 and sorted(r.predicted for r in got if r.doc_id == 1000) == [0, 1] and sorted(r.predicted for r in got if r.doc_id is None) == [0, 1]
+
+
 def test_nnpu_separates(spark, cases, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.toxic_scores(docs, labels).join(labels, "doc_id").where("held_out").collect()
