@@ -163,6 +163,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each group of equal normalised texts, also of rows that are repeated."""
+    found = stash(exact_dedup(docs, id_col, text_col).where("group_size > 1").select("doc_id", "text_sha256", "kept"), "copies")
+    own = docs.withColumn("__copy_sha", F.lower(F.sha2(normalised(F.col(text_col)), 256)))
+    same = (F.col(id_col).cast("long").eqNullSafe(F.col("__copy_id"))) & (F.col("__copy_sha") == F.col("__copy_of"))
+    pick = lambda kept: side(found.where(F.col("kept") == kept).select(F.col("doc_id").alias("__copy_id"), F.col("text_sha256").alias("__copy_of")))
+    rest = own.join(pick(False), same, "left_anti")
+    first = pick(True)
+    # rows that are repeated, and so all kept, are among those with copies
+    once = rest.join(first, same, "left_semi").dropDuplicates([id_col, "__copy_sha"])
+    return rest.join(first, same, "left_anti").unionByName(once).select(*docs.columns)
+
+
 SQL = r"""
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256

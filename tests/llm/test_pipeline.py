@@ -40,6 +40,47 @@ def test_each_stage_on_its_input(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(count)
 
 
+def test_stages_on_edge_cases(spark, cases, empty):
+    """Nulls, empties, ties, repeated rows, long texts and clashing columns; and no rows at all."""
+    sf = "/root/testdata/sf0.001"
+    docs, none = cases, empty
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs, none = stage(spark, docs, sf).cache(), stage(spark, none, sf)
+        assert none.count() == 0 and (i == 4 or docs.columns == none.columns == cases.columns)
+        ids = sorted(repr(r.doc_id) for r in docs.select("doc_id").collect())
+        if i == 1:
+            assert ids == sorted(map(repr, [1, 3, 5, 7, 8, 9, 10, 11]))
+        if i == 2:
+            assert ids == sorted(map(repr, [1, 3, 5, 8, 9, 10, 11]))
+
+
+def test_packed_sequences_hold_what_was_mixed(spark):
+    """The last stage against the tokenizer: every id of every mixed row, once, in gapless sequences."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").cache()
+    count = defaultdict(int)
+    for r in mixed.collect():
+        count[r.doc_id] += 1
+    text, got, ends = {r.doc_id: r.text for r in docs.collect()}, defaultdict(lambda: defaultdict(int)), defaultdict(list)
+    for r in corpus_pipeline.pack_sequences(spark, mixed, "").collect():
+        ids = np.array([*ref.encode(text[r.doc_id] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert r.doc_tokens == len(ids) and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        for at in range(r.start, r.start + r.length):
+            got[r.doc_id][at] += 1
+        ends[r.sequence_id].append((r.offset, r.offset + r.length))
+    assert {i: set(at.values()) for i, at in got.items()} == {i: {n} for i, n in count.items()}
+    for spans in ends.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)) and spans[-1][1] <= 2048
+
+
 def test_repeated_and_null_identifiers(spark):
     words = lambda k, n=60: [f"w{k}x{i}" for i in range(n)]
     a, b, c, d, e = (" ".join(words(k)) for k in range(5))
