@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every
 stage's rows as Parquet in the shared folder and rereads them as the next one's
-docs. All stages but the last return the columns of documents.
+docs. All stages but the last return the columns of documents, and further columns
+of docs, whatever their names. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -17,51 +18,47 @@ from parcelspark.scratch import stash
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; it learns from the non-held-out labels."""
+    """Documents that the classifier does not reject; it learns from the non-held-out labels.
+
+    Null and empty texts have the score of a text without terms; rows are judged each
+    by its own text, whatever their identifiers; without positive labels all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.clean(docs, toxicity.train(docs, labels, ~toxicity.held_out(F.col("doc_id"))))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal normalised text one with the smallest identifier; null identifiers lose, repeated rows are one."""
-    found = exact_dedup.exact_dedup(docs)
-    key = lambda sha: [F.coalesce("doc_id", F.lit(0)).alias("key_id"), F.isnull("doc_id").alias("key_null"), sha.alias("key_text")]
-    keys = ["key_id", "key_null", "key_text"]
-    # one exchange of the texts: repeated rows are merged before it, and the join finds its rows dealt by the same keys
-    one = docs.select("*", *key(F.sha2(exact_dedup.normalised(F.col("text")), 256))).dropDuplicates(keys)
-    return _without(one, found.where("NOT kept").select(*key(F.col("text_sha256"))), keys).select(docs.columns)
+    """Of documents with equal normalised text one with the smallest identifier.
+
+    Null texts are empty texts; null identifiers lose; of repeated rows one stays; of
+    different texts under one identifier only those that are copies go.
+    """
+    return exact_dedup.one_of_each(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest identifier, of each group joined by links."""
-    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    odd = stash(ids.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("odd")), "odd-ids")
-    keyed = docs.withColumn("key_id", F.col("doc_id").cast("long"))
-    if not odd.isEmpty():
-        # null and repeated identifiers: a key of identifier and text, above the others, so that they lose
-        own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-        known = keyed.where("doc_id IS NOT NULL").join(odd.hint("merge"), F.expr("doc_id = odd"), "left")
-        known = known.withColumn("key_id", F.when(F.isnull("odd"), F.col("key_id")).otherwise(own)).drop("odd")
-        keyed = stash(known.unionByName(keyed.where("doc_id IS NULL").withColumn("key_id", own)), "keyed")
-    found = ngram_join.jaccard_join(keyed, id_col="key_id")
-    return _without(keyed, found.where("NOT doc_id <=> class_id").select(F.col("doc_id").alias("key_id")), ["key_id"]).select(docs.columns)
+    """One document, that with the smallest identifier, of each group joined by links.
+
+    Texts without words are one group; null and repeated identifiers take part by a key
+    of identifier and text and lose against others; of repeated rows one stays.
+    """
+    return ngram_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix takes them: near-even sources, none repeated more than four times."""
+    """Documents as the mix takes them: near-even sources, none repeated more than four times.
+
+    Null sources are one source; texts without tokens come with every whole epoch;
+    repeated rows are taken alike.
+    """
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens; null and empty texts have the end token, repeated rows come each."""
     return packing.pack(docs)
 
 
-def _without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
-    # merge: whether the texts move must not depend on how many documents go
-    return docs.join(stash(dropped.distinct(), "dropped").hint("merge"), keys, "left_anti")
-
-
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
