@@ -1,44 +1,51 @@
-"""python -m parcelspark check-config FILE | print-plan FILE | run-full FILE PARCELS OUT; exit code 2 for a broken configuration."""
+"""Command line: check a configuration, print its stages, run all of them or one; exit code 2 for a broken configuration."""
 
 from __future__ import annotations
 
 import argparse
+import json
+import shlex
 import sys
 
 
-def load(path: str) -> dict:
-    import yaml
-
-    with open(path, encoding="utf-8") as f:
-        return yaml.safe_load(f)
+def parser() -> argparse.ArgumentParser:
+    out = argparse.ArgumentParser(prog="parcelspark", description=__doc__)
+    sub = out.add_subparsers(dest="command", required=True)
+    for name, more in (("check-config", []), ("print-plan", []), ("render", ["changes"]), ("run-full", ["out"]), ("run-stage", ["out"])):
+        p = sub.add_parser(name)
+        if name == "run-stage":
+            p.add_argument("stage")
+        p.add_argument("config")
+        for arg in more:
+            p.add_argument(arg, help="JSON of dotted paths and values" if arg == "changes" else "folder of the run")
+        if name.startswith("run"):
+            p.add_argument("--reward-profile")
+        if name == "run-full":
+            p.add_argument("--dry-run", action="store_true")
+    return out
 
 
 def main(argv: list[str] | None = None) -> int:
-    from parcelspark import config
+    from parcelspark import config as C
 
-    parser = argparse.ArgumentParser(prog="parcelspark", description=__doc__)
-    sub = parser.add_subparsers(dest="command", required=True)
-    for name in ("check-config", "print-plan", "run-full"):
-        p = sub.add_parser(name)
-        p.add_argument("config")
-        if name == "run-full":
-            p.add_argument("parcels")
-            p.add_argument("out")
-    args = parser.parse_args(argv)
+    args = parser().parse_args(argv)
     try:
-        cfg = config.validate(load(args.config))
-    except config.ConfigError as e:
+        config = C.validate(C.load(args.config))
+        if args.command == "render":
+            print(json.dumps(C.rendered(config, json.loads(args.changes)), ensure_ascii=False, indent=2))
+    except C.ConfigError as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
     if args.command == "print-plan":
-        print("\n".join(config.stages(cfg)))
-    elif args.command == "run-full":
+        for stage, command in C.stage_commands(args.config, "OUT").items():
+            print(f"{stage}: {shlex.join(command)}")
+    elif args.command.startswith("run"):
         from pyspark.sql import SparkSession
 
-        from parcelspark import pipeline
+        from parcelspark.pipeline import Run
 
-        spark = SparkSession.builder.getOrCreate()
-        pipeline.run_full(spark, spark.read.parquet(args.parcels), cfg, args.out)
+        run = Run(SparkSession.builder.getOrCreate(), config, args.out, profile=args.reward_profile)
+        print(json.dumps(run.stage(args.stage) if args.command == "run-stage" else run.full(args.dry_run), ensure_ascii=False))
     return 0
 
 

@@ -105,6 +105,27 @@ def contains(polygons: Polygons, x: float, y: float) -> bool:
     return inside
 
 
+def contains_all(polygons: Polygons, xy: np.ndarray) -> np.ndarray:
+    """The even-odd rule for many points, ring by ring."""
+    inside = np.zeros(len(xy), bool)
+    for p in polygons:
+        for r in p:
+            for at in range(0, len(xy), max(1, (1 << 20) // len(r))):  # bounds the arrays
+                x, y = xy[at : at + max(1, (1 << 20) // len(r))].T[:, :, None]
+                a, b = r[:-1], r[1:]
+                cross = (a[:, 1] > y) != (b[:, 1] > y)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    left = (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0] > x
+                inside[at : at + len(x)] ^= (cross & left).sum(1) % 2 == 1
+    return inside
+
+
+def to_geojson(polygons: Polygons) -> dict:
+    """The geometry object of a feature."""
+    rings = [[r.tolist() for r in p] for p in polygons]
+    return {"type": "Polygon", "coordinates": rings[0]} if len(rings) == 1 else {"type": "MultiPolygon", "coordinates": rings}
+
+
 def interior_point(polygons: Polygons) -> tuple[float, float]:
     """Middle of the widest inside run on the horizontal line between two vertex heights near the middle."""
     ys = np.unique(np.concatenate([r[:, 1] for p in polygons for r in p]))

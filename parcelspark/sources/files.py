@@ -202,19 +202,34 @@ def parse_tiff(raw: bytes) -> tuple[np.ndarray, float | None, tuple[float, ...]]
 
 
 def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
-    """path, row, col, z of every cell; cells without data are null."""
+    """path, row, col, z of every cell of the raster or its tiles, on one grid; cells without data are null."""
+    corner = raster_transform(spark, path)
 
     def parse(_: str, content: bytes):
-        z, nodata, _t = parse_tiff(content)
+        z, nodata, (x0, dx, y0, dy) = parse_tiff(content)
         z = z.astype(float)
         ok = np.isfinite(z) & (z != nodata if nodata is not None else True)
+        # tiles lie on one grid, whose first cell is at the corner of all
+        top, left = round((y0 - corner[2]) / dy), round((x0 - corner[0]) / dx)
         for r in range(z.shape[0]):
-            for c in range(z.shape[1]):
-                yield r, c, float(z[r, c]) if ok[r, c] else None
+            yield from zip([top + r] * z.shape[1], range(left, left + z.shape[1]), [v if k else None for v, k in zip(z[r].tolist(), ok[r].tolist(), strict=True)], strict=True)
 
     return _parsed(_files(spark, path, "*.tif*"), parse, PIXELS)
 
 
+def raster_transform(spark: SparkSession, path: str) -> tuple[float, ...]:
+    """x0, dx, y0, dy of the one raster at the path, or of tiles that must share their cell size: the corner of all."""
+
+    def parse(_: str, content: bytes):
+        yield parse_tiff(content)[2]
+
+    found = _parsed(_files(spark, path, "*.tif*"), parse, "path string, x0 double, dx double, y0 double, dy double")
+    r = found.agg(F.min("x0").alias("x0"), F.max("y0").alias("y0"), F.min("dx").alias("dx"), F.max("dx").alias("dx1"), F.min("dy").alias("dy"), F.max("dy").alias("dy1")).first()
+    if r["dx"] != r["dx1"] or r["dy"] != r["dy1"]:
+        raise ValueError("tiles of different cell sizes")
+    return r["x0"], r["dx"], r["y0"], r["dy"]
+
+
 def repaired(layer: DataFrame, required: bool = False) -> DataFrame:
     """The layer with repaired geometry, its area, bounds and interior point; rows without area drop out, or fail if required."""
     schema = "path string, fid long, attrs map<string,string>, geometry binary, area double, x0 double, y0 double, x1 double, y1 double, px double, py double"

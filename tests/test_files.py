@@ -8,7 +8,6 @@ import zlib
 import numpy as np
 import pytest
 
-from parcelspark import config
 from parcelspark.functions import geometry as G
 from parcelspark.sources import files, sinks
 
@@ -123,6 +122,17 @@ def test_geotiff(spark, tmp_path, compress):
     assert [r.z for r in rows] == [1, 2, 3, 4, None, 6]
 
 
+def test_tiles_lie_on_one_grid(spark, tmp_path):
+    """Two tiles side by side; the second begins three cells to the right."""
+    z = np.arange(6.0).reshape(2, 3)
+    (tmp_path / "a.tif").write_bytes(tiff(z, True))
+    second = tiff(z + 10, False).replace(struct.pack("<6d", 0, 0, 0, 100.0, 200.0, 0), struct.pack("<6d", 0, 0, 0, 106.0, 200.0, 0))
+    (tmp_path / "b.tif").write_bytes(second)
+    got = {(r.row, r.col): r.z for r in files.read_geotiff(spark, str(tmp_path)).collect()}
+    assert got == {(r, c): float(v) for r in range(2) for c, v in enumerate([*z[r], *(z[r] + 10)])}
+    assert files.raster_transform(spark, str(tmp_path)) == (100.0, 2.0, 200.0, -2.0)
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 0, 0, 2, 2)], "bsm long, x0 long, y0 long, x1 long, y1 long")
     feature = json.loads(sinks.geojson_features(df, ["bsm"]).first().value)
@@ -134,16 +144,3 @@ def test_sinks(spark, tmp_path):
     assert all(len(r.sha256) == 64 for r in sinks.output_manifest(spark, str(tmp_path / "layers" / "layer=a")).collect())
     with pytest.raises(ValueError, match="finite"):
         sinks.report_json({"a": [{"b": float("nan")}]})
-
-
-def good_config():
-    c = {s: {} for s in config.SECTIONS}
-    c["slope"]["source"] = "field"
-    return c
-
-
-def test_config():
-    assert config.stages(config.validate(good_config())) == ["prepare", "sample", "train", "plan", "audit"]
-    for change, match in (({"slope": {"source": "dem"}}, "slope"), ({"plan": None}, "plan"), ({"project": {"version": "2.0.0"}}, "floor"), ({"project": {"version": "2.9"}}, "supported"), ({"workflow": {"reward_changed": True}}, "training")):
-        with pytest.raises(config.ConfigError, match=match):
-            config.validate(good_config() | change)
