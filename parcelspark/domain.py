@@ -6,10 +6,14 @@ text defines each view for the SQL that checks the DataFrame plans.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.functions import codes
+from parcelspark.functions import geometry as G
+from parcelspark.scratch import ship
 
 # The code of each residue of o_custkey.
 PARCEL_CODES = ["0101", "0103", "0102", "0103A", "0301", "0305", "0307", "0201", "1104", "0601"]
@@ -47,6 +51,29 @@ def pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.floor(k / 100).alias("row"), (k % 100).alias("col"), F.when(F.col("o_custkey") % 50 == 0, -9999.0).otherwise(F.col("o_totalprice") / 1000).alias("z"))
 
 
+def rings(df: DataFrame, key: str, *corners: tuple[str, str]) -> DataFrame:
+    """key and geometry (WKB): the polygon with the given corner columns, in order."""
+    ship(df.sparkSession)
+    flat = [F.col(c).cast("double") for xy in corners for c in xy]
+
+    def run(batches):
+        for b in batches:
+            xy = np.stack([b.column(i).to_numpy() for i in range(1, b.num_columns)], 1).reshape(b.num_rows, -1, 2)
+            closed = np.concatenate([xy, xy[:, :1]], 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([G.to_wkb([[r]]) for r in closed], pa.binary())], [key, "geometry"])
+
+    return df.select(key, *(c.alias(f"c{i}") for i, c in enumerate(flat))).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, geometry binary")
+
+
+def box_polygons(df: DataFrame, key: str) -> DataFrame:
+    return rings(df, key, ("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))
+
+
+def triangle_polygons(df: DataFrame, key: str) -> DataFrame:
+    """The lower left halves of boxes."""
+    return rings(df, key, ("x0", "y0"), ("x1", "y0"), ("x0", "y1"))
+
+
 def step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulation steps: episode, step from 1, value."""
     from pyspark.sql import Window

@@ -7,9 +7,13 @@ that holds the lower left corner of its intersection, which needs no distinct.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelspark.scratch import ship
+
 
 def cells(df: DataFrame, size: int, x0: str = "x0", y0: str = "y0", x1: str = "x1", y1: str = "y1") -> DataFrame:
     """One row for each grid cell that a box touches: cx, cy."""
@@ -82,32 +86,43 @@ def nearest_pixel(points: DataFrame, pixels: DataFrame, radius: int = 2, valid:
     return found.groupBy("key").agg(F.min(F.struct("d2", "row", "col", "z")).alias("b")).select("key", "b.z", "b.d2")
 
 
-def horn_slope(pixels: DataFrame, cell: float, strict_centre: bool) -> DataFrame:
+#: Cells along one side of a tile.
+TILE = 256
+
+
+def horn_slope(pixels: DataFrame, cell: float, strict_centre: bool, tile: int = TILE) -> DataFrame:
     """row, col, slope in degrees by the 3 x 3 Horn formula; outside cells repeat the edge, cells without data give null.
 
     strict_centre: a cell without data has no slope even if its neighbours have.
-    Each cell is sent to the nine cells that read it: one exchange on (row, col)
-    with partial sums instead of eight joins.
+    Cells go to square tiles, those at a tile's border also to the tiles beside it, so
+    an exchange carries little more than each cell once; a tile is one array.
     """
-    ends = pixels.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    valid = F.col("z") > 0
-    off = F.sequence(F.lit(-1), F.lit(1))
-    p = pixels.crossJoin(F.broadcast(ends))  # one row
-    reads = lambda c, lo, hi: F.filter(F.transform(off, lambda o: F.struct((F.col(c) + o).alias("at"), (-o).alias("side"))), lambda s: s["at"].between(F.col(lo), F.col(hi)))
-    # an edge cell stands in for the cell outside: it is read a second time as that side
-    edge = lambda c, lo, hi: F.concat(F.when(F.col(c) == F.col(lo), F.array(F.struct(F.col(c).alias("at"), F.lit(-1).alias("side")))).otherwise(F.array().cast("array<struct<at:bigint,side:int>>")), F.when(F.col(c) == F.col(hi), F.array(F.struct(F.col(c).alias("at"), F.lit(1).alias("side")))).otherwise(F.array().cast("array<struct<at:bigint,side:int>>")))
-    sent = p.withColumn("h", F.explode(F.concat(reads("row", "r0", "r1"), edge("row", "r0", "r1")))).withColumn("v", F.explode(F.concat(reads("col", "c0", "c1"), edge("col", "c0", "c1"))))
-    dr, dc = F.col("h.side"), F.col("v.side")
-    weight = lambda other: F.when(other == 0, 2).otherwise(1)
-    counted = (dr != 0) | (dc != 0) if not strict_centre else F.lit(True)
-    g = sent.groupBy(F.col("h.at").alias("row"), F.col("v.at").alias("col")).agg(
-        F.sum(F.when(valid, dc * weight(dr) * F.col("z"))).alias("gx"),
-        F.sum(F.when(valid, dr * weight(dc) * F.col("z"))).alias("gy"),
-        F.count_if(counted & ~valid).alias("bad"),
-        F.count("*").alias("n"),
-    )
-    slope = F.degrees(F.atan(F.sqrt(F.pow(F.col("gx") / (8 * cell), 2) + F.pow(F.col("gy") / (8 * cell), 2))))
-    return g.select("row", "col", F.when((F.col("bad") == 0) & (F.col("n") == 9), slope).alias("slope"))
+    r0, r1, c0, c1 = pixels.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()  # one row
+    near = lambda c: F.explode(F.array_distinct(F.array(F.floor((F.col(c) - 1) / tile), F.floor((F.col(c) + 1) / tile))))
+    dealt = pixels.select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("z").cast("double"), near("row").alias("tr")).withColumn("tc", near("col"))
+    ship(pixels.sparkSession)
+
+    def run(cells: pa.Table) -> pa.Table:
+        top, left = cells["tr"][0].as_py() * tile - 1, cells["tc"][0].as_py() * tile - 1
+        z = np.full((tile + 2, tile + 2), np.nan)
+        value = cells["z"].to_numpy(zero_copy_only=False)
+        row, col = cells["row"].to_numpy(), cells["col"].to_numpy()
+        z[row - top, col - left] = np.where(value > 0, value, np.nan)
+        # the edge of the grid stands in for what is outside
+        rows = np.clip(np.arange(top, top + tile + 2), r0, r1) - top
+        cols = np.clip(np.arange(left, left + tile + 2), c0, c1) - left
+        z = z[np.clip(rows, 0, tile + 1)][:, np.clip(cols, 0, tile + 1)]
+        part = lambda dr, dc: z[1 + dr : tile + 1 + dr, 1 + dc : tile + 1 + dc]
+        gx = sum(w * (part(d, 1) - part(d, -1)) for d, w in ((-1, 1), (0, 2), (1, 1)))
+        gy = sum(w * (part(1, d) - part(-1, d)) for d, w in ((-1, 1), (0, 2), (1, 1)))
+        slope = np.degrees(np.arctan(np.hypot(gx / (8 * cell), gy / (8 * cell))))
+        if strict_centre:
+            slope = np.where(np.isnan(part(0, 0)), np.nan, slope)
+        own = (row > top) & (row <= top + tile) & (col > left) & (col <= left + tile)
+        found = slope[row[own] - top - 1, col[own] - left - 1]
+        return pa.table([row[own], col[own], pa.array(found, mask=np.isnan(found))], names=["row", "col", "slope"])
+
+    return dealt.groupBy("tr", "tc").applyInArrow(run, "row long, col long, slope double")
 
 
 def gradient_slope(pixels: DataFrame, dx: float, dy: float) -> DataFrame:

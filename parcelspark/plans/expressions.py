@@ -240,10 +240,10 @@ def dbf_names(names: list[str]) -> list[str]:
     return out
 
 
-@query("SELECT l_orderkey AS long_field, l_linenumber AS long_fiel1, substr(repeat(l_returnflag, 300), 1, 254) AS text_field FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey AS long_field, l_linenumber AS long_fiel1, substr(repeat(l_returnflag, 300), 1, 254) AS text_field FROM lineitem")
 def dbf_schema_projection(spark: SparkSession, d: str) -> DataFrame:
     """Short unique names, text cut to 254 characters."""
-    df = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("long_field_a"), F.col("l_linenumber").alias("long_field_b"), F.repeat("l_returnflag", 300).alias("text_field"))
+    df = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("long_field_a"), F.col("l_linenumber").alias("long_field_b"), F.repeat("l_returnflag", 300).alias("text_field"))
     return df.select(*((F.substring(c, 1, 254) if t == "string" else F.col(c)).alias(n) for (c, t), n in zip(df.dtypes, dbf_names(df.columns), strict=True)))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelspark.domain import parcel, swap, table
 from parcelspark.functions import codes
-from parcelspark.operators import graph, metrics
+from parcelspark.operators import graph, metrics, order
 from parcelspark.plans.expressions import _CLASS
 from parcelspark.plans.registry import query
 
@@ -32,12 +32,17 @@ def block_features(spark: SparkSession, d: str) -> DataFrame:
 @query(", b AS (SELECT block, count(*) AS n, sum(area_m2) AS a FROM swap WHERE type_code > 0 GROUP BY block) SELECT count(*) AS blocks, min(n) AS n_min, median(n) AS n_median, max(n) AS n_max, min(a) AS area_min, median(a) AS area_median, max(a) AS area_max, sum(a) AS area_total, count(*) FILTER (a >= 66700) AS over_667, count(*) FILTER (a >= 333000) AS over_333 FROM b", "swap")
 def block_summary(spark: SparkSession, d: str) -> DataFrame:
     b = swap(spark, d).where("type_code > 0").groupBy("block").agg(F.count("*").alias("n"), F.sum("area_m2").alias("a"))
-    return b.agg(F.count("*").alias("blocks"), F.min("n").alias("n_min"), F.median("n").alias("n_median"), F.max("n").alias("n_max"), F.min("a").alias("area_min"), F.median("a").alias("area_median"), F.max("a").alias("area_max"), F.sum("a").alias("area_total"), F.count_if(F.col("a") >= 66700).alias("over_667"), F.count_if(F.col("a") >= 333000).alias("over_333"))
+    middle = order.median(b, "n", "n_median").crossJoin(order.median(b, "a", "area_median"))
+    return middle.crossJoin(_block_totals(b))
 
 
-@query("SELECT block, count(*) AS n, sum(area_m2) / 10000 AS ha FROM swap WHERE type_code > 0 AND bsm % 3 = 0 GROUP BY block HAVING count(*) >= 3 AND sum(area_m2) / 10000 >= 20.5", "swap")
+def _block_totals(b: DataFrame) -> DataFrame:
+    return b.agg(F.count("*").alias("blocks"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("a").alias("area_min"), F.max("a").alias("area_max"), F.sum("a").alias("area_total"), F.count_if(F.col("a") >= 66700).alias("over_667"), F.count_if(F.col("a") >= 333000).alias("over_333"))
+
+
+@query("SELECT block, count(*) AS n, sum(area_m2) / 10000 AS ha FROM swap WHERE type_code > 0 GROUP BY block HAVING count(*) >= 3 AND sum(area_m2) / 10000 >= 0.5", "swap")
 def block_having(spark: SparkSession, d: str) -> DataFrame:
-    return swap(spark, d).where("type_code > 0 AND bsm % 3 = 0").groupBy("block").agg(F.count("*").alias("n"), (F.sum("area_m2") / 10000).alias("ha")).where("n >= 3 AND ha >= 20.5")
+    return swap(spark, d).where("type_code > 0").groupBy("block").agg(F.count("*").alias("n"), (F.sum("area_m2") / 10000).alias("ha")).where("n >= 3 AND ha >= 0.5")
 
 
 @query(f"SELECT block, count(*) FILTER (type_code = 1 AND {_FREE}) AS farm_free, count(*) FILTER (type_code = 2 AND {_FREE}) AS forest_free FROM swap WHERE type_code > 0 GROUP BY block", "swap")
@@ -97,14 +102,47 @@ def township_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(b.groupBy("township").agg(F.count("*").alias("blocks"), F.sum("k").alias("swaps"), F.count_if(F.col("k") > 0).alias("invested"), F.coalesce(F.try_divide(F.sum("sa"), F.sum("fa")), F.lit(0.0)).alias("slope"), (F.sum("a") / 10000).alias("ha")))
 
 
-@query(", m AS (SELECT " + _W.format("type_code = 1") + " AS slope, count(*) FILTER (type_code = 1) AS nf, count(*) FILTER (swapped) AS sw, min(slope_mean) AS lo, max(slope_mean) AS hi, count(DISTINCT block) AS nb, count(DISTINCT block) FILTER (swapped) AS inv FROM swap WHERE type_code > 0), c AS (SELECT count(*) AS e FROM edge WHERE ts = 1 AND td = 1) SELECT round(1 - sw / 2 / 1e5, 6) AS g0, round((slope - lo) / (hi - lo + 1e-8), 6) AS g1, round(e / greatest(nf, 1) / 10, 6) AS g2, round(sw / 2 / 1e5, 6) AS g3, round(inv / nb, 6) AS g8 FROM m, c", "edge")
+_PATCH = "{n}(id, l) USING KEY (id) AS (SELECT bsm, bsm FROM swap WHERE {k} = 1 UNION SELECT e.dst, min(c.l) FROM {n} c JOIN edge e ON e.src = c.id JOIN swap a ON a.bsm = e.src JOIN swap b ON b.bsm = e.dst JOIN recurring.{n} o ON o.id = e.dst WHERE {ka} = 1 AND {kb} = 1 AND c.l < o.l GROUP BY e.dst)"
+_KIND = {"now": "{t}type_code", "was": "CASE WHEN {t}type_code > 0 AND {t}swapped THEN 3 - {t}type_code ELSE {t}type_code END"}
+
+
+def _global_sql() -> str:
+    """The twelve entries from scratch: state now, and the state before the swaps (swapped parcels with the other type)."""
+    kind = lambda which, t="": _KIND[which].format(t=t)
+    cc = _PATCH.format(n="cc", k=kind("now"), ka=kind("now", "a."), kb=kind("now", "b."))
+    state = lambda name, which: f"{name} AS (SELECT sum(slope_mean * area_m2) FILTER ({kind(which)} = 1) / greatest(sum(area_m2) FILTER ({kind(which)} = 1), 1e-8) AS slope, count(*) FILTER ({kind(which)} = 1) AS nf, sum(area_m2) FILTER ({kind(which)} = 1) AS area FROM swap WHERE type_code > 0)"
+    links = lambda name, which: f"{name} AS (SELECT count(*) AS e FROM edge JOIN swap a ON a.bsm = src JOIN swap b ON b.bsm = dst WHERE {kind(which, 'a.')} = 1 AND {kind(which, 'b.')} = 1)"
+    patch = "pt AS (SELECT count(*) FILTER (area >= 66700) AS k, coalesce(sum(area) FILTER (area >= 66700), 0) AS a FROM (SELECT l, sum(area_m2) AS area FROM cc JOIN swap ON bsm = id GROUP BY l))"
+    rest = "r AS (SELECT min(slope_mean) AS lo, max(slope_mean) AS hi, count(*) FILTER (swapped) / 2 AS sw, count(DISTINCT block) AS nb, count(DISTINCT block) FILTER (swapped) AS inv, count(DISTINCT township) AS nt FROM swap WHERE type_code > 0)"
+    town = "q AS (SELECT k / sum(k) OVER () AS q FROM (SELECT township, count(*) AS k FROM swap WHERE type_code > 0 AND swapped GROUP BY township)), qs AS (SELECT -sum(q * ln(q)) AS h, max(q) AS top FROM q)"
+    entries = ["1 - sw / 1e5", "(n.slope - lo) / (hi - lo + 1e-8)", "ne.e / greatest(n.nf, 1) / 10", "sw / 1e5", "(w.slope - n.slope) / (abs(w.slope) + 1e-8)"]
+    entries += ["(ne.e / greatest(n.nf, 1) - we.e / greatest(w.nf, 1)) / (abs(we.e / greatest(w.nf, 1)) + 1e-8)", "pt.k / greatest(nb / 10, 1)", "pt.a / greatest(n.area, 1e-8)", "inv / nb"]
+    entries += ["CASE WHEN nt > 1 THEN coalesce(h, 0) / (ln(nt) + 1e-8) ELSE 0 END", "0.0::DOUBLE", "coalesce(top, 0)"]
+    named = ", ".join(f"round({x}, 6) AS g{i}" for i, x in enumerate(entries))
+    return f", {cc}, {patch}, {state('n', 'now')}, {state('w', 'was')}, {links('ne', 'now')}, {links('we', 'was')}, {rest}, {town} SELECT {named} FROM n, w, ne, we, pt, r, qs"
+
+
+@query(_global_sql(), "edge")
 def global_features(spark: SparkSession, d: str) -> DataFrame:
-    """The county observation's entries that need no history; steps are swaps / 2 of 100 000."""
-    s = swap(spark, d).where("type_code > 0")
-    m = s.agg(metrics.weighted("slope_mean", "area_m2", metrics.is_farm()).alias("slope"), F.count_if(metrics.is_farm()).alias("nf"), F.count_if("swapped").alias("sw"), F.min("slope_mean").alias("lo"), F.max("slope_mean").alias("hi"), F.countDistinct("block").alias("nb"), F.countDistinct(F.when(F.col("swapped"), F.col("block"))).alias("inv"))
-    e = graph.queen_edges(s.where("type_code = 1")).agg(F.count("*").alias("e"))
-    used = F.col("sw") / 2 / 1e5
-    return _rounded(m.crossJoin(e).select((1 - used).alias("g0"), ((F.col("slope") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-8)).alias("g1"), (F.col("e") / F.greatest("nf", F.lit(1)) / 10).alias("g2"), used.alias("g3"), (F.col("inv") / F.col("nb")).alias("g8")))
+    """The county observation: twelve entries; before its swaps a swapped parcel had the other type, steps are swaps / 2 of 100 000."""
+    s = swap(spark, d).where("type_code > 0").withColumn("was", F.when(F.col("swapped"), 3 - F.col("type_code")).otherwise(F.col("type_code")))
+    farm, was = metrics.is_farm(), F.col("was") == 1
+    m = s.agg(metrics.weighted("slope_mean", "area_m2", farm).alias("slope"), metrics.weighted("slope_mean", "area_m2", was).alias("slope0"), F.count_if(farm).alias("nf"), F.count_if(was).alias("nf0"), F.sum(F.when(farm, F.col("area_m2"))).alias("area"), F.count_if("swapped").alias("sw"), F.min("slope_mean").alias("lo"), F.max("slope_mean").alias("hi"), F.countDistinct("block").alias("nb"), F.countDistinct(F.when(F.col("swapped"), F.col("block"))).alias("inv"), F.countDistinct("township").alias("nt"))
+    edges = _edges(spark, d)
+    k = lambda side: s.select(F.col("bsm").alias(side), F.col("was").alias(f"{side}_was"))
+    both = edges.join(k("src"), "src").join(k("dst"), "dst")
+    e = both.agg(F.count_if((F.col("ts") == 1) & (F.col("td") == 1)).alias("e"), F.count_if((F.col("src_was") == 1) & (F.col("dst_was") == 1)).alias("e0"))
+    big = F.col("area") >= 66700
+    p = graph.patches(s, edges).agg(F.count_if(big).alias("pk"), F.coalesce(F.sum(F.when(big, F.col("area"))), F.lit(0.0)).alias("pa"))
+    towns = s.where("swapped").groupBy("township").agg(F.count("*").alias("k"))
+    q = towns.crossJoin(F.broadcast(towns.agg(F.sum("k").alias("t")))).select((F.col("k") / F.col("t")).alias("q"))  # one row
+    q = q.agg((-F.sum(F.col("q") * F.log("q"))).alias("h"), F.coalesce(F.max("q"), F.lit(0.0)).alias("top"))
+    used, c = F.col("sw") / 2 / 1e5, F.col
+    cont, cont0 = c("e") / F.greatest("nf", F.lit(1)), c("e0") / F.greatest("nf0", F.lit(1))
+    spread = F.when(c("nt") > 1, F.coalesce("h", F.lit(0.0)) / (F.log(c("nt")) + 1e-8)).otherwise(0.0)
+    g = [1 - used, (c("slope") - c("lo")) / (c("hi") - c("lo") + 1e-8), cont / 10, used, (c("slope0") - c("slope")) / (F.abs("slope0") + 1e-8), (cont - cont0) / (F.abs(cont0) + 1e-8), c("pk") / F.greatest(c("nb") / 10, F.lit(1)), c("pa") / F.greatest(c("area"), F.lit(1e-8)), c("inv") / c("nb"), spread, F.lit(0.0), c("top")]
+    one = m.crossJoin(e).crossJoin(p).crossJoin(q)  # one row each
+    return one.select(*(F.round(x, 6).alias(f"g{i}") for i, x in enumerate(g)))
 
 
 _PAIR = f", nb AS (SELECT src AS bsm, count(*) FILTER (td = 1) AS k FROM edge GROUP BY src), x AS (SELECT s.*, coalesce(k, 0) AS k FROM swap s LEFT JOIN nb USING (bsm) WHERE type_code > 0 AND {_FREE}), f AS (SELECT block, bsm AS farm, slope_mean AS v, row_number() OVER (PARTITION BY block ORDER BY slope_mean - 0.5 * k DESC, bsm) AS r FROM x WHERE type_code = 1), t AS (SELECT block, bsm AS forest, slope_mean AS u, row_number() OVER (PARTITION BY block ORDER BY slope_mean - 1.0 * k, bsm) AS r FROM x WHERE type_code = 2), pair AS (SELECT f.block, farm, forest, v - u AS gain FROM f JOIN t ON f.block = t.block AND f.r = 1 AND t.r = 1 WHERE v > u)"
@@ -181,7 +219,7 @@ def median_fill(spark: SparkSession, d: str) -> DataFrame:
     """Missing and NaN slopes take the median of the finite ones."""
     v = parcel(spark, d).select("bsm", F.when(F.col("bsm") % 22 == 0, float("nan")).when(F.col("bsm") % 11 == 0, None).otherwise(F.col("slope_mean")).alias("raw"))
     v = v.select("bsm", F.when(~F.isnan("raw"), F.col("raw")).alias("s"))
-    return v.crossJoin(F.broadcast(v.agg(F.median("s").alias("m")))).select("bsm", F.round(F.coalesce("s", "m"), 6).alias("slope"))
+    return v.crossJoin(F.broadcast(order.median(v, "s", "m"))).select("bsm", F.round(F.coalesce("s", "m"), 6).alias("slope"))
 
 
 @query(", r AS (SELECT block, count(*) AS n, max(slope_mean) AS top FROM swap WHERE type_code = 1 GROUP BY block) SELECT block, round(top, 6) AS top, n FROM r ORDER BY top DESC, block LIMIT 50", "swap")
@@ -199,7 +237,7 @@ def argmax_first(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT round(median(s), 6) AS median_std, count(*) AS states FROM (SELECT stddev_pop(value) AS s FROM events GROUP BY user_id)")
 def reward_std_median(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "events").groupBy("user_id").agg(F.stddev_pop("value").alias("s"))
-    return _rounded(s.agg(F.median("s").alias("median_std"), F.count("*").alias("states")))
+    return _rounded(order.median(s, "s", "median_std").crossJoin(s.agg(F.count("*").alias("states"))))
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS sd, round((avg(v) / any_value(base) - 1) * 100, 4) AS uplift_pct FROM (SELECT event_type, user_id, sum(value) AS v FROM events GROUP BY ALL), (SELECT avg(v) AS base FROM (SELECT sum(value) AS v FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY user_id)) GROUP BY event_type")

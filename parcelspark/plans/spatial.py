@@ -134,11 +134,10 @@ def cross_township_edges(spark: SparkSession, d: str) -> DataFrame:
     return e.agg((F.count("*") / 2).cast("long").alias("parcels"), F.countDistinct(F.when(F.col("ba") != F.col("bb"), F.least("ba", "bb") * 1000000 + F.greatest("ba", "bb"))).alias("blocks"))
 
 
-@query("SELECT src, dst FROM edge WHERE src < 2000 UNION SELECT a.src, b.dst FROM edge a JOIN edge b ON a.dst = b.src WHERE a.src <> b.dst AND a.src < 2000", "edge")
+@query("SELECT src, dst FROM edge UNION SELECT a.src, b.dst FROM edge a JOIN edge b ON a.dst = b.src WHERE a.src <> b.dst", "edge")
 def two_hop(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbourhoods of one township's parcels."""
-    e = _edges(spark, d)
-    return graph.two_hop(e).where("src < 2000")
+    """Neighbourhoods of all parcels."""
+    return graph.two_hop(_edges(spark, d))
 
 
 @query(", m AS (SELECT count(*) AS n, sum(area_m2) AS area, sum(slope_mean * area_m2) AS sa FROM swap WHERE type_code = 1) SELECT n, area, round(sa / greatest(area, 1e-8), 6) AS slope, round((SELECT count(*) FROM edge WHERE ts = 1 AND td = 1) / greatest(n, 1), 6) AS contiguity FROM m", "edge")
