@@ -239,13 +239,16 @@ def overlap_area(shape: Polygons, others: list[Polygons]) -> float:
     lo, hi = own[:, 0].min(), own[:, 2].max()
     every = np.concatenate([own, *covers])
     every = every[(every[:, 0] < hi) & (every[:, 2] > lo)]
+    # edges wholly above or below the shape bound no height inside it, so that their crossings cut no slabs
+    ends, low, high = every[:, [0, 2]].ravel(), own[:, [1, 3]].min(), own[:, [1, 3]].max()
+    every = every[(np.maximum(every[:, 1], every[:, 3]) >= low) & (np.minimum(every[:, 1], every[:, 3]) <= high)]
     slope = (every[:, 3] - every[:, 1]) / (every[:, 2] - every[:, 0])
     base = every[:, 1] - slope * every[:, 0]
     ds = slope[:, None] - slope[None, :]
     with np.errstate(divide="ignore", invalid="ignore"):
         cross = (base[None, :] - base[:, None]) / ds
     ok = (ds != 0) & (cross > np.maximum(every[:, None, 0], every[None, :, 0])) & (cross < np.minimum(every[:, None, 2], every[None, :, 2]))
-    xs = np.unique(np.concatenate([every[:, 0], every[:, 2], cross[ok], [lo, hi]]))
+    xs = np.unique(np.concatenate([ends, cross[ok], [lo, hi]]))
     xs = xs[(xs >= lo) & (xs <= hi)]
     total = 0.0
     for a, b in zip(xs, xs[1:], strict=False):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,11 +43,16 @@ def boxed(df: DataFrame, key: str) -> DataFrame:
 
 
 def candidates(parcels: DataFrame, zones: DataFrame, size: float) -> DataFrame:
-    """bsm, zone_id, geometry, other of every pair whose boxes share land, each once."""
-    a, b = cells(parcels, size).alias("l"), cells(zones, size).alias("r")
+    """bsm, zone_id, geometry, other of every pair whose boxes share land, each once.
+
+    Pairs are found by their keys and boxes; outlines are fetched for the pairs that are left.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    a, b = cells(parcels.select("bsm", *box), size).alias("l"), cells(zones.select("zone_id", *box), size).alias("r")
     home = (F.floor(F.greatest("l.x0", "r.x0") / size) == F.col("l.cx")) & (F.floor(F.greatest("l.y0", "r.y0") / size) == F.col("l.cy"))
     meet = (F.col("l.x0") < F.col("r.x1")) & (F.col("r.x0") < F.col("l.x1")) & (F.col("l.y0") < F.col("r.y1")) & (F.col("r.y0") < F.col("l.y1"))
-    return a.join(b, (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy"))).where(home & meet).select("l.bsm", "r.zone_id", F.col("l.geometry").alias("geometry"), F.col("r.geometry").alias("other"))
+    pairs = a.join(b, (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy"))).where(home & meet).select("l.bsm", "r.zone_id")
+    return pairs.join(parcels.select("bsm", "geometry"), "bsm").join(zones.select("zone_id", F.col("geometry").alias("other")), "zone_id").select("bsm", "zone_id", "geometry", "other")
 
 
 def _areas(pairs: DataFrame, keys: list[str], schema: str) -> DataFrame:
@@ -118,21 +124,23 @@ def polygon_slope(parcels: DataFrame, pixels: DataFrame, pixel_size: float, orig
     own = boxed(parcels, "bsm")
     centre = pixels.where("z IS NOT NULL").select("row", "col", "z", (x0 + (F.col("col") + 0.5) * pixel_size).alias("px"), (y0 - (F.col("row") + 0.5) * pixel_size).alias("py"))
     spot = centre.withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)})
-    near = cells(own, cell).join(spot, ["cx", "cy"]).where("px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1").select("bsm", "geometry", "row", "col", "z", "px", "py")
+    box = cells(own.select("bsm", "x0", "y0", "x1", "y1"), cell)
+    near = box.join(spot, ["cx", "cy"]).where("px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1")
+    # one row per parcel: the cells in its box, which its own size bounds
+    listed = near.groupBy("bsm").agg(F.collect_list(F.struct("row", "col", "z", "px", "py")).alias("cells")).join(own.select("bsm", "geometry"), "bsm")
     kind = dict(own.dtypes)["bsm"]
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shapes: dict[bytes, G.Polygons] = {}
-            keep = []
-            for i, (g, x, y) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 5, 6)), strict=True)):
-                if g not in shapes:
-                    shapes[g] = G.from_wkb(g)
-                if G.contains(shapes[g], x, y):
-                    keep.append(i)
-            yield b.select([0, 2, 3, 4]).take(pa.array(keep, pa.int64()))
-
-    hits = near.mapInArrow(inside, f"bsm {kind}, row long, col long, z double")
+            for i, raw in enumerate(b.column(2).to_pylist()):
+                c = b.column(1)[i].values
+                keep = G.contains_all(G.from_wkb(raw), np.stack([c.field("px").to_numpy(), c.field("py").to_numpy()], 1))
+                n = int(keep.sum())
+                if n:
+                    held = pa.array(keep)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], n), *(c.field(k).filter(held) for k in ("row", "col", "z"))], ["bsm", "row", "col", "z"])
+
+    hits = listed.select("bsm", "cells", "geometry").mapInArrow(inside, f"bsm {kind}, row long, col long, z double")
     hits = hits.groupBy("row", "col").agg(F.max("bsm").alias("bsm"), F.first("z").alias("z"))  # the later parcel takes a cell
     stats = hits.groupBy("bsm").agg(F.avg("z").alias("slope_mean"), F.max("z").alias("slope_max"), F.count("*").alias("slope_pixel_count"))
 

@@ -34,9 +34,17 @@ def two_hop(edges: DataFrame) -> DataFrame:
     return e.unionByName(far).distinct()
 
 
-def patches(parcels: DataFrame, edges: DataFrame) -> DataFrame:
-    """root, area, n of each contiguous patch of farmland (single parcels too)."""
-    farm = parcels.where("type_code = 1").select("bsm", "area_m2")
-    roots = components(edges.where("ts = 1 AND td = 1").select("src", "dst"))
-    joined = farm.join(roots.withColumnRenamed("node", "bsm"), "bsm", "left").withColumn("root", F.coalesce("root", "bsm"))
-    return joined.groupBy("root").agg(F.sum("area_m2").alias("area"), F.count("*").alias("n"))
+def links(parcels: DataFrame) -> DataFrame:
+    """src, dst: at each corner the smallest parcel and every other one; enough to join what touches."""
+    corner = F.explode(F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in ("x0", "x1") for y in ("y0", "y1"))))
+    at = parcels.select("bsm", corner.alias("c")).groupBy("c").agg(F.collect_list("bsm").alias("ps"))
+    return at.where(F.size("ps") > 1).select(F.explode("ps").alias("src"), F.array_min("ps").alias("dst")).where("src <> dst")
+
+
+def patches(parcels: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """root, area, n of each contiguous patch of farmland (single parcels too); edges: those of the parcels, if they are known."""
+    farm = parcels.where("type_code = 1")
+    joined = links(farm) if edges is None else edges.where("ts = 1 AND td = 1 AND src < dst").select("src", "dst")
+    roots = components(joined)
+    placed = farm.select("bsm", "area_m2").join(roots.withColumnRenamed("node", "bsm"), "bsm", "left").withColumn("root", F.coalesce("root", "bsm"))
+    return placed.groupBy("root").agg(F.sum("area_m2").alias("area"), F.count("*").alias("n"))

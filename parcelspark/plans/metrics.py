@@ -133,7 +133,7 @@ def global_features(spark: SparkSession, d: str) -> DataFrame:
     both = edges.join(k("src"), "src").join(k("dst"), "dst")
     e = both.agg(F.count_if((F.col("ts") == 1) & (F.col("td") == 1)).alias("e"), F.count_if((F.col("src_was") == 1) & (F.col("dst_was") == 1)).alias("e0"))
     big = F.col("area") >= 66700
-    p = graph.patches(s, edges).agg(F.count_if(big).alias("pk"), F.coalesce(F.sum(F.when(big, F.col("area"))), F.lit(0.0)).alias("pa"))
+    p = graph.patches(s).agg(F.count_if(big).alias("pk"), F.coalesce(F.sum(F.when(big, F.col("area"))), F.lit(0.0)).alias("pa"))
     towns = s.where("swapped").groupBy("township").agg(F.count("*").alias("k"))
     q = towns.crossJoin(F.broadcast(towns.agg(F.sum("k").alias("t")))).select((F.col("k") / F.col("t")).alias("q"))  # one row
     q = q.agg((-F.sum(F.col("q") * F.log("q"))).alias("h"), F.coalesce(F.max("q"), F.lit(0.0)).alias("top"))

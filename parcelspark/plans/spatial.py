@@ -154,7 +154,7 @@ def baimu_fang(spark: SparkSession, d: str) -> DataFrame:
     """Contiguous farmland of at least 66 700 square metres."""
     s = swap(spark, d)
     big = F.col("area") >= 66700
-    return graph.patches(s, _edges(spark, d)).agg(F.count_if(big).alias("patches"), F.coalesce(F.sum(F.when(big, F.col("area"))), F.lit(0.0)).alias("area"), F.count("*").alias("components"))
+    return graph.patches(s).agg(F.count_if(big).alias("patches"), F.coalesce(F.sum(F.when(big, F.col("area"))), F.lit(0.0)).alias("area"), F.count("*").alias("components"))
 
 
 @query("SELECT u.unit_id, v.unit_id AS downstream FROM unit u JOIN unit v ON (v.row = u.row + 1 AND v.col = u.col) OR (v.row = u.row AND v.col = u.col + 1)", "unit")
