@@ -83,8 +83,33 @@ def _batch(names: str, *cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names.split())
 
 
-def count_rows(rows: DataFrame, orders: range, part: int = 0, parts: int = 1, id_col: str = "key", text_col: str = "text") -> DataFrame:
-    """(hash, n): occurrences of n-grams of the given orders, summed over each batch of documents."""
+#: Distinct short texts up to which only their n-grams are counted at the lower orders.
+MAX_SHORT = 100_000
+
+
+def short_grams(rows: DataFrame, order: int) -> np.ndarray | None:
+    """Sorted hashes of the texts of fewer than order - 1 words: all that the lower orders are asked for; None if they are too many to hold."""
+    if order < 3:
+        return np.zeros(0, K.U)
+    prepare(rows.sparkSession)
+    blank = r"[\x20\x09-\x0D]"
+    few = rows.where(F.col("text").rlike(f"^{blank}*([^\\x20\\x09-\\x0D]+{blank}+){{0,{order - 3}}}[^\\x20\\x09-\\x0D]+{blank}*$"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, h, r in _words(batches):
+            pos, size = _positions(r, len(key))
+            for k, g in enumerate(grams(h, r, order - 2), 1):
+                yield _batch("hash", g[(size == k) & (pos == k - 1)].view(np.int64))
+
+    found = few.select("key", "text").mapInArrow(run, "hash long").distinct().limit(MAX_SHORT + 1).toPandas()["hash"].to_numpy(np.int64)
+    return np.sort(found.view(K.U)) if len(found) <= MAX_SHORT else None
+
+
+def count_rows(rows: DataFrame, orders: range, part: int = 0, parts: int = 1, id_col: str = "key", text_col: str = "text", low: np.ndarray | None = None) -> DataFrame:
+    """(hash, n): occurrences of n-grams of the given orders, summed over each batch of documents.
+
+    low: the only hashes that are wanted below the two highest orders (None: all).
+    """
     prepare(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,6 +120,8 @@ def count_rows(rows: DataFrame, orders: range, part: int = 0, parts: int = 1, id
                 for k, g in enumerate(grams(h, r, max(orders)), 1):
                     if k in orders:
                         g = g[pos >= k - 1]
+                        if low is not None and k < max(orders) - 1:
+                            g = g[low[np.minimum(np.searchsorted(low, g), len(low) - 1)] == g] if len(low) else g[:0]
                         some.append(g[_part(g, parts) == part])
             h, n = np.unique(np.concatenate(some), return_counts=True) if some else (np.zeros(0, K.U), np.zeros(0, np.int64))
             yield _batch("hash n", h.view(np.int64), n)
@@ -102,9 +129,9 @@ def count_rows(rows: DataFrame, orders: range, part: int = 0, parts: int = 1, id
     return rows.select(id_col, text_col).mapInArrow(run, "hash long, n long")
 
 
-def count_table(rows: DataFrame, orders: range, part: int = 0, parts: int = 1, id_col: str = "key", text_col: str = "text") -> DataFrame:
+def count_table(rows: DataFrame, orders: range, part: int = 0, parts: int = 1, id_col: str = "key", text_col: str = "text", low: np.ndarray | None = None) -> DataFrame:
     """(hash, n): occurrences in the whole corpus, partitioned by hash."""
-    return count_rows(rows, orders, part, parts, id_col, text_col).groupBy("hash").agg(F.sum("n").alias("n"))
+    return count_rows(rows, orders, part, parts, id_col, text_col, low).groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def signed_rows(rows: DataFrame, order: int, part: int, parts: int) -> DataFrame:
@@ -131,11 +158,12 @@ def signed_rows(rows: DataFrame, order: int, part: int, parts: int) -> DataFrame
 def lm_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", slices: int = 3) -> DataFrame:
     """doc_id, n_words, log_score and its mean per word for every whole text of a corpus."""
     rows = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    used = range(1, order + 1)  # lower orders than order - 1 count for texts of so few words
+    # lower orders than order - 1 count for texts of so few words only
+    used, low = range(1, order + 1), short_grams(rows, order)
     code, sums = F.col("code"), None
     for part in range(slices):
         # the table is the hashed side: a row per distinct n-gram of this part, over all partitions of the exchange
-        joined = signed_rows(rows, order, part, slices).join(count_table(rows, used, part, slices).hint("shuffle_hash"), "hash")
+        joined = signed_rows(rows, order, part, slices).join(count_table(rows, used, part, slices, low=low).hint("shuffle_hash"), "hash")
         own = stash(joined.groupBy("key").agg(F.sum(F.when(code < 0, -F.log("n")).otherwise(F.log("n"))).alias("z"), F.sum(F.greatest(code - 2, F.lit(0))).alias("words"), F.count_if(code >= 2).alias("copies")), "lm-sums")
         sums = own if sums is None else sums.unionByName(own)
     summed = stash(sums.groupBy("key").agg(F.sum("z").alias("z"), F.sum("words").alias("words"), F.sum("copies").alias("copies")), "lm-documents")
