@@ -22,13 +22,44 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--reward-profile")
         if name == "run-full":
             p.add_argument("--dry-run", action="store_true")
+    p = sub.add_parser("fuse", help="four sources, or parcels and elevation, into one layer")
+    for name in ("parcels", "dem"):
+        p.add_argument(name)
+    p.add_argument("out", help="GeoPackage to write")
+    p.add_argument("--epsg", type=int, required=True)
+    for name in ("pdt", "eco", "pbf"):
+        p.add_argument(f"--{name}")
+    for name in ("parcels", "pdt", "eco", "pbf"):
+        p.add_argument(f"--{name}-layer")
+    p = sub.add_parser("list-layers")
+    p.add_argument("path")
     return out
 
 
+def _sources(args: argparse.Namespace) -> int:
+    """The commands on source files."""
+    from pyspark.sql import SparkSession
+
+    from parcelspark import fuse
+    from parcelspark.sources import files
+
+    spark = SparkSession.builder.getOrCreate()
+    if args.command == "list-layers":
+        for r in files.list_layers(spark, args.path).collect():
+            print(json.dumps(r.asDict(), ensure_ascii=False))
+        return 0
+    given = {k: getattr(args, k) for k in ("parcels", "dem", *fuse.ZONES) if getattr(args, k)}
+    chosen = {k: name for k in ("parcels", *fuse.ZONES) if (name := getattr(args, f"{k}_layer"))}
+    fuse.write_fused(fuse.fuse_files(spark, given, chosen), args.out, args.epsg)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     from parcelspark import config as C
 
     args = parser().parse_args(argv)
+    if args.command in ("fuse", "list-layers"):
+        return _sources(args)
     try:
         config = C.validate(C.load(args.config))
         if args.command == "render":
