@@ -309,7 +309,7 @@ def _per_document(spans: DataFrame) -> DataFrame:
     return side(spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), 8 * spans.count())
 
 
-def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = 32, bucket_rows: int = 600_000, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 21) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = 32, bucket_rows: int = 600_000, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every whole text. block: bytes of a long text at a time."""
     if not 8 <= gram <= width:
         raise ValueError("gram must hold the 8 leading bytes and fit into the width")

@@ -112,7 +112,7 @@ def test_suffix_dedup_of_long_texts(spark):
     rnd = np.random.default_rng(5)
     letters = lambda n: rnd.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
     x, y = letters(5_000_000), letters(300)
-    x = x[: (1 << 21) - 150] + y + x[(1 << 21) + 150 :]
+    x = x[: (1 << 20) - 150] + y + x[(1 << 20) + 150 :]
     z = letters(2_500_000) + x[3_000_000:3_000_500] + y + letters(10)
     got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(frame(spark, [(1, x), (2, z)])).collect()}
     assert got[1].n_removed == 0 and (got[2].n_removed, got[2].n_spans) == (800, 1)
