@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.llm import exact_dedup, fill_middle, langid, lm_scores, mixing, ngram_join, packing, simhash, suffix_dedup, token_counts, toxicity
+from parcelspark.llm import conversation_trie, exact_dedup, fill_middle, langid, lm_scores, mixing, ngram_join, packing, simhash, suffix_dedup, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +59,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.fill_in_middle(_documents(spark, sf_dir)))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL, "op6_lm_scores": lm_scores.SQL, "op11_fill_in_middle": fill_middle.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op6_lm_scores": lm_scores.SQL, "op11_fill_in_middle": fill_middle.SQL, "op12_conversation_trie": conversation_trie.SQL}
