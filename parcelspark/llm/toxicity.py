@@ -18,7 +18,8 @@ ones alike. Scoring covers every whole text.
 Defined cases: null and empty texts get the score of a text without known terms;
 without any positive every score is 0; where every training text has a label all
 of them, without regard to it, are the unlabelled rest; null labels are no labels; a document
-with any label 1 is a positive. Other input columns are ignored.
+with any label 1 is a positive; an identifier with several rows is learned from by one
+of its texts. Other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -141,6 +142,21 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], n_terms: int, prior:
     return w[:-1], float(w[-1])
 
 
+def training_rows(docs: DataFrame, marks: DataFrame, train_on: Column, id_col: str, text_col: str, max_pos: int, max_unl: int) -> DataFrame:
+    """p (1: positive, 0: unlabelled) and text of at most max_pos + max_unl identifiers, one row each; marks: doc_id, y."""
+    # an identifier counts once, however many rows it has
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where(train_on & F.col("doc_id").isNotNull()).distinct()
+    pick = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    rest = ids.join(marks, "doc_id", "left_anti")
+    if rest.isEmpty():
+        rest = ids  # every text has a label; all of them, without regard to it, stand for the unlabelled
+    # two samples of documented size: at most max_pos + max_unl identifiers
+    sample = pick(marks.where("y = 1").select("doc_id"), max_pos).withColumn("p", F.lit(1)).unionByName(pick(rest, max_unl).withColumn("p", F.lit(0)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    # and brings one text, the first by hash; pre-aggregated, so that its rows do not meet in one task
+    return rows.groupBy("doc_id", "p").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("p", "text")
+
+
 def train(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_pos: int = 3000, max_unl: int = 6000, max_terms: int = 8192, min_docs: int = 4) -> Model:
     """train_on: which identifiers (column doc_id) may be learned from, labels and texts."""
     spark = docs.sparkSession
@@ -151,14 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: str = "d
     if not share:
         return Model(np.zeros(0, K.U), np.zeros(0), -60.0)
     prior = min(max(float(share), 1e-3), 0.9)
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where(train_on & F.col("doc_id").isNotNull())
-    pick = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    rest = ids.join(marks, "doc_id", "left_anti")
-    if rest.isEmpty():
-        rest = ids.distinct()  # every text has a label; all of them, without regard to it, stand for the unlabelled
-    # two samples of documented size: at most max_pos + max_unl identifiers
-    sample = pick(marks.where("y = 1").select("doc_id"), max_pos).withColumn("p", F.lit(1)).unionByName(pick(rest, max_unl).withColumn("p", F.lit(0)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("p", "text")
+    rows = training_rows(docs, marks, train_on, id_col, text_col, max_pos, max_unl)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -375,6 +375,18 @@ def test_prefixes_are_whole_characters():
     assert set(h.tolist()) == want
 
 
+def test_toxicity_learns_from_each_identifier_once(spark):
+    """Ten thousand rows of one unlabelled and of one labelled identifier."""
+    from pyspark.sql import functions as F
+
+    hot = spark.range(20_000).selectExpr("id % 2 AS doc_id", "concat('word ', id) AS text")
+    docs = hot.unionByName(spark.range(2, 300).selectExpr("id AS doc_id", "concat('some text ', id) AS text"))
+    labels = spark.createDataFrame([(1, 1), *((i, int(i % 4 == 0)) for i in range(2, 100))], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels.withColumnRenamed("toxic", "y"), F.lit(True), "doc_id", "text", 10, 150).groupBy("p").count().collect()
+    assert {r.p: r["count"] for r in rows} == {1: 10, 0: 150}
+    assert toxicity.score(docs, toxicity.train(docs, labels, F.lit(True))).count() == docs.count()
+
+
 def test_toxicity_of_unlike_texts_of_one_identifier(spark):
     rnd = random.Random(4)
     rows = [(i, " ".join(rnd.choices([f"plain{j}" for j in range(80)], k=30) + ["vile", "foul", "nasty"] * (i % 10 == 0))) for i in range(600)]
