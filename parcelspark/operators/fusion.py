@@ -1,7 +1,8 @@
 """Authority fusion: parcels with slope, slope-class, protection overlaps, locks and review flags.
 
-Geometry is WKB in a metric CRS. Pairs of parcels and zones come from an equi-join on
-grid cells of their boxes; exact areas are computed per parcel in Arrow batches.
+Geometry is WKB in a metric CRS. Parcels and zones meet as their parts in grid cells
+(`cellindex`), so a pair reads the outlines of one cell only; a cell size that is a power
+of two keeps cell numbers exact.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from parcelspark.functions import codes
 from parcelspark.functions import geometry as G
-from parcelspark.operators.overlay import cells
+from parcelspark.operators import cellindex, polygons
+from parcelspark.operators.overlay import nearest_pixel
 from parcelspark.scratch import ship
 
 #: Columns that fusion adds, in order.
@@ -42,48 +44,20 @@ def boxed(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, "geometry").mapInArrow(run, f"{key} {kind}, geometry binary, area double, x0 double, y0 double, x1 double, y1 double")
 
 
-def candidates(parcels: DataFrame, zones: DataFrame, size: float) -> DataFrame:
-    """bsm, zone_id, geometry, other of every pair whose boxes share land, each once.
-
-    Pairs are found by their keys and boxes; outlines are fetched for the pairs that are left.
-    """
-    box = ["x0", "y0", "x1", "y1"]
-    a, b = cells(parcels.select("bsm", *box), size).alias("l"), cells(zones.select("zone_id", *box), size).alias("r")
-    home = (F.floor(F.greatest("l.x0", "r.x0") / size) == F.col("l.cx")) & (F.floor(F.greatest("l.y0", "r.y0") / size) == F.col("l.cy"))
-    meet = (F.col("l.x0") < F.col("r.x1")) & (F.col("r.x0") < F.col("l.x1")) & (F.col("l.y0") < F.col("r.y1")) & (F.col("r.y0") < F.col("l.y1"))
-    pairs = a.join(b, (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy"))).where(home & meet).select("l.bsm", "r.zone_id")
-    return pairs.join(parcels.select("bsm", "geometry"), "bsm").join(zones.select("zone_id", F.col("geometry").alias("other")), "zone_id").select("bsm", "zone_id", "geometry", "other")
-
-
-def _areas(pairs: DataFrame, keys: list[str], schema: str) -> DataFrame:
-    """keys and area of geometry that the list `others` covers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(keys)
-        for b in batches:
-            area = [G.overlap_area(G.from_wkb(g), [G.from_wkb(x) for x in o]) for g, o in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(area, pa.float64())], [*keys, "area"])
-
-    return pairs.select(*keys, "geometry", "others").mapInArrow(run, schema)
-
-
 def dominant(parcels: DataFrame, zones: DataFrame, attrs: list[str], size: float) -> DataFrame:
     """bsm, attributes and area of the zone with the largest overlap; equal areas go to the smaller zone_id."""
-    pairs = candidates(parcels, boxed(zones, "zone_id"), size).withColumn("others", F.array("other"))
-    kind = dict(parcels.dtypes)["bsm"]
-    area = _areas(pairs, ["bsm", "zone_id"], f"bsm {kind}, zone_id long, area double").where("area > 0")
+    area = cellindex.overlaps(cellindex.piece_index(parcels, "bsm", size), cellindex.piece_index(zones, "zone_id", size), "bsm", "zone_id")
     best = area.groupBy("bsm").agg(F.max(F.struct("area", (-F.col("zone_id")).alias("z"))).alias("b")).select("bsm", (-F.col("b.z")).alias("zone_id"), F.col("b.area").alias("ov"))
     return best.join(zones.select("zone_id", *attrs), "zone_id").drop("zone_id")
 
 
 def dissolved(parcels: DataFrame, zones: DataFrame, size: float, name: str) -> DataFrame:
     """bsm, name: area that any zone covers."""
-    pairs = candidates(parcels, boxed(zones, "zone_id"), size).groupBy("bsm").agg(F.first("geometry").alias("geometry"), F.collect_list("other").alias("others"))
-    kind = dict(parcels.dtypes)["bsm"]
-    return _areas(pairs, ["bsm"], f"bsm {kind}, area double").withColumnRenamed("area", name)
+    area = cellindex.covered(cellindex.piece_index(parcels, "bsm", size), cellindex.piece_index(zones, "zone_id", size), "bsm", "zone_id")
+    return area.withColumnRenamed("area", name)
 
 
-def fuse(parcels: DataFrame, slope: DataFrame, pdt: DataFrame, eco: DataFrame, pbf: DataFrame, threshold: float = 1.0, cell: float = 500.0) -> DataFrame:
+def fuse(parcels: DataFrame, slope: DataFrame, pdt: DataFrame, eco: DataFrame, pbf: DataFrame, threshold: float = 1.0, cell: float = 512.0) -> DataFrame:
     """parcels (bsm, dlbm, ..., geometry) with the columns in ADDED.
 
     slope: bsm, slope_mean, slope_max, slope_pixel_count, slope_assignment.
@@ -115,34 +89,16 @@ def fuse_without_zones(parcels: DataFrame, slope: DataFrame) -> DataFrame:
     return out.withColumns({"category": kind, **neutral}).select(*parcels.columns, *ADDED, F.lit("NOT_EVALUATED").alias("CONSTR_STA"))
 
 
-def polygon_slope(parcels: DataFrame, pixels: DataFrame, pixel_size: float, origin: tuple[float, float], radius: int = 2, cell: float = 500.0) -> DataFrame:
+def polygon_slope(parcels: DataFrame, pixels: DataFrame, pixel_size: float, origin: tuple[float, float], radius: int = 2, cell: float = 512.0) -> DataFrame:
     """Slope statistics of the cells whose centre a parcel holds; else the nearest cell to its interior point; else null.
 
     pixels: row, col, z (the slope; null without data); the row axis points down from the origin.
     """
     x0, y0 = origin
     own = boxed(parcels, "bsm")
-    centre = pixels.where("z IS NOT NULL").select("row", "col", "z", (x0 + (F.col("col") + 0.5) * pixel_size).alias("px"), (y0 - (F.col("row") + 0.5) * pixel_size).alias("py"))
-    spot = centre.withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)})
-    box = cells(own.select("bsm", "x0", "y0", "x1", "y1"), cell)
-    near = box.join(spot, ["cx", "cy"]).where("px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1")
-    # one row per parcel: the cells in its box, which its own size bounds
-    listed = near.groupBy("bsm").agg(F.collect_list(F.struct("row", "col", "z", "px", "py")).alias("cells")).join(own.select("bsm", "geometry"), "bsm")
     kind = dict(own.dtypes)["bsm"]
-
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, raw in enumerate(b.column(2).to_pylist()):
-                c = b.column(1)[i].values
-                keep = G.contains_all(G.from_wkb(raw), np.stack([c.field("px").to_numpy(), c.field("py").to_numpy()], 1))
-                n = int(keep.sum())
-                if n:
-                    held = pa.array(keep)
-                    yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], n), *(c.field(k).filter(held) for k in ("row", "col", "z"))], ["bsm", "row", "col", "z"])
-
-    hits = listed.select("bsm", "cells", "geometry").mapInArrow(inside, f"bsm {kind}, row long, col long, z double")
-    hits = hits.groupBy("row", "col").agg(F.max("bsm").alias("bsm"), F.first("z").alias("z"))  # the later parcel takes a cell
-    stats = hits.groupBy("bsm").agg(F.avg("z").alias("slope_mean"), F.max("z").alias("slope_max"), F.count("*").alias("slope_pixel_count"))
+    centre = pixels.where("z IS NOT NULL").select("row", "col", "z", (x0 + (F.col("col") + 0.5) * pixel_size).alias("px"), (y0 - (F.col("row") + 0.5) * pixel_size).alias("py"))
+    stats = polygons.zonal(centre, parcels, "bsm", cell).selectExpr("bsm", "mean AS slope_mean", "max AS slope_max", "n AS slope_pixel_count")
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,8 +106,6 @@ def polygon_slope(parcels: DataFrame, pixels: DataFrame, pixel_size: float, orig
             row = pa.array([int((y0 - y) // pixel_size) for _, y in xy], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), row, pa.array([int((x - x0) // pixel_size) for x, _ in xy], pa.int64())], ["key", "row", "col"])
 
-    from parcelspark.operators.overlay import nearest_pixel
-
     lost = own.join(stats, "bsm", "left_anti").select("bsm", "geometry").mapInArrow(points, f"key {kind}, row long, col long")
     back = nearest_pixel(lost, pixels.where("z IS NOT NULL"), radius).select(F.col("key").alias("bsm"), F.col("z").alias("fallback"))
     out = own.select("bsm").join(stats, "bsm", "left").join(back, "bsm", "left")

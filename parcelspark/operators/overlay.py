@@ -63,11 +63,13 @@ def dissolved_overlap(parcels: DataFrame, zones: DataFrame, cell: int = 1, size:
     return boxes.withColumn("xs", xs).withColumn("spans", spans).select("bsm", total.alias("area"))
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, size: int = 200) -> DataFrame:
-    """Pairs (aliases p and b) of points (px, py) and the boxes that hold them, upper edges excluded."""
+def points_in_boxes(points: DataFrame, boxes: DataFrame, size: int = 200, within: bool = False) -> DataFrame:
+    """Pairs (aliases p and b) of points (px, py) and the boxes that hold them, upper edges excluded; within: all edges."""
     p = points.withColumns({"cx": F.floor(F.col("px") / size), "cy": F.floor(F.col("py") / size)}).alias("p")
     b = cells(boxes, size).alias("b")
     inside = (F.col("px") >= F.col("b.x0")) & (F.col("px") < F.col("b.x1")) & (F.col("py") >= F.col("b.y0")) & (F.col("py") < F.col("b.y1"))
+    if within:
+        inside = inside & (F.col("px") > F.col("b.x0")) & (F.col("py") > F.col("b.y0"))
     return p.join(b, (F.col("p.cx") == F.col("b.cx")) & (F.col("p.cy") == F.col("b.cy"))).where(inside)
 
 

@@ -1,8 +1,8 @@
 """Contiguity, measures and joins of polygons.
 
-Parcels and zones have a key and a `geometry` (WKB in a metric CRS). Pairs are found
-by their keys alone, on shared vertices or on the grid cells of boxes; a geometry is
-fetched once for each pair that is left.
+Parcels and zones have a key and a `geometry` (WKB in a metric CRS). Pairs are found on
+shared vertices or in the grid cells that both meet, where only that cell's part of an
+outline is read.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelspark.functions import geometry as G
-from parcelspark.operators.overlay import cells
+from parcelspark.operators import cellindex
 from parcelspark.scratch import ship
 
 #: Decimal places at which vertices are the same (metres: a tenth of a millimetre).
@@ -86,31 +86,29 @@ def block_compactness(parcels: DataFrame) -> DataFrame:
     return area.join(outline, "block").select("block", (4 * F.pi() * F.col("a") / (F.col("p") * F.col("p"))).alias("compactness"))
 
 
-def points_in_polygons(points: DataFrame, zones: DataFrame, cell: float = 500.0) -> DataFrame:
-    """key, zone_id of each point (key, px, py) and each zone (zone_id, geometry) that holds it."""
-    box = measures(zones, "zone_id").select("zone_id", "x0", "y0", "x1", "y1")
-    spot = points.select("key", "px", "py").withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)})
-    near = spot.join(cells(box, cell), ["cx", "cy"]).where("px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1").select("key", "px", "py", "zone_id")
-    # a zone's points lie together, so that its outline is read once for a run of them
-    pairs = near.join(zones.select("zone_id", "geometry"), "zone_id").select("key", "zone_id", "px", "py", "geometry")
+def points_in_polygons(points: DataFrame, zones: DataFrame, cell: float = 512.0, rule: str = "within") -> DataFrame:
+    """key, zone_id of each point (key, px, py) and each zone (zone_id, geometry) that holds it.
+
+    within leaves the boundary out, intersects has it, pixel gives a point on a common side to one zone.
+    """
+    on = {"within": "inside AND NOT edge", "intersects": "inside OR edge", "pixel": "inside"}[rule]
+    found = cellindex.located(points.select("key", "px", "py"), cellindex.side_index(zones, "zone_id", cell), "zone_id", cell)
+    return found.where(on).select("key", "zone_id")
 
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            zone, xy = b.column(1).to_pylist(), np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], 1)
-            keep, start = np.zeros(len(zone), bool), 0
-            for i in range(1, len(zone) + 1):
-                if i == len(zone) or zone[i] != zone[start]:
-                    keep[start:i] = G.contains_all(G.from_wkb(b.column(4)[start].as_py()), xy[start:i])
-                    start = i
-            yield b.select([0, 1]).filter(pa.array(keep))
 
-    kinds = dict(pairs.dtypes)
-    return pairs.mapInArrow(inside, f"key {kinds['key']}, zone_id {kinds['zone_id']}")
+def zonal(cells: DataFrame, zones: DataFrame, key: str, cell: float = 512.0) -> DataFrame:
+    """key, mean, max, n of the raster cells (row, col, z, centre px, py) whose centre a polygon holds; the largest key takes a cell."""
+    hits = cellindex.located(cells, cellindex.side_index(zones, key, cell), key, cell).where("inside")
+    burnt = hits.groupBy("row", "col").agg(F.max(key).alias(key), F.first("z").alias("z"))
+    return burnt.groupBy(key).agg(F.avg("z").alias("mean"), F.max("z").alias("max"), F.count(F.lit(1)).alias("n"))
 
 
-def labels(parcels: DataFrame, zones: DataFrame, name: str, cell: float = 500.0) -> DataFrame:
-    """bsm and the name of the zone that holds the parcel's inside point; of several the smallest zone_id, null outside all."""
-    spots = measures(parcels).select(F.col("bsm").alias("key"), "px", "py")
+def labels(parcels: DataFrame, zones: DataFrame, name: str, cell: float = 512.0, spot: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """bsm and the name of the zone within which the parcel's centroid lies (spot: another pair of its measures).
+
+    Of several zones that with the smallest zone_id; null outside all.
+    """
+    spots = measures(parcels).select(F.col("bsm").alias("key"), F.col(spot[0]).alias("px"), F.col(spot[1]).alias("py"))
     first = points_in_polygons(spots, zones, cell).groupBy("key").agg(F.min("zone_id").alias("zone_id")).join(zones.select("zone_id", name), "zone_id")
     return spots.select("key").join(first, "key", "left").select(F.col("key").alias("bsm"), name)
 
@@ -121,16 +119,16 @@ def township_labels(named: DataFrame) -> DataFrame:
     return counts.groupBy("township").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select("township", F.col("b.label").alias("label"))
 
 
-def admin_units(parcels: DataFrame, units: DataFrame, attrs: list[str], cell: float = 500.0) -> DataFrame:
+def admin_units(parcels: DataFrame, units: DataFrame, attrs: list[str], cell: float = 512.0) -> DataFrame:
     """One row per unit (unit_id, attrs): parcels that mostly lie in it, their area and share of all.
 
     A parcel belongs to the unit with which it shares most land, of equals to the smaller unit_id.
     """
-    from parcelspark.operators.fusion import boxed, dominant
+    from parcelspark.operators.fusion import dominant
 
-    box = boxed(parcels, "bsm")
+    box = measures(parcels).select("bsm", F.col("area_m2").alias("area"))
     zones = units.withColumnRenamed("unit_id", "zone_id")
-    best = dominant(box, zones.withColumn("unit_id", F.col("zone_id")), ["unit_id", *attrs], cell)
+    best = dominant(parcels, zones.withColumn("unit_id", F.col("zone_id")), ["unit_id", *attrs], cell)
     per = best.join(box.select("bsm", "area"), "bsm").groupBy("unit_id", *attrs).agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area_m2"))
     every = per.agg(F.sum("area_m2").alias("all_m2"))
     return per.crossJoin(F.broadcast(every)).withColumn("share", F.col("area_m2") / F.col("all_m2")).drop("all_m2")  # one row

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.domain import box_polygons, parcel, swap, triangle_polygons, zone
-from parcelspark.operators import fusion, polygons
+from parcelspark.domain import box_polygons, parcel, pixel, swap, triangle_polygons, zone
+from parcelspark.operators import cellindex, fusion, polygons
 from parcelspark.plans.registry import query
 
 #: Area below height h of the strip from lo to hi, as the height falls to lo.
@@ -28,9 +28,9 @@ def polygon_measures(spark: SparkSession, d: str) -> DataFrame:
 @query(_TRIANGLE + " SELECT bsm, zone_id, pdjb, round(area, 5) AS area FROM (SELECT *, row_number() OVER (PARTITION BY bsm ORDER BY area DESC, zone_id) AS k FROM ov WHERE area > 0) WHERE k = 1", "parcel", "zone")
 def polygon_dominant_overlap(spark: SparkSession, d: str) -> DataFrame:
     """The zone that covers most of each triangle, by exact areas of polygons."""
-    own = fusion.boxed(triangle_polygons(parcel(spark, d), "bsm"), "bsm")
+    own = triangle_polygons(parcel(spark, d), "bsm")
     zones = box_polygons(zone(spark, d), "zone_id").join(zone(spark, d).select("zone_id", "pdjb"), "zone_id")
-    best = fusion.dominant(own, zones.withColumn("zone", F.col("zone_id")), ["zone", "pdjb"], 500.0)
+    best = fusion.dominant(own, zones.withColumn("zone", F.col("zone_id")), ["zone", "pdjb"], 512.0)
     return best.select("bsm", F.col("zone").alias("zone_id"), "pdjb", F.round("ov", 5).alias("area"))
 
 
@@ -44,9 +44,45 @@ def polygon_contiguity(spark: SparkSession, d: str) -> DataFrame:
 def polygon_labels(spark: SparkSession, d: str) -> DataFrame:
     """The first zone that holds the inside point of each triangle: the middle of its width at half its height."""
     zones = box_polygons(zone(spark, d), "zone_id").withColumn("label", F.concat(F.lit("Z"), F.col("zone_id").cast("string")))
+    return polygons.labels(triangle_polygons(parcel(spark, d), "bsm"), zones, "label", spot=("px", "py"))
+
+
+@query(", i AS (SELECT p.bsm, z.zone_id FROM parcel p JOIN zone z ON p.x0 + (p.x1 - p.x0) / 3 > z.x0 AND p.x0 + (p.x1 - p.x0) / 3 < z.x1 AND p.y0 + (p.y1 - p.y0) / 3 > z.y0 AND p.y0 + (p.y1 - p.y0) / 3 < z.y1) SELECT p.bsm, 'Z' || min(zone_id) AS label FROM parcel p LEFT JOIN i USING (bsm) GROUP BY p.bsm", "parcel", "zone")
+def centroid_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The first zone within which the centroid of each triangle lies."""
+    zones = box_polygons(zone(spark, d), "zone_id").withColumn("label", F.concat(F.lit("Z"), F.col("zone_id").cast("string")))
     return polygons.labels(triangle_polygons(parcel(spark, d), "bsm"), zones, "label")
 
 
+@query(", v AS (SELECT bsm, x0 AS px, y0 AS py FROM parcel) SELECT v.bsm, count(*) FILTER (px > z.x0 AND px < z.x1 AND py > z.y0 AND py < z.y1) AS within, count(*) AS touched, count(*) FILTER (px >= z.x0 AND px < z.x1 AND py >= z.y0 AND py < z.y1) AS pixel FROM v JOIN zone z ON px BETWEEN z.x0 AND z.x1 AND py BETWEEN z.y0 AND z.y1 GROUP BY v.bsm", "parcel", "zone")
+def corner_predicates(spark: SparkSession, d: str) -> DataFrame:
+    """How many zones hold the corner of each parcel by the three rules of the boundary; many corners lie on sides."""
+    points = parcel(spark, d).select("bsm", F.col("x0").cast("double").alias("px"), F.col("y0").cast("double").alias("py"))
+    found = cellindex.located(points, cellindex.side_index(box_polygons(zone(spark, d), "zone_id"), "zone_id", 256.0), "zone_id", 256.0)
+    return found.groupBy("bsm").agg(F.count_if(F.expr("inside AND NOT edge")).alias("within"), F.count("*").alias("touched"), F.count_if("inside").alias("pixel"))
+
+
+_WHOLE = f""", xs AS (SELECT bsm, x FROM parcel, LATERAL (SELECT unnest([x0, x1]) AS x) UNION SELECT p.bsm, unnest([greatest(z.x0, p.x0), least(z.x1, p.x1)]) FROM parcel p JOIN zone z ON {{meets}} UNION SELECT p.bsm, greatest(p.x0, least(p.x1, p.x0 + p.y1 - unnest([z.y0, z.y1]))) FROM parcel p JOIN zone z ON {{meets}}),
+xi AS (SELECT bsm, x AS a, lead(x) OVER (PARTITION BY bsm ORDER BY x) AS b FROM xs),
+m AS (SELECT xi.bsm, xi.a, xi.b, z.zone_id, greatest(z.y0, p.y0) AS lo, least(z.y1, p.y0 + p.x1 - (xi.a + xi.b) / 2) AS hi FROM xi JOIN parcel p USING (bsm) JOIN zone z ON {{meets}} AND z.x0 <= xi.a AND z.x1 >= xi.b WHERE xi.b IS NOT NULL),
+t AS (SELECT *, max(hi) OVER (PARTITION BY bsm, a ORDER BY lo, hi, zone_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM m WHERE hi > lo)
+SELECT bsm, round(sum((b - a) * greatest(0, hi - greatest(lo, coalesce(top, lo)))), 4) AS area FROM t GROUP BY bsm"""
+
+
+@query(_WHOLE.replace("{meets}", "p.x0 < z.x1 AND z.x0 < p.x1 AND p.y0 < z.y1 AND z.y0 < p.y1"), "parcel", "zone")
+def polygon_constraint_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Land of each triangle that any zone covers, counted once: slabs between all corners, where heights change linearly."""
+    own = triangle_polygons(parcel(spark, d), "bsm")
+    return fusion.dissolved(own, box_polygons(zone(spark, d), "zone_id"), 512.0, "area").withColumn("area", F.round("area", 4))
+
+
+@query(", burnt AS (SELECT x.row, x.col, max(z.zone_id) AS zone_id, any_value(x.z) AS z FROM pixel x JOIN zone z ON (x.col + 0.5) * 100 >= z.x0 AND (x.row + 0.5) * 100 >= z.y0 AND ((x.col + 0.5) * 100 - z.x0) * (z.y1 - z.y0) + ((x.row + 0.5) * 100 - z.y0) * (z.x1 - z.x0) < (z.x1 - z.x0) * (z.y1 - z.y0) WHERE x.z > 0 GROUP BY x.row, x.col) SELECT zone_id, round(avg(z), 6) AS mean, max(z) AS max, count(*) AS n FROM burnt GROUP BY zone_id", "pixel", "zone")
+def polygon_zonal_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the raster cells whose centre the lower left half of each zone holds."""
+    cells = pixel(spark, d).where("z > 0").select("row", "col", "z", ((F.col("col") + 0.5) * 100).alias("px"), ((F.col("row") + 0.5) * 100).alias("py"))
+    return polygons.zonal(cells, triangle_polygons(zone(spark, d), "zone_id"), "zone_id").withColumn("mean", F.round("mean", 6))
+
+
 @query(", s AS (SELECT block, least(ax, bx) AS ax, CASE WHEN ax < bx OR (ax = bx AND ay <= ey) THEN ay ELSE ey END AS ay, greatest(ax, bx) AS bx, CASE WHEN ax < bx OR (ax = bx AND ay <= ey) THEN ey ELSE ay END AS ey FROM (SELECT block, x0 AS ax, y0 AS ay, x1 AS bx, y0 AS ey FROM swap WHERE type_code > 0 UNION ALL SELECT block, x1, y0, x1, y1 FROM swap WHERE type_code > 0 UNION ALL SELECT block, x0, y1, x1, y1 FROM swap WHERE type_code > 0 UNION ALL SELECT block, x0, y0, x0, y1 FROM swap WHERE type_code > 0)), o AS (SELECT block, sum(len) AS p FROM (SELECT block, sqrt((ax - bx) * (ax - bx) + (ay - ey) * (ay - ey)) AS len, count(*) AS n FROM s GROUP BY block, ax, ay, bx, ey HAVING count(*) = 1) GROUP BY block) SELECT block, round(4 * pi() * a / (p * p), 6) AS compactness FROM o JOIN (SELECT block, sum(area_m2) AS a FROM swap WHERE type_code > 0 GROUP BY block) USING (block)", "swap")
 def polygon_compactness(spark: SparkSession, d: str) -> DataFrame:
     """Compactness of blocks from the outlines of their polygons."""

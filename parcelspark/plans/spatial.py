@@ -27,10 +27,10 @@ def constraint_overlap(spark: SparkSession, d: str) -> DataFrame:
     return overlay.dissolved_overlap(parcel(spark, d), zone(spark, d))
 
 
-@query("SELECT p.bsm, min(z.zone_id) AS zone_id FROM parcel p LEFT JOIN zone z ON (p.x0 + p.x1) / 2 >= z.x0 AND (p.x0 + p.x1) / 2 < z.x1 AND (p.y0 + p.y1) / 2 >= z.y0 AND (p.y0 + p.y1) / 2 < z.y1 GROUP BY p.bsm HAVING zone_id IS NOT NULL", "parcel", "zone")
+@query("SELECT p.bsm, min(z.zone_id) AS zone_id FROM parcel p LEFT JOIN zone z ON (p.x0 + p.x1) / 2 > z.x0 AND (p.x0 + p.x1) / 2 < z.x1 AND (p.y0 + p.y1) / 2 > z.y0 AND (p.y0 + p.y1) / 2 < z.y1 GROUP BY p.bsm HAVING zone_id IS NOT NULL", "parcel", "zone")
 def label_within(spark: SparkSession, d: str) -> DataFrame:
     p = parcel(spark, d).select("bsm", ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"))
-    return overlay.points_in_boxes(p, zone(spark, d)).groupBy("p.bsm").agg(F.min("b.zone_id").alias("zone_id"))
+    return overlay.points_in_boxes(p, zone(spark, d), within=True).groupBy("p.bsm").agg(F.min("b.zone_id").alias("zone_id"))
 
 
 _BURNT = ", burnt AS (SELECT p.row, p.col, max(z.zone_id) AS zone_id, any_value(p.z) AS z FROM pixel p JOIN zone z ON (p.col + 0.5) * 100 >= z.x0 AND (p.col + 0.5) * 100 < z.x1 AND (p.row + 0.5) * 100 >= z.y0 AND (p.row + 0.5) * 100 < z.y1 WHERE p.z > 0 GROUP BY p.row, p.col)"
