@@ -77,6 +77,10 @@ def slope_grade(slope: Column) -> Column:
     return F.when(slope <= 2, 1).when(slope <= 6, 2).when(slope <= 15, 3).when(slope <= 25, 4).otherwise(5)
 
 
+# Roman numerals of slope classes, longer ones before those that they begin with.
+ROMAN = (("III", 3), ("Ⅲ", 3), ("IV", 4), ("Ⅳ", 4), ("II", 2), ("Ⅱ", 2), ("Ⅴ", 5), ("Ⅰ", 1), ("V", 5), ("I", 1))
+
+
 def grade_from_value(value: Column) -> Column:
     """Slope class of a number or a Roman or Arabic text, longest token first; null where there is none."""
     text = F.upper(F.regexp_replace(value.cast("string"), r"\s", ""))
@@ -84,7 +88,7 @@ def grade_from_value(value: Column) -> Column:
     plain = F.when(text.rlike(r"^\d+(\.\d+)?$"), F.floor(text.cast("double")).cast("int"))
     out = F.when(plain.between(1, 5), plain)
     roman = F.lit(None).cast("int")
-    for token, grade in (("III", 3), ("Ⅲ", 3), ("IV", 4), ("Ⅳ", 4), ("II", 2), ("Ⅱ", 2), ("Ⅴ", 5), ("Ⅰ", 1), ("V", 5), ("I", 1)):
+    for token, grade in ROMAN:
         roman = F.coalesce(roman, F.when(text.startswith(token), grade))
     lone = F.nullif(F.regexp_extract(text, r"(?<!\d)([1-5])(?!\d)", 1), F.lit("")).cast("int")
     return F.when(plain.isNotNull(), out).otherwise(F.coalesce(roman, lone, number))
@@ -120,3 +124,22 @@ def county_code(code: Column) -> Column:
 
 def iso_seconds(ts: Column) -> Column:
     return F.coalesce(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
+
+
+# Counties that are known by their code, and what a name is made of without one.
+KNOWN_COUNTIES = {
+    "500120": "重庆市璧山区",
+    "511011": "四川省内江市东兴区",
+}
+MADE_COUNTY, NO_COUNTY = "县区_", "未命名县区"
+
+
+def county_label(code: Column, frequent: Column, source: Column) -> Column:
+    """The most frequent name; else that of a known code, else one made from the code; without a code the source's name."""
+    known = F.create_map(*[F.lit(x) for kv in KNOWN_COUNTIES.items() for x in kv])[code]
+    stem = F.regexp_replace(F.substring_index(source, "/", -1), r"(?i)\.gdb$", "")
+    return F.coalesce(F.nullif(F.trim(frequent), F.lit("")), known, F.concat(F.lit(MADE_COUNTY), code), F.nullif(stem, F.lit("")), F.lit(NO_COUNTY))
+
+
+def admin_level(code: Column) -> Column:
+    return F.when(F.length(code) >= 12, "village").otherwise("township")

@@ -123,3 +123,9 @@ def greedy_pairs(parcels: DataFrame, nbrs: DataFrame, delta: float = 0.5, gamma:
         F.min(F.when(is_forest(), F.struct((F.col("slope_mean") - gamma * F.col("k")).alias("s"), F.col("bsm").alias("b"), F.col("slope_mean").alias("v")))).alias("t"),
     )
     return best.where("f.v > t.v").select("block", (-F.col("f.b")).alias("farm"), F.col("t.b").alias("forest"), (F.col("f.v") - F.col("t.v")).alias("gain"))
+
+
+def most_frequent(rows: DataFrame, column: str) -> DataFrame:
+    """One row: the most frequent value that is neither null nor blank, of equals the smallest; null without one."""
+    counts = rows.where(F.trim(F.col(column)) != "").groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.min(F.struct((-F.col("n")).alias("n"), column)).alias("b")).select(F.col(f"b.{column}").alias(column))

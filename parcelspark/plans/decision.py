@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelspark.domain import box_polygons, parcel, step, swap, table, unit, zone
 from parcelspark.functions import codes
-from parcelspark.operators import overlay, polygons, restoration, writeback
+from parcelspark.operators import metrics, overlay, polygons, restoration, writeback
 from parcelspark.plans.registry import query
 
 
@@ -145,35 +145,38 @@ def admin_units(spark: SparkSession, d: str) -> DataFrame:
     """Administrative units: parcels dissolved into the polygon with which each shares most land."""
     own = box_polygons(parcel(spark, d), "bsm")
     units = box_polygons(zone(spark, d), "zone_id").withColumnRenamed("zone_id", "unit_id")
-    found = polygons.admin_units(own, units, [], 500.0)
+    found = polygons.admin_units(own, units, [], 512.0)
     return found.select("unit_id", F.col("n").alias("n_parcels"), F.round("area_m2", 6).alias("area_m2"), F.round("share", 6).alias("share"))
 
 
-# Names of counties that are known by their code.
-KNOWN_COUNTIES = {"511011": "Dongxing", "500120": "Bishan"}
-
-
-def county_label(code: Column, frequent: Column, source: Column) -> Column:
-    """The most frequent name; else that of a known code, else of the source file, else one made from the code."""
-    known = F.create_map(*[F.lit(x) for kv in KNOWN_COUNTIES.items() for x in kv])[code]
-    stem = F.nullif(F.regexp_extract(source, r"([A-Za-z]+)[^/.]*\.[^/.]*$", 1), F.lit(""))
-    return F.coalesce(F.nullif(F.trim(frequent), F.lit("")), known, stem, F.concat(F.lit("county_"), code))
-
-
-@query("SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END, CASE c_custkey % 3 WHEN 0 THEN 'Dongxing' WHEN 1 THEN 'Bishan' END, CASE WHEN c_custkey % 2 = 0 THEN 'land' END, 'county_999999') AS name FROM customer")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN trim(c_mktsegment) WHEN c_custkey % 7 = 0 THEN CASE WHEN c_custkey % 3 = 0 THEN '未命名县区' WHEN c_custkey % 2 = 0 THEN 'land_2025' ELSE 'land.gpkg' END WHEN c_custkey % 3 = 0 THEN '四川省内江市东兴区' WHEN c_custkey % 3 = 1 THEN '重庆市璧山区' ELSE '县区_510' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') END AS name FROM customer")
 def county_fallbacks(spark: SparkSession, d: str) -> DataFrame:
     """Each source of a county's name where the ones before it are missing."""
     k = F.col("c_custkey")
-    code = F.when(k % 3 == 0, "511011").when(k % 3 == 1, "500120").otherwise("999999")
-    return table(spark, d, "customer").select(k.alias("id"), county_label(code, F.when(k % 4 == 0, F.col("c_mktsegment")), F.when(k % 2 == 0, "/data/land_2025.gpkg").otherwise("/data/2025.gpkg")).alias("name"))
+    code = F.when(k % 7 == 0, None).when(k % 3 == 0, "511011").when(k % 3 == 1, "500120").otherwise(F.concat(F.lit("510"), F.lpad((k % 1000).cast("string"), 3, "0")))
+    source = F.when(k % 3 == 0, "").when(k % 2 == 0, "/data/land_2025.GDB").otherwise("/data/land.gpkg")
+    return table(spark, d, "customer").select(k.alias("id"), codes.county_label(code, F.when(k % 4 == 0, F.col("c_mktsegment")), source).alias("name"))
 
 
-@query("SELECT coalesce((SELECT n.n_name FROM nation n JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY ALL ORDER BY n DESC, k LIMIT 1) m ON m.k = n.n_nationkey), 'county_511011') AS name")
+@query(", m AS (SELECT name FROM (SELECT CASE WHEN n_nationkey % 3 = 1 THEN n_name END AS name FROM nation JOIN customer ON c_nationkey = n_nationkey) WHERE name IS NOT NULL GROUP BY name ORDER BY count(*) DESC, name LIMIT 1), c AS (SELECT code FROM (SELECT regexp_extract(qsdwdm, '^([0-9]{6})', 1) AS code FROM parcel) WHERE code <> '' GROUP BY code ORDER BY count(*) DESC, code LIMIT 1) SELECT 'given' AS names, (SELECT name FROM m) AS name, (SELECT code FROM c) AS code UNION ALL SELECT 'blank', CASE (SELECT code FROM c) WHEN '511011' THEN '四川省内江市东兴区' WHEN '500120' THEN '重庆市璧山区' ELSE '县区_' || (SELECT code FROM c) END, (SELECT code FROM c)", "parcel")
 def county_name(spark: SparkSession, d: str) -> DataFrame:
-    """Most frequent name; without one, a name made from the code."""
-    n = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
-    best = n.join(table(spark, d, "nation"), "n_nationkey").agg(F.min(F.struct(-F.col("n"), F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))).alias("b"))
-    return best.select(F.coalesce("b.v", F.lit("county_511011")).alias("name"))
+    """Name of the county by the most frequent name that is not blank, and by its most frequent code where all are."""
+    named = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    names = named.select(F.when(F.col("n_nationkey") % 3 == 1, F.col("n_name")).alias("name"))
+    own = metrics.most_frequent(parcel(spark, d).select(codes.county_code(F.col("qsdwdm")).alias("code")), "code")
+    out = None
+    for kind, rows in (("given", names), ("blank", names.select(F.lit(" ").alias("name")))):
+        both = own.crossJoin(F.broadcast(metrics.most_frequent(rows, "name")))  # one row each
+        one = both.select(F.lit(kind).alias("names"), codes.county_label(F.col("code"), F.col("name"), F.lit("")).alias("name"), "code")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT code, CASE WHEN length(code) >= 12 THEN 'village' ELSE 'township' END AS admin_level, substr(code, 1, 9) AS parent, count(*) AS n FROM (SELECT CASE WHEN bsm % 2 = 0 THEN qsdwdm ELSE substr(qsdwdm, 1, 9) END AS code FROM parcel) GROUP BY code", "parcel")
+def admin_level(spark: SparkSession, d: str) -> DataFrame:
+    """Level and parent of each administrative code."""
+    p = parcel(spark, d).select(F.when(F.col("bsm") % 2 == 0, F.col("qsdwdm")).otherwise(F.substring("qsdwdm", 1, 9)).alias("code"))
+    return p.groupBy("code").agg(F.count("*").alias("n")).select("code", codes.admin_level(F.col("code")).alias("admin_level"), F.substring("code", 1, 9).alias("parent"), "n")
 
 
 @query("SELECT episode, step, round(sum(value) OVER w, 6) AS total, count(*) OVER w AS n_selected FROM step WINDOW w AS (PARTITION BY episode ORDER BY step ROWS UNBOUNDED PRECEDING)", "step")
@@ -254,14 +257,14 @@ def restoration_reward_default(spark: SparkSession, d: str) -> DataFrame:
     return restoration.reward_default(unit(spark, d), _grid(spark, d), _BUDGET).withColumn("reward", F.round("reward", 4))
 
 
-@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS unit_id, 1 AS candidate, p_retailprice AS cost FROM part WHERE p_size > 5")
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS unit_id, 1 AS candidate, p_retailprice AS cost FROM part")
 def restoration_prepare(spark: SparkSession, d: str) -> DataFrame:
     """Consecutive unit numbers in key order without a global sort in one task.
 
     Keys go to ranges; each range's offset is the count of the ranges before it
     (one row per range), and positions are counted inside the range only.
     """
-    p = table(spark, d, "part").where("p_size > 5").select("p_partkey", "p_retailprice").withColumn("r", F.floor(F.col("p_partkey") / 100_000))
+    p = table(spark, d, "part").select("p_partkey", "p_retailprice").withColumn("r", F.floor(F.col("p_partkey") / 100_000))
     sizes = p.groupBy("r").agg(F.count("*").alias("n"))
     # one row per 100 000 keys
     before = sizes.select("r", F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parcelspark.domain import parcel, pixel, swap, table, unit
 from parcelspark.functions import codes
 from parcelspark.plans.registry import query
+from parcelspark.sources import layers
 
 # Values as they occur in fields, from the residue of a key; the SQL lists the same ones.
 NAMES = ["DLBM", "dl_bm", " 地类 编码 ", "坐落（单位）名称", "QSDW-DM", "Bsm(ID)", "a_b c"]
@@ -146,34 +147,33 @@ def sha256_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-# Name hints and field weights of each layer role.
-HINTS = {"parcels": ["dltb", "地类图斑"], "pdt": ["pdt", "坡度"], "eco": ["stbhhx", "生态"], "pbf": ["yjjbntbhtb", "基本农田"]}
-FIELD_POINTS = {"parcels": {"dlbm": 30, "qsdwdm": 25, "bsm": 20}, "pdt": {"pdjb": 40, "bzpdjb": 20}, "eco": {"lhdm": 15, "lhlx": 15}, "pbf": {}}
-
-
 def layer_catalog(spark: SparkSession, d: str) -> DataFrame:
     """A container's layers with field names, one layer for each supplier."""
     k = F.col("s_suppkey")
-    name = F.concat(F.get(F.array(*map(F.lit, ["DLTB_", "PDT_", "STBHHX_", "other_", "YJJBNTBHTB_"])), (k % 5).cast("int")), k.cast("string"))
-    fields = F.array_compact(F.array(F.when(k % 2 == 0, "DLBM"), F.when(k % 3 == 0, "QSDWDM"), F.when(k % 4 == 0, "BSM"), F.when(k % 5 == 1, "PDJB"), F.when(k % 7 == 0, "LHDM")))
+    names = ["DLTB_", "PDT_", "STBHHX_", "other_", "YJJBNTBHTB_", "永久 基本农田(", "2025地类图斑-"]
+    name = F.concat(F.get(F.array(*map(F.lit, names)), (k % 7).cast("int")), k.cast("string"))
+    held = {"DLBM": k % 2 == 0, "坐落单位代码": k % 3 == 0, "b_sm": k % 4 == 0, "PDJB": k % 5 == 1, "标准坡度级别": k % 5 == 2, "LHDM": k % 11 == 0, "红线类型": k % 13 == 0}
+    fields = F.array_compact(F.array(*(F.when(there, f) for f, there in held.items())))
     return table(spark, d, "supplier").select(k.alias("id"), name.alias("name"), fields.alias("fields"))
 
 
-def layer_scores(layers: DataFrame) -> DataFrame:
-    """id, role, score of each layer for each role: 100 for a name hint, then points for its fields."""
+def layer_scores(catalog: DataFrame) -> DataFrame:
+    """id, role, score of each layer for each role: the points of `layers.score` as column expressions."""
     out = None
     low = F.transform("fields", lambda f: codes.normalise_name(f))
-    for role, hints in HINTS.items():
-        named = sum((F.when(codes.normalise_name(F.col("name")).contains(codes.normalise_name(F.lit(h))), 100).otherwise(0) for h in hints), F.lit(0))
-        points = sum((F.when(F.array_contains(low, f), p).otherwise(0) for f, p in FIELD_POINTS[role].items()), F.lit(0))
-        one = layers.select("id", "name", F.lit(role).alias("role"), (named + points).alias("score"))
+    for role, known in layers.ROLES.items():
+        named = sum((F.when(codes.normalise_name(F.col("name")).contains(layers.plain(h)), 100).otherwise(0) for h in known.hints), F.lit(0))
+        points = sum((F.when(F.arrays_overlap(low, F.array(*(F.lit(layers.plain(n)) for n in names))), p).otherwise(0) for names, p in known.columns.values()), F.lit(0))
+        one = catalog.select("id", "name", F.lit(role).alias("role"), (named + points).alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-_SCORES = """(SELECT s_suppkey AS id, list_extract(['DLTB_', 'PDT_', 'STBHHX_', 'other_', 'YJJBNTBHTB_'], CAST(s_suppkey % 5 AS INT) + 1) || s_suppkey AS name, role,
- CASE role WHEN 'parcels' THEN CASE WHEN s_suppkey % 5 = 0 THEN 100 ELSE 0 END + CASE WHEN s_suppkey % 2 = 0 THEN 30 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN 25 ELSE 0 END + CASE WHEN s_suppkey % 4 = 0 THEN 20 ELSE 0 END
- WHEN 'pdt' THEN CASE WHEN s_suppkey % 5 = 1 THEN 140 ELSE 0 END WHEN 'eco' THEN CASE WHEN s_suppkey % 5 = 2 THEN 100 ELSE 0 END + CASE WHEN s_suppkey % 7 = 0 THEN 15 ELSE 0 END ELSE CASE WHEN s_suppkey % 5 = 4 THEN 100 ELSE 0 END END AS score
+_SCORES = """(SELECT s_suppkey AS id, role,
+ CASE role WHEN 'parcels' THEN CASE s_suppkey % 7 WHEN 0 THEN 100 WHEN 6 THEN 200 ELSE 0 END + CASE WHEN s_suppkey % 2 = 0 THEN 30 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN 25 ELSE 0 END + CASE WHEN s_suppkey % 4 = 0 THEN 20 ELSE 0 END
+ WHEN 'pdt' THEN CASE WHEN s_suppkey % 7 = 1 THEN 100 ELSE 0 END + CASE s_suppkey % 5 WHEN 1 THEN 40 WHEN 2 THEN 20 ELSE 0 END
+ WHEN 'eco' THEN CASE WHEN s_suppkey % 7 = 2 THEN 100 ELSE 0 END + CASE WHEN s_suppkey % 11 = 0 THEN 15 ELSE 0 END + CASE WHEN s_suppkey % 13 = 0 THEN 15 ELSE 0 END
+ ELSE CASE WHEN s_suppkey % 7 IN (4, 5) THEN 200 ELSE 0 END END AS score
  FROM supplier, (VALUES ('parcels'), ('pdt'), ('eco'), ('pbf')) r(role))"""
 
 
