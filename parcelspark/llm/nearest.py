@@ -15,9 +15,10 @@ of its own true neighbours. Where vectors have no clusters that is most leaves,
 the work then grows with the square of the table.
 
 Equal vectors are one entry with its k + 1 smallest identifiers, as no more of them
-can be in a result, and equal queries are one search. Entries of a leaf go to blocks
-and its queries to chunks of bounded size, and each pair of block and chunk is a task
-of its own, so neither a large leaf nor a common vector meets in one task.
+can be in a result, and equal queries are one search. Small leaves share a block and
+large ones are split into several, queries go to chunks, all of bounded size, and each
+pair of block and chunk is a group of its own, so neither a large leaf nor a common
+vector meets in one task. A block gives a query its k + 1 best.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite
 components, and rows without an identifier take no part; of several lengths only
@@ -55,7 +56,7 @@ THRESHOLD = 0.2
 #: Standard errors of a table's sum within which entries go to the exact products.
 ERRORS = 2.5
 #: Entries of a block and queries of a chunk, for vectors of up to 2 KB.
-BLOCK, CHUNK, BLOCK_BYTES = 4096, 1024, 8 << 20
+BLOCK, CHUNK, BLOCK_BYTES = 32_768, 1024, 16 << 20
 
 
 @dataclass
@@ -183,19 +184,30 @@ def fit(x: np.ndarray, rows: int, k: int, leaf_rows: int = LEAF_ROWS, coverage:
     return out
 
 
-def search(index: Index, q: np.ndarray, x: np.ndarray, codes: np.ndarray, k: int, errors: float = ERRORS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Query, entry and exact product of all entries of a block that can be among the k best, by table sums."""
+def search(index: Index, q: np.ndarray, probed: np.ndarray, x: np.ndarray, codes: np.ndarray, leaf: np.ndarray, k: int, errors: float = ERRORS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query, entry and exact product of all entries of a block that can be among the k best, by table sums.
+
+    probed (queries, leaves): which leaves a query looks into; entries come ordered by their leaf.
+    """
     by_pair = np.ascontiguousarray(codes.T)
-    norm = np.linalg.norm(q, axis=1)
-    step = max(1, min(64, (4 << 20) // (1 + len(x))))
+    norm, centre = np.linalg.norm(q, axis=1), q @ index.centres.T
+    starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
+    ends = [*starts[1:], len(leaf)]
+    step = max(1, min(64, (1 << 20) // (1 + len(x))))
     for i in range(0, len(q), step):
         table, unit = index.tables(q[i : i + step])
-        total = np.zeros((len(table), len(x)), table.dtype)
-        for p, codes_p in enumerate(by_pair):
-            total += np.take(table[:, p], codes_p, axis=1)
-        kth = np.partition(total, -k, axis=1)[:, -k] if len(x) > k else np.zeros(len(table), total.dtype)
+        sums = np.full((len(table), len(x)), -np.inf, np.float32)
+        for a, b in zip(starts, ends, strict=True):
+            own = np.flatnonzero(probed[i : i + step, leaf[a]])
+            if len(own):
+                total = np.zeros((len(own), b - a), table.dtype)
+                for p, codes_p in enumerate(by_pair):
+                    total += np.take(table[own, p], codes_p[a:b], axis=1)
+                # in units of the query's tables
+                sums[own, a:b] = total + (centre[i + own, leaf[a]] / unit[own])[:, None]
+        kth = np.partition(sums, -k, axis=1)[:, -k] if len(x) > k else np.full(len(table), -np.inf)
         margin = errors * index.error * norm[i : i + step] / unit + len(by_pair)  # and the rounding of the tables
-        qi, xi = np.nonzero(total >= np.floor(kth - margin)[:, None])
+        qi, xi = np.nonzero((sums >= (kth - margin)[:, None]) & (sums > -np.inf))
         for a in range(0, len(qi), 1 << 15):
             yield i + qi[a : a + (1 << 15)], xi[a : a + (1 << 15)], (q[i + qi[a : a + (1 << 15)]] * x[xi[a : a + (1 << 15)]]).sum(1)
 
@@ -250,6 +262,18 @@ def _sample(table: DataFrame, rows: int, d: int) -> np.ndarray:
     return _matrix(few.select("v").toArrow()["v"])
 
 
+def _bins(count: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bin of each leaf, and the blocks of each bin: small leaves share a bin of one block, a large one has several blocks."""
+    bins, blocks, room = [], [], 0
+    for n in count:
+        if n > room or n > block:
+            blocks.append(max(1, -(-int(n) // block)))
+            room = block if n <= block else 0
+        bins.append(len(blocks) - 1)
+        room -= min(room, int(n))
+    return np.array(bins, np.int64), np.array(blocks, np.int64)
+
+
 def nearest(table: DataFrame, asked: Column | str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", leaf_rows: int = LEAF_ROWS, coverage: float = COVERAGE, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """The k nearest other rows (largest inner product) that are found for each row for which `asked`, a condition on vec_id, holds."""
     spark = table.sparkSession
@@ -277,6 +301,8 @@ def nearest(table: DataFrame, asked: Column | str, k: int = 20, id_col: str = "v
     # at most one row per leaf, which the sample bounds
     sizes = {r["leaf"]: r["n"] for r in coded.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
     count = np.array([sizes.get(i, 0) for i in range(len(index.value.centres))])
+    block, chunk = (max(64, min(b, BLOCK_BYTES // (8 * d))) for b in (block, chunk))
+    bins, blocks = _bins(count, block)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -285,34 +311,39 @@ def nearest(table: DataFrame, asked: Column | str, k: int = 20, id_col: str = "v
                 # more leaves where the first are too small to hold k others
                 there = np.cumsum(count[order], axis=1)
                 most = np.maximum(index.value.probes, (there <= 2 * k).sum(1) + 1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([o[:m] for o, m in zip(order, most, strict=True)], pa.list_(pa.int32()))], [*b.schema.names, "leaves"])
+                leaves = [o[:m] for o, m in zip(order, most, strict=True)]
+                cols = [pa.array(rows, pa.list_(pa.int32())) for rows in (leaves, [np.unique(bins[x]) for x in leaves])]
+                yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "leaves", "bins"])
 
     queries = coded.join(members.select("q1", "q2").distinct(), ["q1", "q2"], "left_semi").select("v", "q1", "q2")
-    queries = stash(queries.mapInArrow(probe, f"v {kind}, q1 long, q2 long, leaves array<int>"), "queries")
-    wanted = queries.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()
-    block, chunk = (max(64, min(b, BLOCK_BYTES // (8 * d))) for b in (block, chunk))
-    dealt = [(r["leaf"], -(-sizes[r["leaf"]] // block), -(-r["n"] // chunk)) for r in wanted if r["leaf"] in sizes]
+    queries = stash(queries.mapInArrow(probe, f"v {kind}, q1 long, q2 long, leaves array<int>, bins array<int>"), "queries")
+    wanted = {r["bin"]: r["n"] for r in queries.select(F.explode("bins").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}
+    dealt = [(i, int(b), int(blocks[b]), -(-wanted[b] // chunk)) for i, b in enumerate(bins) if b in wanted]
     if not dealt:
         return spark.createDataFrame([], SCHEMA)
-    split = F.broadcast(spark.createDataFrame(dealt, "leaf int, blocks long, chunks long"))
+    by_leaf = spark.createDataFrame(dealt, "leaf int, bin int, blocks long, chunks long")
     part = lambda seed, of: F.pmod(F.xxhash64(F.lit(seed), "q1", "q2"), F.col(of))
     each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
-    left = coded.join(split, "leaf").select("leaf", part(3, "blocks").alias("block"), each("chunks").alias("chunk"), "v", "ids", "codes")
-    right = queries.select("q1", "q2", "v", F.explode("leaves").alias("leaf")).join(split, "leaf")
-    right = right.select("leaf", each("blocks").alias("block"), part(4, "chunks").alias("chunk"), "q1", "q2", "v")
+    left = coded.join(F.broadcast(by_leaf), "leaf").select("bin", part(3, "blocks").alias("block"), each("chunks").alias("chunk"), "v", "ids", "codes", "leaf")
+    right = queries.select("q1", "q2", "v", "leaves", F.explode("bins").alias("bin")).join(F.broadcast(by_leaf.drop("leaf").distinct()), "bin")
+    right = right.select("bin", each("blocks").alias("block"), part(4, "chunks").alias("chunk"), "q1", "q2", "v", "leaves")
 
     def found(entry: pa.Table, query: pa.Table) -> pa.Table:
         names = ["q1", "q2", "vec_id", "score"]
         empty = pa.Table.from_arrays([pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())], names)
         if not entry.num_rows or not query.num_rows:
             return empty
-        x, q = _matrix(entry["v"]), _matrix(query["v"])
+        entry = entry.sort_by("leaf")
+        x, q, leaf = _matrix(entry["v"]), _matrix(query["v"]), np.asarray(entry["leaf"])
+        probed = np.zeros((len(q), len(index.value.centres)), bool)
+        for i, own in enumerate(query["leaves"].to_pylist()):
+            probed[i, own] = True
         codes = np.frombuffer(b"".join(entry["codes"].to_pylist()), np.uint8).reshape(len(x), -1)
         ids = entry["ids"].combine_chunks()
         values, starts = np.asarray(ids.flatten()), np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))])
         kept: list[tuple] = []
         held: list[tuple] = []
-        for qi, xi, score in search(index.value, q, x, codes, k + 1):
+        for qi, xi, score in search(index.value, q, probed, x, codes, leaf, k + 1):
             many = np.diff(starts)[xi]
             at = np.repeat(starts[xi] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
             held.append((np.repeat(qi, many), values[at], np.repeat(score, many)))
@@ -328,7 +359,7 @@ def nearest(table: DataFrame, asked: Column | str, k: int = 20, id_col: str = "v
         q1, q2 = (np.asarray(query[c]) for c in ("q1", "q2"))
         return pa.Table.from_arrays([pa.array(q1[qi]), pa.array(q2[qi]), pa.array(ident), pa.array(score)], names)
 
-    by = ["leaf", "block", "chunk"]
+    by = ["bin", "block", "chunk"]
     rows = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(found, "q1 long, q2 long, vec_id long, score double")
     order = lambda *by: Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id")
     best = rows.repartition("q1", "q2").groupBy("q1", "q2", "vec_id").agg(F.max("score").alias("score"))
