@@ -51,16 +51,17 @@ def pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.floor(k / 100).alias("row"), (k % 100).alias("col"), F.when(F.col("o_custkey") % 50 == 0, -9999.0).otherwise(F.col("o_totalprice") / 1000).alias("z"))
 
 
-def rings(df: DataFrame, key: str, *corners: tuple[str, str]) -> DataFrame:
-    """key and geometry (WKB): the polygon with the given corner columns, in order."""
+def rings(df: DataFrame, key: str, *corners: tuple[str, str], hole: int = 0) -> DataFrame:
+    """key and geometry (WKB): the polygon with the given corner columns, in order; hole: so many of the last ones are a hole's."""
     ship(df.sparkSession)
     flat = [F.col(c).cast("double") for xy in corners for c in xy]
 
     def run(batches):
         for b in batches:
             xy = np.stack([b.column(i).to_numpy() for i in range(1, b.num_columns)], 1).reshape(b.num_rows, -1, 2)
-            closed = np.concatenate([xy, xy[:, :1]], 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([G.to_wkb([[r]]) for r in closed], pa.binary())], [key, "geometry"])
+            parts = [p for p in (xy[:, : xy.shape[1] - hole], xy[:, xy.shape[1] - hole :]) if p.shape[1]]
+            closed = [np.concatenate([p, p[:, :1]], 1) for p in parts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([G.to_wkb([list(r)]) for r in zip(*closed, strict=True)], pa.binary())], [key, "geometry"])
 
     return df.select(key, *(c.alias(f"c{i}") for i, c in enumerate(flat))).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, geometry binary")
 

@@ -146,17 +146,28 @@ def interior_point(polygons: Polygons) -> tuple[float, float]:
     return centroid(polygons)
 
 
-def repair(polygons: Polygons) -> Polygons:
-    """Rings closed, repeated points and rings without area dropped, outer rings counter-clockwise, holes clockwise."""
+def closed(polygons: Polygons) -> Polygons:
+    """Rings closed, points that are repeated or not finite dropped, rings of fewer than three points dropped."""
     out = []
     for p in polygons:
         rings = []
-        for i, r in enumerate(p):
+        for r in p:
             r = r[np.isfinite(r).all(1)]
             if len(r) and (r[0] != r[-1]).any():
                 r = np.vstack([r, r[:1]])
             r = r[np.concatenate([[True], (np.diff(r, axis=0) != 0).any(1)])] if len(r) else r
-            if len(r) < 4 or (a := signed_area(r)) == 0:
+            rings.append(r if len(r) >= 4 else r[:0])
+        out.append(rings)
+    return out
+
+
+def repair(polygons: Polygons) -> Polygons:
+    """Closed rings, those without area dropped, outer rings counter-clockwise, holes clockwise; crossings stay."""
+    out = []
+    for p in closed(polygons):
+        rings = []
+        for i, r in enumerate(p):
+            if not len(r) or (a := signed_area(r)) == 0:
                 if i == 0:
                     break
                 continue

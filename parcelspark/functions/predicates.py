@@ -22,7 +22,8 @@ def orient(ax, ay, bx, by, px, py) -> np.ndarray:
     left, right = (bx - ax) * (py - ay), (by - ay) * (px - ax)
     det = left - right
     out = np.asarray(np.sign(det)).astype(np.int8)
-    unsure = np.abs(det) < _BOUND * (np.abs(left) + np.abs(right))
+    unsure = (np.abs(det) < _BOUND * (np.abs(left) + np.abs(right))) & ((px != bx) | (py != by))
+    out = np.where((px == bx) & (py == by), np.int8(0), out)
     for i in map(tuple, np.argwhere(unsure)):
         a, b, c, d, x, y = (Fraction(float(v[i])) for v in (ax, ay, bx, by, px, py))
         exact = (c - a) * (y - b) - (d - b) * (x - a)

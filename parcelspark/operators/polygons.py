@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelspark.functions import codes
 from parcelspark.functions import geometry as G
+from parcelspark.functions import noding as N
 from parcelspark.operators import cellindex
 from parcelspark.scratch import ship
 
@@ -96,6 +98,73 @@ def points_in_polygons(points: DataFrame, zones: DataFrame, cell: float = 512.0,
     return found.where(on).select("key", "zone_id")
 
 
+def made_valid(shapes: DataFrame, key: str, digits: int | None = None) -> DataFrame:
+    """key, geometry, area, length, n_polygons, n_rings, changed of each row with land: valid polygons of the same land by the even-odd rule.
+
+    digits: coordinates on a grid of so many decimal places, where narrower parts are gone.
+    """
+    ship(shapes.sparkSession)
+    names = [key, "geometry", "area", "length", "n_polygons", "n_rings", "changed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                g, changed = N.make_valid(G.from_wkb(raw)) if raw else ([], False)
+                if digits is not None:
+                    g, changed = N.set_precision(g, digits), True
+                if g:
+                    rows.append((k, G.to_wkb(g), G.area(g), G.length(g), len(g), sum(map(len, g)), changed))
+            if rows:
+                kinds = [b.schema.field(0).type, pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return shapes.select(key, "geometry").mapInArrow(run, f"{key} {dict(shapes.dtypes)[key]}, geometry binary, area double, length double, n_polygons long, n_rings long, changed boolean")
+
+
+def dissolve(parcels: DataFrame, by: list[str], digits: int = DIGITS) -> DataFrame:
+    """by, geometry, area, length, n_polygons, n_rings, n_parcels: the union of each group's polygons.
+
+    A side that two parcels have cancels before anything of a group comes together, in
+    sums that are made before the exchange; what is left is the outline, which becomes one
+    value of the result. There sides are split where neighbours meet without common
+    vertices, and overlaps are counted once.
+    """
+    own = parcels.select(F.monotonically_increasing_id().alias("__row"), *by, "geometry")
+
+    def directed(_: object, g: G.Polygons) -> list[tuple]:
+        out = []
+        for p in g:
+            for r in p:
+                r = np.round(r, digits) + 0.0
+                for a, b in zip(map(tuple, r[:-1].tolist()), map(tuple, r[1:].tolist()), strict=True):
+                    if a != b:
+                        out.append((*a, *b, 1.0) if a < b else (*b, *a, -1.0))
+        return out
+
+    # by is carried inside the key, so that sides need no join back to their parcel
+    keyed = own.select(F.struct(*by).alias("__by"), "geometry")
+    side = _per_shape(keyed.withColumn("__by", F.to_json("__by", {"ignoreNullFields": "false"})), "__by", "ax double, ay double, bx double, by double, way double", directed)
+    left = side.groupBy("__by", "ax", "ay", "bx", "by").agg(F.sum("way").cast("long").alias("way")).where("way <> 0")
+
+    def assemble(sides: pa.Table) -> pa.Table:
+        s = np.stack([np.asarray(sides[c]) for c in ("ax", "ay", "bx", "by")], 1)
+        g = N.rebuilt(s, np.asarray(sides["way"]), digits)
+        cols = [sides["__by"][:1].combine_chunks(), pa.array([G.to_wkb(g)], pa.binary()), *(pa.array([float(f(g))]) for f in (G.area, G.length)), pa.array([len(g)]), pa.array([sum(map(len, g))])]
+        return pa.table(cols, names=["__by", "geometry", "area", "length", "n_polygons", "n_rings"])
+
+    shapes = left.groupBy("__by").applyInArrow(assemble, "__by string, geometry binary, area double, length double, n_polygons long, n_rings long")
+    counts = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n_parcels")).withColumn("__by", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))
+    return counts.join(shapes, "__by").select(*by, "geometry", "area", "length", "n_polygons", "n_rings", "n_parcels")
+
+
+def admin_proxy(parcels: DataFrame) -> DataFrame:
+    """Administrative units made of the parcels themselves (qsdwdm, qsdwmc, geometry), where no reference layer is given."""
+    units = dissolve(parcels, ["qsdwdm", "qsdwmc"]).withColumnsRenamed({"qsdwdm": "XZQDM", "qsdwmc": "XZQMC"})
+    level = {"admin_level": codes.admin_level(F.col("XZQDM")), "admin_parent_code": F.substring("XZQDM", 1, 9), "source_level": F.lit("DLTB_QSDWDM_DISSOLVE"), "source_dataset": F.lit("authoritative_dltb"), "not_for_production": F.lit(True)}
+    return units.withColumns(level)
+
+
 def zonal(cells: DataFrame, zones: DataFrame, key: str, cell: float = 512.0) -> DataFrame:
     """key, mean, max, n of the raster cells (row, col, z, centre px, py) whose centre a polygon holds; the largest key takes a cell."""
     hits = cellindex.located(cells, cellindex.side_index(zones, key, cell), key, cell).where("inside")

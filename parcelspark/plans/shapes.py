@@ -6,10 +6,12 @@ its overlap with a box is a difference of two quadratics in that height.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.domain import box_polygons, parcel, pixel, swap, triangle_polygons, zone
+from parcelspark.domain import box_polygons, parcel, pixel, rings, swap, triangle_polygons, zone
 from parcelspark.operators import cellindex, fusion, polygons
 from parcelspark.plans.registry import query
 
@@ -89,3 +91,51 @@ def polygon_compactness(spark: SparkSession, d: str) -> DataFrame:
     s = swap(spark, d).where("type_code > 0")
     own = box_polygons(s, "bsm").join(s.select("bsm", "block"), "bsm")
     return polygons.block_compactness(own).withColumn("compactness", F.round("compactness", 6))
+
+
+def _bad(spark: SparkSession, d: str) -> DataFrame:
+    """Parcels whose outline crosses itself, has a spike, a hole that touches the outline at a corner or along a side."""
+    p = parcel(spark, d).select("bsm", *(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))).withColumns({"xm": F.expr("(x0 + x1) / 2"), "ym": F.expr("(y0 + y1) / 2"), "top": F.col("y1") + 40, "xq": F.expr("x0 + 25"), "yq": F.expr("y0 + 25")})
+    kinds = [
+        rings(p.where("bsm % 5 = 0"), "bsm", ("x0", "y0"), ("x1", "y1"), ("x1", "y0"), ("x0", "y1")),
+        rings(p.where("bsm % 5 = 1"), "bsm", ("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("xm", "y1"), ("xm", "top"), ("xm", "y1"), ("x0", "y1")),
+        rings(p.where("bsm % 5 = 2"), "bsm", ("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "ym"), ("xm", "yq"), ("xm", "ym"), hole=3),
+        rings(p.where("bsm % 5 = 3"), "bsm", ("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"), ("xq", "y0"), ("xq", "yq"), ("x0", "yq"), hole=4),
+        rings(p.where("bsm % 5 = 4"), "bsm", ("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")),
+    ]
+    return reduce(DataFrame.unionByName, kinds)
+
+
+@query("SELECT bsm, [5000.0, 10000, 9375, 9375, 10000][bsm % 5 + 1]::DOUBLE AS area, round([200 + 200 * sqrt(2), 400.0, 400 + 25 + sqrt(50 * 50 + 25 * 25) + 50, 400, 400][bsm % 5 + 1], 6)::DOUBLE AS length, [2, 1, 1, 1, 1][bsm % 5 + 1]::BIGINT AS n_polygons, [2, 1, 2, 1, 1][bsm % 5 + 1]::BIGINT AS n_rings, bsm % 5 <> 4 AS changed FROM parcel", "parcel")
+def repaired_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Outlines that are not valid, made valid."""
+    made = polygons.made_valid(_bad(spark, d), "bsm")
+    return made.select("bsm", F.round("area", 6).alias("area"), F.round("length", 6).alias("length"), "n_polygons", "n_rings", "changed")
+
+
+@query(", s AS (SELECT bsm, CASE WHEN bsm % 3 = 0 THEN 0.4 ELSE 99.7 END AS h FROM parcel) SELECT bsm, 10000.0::DOUBLE AS area, 400.0::DOUBLE AS length FROM s WHERE h > 1", "parcel")
+def snapped_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Outlines on a grid of whole metres: jitter goes, and slivers that are narrower vanish."""
+    p = parcel(spark, d).select("bsm", *(F.expr(e).alias(c) for c, e in (("a", "x0 + 0.3D"), ("b", "x1 - 0.4D"), ("c", "y0 - 0.2D"), ("e", "CASE WHEN bsm % 3 = 0 THEN y0 + 0.2D ELSE y1 - 0.3D END"), ("m", "(x0 + x1) / 2 + 0.1D"), ("n", "y0 + 0.4D"))))
+    return polygons.made_valid(rings(p, "bsm", ("a", "c"), ("m", "c"), ("m", "n"), ("m", "c"), ("b", "c"), ("b", "e"), ("a", "e")), "bsm", 0).select("bsm", "area", "length")
+
+
+_SIDES = ", s AS (SELECT block, x0 AS ax, y0 AS ay, x1 AS bx, y0 AS ey, 1 AS w FROM swap WHERE type_code > 0 UNION ALL SELECT block, x1, y0, x1, y1, 1 FROM swap WHERE type_code > 0 UNION ALL SELECT block, x0, y1, x1, y1, 1 FROM swap WHERE type_code > 0 UNION ALL SELECT block, x0, y0, x0, y1, 1 FROM swap WHERE type_code > 0), o AS (SELECT block, sum(len) AS length FROM (SELECT block, CASE WHEN ax = bx THEN ey - ay ELSE bx - ax END AS len FROM s GROUP BY block, ax, ay, bx, ey HAVING count(*) = 1) GROUP BY block)"
+_REACH = ", t AS (SELECT block, gcol, grow FROM swap WHERE type_code > 0), r AS (SELECT block, gcol, grow, gcol AS c, grow AS g FROM t UNION SELECT t.block, t.gcol, t.grow, r.c, r.g FROM r JOIN t ON t.block = r.block AND abs(t.gcol - r.gcol) + abs(t.grow - r.grow) = 1), k AS (SELECT block, count(DISTINCT first) AS n_polygons FROM (SELECT block, gcol, grow, min(g * 100 + c) AS first FROM r GROUP BY ALL) GROUP BY block)"
+
+
+@query(_SIDES + _REACH + " SELECT block, sum(area_m2) AS area, any_value(length)::DOUBLE AS length, any_value(n_polygons)::BIGINT AS n_polygons, count(*) AS n_parcels FROM swap JOIN o USING (block) JOIN k USING (block) WHERE type_code > 0 GROUP BY block", "swap")
+def dissolve_units(spark: SparkSession, d: str) -> DataFrame:
+    """Union of the swappable parcels of each block: area, outline and separate parts."""
+    s = swap(spark, d).where("type_code > 0")
+    own = box_polygons(s, "bsm").join(s.select("bsm", "block"), "bsm")
+    return polygons.dissolve(own, ["block"]).select("block", "area", "length", "n_polygons", "n_parcels")
+
+
+@query(", c AS (SELECT CASE WHEN bsm % 2 = 0 THEN qsdwdm ELSE substr(qsdwdm, 1, 9) END AS code, bsm FROM parcel) SELECT code AS XZQDM, 'N' || code AS XZQMC, CASE WHEN length(code) >= 12 THEN 'village' ELSE 'township' END AS admin_level, substr(code, 1, 9) AS admin_parent_code, count(*) * 10000.0::DOUBLE AS area, count(*) AS n_parcels FROM c GROUP BY code", "parcel")
+def admin_proxy(spark: SparkSession, d: str) -> DataFrame:
+    """Units by code and name, dissolved from the parcels where no layer of units is given."""
+    p = parcel(spark, d)
+    code = F.when(F.col("bsm") % 2 == 0, F.col("qsdwdm")).otherwise(F.substring("qsdwdm", 1, 9))
+    named = p.select("bsm", code.alias("qsdwdm"), F.concat(F.lit("N"), code).alias("qsdwmc"))
+    return polygons.admin_proxy(box_polygons(p, "bsm").join(named, "bsm")).select("XZQDM", "XZQMC", "admin_level", "admin_parent_code", "area", "n_parcels")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.functions import geometry as G
+from parcelspark.functions import noding as N
 from parcelspark.scratch import ship
 
 LAYER = "path string, fid long, attrs map<string,string>, geometry binary"
@@ -231,7 +232,7 @@ def raster_transform(spark: SparkSession, path: str) -> tuple[float, ...]:
 
 
 def repaired(layer: DataFrame, required: bool = False) -> DataFrame:
-    """The layer with repaired geometry, its area, bounds and interior point; rows without area drop out, or fail if required."""
+    """The layer with valid geometry of the same land, its area, bounds and interior point; rows without area drop out, or fail if required."""
     schema = "path string, fid long, attrs map<string,string>, geometry binary, area double, x0 double, y0 double, x1 double, y1 double, px double, py double"
     ship(layer.sparkSession)
 
@@ -239,7 +240,7 @@ def repaired(layer: DataFrame, required: bool = False) -> DataFrame:
         for b in batches:
             keep, cols = [], [[] for _ in range(8)]
             for i, raw in enumerate(b.column(3).to_pylist()):
-                g = G.repair(G.from_wkb(raw)) if raw else []
+                g, _ = N.make_valid(G.from_wkb(raw)) if raw else ([], False)
                 if not g:
                     if required:
                         raise ValueError(f"feature {b.column(1)[i].as_py()} has no polygon")
