@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parcelspark.plans import decision, expressions, metrics, shapes, simulation, spatial  # noqa: F401
+from parcelspark.plans import decision, expressions, metrics, rasters, shapes, simulation, spatial  # noqa: F401
 from parcelspark.plans.registry import QUERIES, SQL
 
 
