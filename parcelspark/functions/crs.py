@@ -184,6 +184,11 @@ def choose_metric(explicit: str | int | None, source: str | int | Crs, bounds: t
     return out
 
 
+def opaque(code: int) -> Crs:
+    """A system that is known by its code alone: it equals itself, and nothing is transformed to or from it."""
+    return Crs(False, k0=0.0, epsg=code)
+
+
 def _series(c: Crs) -> tuple[float, float, tuple[float, ...], tuple[float, ...], float]:
     """n, radius of the rectifying sphere, and coefficients of the Krueger series both ways, to the fourth order."""
     a, inverse = c.ellipsoid
@@ -240,6 +245,10 @@ def between(a: Crs, b: Crs) -> Transform:
     if a.same(b):
         return lambda x, y: (np.asarray(x, float), np.asarray(y, float))
 
+    for c in (a, b):
+        if not c.k0:
+            raise CrsError(f"positions of EPSG:{c.epsg} cannot be transformed by this library")
+
     def run(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lon, lat = (np.asarray(x, float), np.asarray(y, float)) if a.geographic else unproject(a, x, y)
         return (lon, lat) if b.geographic else project(b, lon, lat)

@@ -7,6 +7,7 @@ of two keeps cell numbers exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,22 +90,25 @@ def fuse_without_zones(parcels: DataFrame, slope: DataFrame) -> DataFrame:
     return out.withColumns({"category": kind, **neutral}).select(*parcels.columns, *ADDED, F.lit("NOT_EVALUATED").alias("CONSTR_STA"))
 
 
-def polygon_slope(parcels: DataFrame, pixels: DataFrame, pixel_size: float, origin: tuple[float, float], radius: int = 2, cell: float = 512.0) -> DataFrame:
+def polygon_slope(parcels: DataFrame, pixels: DataFrame, pixel_size: float | tuple[float, float], origin: tuple[float, float], radius: int = 2, cell: float | None = None) -> DataFrame:
     """Slope statistics of the cells whose centre a parcel holds; else the nearest cell to its interior point; else null.
 
-    pixels: row, col, z (the slope; null without data); the row axis points down from the origin.
+    pixels: row, col, z (the slope; null without data); the row axis points down from the
+    origin. pixel_size: a side, or width and height; parcels lie in the raster's system.
     """
     x0, y0 = origin
+    wide, high = pixel_size if isinstance(pixel_size, tuple) else (pixel_size, pixel_size)
+    cell = cell or 2.0 ** math.ceil(math.log2(16 * max(wide, high)))
     own = boxed(parcels, "bsm")
     kind = dict(own.dtypes)["bsm"]
-    centre = pixels.where("z IS NOT NULL").select("row", "col", "z", (x0 + (F.col("col") + 0.5) * pixel_size).alias("px"), (y0 - (F.col("row") + 0.5) * pixel_size).alias("py"))
+    centre = pixels.where("z IS NOT NULL").select("row", "col", "z", (x0 + (F.col("col") + 0.5) * wide).alias("px"), (y0 - (F.col("row") + 0.5) * high).alias("py"))
     stats = polygons.zonal(centre, parcels, "bsm", cell).selectExpr("bsm", "mean AS slope_mean", "max AS slope_max", "n AS slope_pixel_count")
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             xy = [G.interior_point(G.from_wkb(g)) for g in b.column(1).to_pylist()]
-            row = pa.array([int((y0 - y) // pixel_size) for _, y in xy], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), row, pa.array([int((x - x0) // pixel_size) for x, _ in xy], pa.int64())], ["key", "row", "col"])
+            row = pa.array([int((y0 - y) // high) for _, y in xy], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), row, pa.array([int((x - x0) // wide) for x, _ in xy], pa.int64())], ["key", "row", "col"])
 
     lost = own.join(stats, "bsm", "left_anti").select("bsm", "geometry").mapInArrow(points, f"key {kind}, row long, col long")
     back = nearest_pixel(lost, pixels.where("z IS NOT NULL"), radius).select(F.col("key").alias("bsm"), F.col("z").alias("fallback"))

@@ -92,10 +92,11 @@ def nearest_pixel(points: DataFrame, pixels: DataFrame, radius: int = 2, valid:
 TILE = 256
 
 
-def horn_slope(pixels: DataFrame, cell: float, strict_centre: bool, tile: int = TILE) -> DataFrame:
+def horn_slope(pixels: DataFrame, cell: float | tuple[float, float], strict_centre: bool, tile: int = TILE) -> DataFrame:
     """row, col, slope in degrees by the 3 x 3 Horn formula; outside cells repeat the edge, cells without data give null.
 
-    strict_centre: a cell without data has no slope even if its neighbours have.
+    cell: its side, or width and height. strict_centre: a cell without data has no slope
+    even if its neighbours have.
     Cells go to square tiles, those at a tile's border also to the tiles beside it, so
     an exchange carries little more than each cell once; a tile is one array.
     """
@@ -103,6 +104,7 @@ def horn_slope(pixels: DataFrame, cell: float, strict_centre: bool, tile: int =
     near = lambda c: F.explode(F.array_distinct(F.array(F.floor((F.col(c) - 1) / tile), F.floor((F.col(c) + 1) / tile))))
     dealt = pixels.select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("z").cast("double"), near("row").alias("tr")).withColumn("tc", near("col"))
     ship(pixels.sparkSession)
+    wide, high = cell if isinstance(cell, tuple) else (cell, cell)
 
     def run(cells: pa.Table) -> pa.Table:
         top, left = cells["tr"][0].as_py() * tile - 1, cells["tc"][0].as_py() * tile - 1
@@ -117,7 +119,7 @@ def horn_slope(pixels: DataFrame, cell: float, strict_centre: bool, tile: int =
         part = lambda dr, dc: z[1 + dr : tile + 1 + dr, 1 + dc : tile + 1 + dc]
         gx = sum(w * (part(d, 1) - part(d, -1)) for d, w in ((-1, 1), (0, 2), (1, 1)))
         gy = sum(w * (part(1, d) - part(-1, d)) for d, w in ((-1, 1), (0, 2), (1, 1)))
-        slope = np.degrees(np.arctan(np.hypot(gx / (8 * cell), gy / (8 * cell))))
+        slope = np.degrees(np.arctan(np.hypot(gx / (8 * wide), gy / (8 * high))))
         if strict_centre:
             slope = np.where(np.isnan(part(0, 0)), np.nan, slope)
         own = (row > top) & (row <= top + tile) & (col > left) & (col <= left + tile)

@@ -144,19 +144,28 @@ def reproject(pixels: DataFrame, source: Grid, a: C.Crs, b: C.Crs, method: str =
     return resample(pixels, source, target, method, C.between(b, a)), target
 
 
-def zonal_in_raster_crs(shapes: DataFrame, key: str, a: C.Crs, pixels: DataFrame, grid: Grid, b: C.Crs) -> DataFrame:
-    """key, mean, max, n of the cells whose centre a polygon holds; polygons in system a, the raster in b."""
-    moved = shapes.select(key, "geometry")
-    if not a.same(b):
-        change, kind = C.between(a, b), dict(shapes.dtypes)[key]
+def moved(shapes: DataFrame, key: str, a: C.Crs, b: C.Crs) -> DataFrame:
+    """key, geometry: polygons with the vertices of system a in system b."""
+    own = shapes.select(key, "geometry")
+    if a.same(b):
+        return own
+    change, kind = C.between(a, b), dict(shapes.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [G.to_wkb([[np.stack(change(r[:, 0], r[:, 1]), 1) for r in p] for p in G.from_wkb(raw)]) if raw else None for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [key, "geometry"])
+
+    prepare(shapes.sparkSession)
+    return own.mapInArrow(run, f"{key} {kind}, geometry binary")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = [G.to_wkb([[np.stack(change(r[:, 0], r[:, 1]), 1) for r in p] for p in G.from_wkb(raw)]) if raw else None for raw in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [key, "geometry"])
 
-        prepare(shapes.sparkSession)
-        moved = moved.mapInArrow(run, f"{key} {kind}, geometry binary")
+def index_cell(grid: Grid) -> float:
+    """A side for the cells of an index over a raster: a power of two of about sixteen of its cells."""
+    return 2.0 ** math.ceil(math.log2(16 * max(abs(grid.dx), abs(grid.dy))))
+
+
+def zonal_in_raster_crs(shapes: DataFrame, key: str, a: C.Crs, pixels: DataFrame, grid: Grid, b: C.Crs) -> DataFrame:
+    """key, mean, max, n of the cells whose centre a polygon holds; polygons in system a, the raster in b."""
     centre = pixels.where("z IS NOT NULL").select("row", "col", "z", (F.lit(grid.x0) + (F.col("col") + 0.5) * grid.dx).alias("px"), (F.lit(grid.y0) + (F.col("row") + 0.5) * grid.dy).alias("py"))
-    # cells of the index: a power of two of about sixteen cells of the raster
-    return polygons.zonal(centre, moved, key, 2.0 ** math.ceil(math.log2(16 * abs(grid.dx))))
+    return polygons.zonal(centre, moved(shapes, key, a, b), key, index_cell(grid))

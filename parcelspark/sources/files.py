@@ -83,15 +83,15 @@ def list_layers(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(_files(spark, path, "*.gpkg"), parse, LISTING)
 
 
-def read_gpkg(spark: SparkSession, path: str, layer: str) -> DataFrame:
-    """Features of a layer; a file without it is an error."""
+def read_gpkg(spark: SparkSession, path: str, layer: str, where: str | None = None) -> DataFrame:
+    """Features of a layer that meet a condition of SQL, from the files' bytes; a file without the layer is an error."""
 
     def parse(name: str, content: bytes):
         db = _open(content)
         found = db.execute("SELECT column_name FROM gpkg_geometry_columns WHERE table_name = ?", (layer,)).fetchone()
         if found is None:
             raise ValueError(f"{name} has no layer {layer}")
-        cur = db.execute(f'SELECT rowid, * FROM "{layer}"')
+        cur = db.execute(f'SELECT rowid, * FROM "{layer}" WHERE {where or 1}')
         names = [d[0] for d in cur.description]
         at = names.index(found[0])
         for r in cur:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.sources import files
+from parcelspark.sources import files, geopackage
 
 
 class LayerError(ValueError):
@@ -91,9 +91,16 @@ def named_columns(layer: DataFrame, role: str, fields: list[str]) -> DataFrame:
     return layer.select("fid", *(column(names).alias(c) for c, (names, _) in ROLES[role].columns.items()), "geometry")
 
 
-def read_role(spark: SparkSession, path: str, role: str, layer: str | None = None) -> DataFrame:
-    """The layer of a role in a GeoPackage, with repaired polygons and plain column names."""
+def read_role(spark: SparkSession, path: str, role: str, layer: str | None = None, where: str | None = None, counts: dict | None = None) -> DataFrame:
+    """The layer of a role in a GeoPackage, with valid polygons and plain column names.
+
+    where: a condition of SQL on the layer's attributes, answered inside the file. counts
+    gets the observation of what was read, repaired and dropped, under the role's name.
+    """
     known = [(r["layer"], r["geometry_type"], r["fields"]) for r in files.list_layers(spark, path).collect()]
     name = select_layer(known, role, layer)
     fields = next(f for n, _, f in known if n == name)
-    return named_columns(files.repaired(files.read_gpkg(spark, path, name), role == "parcels"), role, fields)
+    shapes, seen = geopackage.read_polygon_layer(spark, path, name, role == "parcels", where)
+    if counts is not None:
+        counts[role] = seen
+    return named_columns(shapes, role, fields)

@@ -87,7 +87,7 @@ def test_shapefile(spark, tmp_path):
     assert G.area(G.from_wkb(rows[0].geometry)) == 31 and rows[1].geometry is None
 
 
-def tiff(z, compress):
+def tiff(z, compress, epsg=None):
     rows = [zlib.compress(r.tobytes()) if compress else r.tobytes() for r in z.astype("<f4")]
     data, offsets = b"", []
     for r in rows:
@@ -107,7 +107,7 @@ def tiff(z, compress):
             entries.append(struct.pack("<HHI", number, kind, n) + raw.ljust(4, b"\0"))
 
     h, w = z.shape
-    for t in ((256, 3, [w]), (257, 3, [h]), (258, 3, [32]), (259, 3, [8 if compress else 1]), (273, 4, offsets), (277, 3, [1]), (278, 3, [1]), (279, 4, [len(r) for r in rows]), (339, 3, [3]), (33550, 12, [2.0, 2.0, 0.0]), (33922, 12, [0, 0, 0, 100.0, 200.0, 0]), (42113, 2, b"-9999\0")):
+    for t in ((256, 3, [w]), (257, 3, [h]), (258, 3, [32]), (259, 3, [8 if compress else 1]), (273, 4, offsets), (277, 3, [1]), (278, 3, [1]), (279, 4, [len(r) for r in rows]), (339, 3, [3]), (33550, 12, [2.0, 2.0, 0.0]), (33922, 12, [0, 0, 0, 100.0, 200.0, 0]), *([(34735, 3, [1, 1, 0, 3, 1024, 0, 1, 2 if epsg == 4326 else 1, 1025, 0, 1, 1, 2048 if epsg == 4326 else 3072, 0, 1, epsg])] if epsg else []), (42113, 2, b"-9999\0")):
         tag(*t)
     return b"II*\0" + struct.pack("<I", at + len(extra)) + data + extra + struct.pack("<H", len(entries)) + b"".join(entries) + bytes(4)
 
