@@ -5,9 +5,10 @@ the log are aggregated by digest and flushed as sorted runs (digest, smallest
 identifier, number of rows) into level 0, each with a filter: a bitmap over hashes of
 its digests, made and probed with Spark's bitmap functions. When a level holds
 `fanout` runs, they are compacted into one run of the next level, which keeps the
-smallest identifier. What is asked of the index first meets the filters, and only
-rows that pass are joined with a run by digest: rows of the log probe the filter of
-the digests with several rows, so documents without a copy are never exchanged.
+smallest identifier; there each run's rows meet the filters of the others, and only
+rows that pass are exchanged. What is asked of the index meets the filters as well:
+rows of the log probe the filter of the digests with several rows, so documents
+without a copy are never exchanged.
 Every hit is verified on its bytes: the hits' texts are grouped by (digest, text),
 which compares whole texts and pre-aggregates before the shuffle, so a group of
 copies that holds a third of all rows costs one row per task. Digests with two
@@ -42,7 +43,8 @@ class Filter:
     """Bitmaps over hashes of digests: a digest that does not pass is not in the table."""
 
     def __init__(self, digests: DataFrame, count: int):
-        self.buckets = max(1, -(-count * FILTER_BITS // BITMAP_BITS))
+        # beyond FILTER_ROWS a bit stands for more digests, and more rows pass that are not there
+        self.buckets = min(FILTER_ROWS, max(1, -(-count * FILTER_BITS // BITMAP_BITS)))
         place = self._place(F.col("digest"))
         self.bits = stash(digests.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")), "digest-filter")
 
@@ -50,9 +52,7 @@ class Filter:
         return F.pmod(F.xxhash64(digest), F.lit(self.buckets * BITMAP_BITS)) + 1
 
     def passing(self, rows: DataFrame) -> DataFrame:
-        """rows (with a column digest) and `passes`. A filter beyond FILTER_ROWS lets all rows pass: its join would move as much as that by digest."""
-        if self.buckets > FILTER_ROWS:
-            return rows.withColumn("passes", F.lit(True))
+        """rows (with a column digest) and `passes`."""
         place = self._place(F.col("digest"))
         bit = F.bitmap_bit_position(place)
         byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -84,8 +84,17 @@ class DigestIndex:
         return run, Filter(run.select("digest"), run.count())
 
     def _merge(self, runs: list[tuple[DataFrame, Filter]]) -> tuple[DataFrame, Filter]:
-        rows = reduce(DataFrame.unionByName, (r for r, _ in runs))
-        out = self._run(rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
+        """One run of several: only what another run's filter lets pass is exchanged, the rest is in one run alone."""
+        alone, maybe = [], []
+        for i, (rows, _) in enumerate(runs):
+            met = rows.withColumn("__met", F.lit(False))
+            for j, (_, other) in enumerate(runs):
+                if j != i:
+                    met = other.passing(met).select(*rows.columns, (F.col("__met") | F.col("passes")).alias("__met"))
+            alone.append(met.where("NOT __met").drop("__met"))
+            maybe.append(met.where("__met").drop("__met"))
+        same = reduce(DataFrame.unionByName, maybe).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        out = self._run(reduce(DataFrame.unionByName, [*alone, same]))
         for r, f in runs:
             drop(r, f.bits)
         return out
