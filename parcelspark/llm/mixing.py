@@ -59,6 +59,10 @@ def bisect(good_at_one, steps: int = 60) -> float:
     return hi
 
 
+#: Leading bits of a document's order by which a block is summed first.
+LEAD_BITS = 12
+
+
 def choose_exponent(tokens: np.ndarray, target_entropy: float | None, max_repeats: float | None, budget: float) -> float:
     """Exponent that meets the entropy (no more than it), unless a source would repeat more than the limit."""
     if not tokens.sum():
@@ -115,9 +119,18 @@ def make_plan(tokens: DataFrame, target_entropy: float | None, max_repeats: floa
     laid = laid.withColumns({"place": F.row_number().over(w) - 1, "upto": F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, 0))})
     laid = stash(laid.withColumn("whole", (F.col("epoch") < F.col("epochs")) | (F.col("upto") <= F.col("rest"))), "mix-epochs")
     cut = laid.where("NOT whole AND upto - t < rest").select("source", "block", "place", (F.col("rest") - F.col("upto") + F.col("t")).alias("room"))
-    inside = tokens.select("source", "block", "order", "tokens").where("tokens > 0").join(side(cut, n), ["source", "block"])  # one block of each source
-    inside = inside.withColumn("sum", F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("order").rangeBetween(Window.unboundedPreceding, 0)))
-    last = inside.where("sum <= room").groupBy("source", "block").agg(F.max("order").alias("last"), F.first("place").alias("last_place"))
+    # one block of each source is taken in part. Sums by leading bits of its order find the bits where the room ends;
+    # only documents with these are summed one by one, a millionth of the source
+    inside = tokens.select("source", "block", "order", "tokens").where("tokens > 0").join(side(cut, n), ["source", "block"])
+    inside = inside.withColumn("lead", F.shiftright("order", 64 - LEAD_BITS))
+    so_far = Window.partitionBy("source", "block").orderBy("lead").rowsBetween(Window.unboundedPreceding, 0)
+    bits = inside.groupBy("source", "block", "lead").agg(F.sum("tokens").alias("t"), F.max("order").alias("top"), F.first("room").alias("room"), F.first("place").alias("place"))
+    bits = stash(bits.withColumn("sum", F.sum("t").over(so_far)), "mix-bits")
+    edge = bits.where("sum > room AND sum - t < room").select("source", "block", "lead", (F.col("sum") - F.col("t")).alias("before"))
+    one = inside.join(side(edge, n), ["source", "block", "lead"])
+    one = one.withColumn("sum", F.col("before") + F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("order").rangeBetween(Window.unboundedPreceding, 0)))
+    ends = bits.where("sum <= room").select("source", "block", F.col("top").alias("order"), "place").unionByName(one.where("sum <= room").select("source", "block", "order", "place"))
+    last = ends.groupBy("source", "block").agg(F.max("order").alias("last"), F.first("place").alias("last_place"))
     whole = laid.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.when(F.col("whole"), F.struct("epoch", "place")))).alias("places"), F.first("weight").alias("weight"))
     return whole.join(last, ["source", "block"], "left"), exponent
 
