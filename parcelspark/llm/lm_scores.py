@@ -155,9 +155,23 @@ def signed_rows(rows: DataFrame, order: int, part: int, parts: int) -> DataFrame
     return rows.select("key", "text").mapInArrow(run, "hash long, key long, code int")
 
 
-def lm_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", slices: int = 3) -> DataFrame:
+#: Bytes of texts whose n-grams one partition of a pass holds as a table, and the least number of passes.
+TABLE_BYTES, SLICES = 32 << 20, 3
+
+
+def _slices(texts: DataFrame) -> int:
+    """Passes over parts of the hash range, so that a task's table stays in bounds; the plan's estimate of the bytes, and where that is too much their sum."""
+    room = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) * TABLE_BYTES
+    size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > room:
+        size = texts.agg(F.coalesce(F.sum(F.octet_length(F.col(texts.columns[0]))), F.lit(0))).first()[0]
+    return max(SLICES, -(-SLICES * size // room))
+
+
+def lm_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", slices: int | None = None) -> DataFrame:
     """doc_id, n_words, log_score and its mean per word for every whole text of a corpus."""
     rows = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    slices = slices or _slices(docs.select(text_col))
     # lower orders than order - 1 count for texts of so few words only
     used, low = range(1, order + 1), short_grams(rows, order)
     code, sums = F.col("code"), None
