@@ -18,6 +18,7 @@ empty table gives an empty result. Other input columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,6 +32,8 @@ from parcelspark.scratch import prepare, stash
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 BITS = 128
+#: Rows of one leading part of a block aimed at; the leading bits, and with them the tasks, grow with the table.
+SLOT_ROWS = 1 << 10
 #: Over nine in ten pairs of documents with a 5-gram Jaccard similarity of 0.8 differ by no more bits.
 RADIUS = 18
 
@@ -166,7 +169,8 @@ def with_neighbours(rows: DataFrame, radius: int = RADIUS, every: int = 50) -> D
     Equal fingerprints are one row with a count, so a group of copies costs one row per task.
     """
     rows = stash(rows, "fingerprints")
-    near = near_counts(rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.col("doc_id") % every == 0), F.lit(False)).alias("asked")), radius)
+    lead = min(16, max(8, math.ceil(math.log2(max(1, rows.count()) / SLOT_ROWS))))
+    near = near_counts(rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.col("doc_id") % every == 0), F.lit(False)).alias("asked")), radius, lead=lead)
     # one fingerprint may hold a third of all rows; narrow rows, split by adaptive execution
     out = rows.join(near.select("fingerprint", (F.col("near") - 1).alias("n_near")), "fingerprint", "left")
     return out.select(*rows.columns, F.when(F.col("doc_id") % every == 0, F.col("n_near")).alias("n_near"))
@@ -265,25 +269,3 @@ def near_counts(table: DataFrame, radius: int = RADIUS, blocks: int = 6, lead: i
     dealt = table.select("fingerprint", "n", "asked").mapInArrow(deal, "slot long, kept boolean, a long, b long, n long")
     there = dealt.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), "slot").sortWithinPartitions("slot", "kept")
     return there.mapInArrow(run, "fingerprint string, near long").groupBy("fingerprint").agg(F.sum("near").alias("near"))
-
-
-def within_radius(queries: DataFrame, table: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
-    """(fingerprint, other, distance) for all fingerprints of the table within the radius of each query fingerprint.
-
-    Bits are cut into `blocks` blocks (default radius + 3). Two fingerprints within the
-    radius agree on at least blocks - radius of them, so one table for each choice of
-    that many blocks, keyed by their bits, finds every pair. Equal fingerprints are one row.
-    """
-    m = blocks or radius + 3
-    edges = [round(i * 32 / m) for i in range(m + 1)]
-    tables = list(combinations(range(m), m - radius))
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        part = lambda b: F.substring("fingerprint", edges[b] + 1, edges[b + 1] - edges[b])
-        keys = [F.struct(F.lit(i).alias("t"), F.concat_ws(".", *(part(b) for b in t)).alias("k")) for i, t in enumerate(tables)]
-        return df.select("fingerprint").distinct().select(F.col("fingerprint").alias(name), F.explode(F.array(*keys)).alias("key"))
-
-    half = lambda c, i: F.conv(F.substring(c, i, 8), 16, 10).cast("long")
-    distance = sum((F.bit_count(half("q", i).bitwiseXOR(half("other", i))) for i in (1, 9, 17, 25)), F.lit(0))
-    pairs = keyed(queries, "q").join(keyed(table, "other"), "key").withColumn("distance", distance).where(F.col("distance") <= radius)
-    return pairs.select(F.col("q").alias("fingerprint"), "other", "distance").distinct()

@@ -258,19 +258,22 @@ def test_simhash_edited_texts(spark, cases, empty):
             assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256((t[: len(t) - k] + u[:k]).encode()).hexdigest()
             bits = bin(int(r.fingerprint, 16) ^ int(got[j].fingerprint, 16)).count("1")
             assert r.near_next == pytest.approx(1 - bits / 128)
+            (fe,) = simhash.hexes(simhash.fingerprints(*K.flat(pa.array([t[: len(t) - k] + u[:k]]))))
+            assert r.edited_fingerprint == fe and r.near_edited == pytest.approx(1 - (int(r.fingerprint, 16) ^ int(fe, 16)).bit_count() / 128)
     one = simhash.edited_likeness(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1
     assert simhash.edited_likeness(cases).count() == 14
     assert simhash.edited_likeness(empty).count() == 0
 
 
-def test_block_tables_find_all_within_the_radius(spark):
-    rnd = random.Random(6)
-    base = [rnd.getrandbits(128) for _ in range(20)]
-    fps = base + [b ^ sum(1 << rnd.randrange(128) for _ in range(rnd.randrange(1, 6))) for b in base for _ in range(4)]
-    df = spark.createDataFrame([(f"{x:032x}",) for x in fps], "fingerprint string")
-    got = {(r.fingerprint, r.other, r.distance) for r in simhash.within_radius(df, df, 3).collect()}
-    assert got == {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in fps for b in fps if (a ^ b).bit_count() <= 3}
+@pytest.mark.parametrize("lead", [8, 10])
+def test_any_leading_bits_find_all_within_the_radius(spark, lead):
+    rnd = random.Random(lead)
+    base = [rnd.getrandbits(128) for _ in range(6)]
+    fps = {b ^ sum(1 << x for x in rnd.sample(range(128), rnd.randrange(1, 26))) for b in base for _ in range(4)}
+    df = spark.createDataFrame([(f"{x:032x}", 1, i % 3 == 0) for i, x in enumerate(sorted(fps))], "fingerprint string, n long, asked boolean")
+    got = {r.fingerprint: r.near for r in simhash.near_counts(df, lead=lead).collect()}
+    assert got == {f"{a:032x}": sum((a ^ b).bit_count() <= simhash.RADIUS for b in fps) for i, a in enumerate(sorted(fps)) if i % 3 == 0}
 
 
 def test_neighbours_are_counted(spark, empty):
