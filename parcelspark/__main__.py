@@ -31,6 +31,13 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{name}")
     for name in ("parcels", "pdt", "eco", "pbf"):
         p.add_argument(f"--{name}-layer")
+    p.add_argument("--source", help="one container for all roles that have none of their own")
+    p.add_argument("--metric-crs")
+    p = sub.add_parser("render-runtime", help="a configuration with absolute paths below a data folder")
+    p.add_argument("config")
+    p.add_argument("out")
+    p.add_argument("data_root")
+    p.add_argument("--run-name", default="zhongning")
     p = sub.add_parser("list-layers")
     p.add_argument("path")
     return out
@@ -48,9 +55,11 @@ def _sources(args: argparse.Namespace) -> int:
         for r in files.list_layers(spark, args.path).collect():
             print(json.dumps(r.asDict(), ensure_ascii=False))
         return 0
-    given = {k: getattr(args, k) for k in ("parcels", "dem", *fuse.ZONES) if getattr(args, k)}
+    given = {k: getattr(args, k) for k in ("parcels", "dem", "source", *fuse.ZONES) if getattr(args, k)}
     chosen = {k: name for k in ("parcels", *fuse.ZONES) if (name := getattr(args, f"{k}_layer"))}
-    fuse.write_fused(fuse.fuse_files(spark, given, chosen), args.out, args.epsg)
+    counts: dict = {}
+    fuse.write_fused(fuse.fuse_files(spark, given, chosen, metric=args.metric_crs, counts=counts), args.out, args.epsg)
+    print(json.dumps({role: seen.get for role, seen in counts.items()}, ensure_ascii=False))
     return 0
 
 
@@ -59,9 +68,19 @@ def main(argv: list[str] | None = None) -> int:
 
     args = parser().parse_args(argv)
     if args.command in ("fuse", "list-layers"):
-        return _sources(args)
+        try:
+            return _sources(args)
+        except (ValueError, OSError) as e:  # sources that are missing, ambiguous or do not fit; faults of the program are not hidden
+            print(f"error: {e}", file=sys.stderr)
+            return 2
     try:
         config = C.validate(C.load(args.config))
+        if args.command == "render-runtime":
+            import yaml
+
+            with open(args.out, "w", encoding="utf-8") as f:
+                yaml.safe_dump(C.runtime_config(config, args.data_root, args.run_name), f, allow_unicode=True, sort_keys=False)
+            return 0
         if args.command == "render":
             print(json.dumps(C.rendered(config, json.loads(args.changes)), ensure_ascii=False, indent=2))
     except C.ConfigError as e:

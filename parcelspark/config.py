@@ -7,6 +7,7 @@ the parameters of each stage.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -203,3 +204,19 @@ def rendered(config: Mapping, changes: Mapping[str, Any]) -> dict:
         out = put(out, path.split("."), value)
     return dict(validate(out))
 
+
+# Where a run that knows parcels and elevation alone keeps its files below a data folder.
+RUNTIME_PATHS = {
+    "data.dltb": "input/DLTB_with_authority_slope.gpkg",
+    "data.admin_units": "input/admin_units.gpkg",
+    "data.dem": "input/DEM_placeholder.tif",
+    "data.prepared_dir": "working/prepared_paper9v23_{name}_dltb_only",
+    "outputs.plan_dir": "outputs/plan_paper9v23_{name}_dltb_only",
+    "outputs.optimized_vector": "outputs/plan_paper9v23_{name}_dltb_only/DLTB_optimized.shp",
+}
+
+
+def runtime_config(config: Mapping, data_root: str, name: str = "zhongning") -> dict:
+    """The configuration with absolute paths below a data folder, whatever folder it was written for."""
+    root = data_root.rstrip("/") if "://" in data_root else os.path.abspath(os.path.expanduser(data_root))
+    return rendered(validate(config), {k: f"{root}/{v.format(name=name)}" for k, v in RUNTIME_PATHS.items()} | {"runtime.data_root": root})

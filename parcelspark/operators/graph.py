@@ -12,12 +12,15 @@ def queen_edges(parcels: DataFrame) -> DataFrame:
     """src, dst, ts, td in both directions for parcels that share a corner.
 
     Corners meet at most a handful of parcels, so the corner table is grouped once and
-    pairs come from each corner's list: one exchange instead of a self-join's two.
+    pairs come from each corner's list; a pair is kept at the smallest corner that both
+    have, so pairs are not exchanged to find repeats.
     """
-    corner = F.explode(F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in ("x0", "x1") for y in ("y0", "y1"))))
-    at = parcels.select(F.struct("bsm", "type_code").alias("p"), corner.alias("c")).groupBy("c").agg(F.collect_list("p").alias("ps"))
-    one = at.select("ps", F.explode("ps").alias("a")).select("a", F.explode("ps").alias("b")).where("a.bsm <> b.bsm")
-    return one.select(F.col("a.bsm").alias("src"), F.col("b.bsm").alias("dst"), F.col("a.type_code").alias("ts"), F.col("b.type_code").alias("td")).distinct()
+    corner = F.explode(F.array_distinct(F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in ("x0", "x1") for y in ("y0", "y1")))))
+    at = parcels.select(F.struct("bsm", "type_code", "x0", "y0", "x1", "y1").alias("p"), corner.alias("c")).groupBy("c").agg(F.collect_list("p").alias("ps"))
+    one = at.select("c", "ps", F.explode("ps").alias("a")).select("c", "a", F.explode("ps").alias("b")).where("a.bsm <> b.bsm")
+    first = lambda lo, hi: F.when(F.col(f"a.{lo}").isin(F.col(f"b.{lo}"), F.col(f"b.{hi}")), F.least(f"a.{lo}", F.when(F.col(f"a.{hi}").isin(F.col(f"b.{lo}"), F.col(f"b.{hi}")), F.col(f"a.{hi}")))).otherwise(F.col(f"a.{hi}"))
+    once = one.where((F.col("c.x") == first("x0", "x1")) & (F.col("c.y") == first("y0", "y1")))
+    return once.select(F.col("a.bsm").alias("src"), F.col("b.bsm").alias("dst"), F.col("a.type_code").alias("ts"), F.col("b.type_code").alias("td"))
 
 
 def block_adjacency(edges: DataFrame, blocks: DataFrame) -> DataFrame:
