@@ -67,6 +67,14 @@ def land_use_scheme(code: Column) -> Column:
     return F.when(_base(code).isin(FARMLAND + FOREST + ORCHARD), "current").when(code.isin(LEGACY_FARMLAND + LEGACY_FOREST + LEGACY_ORCHARD), "legacy").otherwise("unknown")
 
 
+# The standard behind each scheme of land-use codes.
+STANDARDS = {"current": "GB/T 21010-2017 / Third National Land Survey", "legacy": "legacy Paper9 three-digit test data"}
+
+
+def land_use_standard(scheme: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in STANDARDS.items() for x in kv])[scheme], F.lit("unrecognized"))
+
+
 def type_code(code: Column) -> Column:
     kind = classify_land_use(code)
     return F.when(kind == "farmland", 1).when(kind == "forest", 2).otherwise(0)

@@ -7,9 +7,11 @@ that holds the lower left corner of its intersection, which needs no distinct.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.scratch import ship
@@ -92,19 +94,16 @@ def nearest_pixel(points: DataFrame, pixels: DataFrame, radius: int = 2, valid:
 TILE = 256
 
 
-def horn_slope(pixels: DataFrame, cell: float | tuple[float, float], strict_centre: bool, tile: int = TILE) -> DataFrame:
-    """row, col, slope in degrees by the 3 x 3 Horn formula; outside cells repeat the edge, cells without data give null.
+def _by_tiles(pixels: DataFrame, kernel: Callable[[np.ndarray, int, int, tuple[int, int, int, int]], np.ndarray], tile: int) -> DataFrame:
+    """row, col, slope by a kernel over square tiles with a border of one cell (z, its first row and column, the raster's ends).
 
-    cell: its side, or width and height. strict_centre: a cell without data has no slope
-    even if its neighbours have.
-    Cells go to square tiles, those at a tile's border also to the tiles beside it, so
-    an exchange carries little more than each cell once; a tile is one array.
+    Cells go to their tile, those at a tile's border also to the tiles beside it, so an
+    exchange carries little more than each cell once; a tile is one array.
     """
-    r0, r1, c0, c1 = pixels.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()  # one row
+    ends = tuple(pixels.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first())  # one row
     near = lambda c: F.explode(F.array_distinct(F.array(F.floor((F.col(c) - 1) / tile), F.floor((F.col(c) + 1) / tile))))
     dealt = pixels.select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("z").cast("double"), near("row").alias("tr")).withColumn("tc", near("col"))
     ship(pixels.sparkSession)
-    wide, high = cell if isinstance(cell, tuple) else (cell, cell)
 
     def run(cells: pa.Table) -> pa.Table:
         top, left = cells["tr"][0].as_py() * tile - 1, cells["tc"][0].as_py() * tile - 1
@@ -112,32 +111,47 @@ def horn_slope(pixels: DataFrame, cell: float | tuple[float, float], strict_cent
         value = cells["z"].to_numpy(zero_copy_only=False)
         row, col = cells["row"].to_numpy(), cells["col"].to_numpy()
         z[row - top, col - left] = np.where(value > 0, value, np.nan)
+        slope = kernel(z, top, left, ends)
+        own = (row > top) & (row <= top + tile) & (col > left) & (col <= left + tile)
+        found = slope[row[own] - top - 1, col[own] - left - 1]
+        return pa.table([row[own], col[own], pa.array(found, mask=np.isnan(found))], names=["row", "col", "slope"])
+
+    return dealt.groupBy("tr", "tc").applyInArrow(run, "row long, col long, slope double")
+
+
+def horn_slope(pixels: DataFrame, cell: float | tuple[float, float], strict_centre: bool, tile: int = TILE) -> DataFrame:
+    """row, col, slope in degrees by the 3 x 3 Horn formula; outside cells repeat the edge, cells without data give null.
+
+    cell: its side, or width and height. strict_centre: a cell without data has no slope
+    even if its neighbours have.
+    """
+    wide, high = cell if isinstance(cell, tuple) else (cell, cell)
+
+    def kernel(z: np.ndarray, top: int, left: int, ends: tuple[int, int, int, int]) -> np.ndarray:
         # the edge of the grid stands in for what is outside
-        rows = np.clip(np.arange(top, top + tile + 2), r0, r1) - top
-        cols = np.clip(np.arange(left, left + tile + 2), c0, c1) - left
+        rows = np.clip(np.arange(top, top + tile + 2), *ends[:2]) - top
+        cols = np.clip(np.arange(left, left + tile + 2), *ends[2:]) - left
         z = z[np.clip(rows, 0, tile + 1)][:, np.clip(cols, 0, tile + 1)]
         part = lambda dr, dc: z[1 + dr : tile + 1 + dr, 1 + dc : tile + 1 + dc]
         gx = sum(w * (part(d, 1) - part(d, -1)) for d, w in ((-1, 1), (0, 2), (1, 1)))
         gy = sum(w * (part(1, d) - part(-1, d)) for d, w in ((-1, 1), (0, 2), (1, 1)))
         slope = np.degrees(np.arctan(np.hypot(gx / (8 * wide), gy / (8 * high))))
-        if strict_centre:
-            slope = np.where(np.isnan(part(0, 0)), np.nan, slope)
-        own = (row > top) & (row <= top + tile) & (col > left) & (col <= left + tile)
-        found = slope[row[own] - top - 1, col[own] - left - 1]
-        return pa.table([row[own], col[own], pa.array(found, mask=np.isnan(found))], names=["row", "col", "slope"])
+        return np.where(np.isnan(part(0, 0)), np.nan, slope) if strict_centre else slope
 
-    return dealt.groupBy("tr", "tc").applyInArrow(run, "row long, col long, slope double")
+    return _by_tiles(pixels, kernel, tile)
 
 
-def gradient_slope(pixels: DataFrame, dx: float, dy: float) -> DataFrame:
-    """row, col, slope by central differences, one-sided at the ends of rows and columns; null next to missing cells."""
-    z = F.when(F.col("z") > 0, F.col("z"))
+def gradient_slope(pixels: DataFrame, dx: float, dy: float, tile: int = TILE) -> DataFrame:
+    """row, col, slope by central differences, one-sided at the ends of the raster; null next to missing cells."""
+
+    def kernel(z: np.ndarray, top: int, left: int, ends: tuple[int, int, int, int]) -> np.ndarray:
+        part = lambda dr, dc: z[1 + dr : tile + 1 + dr, 1 + dc : tile + 1 + dc]
+        here, row, col = part(0, 0), np.arange(top + 1, top + tile + 1)[:, None], np.arange(left + 1, left + tile + 1)[None, :]
+
+        def along(before: np.ndarray, after: np.ndarray, at: np.ndarray, lo: int, hi: int, step: float) -> np.ndarray:
+            return np.where(at == lo, (after - here) / step, np.where(at == hi, (here - before) / step, (after - before) / (2 * step)))
 
-    def along(line: str, pos: str, step: float) -> Column:
-        w = Window.partitionBy(line).orderBy(pos)
-        before, after = F.lag(z).over(w), F.lead(z).over(w)
-        first, last = F.row_number().over(w) == 1, F.lead(F.col(pos)).over(w).isNull()
-        return F.when(first, (after - z) / step).when(last, (z - before) / step).otherwise((after - before) / (2 * step))
+        gx, gy = along(part(0, -1), part(0, 1), col, *ends[2:], dx), along(part(-1, 0), part(1, 0), row, *ends[:2], dy)
+        return np.where(np.isnan(here), np.nan, np.degrees(np.arctan(np.hypot(gx, gy))))
 
-    g = pixels.select("row", "col", along("row", "col", dx).alias("gx"), along("col", "row", dy).alias("gy"), z.alias("z"))
-    return g.select("row", "col", F.when(F.col("z").isNotNull(), F.degrees(F.atan(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))))).alias("slope"))
+    return _by_tiles(pixels, kernel, tile)

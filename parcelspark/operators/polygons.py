@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from parcelspark.functions import codes
 from parcelspark.functions import geometry as G
 from parcelspark.functions import noding as N
-from parcelspark.operators import cellindex
+from parcelspark.operators import cellindex, metrics
 from parcelspark.scratch import ship
 
 #: Decimal places at which vertices are the same (metres: a tenth of a millimetre).
@@ -203,6 +203,40 @@ def admin_units(parcels: DataFrame, units: DataFrame, attrs: list[str], cell: fl
     return per.crossJoin(F.broadcast(every)).withColumn("share", F.col("area_m2") / F.col("all_m2")).drop("all_m2")  # one row
 
 
+def reference_units(parcels: DataFrame, reference: DataFrame, county: str | None = None, cell: float = 512.0) -> DataFrame:
+    """Units of one county from a reference layer, with the code of the parcels that mostly lie in each.
+
+    reference: unit_id, county_code, XZQMC, geometry; parcels: bsm, qsdwdm, geometry. county:
+    by default the most frequent county code of the parcels. A unit's code is the leading
+    part of the location code that covers most of it, of equals the smallest; empty without
+    parcels. A county without units, or units without a name, are errors.
+    """
+    if county is None:
+        county = metrics.most_frequent(parcels.select(codes.county_code(F.col("qsdwdm")).alias("code")), "code").first()["code"]
+    named = reference.withColumns({"county_code": codes.normalise_code(F.col("county_code")), "XZQMC": F.trim(F.coalesce("XZQMC", F.lit("")))})
+    own = named.where(F.col("county_code") == county)
+    seen = own.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("XZQMC") == "").alias("blank")).first()
+    if not seen["n"]:
+        known = [r[0] for r in named.select("county_code").distinct().orderBy("county_code").limit(20).collect()]
+        raise ValueError(f"no units of county {county!r}; there are {known}")
+    if seen["blank"]:
+        raise ValueError(f"{seen['blank']} units without a name")
+    code = F.substring("qsdwdm", 1, 9)
+    area = cellindex.overlaps(cellindex.piece_index(parcels, "bsm", cell), cellindex.piece_index(own, "unit_id", cell), "bsm", "unit_id")
+    per = area.join(parcels.select("bsm", code.alias("code")), "bsm")
+    # overlaps are counted by parcel, as the reference layer's units meet parcels and not their union
+    best = per.groupBy("unit_id").agg(F.min(F.struct((-F.round("area", 6)).alias("a"), "code")).alias("b")).select("unit_id", F.col("b.code").alias("code"))
+    out = own.join(best, "unit_id", "left")
+    level = {"XZQDM": F.coalesce("code", F.lit("")), "admin_level": F.lit("township"), "admin_parent_code": F.lit(county)}
+    source = {"code_source": F.when(F.col("code").isNull(), "UNAVAILABLE").otherwise("DLTB_DOMINANT_OVERLAP"), "source_level": F.lit("BUNDLED_TOWNSHIP_SPATIAL_REFERENCE"), "not_for_exchange_constraints": F.lit(True)}
+    return out.withColumns(level | source).drop("code")
+
+
+def build_admin_units(parcels: DataFrame, reference: DataFrame | None = None, county: str | None = None) -> DataFrame:
+    """Units of the reference layer, or without one those dissolved from the parcels (bsm, qsdwdm, qsdwmc, geometry)."""
+    return admin_proxy(parcels) if reference is None else reference_units(parcels, reference, county)
+
+
 def numbered(df: DataFrame, name: str, *keys: str) -> DataFrame:
     """df with a dense number of its distinct key values, which are few (a county's blocks)."""
     known = df.select(*keys).distinct()

@@ -197,6 +197,13 @@ def land_use_report(spark: SparkSession, d: str) -> DataFrame:
     return parcel(spark, d).groupBy(c.alias("code"), codes.classify_land_use(c).alias("kind"), codes.land_use_scheme(c).alias("scheme")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT scheme, CASE scheme WHEN 'current' THEN 'GB/T 21010-2017 / Third National Land Survey' ELSE 'unrecognized' END AS standard, count(*) AS feature_count, count(DISTINCT dlbm) AS codes FROM (SELECT dlbm, CASE WHEN dlbm IN ('1104', '0601') THEN 'unknown' ELSE 'current' END AS scheme FROM parcel) GROUP BY scheme", "parcel")
+def land_use_standard(spark: SparkSession, d: str) -> DataFrame:
+    """The standard behind the codes of each scheme."""
+    scheme = codes.land_use_scheme(F.col("dlbm"))
+    return parcel(spark, d).groupBy(scheme.alias("scheme")).agg(F.count("*").alias("feature_count"), F.count_distinct("dlbm").alias("codes")).withColumn("standard", codes.land_use_standard(F.col("scheme")))
+
+
 @query("SELECT count(*) - count(DISTINCT l_orderkey) AS duplicates, count(*) FILTER (l_returnflag = '') AS blanks, count(*) FILTER (l_linestatus = 'O') AS open FROM lineitem")
 def key_quality(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").agg((F.count("*") - F.countDistinct("l_orderkey")).alias("duplicates"), F.count_if(F.col("l_returnflag") == "").alias("blanks"), F.count_if(F.col("l_linestatus") == "O").alias("open"))

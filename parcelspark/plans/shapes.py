@@ -139,3 +139,17 @@ def admin_proxy(spark: SparkSession, d: str) -> DataFrame:
     code = F.when(F.col("bsm") % 2 == 0, F.col("qsdwdm")).otherwise(F.substring("qsdwdm", 1, 9))
     named = p.select("bsm", code.alias("qsdwdm"), F.concat(F.lit("N"), code).alias("qsdwmc"))
     return polygons.admin_proxy(box_polygons(p, "bsm").join(named, "bsm")).select("XZQDM", "XZQMC", "admin_level", "admin_parent_code", "area", "n_parcels")
+
+
+_UNITS = f", u AS (SELECT zone_id AS unit_id, CASE zone_id % 3 WHEN 0 THEN '500120' ELSE '511011.0' END AS county_code, * FROM zone WHERE zone_id % 3 <> 0), ov AS (SELECT u.unit_id, substr(p.qsdwdm, 1, 9) AS code, (least(p.x1, u.x1) - greatest(p.x0, u.x0)) * (least(p.y1, u.y1) - greatest(p.y0, u.y0)) AS area FROM parcel p JOIN u ON p.x0 < u.x1 AND u.x0 < p.x1 AND p.y0 < u.y1 AND u.y0 < p.y1), b AS (SELECT unit_id, code, row_number() OVER (PARTITION BY unit_id ORDER BY round(area, 6) DESC, code) AS k FROM ov)"
+
+
+@query(_UNITS + " SELECT u.unit_id, 'N' || u.unit_id AS XZQMC, coalesce(b.code, '') AS XZQDM, CASE WHEN b.code IS NULL THEN 'UNAVAILABLE' ELSE 'DLTB_DOMINANT_OVERLAP' END AS code_source, '511011' AS admin_parent_code FROM u LEFT JOIN b ON b.unit_id = u.unit_id AND b.k = 1", "parcel", "zone")
+def reference_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units of the parcels' county from a layer of several counties, with the code that covers most of each."""
+    z = zone(spark, d)
+    county = F.when(F.col("zone_id") % 3 == 0, "500120").otherwise("511011.0")
+    layer = box_polygons(z, "zone_id").join(z.select("zone_id", county.alias("county_code"), F.concat(F.lit("N"), F.col("zone_id").cast("string")).alias("XZQMC")), "zone_id").withColumnRenamed("zone_id", "unit_id")
+    p = parcel(spark, d)
+    own = box_polygons(p, "bsm").join(p.select("bsm", "qsdwdm"), "bsm")
+    return polygons.build_admin_units(own, layer).select("unit_id", "XZQMC", "XZQDM", "code_source", "admin_parent_code")

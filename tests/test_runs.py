@@ -74,3 +74,47 @@ def test_pairs_come_once_from_their_corners(spark):
     corners = {r[0]: {(x, y) for x in (r[2], r[4]) for y in (r[3], r[5])} for r in rows}
     got = [(r.src, r.dst) for r in graph.queen_edges(df).collect()]
     assert sorted(got) == sorted((a, b) for a in corners for b in corners if a != b and corners[a] & corners[b])
+
+
+def test_block_files(spark, tmp_path):
+    rows = [(i, i // 3, 1 + i % 2, 2.0 * i, 10.0) for i in range(9)]
+    own = spark.createDataFrame(rows, "bsm long, block long, type_code int, slope_mean double, area_m2 double")
+    prepare.block_outputs(own, str(tmp_path))
+    mapping = spark.read.csv(f"{tmp_path}/parcel_block_mapping", header=True, inferSchema=True)
+    assert {(r.original_index, r.block_id) for r in mapping.collect()} == {(i, i // 3) for i in range(9)}
+    members = {r.block_id: r.parcels for r in spark.read.json(f"{tmp_path}/block_compositions").collect()}
+    assert members == {b: [3 * b, 3 * b + 1, 3 * b + 2] for b in range(3)}
+    assert {r.block_id: r.n for r in spark.read.json(f"{tmp_path}/block_features").collect()} == {0: 3, 1: 3, 2: 3}
+
+
+def test_slopes_in_tiles_equal_whole_arrays(spark):
+    from parcelspark.operators import overlay
+
+    rng = np.random.default_rng(3)
+    z = rng.uniform(1, 50, (21, 17))
+    z[rng.random(z.shape) < 0.05] = -1
+    df = spark.createDataFrame([(r, c, float(v)) for (r, c), v in np.ndenumerate(z)], "row long, col long, z double").repartition(3)
+    masked = np.where(z > 0, z, np.nan)
+    gy, gx = np.gradient(masked, 30.0, 28.0)
+    want = np.where(np.isnan(masked), np.nan, np.degrees(np.arctan(np.hypot(gx, gy))))
+    got = np.full(z.shape, np.nan)
+    for r in overlay.gradient_slope(df, 28.0, 30.0, tile=8).collect():
+        got[r.row, r.col] = np.nan if r.slope is None else r.slope
+    assert np.allclose(got, want, equal_nan=True)
+
+
+def test_reference_units_of_one_county(spark):
+    from test_fusion import box
+
+    from parcelspark.operators import polygons
+
+    parcels = spark.createDataFrame([(1, "511011001001", "v", box(0, 0, 4, 4)), (2, "511011002001", "w", box(4, 0, 6, 4)), (3, "500120001001", "x", box(50, 50, 51, 51))], "bsm long, qsdwdm string, qsdwmc string, geometry binary")
+    layer = spark.createDataFrame([(1, "511011.0", " A ", box(0, 0, 5, 4)), (2, "511011", "B", box(20, 20, 21, 21)), (3, "500120", "C", box(50, 50, 52, 52))], "unit_id long, county_code string, XZQMC string, geometry binary")
+    got = {r.unit_id: (r.XZQMC, r.XZQDM, r.code_source) for r in polygons.build_admin_units(parcels, layer).collect()}
+    assert got == {1: ("A", "511011001", "DLTB_DOMINANT_OVERLAP"), 2: ("B", "", "UNAVAILABLE")}
+    assert [r.XZQDM for r in polygons.build_admin_units(parcels, layer, "500120").collect()] == ["500120001"]
+    with pytest.raises(ValueError, match="no units of county"):
+        polygons.build_admin_units(parcels, layer, "999999")
+    with pytest.raises(ValueError, match="without a name"):
+        polygons.build_admin_units(parcels, layer.selectExpr("unit_id", "county_code", "' ' AS XZQMC", "geometry"))
+    assert polygons.build_admin_units(parcels).count() == 3
