@@ -7,7 +7,8 @@ rarer, count more. Fingerprints have 128 bits, written as 32 hexadecimal digits.
 The edited text of a document needs the next document by identifier. Documents
 go to buckets of consecutive identifiers (one exchange of the texts); the first
 document of each bucket also goes to the bucket before it, so no global order is
-ever sorted in one task.
+ever sorted in one task. Rows of an identifier, or without one, that would fill a bucket
+alone are cut by the hash of their texts; only rows equal in both stay together.
 
 Defined cases: null text counts as empty; an empty text has no terms and the
 fingerprint 0; a text of one word has that word as its term; equal identifiers
@@ -28,10 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm import textkit as K
-from parcelspark.scratch import prepare, stash
+from parcelspark.scratch import drop, prepare, stash
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 BITS = 128
+#: The smallest 64-bit integer, from which hashes begin.
+LEAST = -(1 << 63)
 #: Rows of one leading part of a block aimed at; the leading bits, and with them the tasks, grow with the table.
 SLOT_ROWS = 1 << 10
 #: Over nine in ten pairs of documents with a 5-gram Jaccard similarity of 0.8 differ by no more bits.
@@ -95,15 +98,24 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = rows.select("doc_id")
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     marks = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
-    bucket = _bucket(F.col("doc_id"), marks)
-    # one row per bucket: at most n rows reach the driver
-    firsts = sorted(((r["b"], r["m"]) for r in ids.groupBy(bucket.alias("b")).agg(F.min("doc_id").alias("m"), F.count_if(F.isnull("doc_id")).alias("z")).select("b", F.when(F.col("z") > 0, None).otherwise(F.col("m")).alias("m")).collect()), key=lambda x: x[0])
+    # an identifier, or none, that would fill a bucket alone is cut by the hash of its texts; at most n rows
+    counts = stash(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR doc_id IS NULL"), "identifiers")
+    room = max(2, -(-ids.count() // n))
+    hot = {r["doc_id"]: -(-r["c"] // room) for r in counts.where(F.col("c") > room).collect()} if n > 1 else {}
+    drop(counts)
+    keys = sorted({(1, m, LEAST) for m in marks} | {(int(d is not None), d or 0, LEAST + (i << 64) // k) for d, k in hot.items() for i in range(1, k)})
+    order = F.xxhash64("text") if hot else F.lit(LEAST)
+    rows = rows.withColumn("order", order)
+    bucket = _bucket(F.col("doc_id"), F.col("order"), keys)
+    # one row per bucket: as many as there are keys reach the driver
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "order"))
+    firsts = sorted(((r["b"], r["m"]) for r in rows.groupBy(bucket.alias("b")).agg(least.alias("m")).collect()), key=lambda x: x[0])
     if not firsts:
         return spark.createDataFrame([], SCHEMA)
-    before = [(m, firsts[i - 1][0], int(i == 0)) for i, (_, m) in enumerate(firsts)]
-    halo = spark.createDataFrame(before, "m long, to int, wrap int")
+    before = [(m["doc_id"] if m["some"] else None, m["order"], firsts[i - 1][0], int(i == 0)) for i, (_, m) in enumerate(firsts)]
+    halo = spark.createDataFrame(before, "m long, o long, to int, wrap int")
     # bounded: one row per bucket
-    there = rows.join(F.broadcast(halo), F.expr("doc_id <=> m"), "left")
+    there = rows.join(F.broadcast(halo), F.expr("doc_id <=> m AND order = o"), "left")
     own = F.struct(bucket.alias("b"), F.lit(0).alias("halo"))
     dealt = there.select("doc_id", "text", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("b"), (F.col("wrap") + 1).alias("halo"))))).alias("x"))
     dealt = dealt.select("doc_id", "text", "x.b", "x.halo").repartitionById(max(x[0] for x in firsts) + 1, "b")
@@ -128,17 +140,20 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return ordered.mapInArrow(run, SCHEMA)
 
 
-def _bucket(doc_id: Column, marks: list[int]) -> Column:
-    """How many marks are at most doc_id, by binary search over the literal array."""
-    if not marks:
+def _bucket(doc_id: Column, order: Column, keys: list[tuple[int, int, int]]) -> Column:
+    """How many keys (whether there is an identifier, the identifier, a hash) are at most a row's, by binary search over literal arrays."""
+    if not keys:
         return F.lit(0)
-    known = F.split(F.lit(",".join(map(str, marks))), ",").cast("array<bigint>")  # folds into one literal
-    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(len(marks).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(marks)).alias("hi")), lambda s, _: _halve(s, doc_id, known), lambda s: s["lo"]), F.lit(0))
+    known = [F.split(F.lit(",".join(map(str, c))), ",").cast("array<bigint>") for c in zip(*keys, strict=True)]  # each folds into one literal
+    mine = [doc_id.isNotNull().cast("long"), F.coalesce(doc_id, F.lit(0)), order]
+    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(len(keys).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(keys)).alias("hi")), lambda s, _: _halve(s, mine, known), lambda s: s["lo"]), F.lit(0))
 
 
-def _halve(s: Column, doc_id: Column, marks: Column) -> Column:
+def _halve(s: Column, mine: list[Column], known: list[Column]) -> Column:
     mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-    right = F.coalesce(F.get(marks, mid) <= doc_id, F.lit(False)) & (s["lo"] < s["hi"])
+    a, b, c = (F.get(k, mid) for k in known)
+    reached = (a < mine[0]) | ((a == mine[0]) & ((b < mine[1]) | ((b == mine[1]) & (c <= mine[2]))))
+    right = F.coalesce(reached, F.lit(False)) & (s["lo"] < s["hi"])
     return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
 
 

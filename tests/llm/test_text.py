@@ -266,6 +266,24 @@ def test_simhash_edited_texts(spark, cases, empty):
     assert simhash.edited_likeness(empty).count() == 0
 
 
+def test_hot_identifiers_are_split(spark):
+    """Most rows without an identifier, or under one: they spread over buckets, and each has its successor once."""
+    from pyspark.sql import functions as F
+
+    rows = [(None, f"none {i} {'x' * (i % 9)}") for i in range(300)] + [(7, f"seven {i} {'y' * (i % 7)}") for i in range(300)] + [(i, f"text {i}") for i in range(20, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = [r[1:] for r in sorted(docs.select(F.xxhash64("text"), "doc_id", "text").collect(), key=lambda r: (r[1] is not None, r[1] or 0, r[0]))]
+    want = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        k = len(t) // 4
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - k] + u[:k]).encode()).hexdigest()))
+    out = simhash.edited_likeness(docs, buckets=8)
+    got = out.select("doc_id", "n_chars", "edited_sha256", F.spark_partition_id().alias("p")).collect()
+    assert sorted((tuple(r)[:3] for r in got), key=repr) == sorted(want, key=repr)
+    for i in (None, 7):
+        assert len({r.p for r in got if r.doc_id == i}) > 2
+
+
 @pytest.mark.parametrize("lead", [8, 10])
 def test_any_leading_bits_find_all_within_the_radius(spark, lead):
     rnd = random.Random(lead)
