@@ -142,7 +142,10 @@ def horn_slope(pixels: DataFrame, cell: float | tuple[float, float], strict_cent
 
 
 def gradient_slope(pixels: DataFrame, dx: float, dy: float, tile: int = TILE) -> DataFrame:
-    """row, col, slope by central differences, one-sided at the ends of the raster; null next to missing cells."""
+    """row, col, slope by central differences, one-sided at the ends of the raster; null next to missing cells.
+
+    A missing cell between cells with data has a slope, as its own value takes no part.
+    """
 
     def kernel(z: np.ndarray, top: int, left: int, ends: tuple[int, int, int, int]) -> np.ndarray:
         part = lambda dr, dc: z[1 + dr : tile + 1 + dr, 1 + dc : tile + 1 + dc]
@@ -152,6 +155,6 @@ def gradient_slope(pixels: DataFrame, dx: float, dy: float, tile: int = TILE) ->
             return np.where(at == lo, (after - here) / step, np.where(at == hi, (here - before) / step, (after - before) / (2 * step)))
 
         gx, gy = along(part(0, -1), part(0, 1), col, *ends[2:], dx), along(part(-1, 0), part(1, 0), row, *ends[:2], dy)
-        return np.where(np.isnan(here), np.nan, np.degrees(np.arctan(np.hypot(gx, gy))))
+        return np.degrees(np.arctan(np.hypot(gx, gy)))
 
     return _by_tiles(pixels, kernel, tile)

@@ -88,7 +88,7 @@ def horn_slope_strict(spark: SparkSession, d: str) -> DataFrame:
 _G = "CASE WHEN row_number() OVER {w} = 1 THEN (lead(z) OVER {w} - z) / {s} WHEN lead({k}) OVER {w} IS NULL THEN (z - lag(z) OVER {w}) / {s} ELSE (lead(z) OVER {w} - lag(z) OVER {w}) / {s2} END"
 
 
-@query(", p AS (SELECT row, col, CASE WHEN z > 0 THEN z END AS z FROM pixel) SELECT row, col, round(degrees(atan(sqrt(gx * gx + gy * gy))), 5) AS slope FROM (SELECT row, col, z, " + _G.format(w="r", k="col", s="28.0", s2="56.0") + " AS gx, " + _G.format(w="c", k="row", s="30.0", s2="60.0") + " AS gy FROM p WINDOW r AS (PARTITION BY row ORDER BY col), c AS (PARTITION BY col ORDER BY row)) WHERE z IS NOT NULL AND gx IS NOT NULL AND gy IS NOT NULL", "pixel")
+@query(", p AS (SELECT row, col, CASE WHEN z > 0 THEN z END AS z FROM pixel) SELECT row, col, round(degrees(atan(sqrt(gx * gx + gy * gy))), 5) AS slope FROM (SELECT row, col, z, " + _G.format(w="r", k="col", s="28.0", s2="56.0") + " AS gx, " + _G.format(w="c", k="row", s="30.0", s2="60.0") + " AS gy FROM p WINDOW r AS (PARTITION BY row ORDER BY col), c AS (PARTITION BY col ORDER BY row)) WHERE gx IS NOT NULL AND gy IS NOT NULL", "pixel")
 def gradient_slope(spark: SparkSession, d: str) -> DataFrame:
     return overlay.gradient_slope(pixel(spark, d), 28.0, 30.0).where("slope IS NOT NULL").withColumn("slope", F.round("slope", 5))
 

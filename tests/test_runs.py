@@ -96,7 +96,7 @@ def test_slopes_in_tiles_equal_whole_arrays(spark):
     df = spark.createDataFrame([(r, c, float(v)) for (r, c), v in np.ndenumerate(z)], "row long, col long, z double").repartition(3)
     masked = np.where(z > 0, z, np.nan)
     gy, gx = np.gradient(masked, 30.0, 28.0)
-    want = np.where(np.isnan(masked), np.nan, np.degrees(np.arctan(np.hypot(gx, gy))))
+    want = np.degrees(np.arctan(np.hypot(gx, gy)))
     got = np.full(z.shape, np.nan)
     for r in overlay.gradient_slope(df, 28.0, 30.0, tile=8).collect():
         got[r.row, r.col] = np.nan if r.slope is None else r.slope
