@@ -91,3 +91,11 @@ def write_fused(fused: DataFrame, path: str, epsg: int, name: str = "dltb") -> N
     """The fused layer as a GeoPackage under the published field names."""
     out = fused.drop("bsm").withColumnsRenamed({"BSM_TEXT": "BSM", "dlbm": "DLBM", "dlmc": "DLMC", "qsdwdm": "QSDWDM", "qsdwmc": "QSDWMC"})
     writers.write_gpkg({name: out}, path, epsg)
+
+
+def write_placeholder(parcels: DataFrame, path: str, epsg: int) -> None:
+    """The placeholder raster over the extent of the parcels, beside a fused layer that has its slopes already."""
+    box = fusion.boxed(parcels, "bsm").agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
+    raw = raster.placeholder(tuple(v or 0.0 for v in box), epsg)
+    with open(path, "wb") as f:
+        f.write(raw)

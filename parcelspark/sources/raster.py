@@ -274,3 +274,26 @@ def read_elevation(spark: SparkSession, path: str | list[str], bounds: tuple[flo
     if len(found) > 1:
         cells = cells.groupBy("row", "col").agg(F.min_by("z", F.struct(F.isnull("z"), "path")).alias("z"))
     return Elevation(cells.select("row", "col", "z"), grid, crs)
+
+
+def placeholder(bounds: tuple[float, float, float, float], epsg: int) -> bytes:
+    """A GeoTIFF of one cell of elevation 0 over bounds, for a run whose slopes come from the parcels' own attribute."""
+    x0, y0, x1, y1 = bounds
+    if not (x1 > x0 and y1 > y0):
+        raise RasterError("no extent for a placeholder")
+    cell = zlib.compress(struct.pack("<f", 0.0))
+    geographic = epsg < 32767 and _system(epsg).geographic
+    keys = [1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, epsg]
+    nodata = b"-9999\0"
+    tags = [(256, "H", [1]), (257, "H", [1]), (258, "H", [32]), (259, "H", [8]), (262, "H", [1]), (273, "I", [8]), (277, "H", [1]), (278, "H", [1]), (279, "I", [len(cell)]), (339, "H", [3]), (33550, "d", [x1 - x0, y1 - y0, 0.0]), (33922, "d", [0.0, 0.0, 0.0, x0, y1, 0.0]), (34735, "H", keys), (42113, "s", nodata)]
+    at = 8 + len(cell) + len(cell) % 2
+    entries, extra, beyond = b"", b"", at + 2 + 12 * len(tags) + 4
+    for tag, kind, values in tags:
+        raw = values if kind == "s" else struct.pack(f"<{len(values)}{kind}", *values)
+        entries += struct.pack("<HHI", tag, {"H": 3, "I": 4, "d": 12, "s": 2}[kind], len(values))
+        if len(raw) > 4:
+            entries += struct.pack("<I", beyond + len(extra))
+            extra += raw + b"\0" * (len(raw) % 2)
+        else:
+            entries += raw.ljust(4, b"\0")
+    return struct.pack("<2sHI", b"II", 42, at) + cell.ljust(at - 8, b"\0") + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + extra

@@ -168,3 +168,16 @@ def test_paths(tmp_path):
         (found,) = stores.listed(p, "*.tif")
         assert stores.local(found) == str(tmp_path / "a b.tif") and stores.reachable(found)
     assert not stores.reachable("viewfs://store/a") and not stores.reachable(str(tmp_path / "none"))
+
+
+def test_placeholder(spark, tmp_path):
+    from parcelspark import fuse
+
+    parcels = spark.createDataFrame([(1, box(2, 3, 10, 12)), (2, box(20, 3, 40, 9))], "bsm long, geometry binary")
+    for epsg in (32648, 4326):
+        fuse.write_placeholder(parcels, str(tmp_path / "p.tif"), epsg)
+        h = raster.header(str(tmp_path / "p.tif"))
+        assert (h.grid, h.epsg, h.nodata) == (Grid(2.0, 38.0, 12.0, -9.0, 1, 1), epsg, -9999.0)
+        assert [tuple(r)[1:] for r in raster.read_cells(spark, [h]).collect()] == [(0, 0, 0.0)]
+    with pytest.raises(raster.RasterError):
+        fuse.write_placeholder(parcels.where("false"), str(tmp_path / "p.tif"), 32648)
