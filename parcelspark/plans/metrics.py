@@ -231,9 +231,9 @@ def median_fill(spark: SparkSession, d: str) -> DataFrame:
 
 @query(", r AS (SELECT block, count(*) AS n, max(slope_mean) AS top FROM swap WHERE type_code = 1 GROUP BY block) SELECT block, round(top, 6) AS top, n FROM r ORDER BY top DESC, block LIMIT 50", "swap")
 def topk_actions(spark: SparkSession, d: str) -> DataFrame:
-    """The fifty blocks with the steepest farm: partial top-k per task, then one of them all."""
-    r = swap(spark, d).where("type_code = 1").groupBy("block").agg(F.count("*").alias("n"), F.max("slope_mean").alias("top"))
-    return r.orderBy(F.desc("top"), "block").limit(50).withColumn("top", F.round("top", 6))
+    """The fifty blocks with the steepest farm: partial top-k per task, then one of them all. Slopes that round alike are equal, as in the SQL."""
+    r = swap(spark, d).where("type_code = 1").groupBy("block").agg(F.count("*").alias("n"), F.round(F.max("slope_mean"), 6).alias("top"))
+    return r.orderBy(F.desc("top"), "block").limit(50)
 
 
 @query("SELECT block, min(bsm) FILTER (slope_mean = top) AS bsm FROM (SELECT *, max(slope_mean) OVER (PARTITION BY block) AS top FROM swap) GROUP BY block", "swap")
