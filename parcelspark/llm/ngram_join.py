@@ -215,7 +215,7 @@ def verify(groups: DataFrame, threshold: float) -> DataFrame:
     return groups.select(*GROUP, "rep", "block", "bands", "grams").mapInArrow(run, "rep long, links long, root long")
 
 
-def _groups(sets: DataFrame, reps: DataFrame, buckets: DataFrame, bands: int, block_docs: int, block_grams: int) -> DataFrame:
+def _groups(sets: DataFrame, reps: DataFrame, bands: int, block_docs: int, block_grams: int) -> DataFrame:
     """The rows of each group that is verified: GROUP, rep, block, bands, grams."""
     spark = sets.sparkSession
     size = F.size("grams").cast("long")
@@ -227,14 +227,18 @@ def _groups(sets: DataFrame, reps: DataFrame, buckets: DataFrame, bands: int, bl
         wide = side(roots)
         out = sets.join(wide, F.expr("root = large"), "left_anti").withColumns({"band": F.lit(-1), "group": F.col("root"), "bi": one, "bj": one, "block": one, "bands": F.lit(None).cast("array<long>")})
         inner = sets.join(wide, F.expr("root = large"), "left_semi").dropDuplicates(["rep"])
-        marked = buckets.join(inner.select("rep"), "rep", "left_semi").join(reps.select("rep", "bands"), "rep")
+        # joins on rep make one row of each; its buckets are an array there
+        marked = stash(inner.select("rep", size.alias("grams_n")).join(reps.select("rep", "bands"), "rep"), "marked")
+        every = marked.select("rep", "bands", "grams_n", F.posexplode("bands").alias("band", "group"))
         # the members of a bucket share an earlier band where its least and largest hash are the same
         same = [(F.min(F.get("bands", F.lit(i))) == F.max(F.get("bands", F.lit(i)))).alias(f"same{i}") for i in range(bands)]
-        sized = marked.join(inner.select("rep", size.alias("grams_n")), "rep").groupBy("group", "band").agg(F.count(F.lit(1)).alias("docs"), F.sum("grams_n").alias("grams_n"), *same)
+        sized = every.groupBy("group", "band").agg(F.count(F.lit(1)).alias("docs"), F.sum("grams_n").alias("grams_n"), *same)
         earlier = F.exists(F.slice(F.array(*(f"same{i}" for i in range(bands))), F.lit(1), F.col("band")), lambda x: x)
         blocks = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("grams_n") / block_grams)).cast("int")
         kept = stash(sized.where((F.col("docs") > 1) & ~earlier).select("group", blocks.alias("nb")), "buckets")
-        placed = marked.join(kept, "group").join(inner.select("rep", "root", "grams"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+        places = every.select("rep", "bands", "band", "group").join(side(kept), "group").groupBy("rep").agg(F.first("bands").alias("bands"), F.collect_list(F.struct("band", "group", "nb")).alias("places"))
+        placed = inner.select("rep", "grams").join(places, "rep").select("rep", "bands", "grams", F.explode("places").alias("p"))
+        placed = placed.select("rep", "bands", "grams", "p.*").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
         placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         placed = placed.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
         out = out.select(*GROUP, "rep", "block", "bands", "grams").unionByName(placed.select(*GROUP, "rep", "block", "bands", "grams"))
@@ -254,7 +258,7 @@ def classes(own: DataFrame, n: int, threshold: float, recall: float, block_docs:
     candidates = stash(components(buckets.where("rep <> dst").select(F.col("rep").alias("src"), "dst")), "candidates")
     texts = own.select(F.col("key").alias("rep"), "text").join(side(candidates.withColumnRenamed("node", "rep")), "rep")
     sets = stash(gram_sets(texts, n), "gram-sets")
-    found = stash(verify(_groups(sets, reps, buckets.drop("dst"), bands, block_docs, block_grams), threshold), "links")
+    found = stash(verify(_groups(sets, reps, bands, block_docs, block_grams), threshold), "links")
     roots = components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     counted = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
     linked = roots.withColumnRenamed("node", "rep").join(counted, "rep")

@@ -198,3 +198,38 @@ def test_bands_reach_the_recall():
     for t in (0.5, 0.8, 0.9):
         bands, rows = ngram_join.choose_bands(t, 0.999, 400)
         assert 1 - (1 - t**rows) ** bands >= 0.999 and bands * rows <= 400
+
+
+def join_rows(spark, since, key):
+    """The largest number of rows that one join on `key` alone made in executions after `since`, and the last execution."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    every = store.executionsList()
+    most, last = 0, since
+    for i in range(every.size()):
+        at = every.apply(i).executionId()
+        last = max(last, at)
+        if at <= since:
+            continue
+        known, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for k in range(nodes.size()):
+            n = nodes.apply(k)
+            if not re.search(rf"Join \[{key}#\d+L?\], \[{key}#\d+L?\]", n.desc()):
+                continue
+            for j in range(n.metrics().size()):
+                m = n.metrics().apply(j)
+                got = known.get(m.accumulatorId())
+                if m.name() == "number of output rows" and got.isDefined():
+                    most = max(most, int(got.get().replace(",", "")))
+    return most, last
+
+
+def test_near_copies_join_once_on_their_key(spark):
+    """Joins on a representative make one row of each, whatever its bands and the size of its group."""
+    rnd = random.Random(5)
+    base = [str(rnd.randrange(10**6)) for _ in range(200)]
+    rows = [(i, " ".join(base[: 20 + i // 2] + [f"x{i}"] + base[20 + i // 2 :])) for i in range(300)]
+    _, since = join_rows(spark, -1, "rep")
+    got = ngram_join.jaccard_join(frame(spark, rows), block_docs=40).collect()
+    assert len({r.class_id for r in got}) == 1 and all(r.n_links == 299 for r in got)
+    most, _ = join_rows(spark, since, "rep")
+    assert 0 < most <= 300
