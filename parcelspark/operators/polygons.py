@@ -22,6 +22,8 @@ from parcelspark.scratch import ship
 
 #: Decimal places at which vertices are the same (metres: a tenth of a millimetre).
 DIGITS = 4
+#: Shapes that are made valid in common arrays.
+TOGETHER = 2048
 
 
 def _per_shape(df: DataFrame, key: str, schema: str, rows: Callable[[object, G.Polygons], list[tuple]]) -> DataFrame:
@@ -109,12 +111,12 @@ def made_valid(shapes: DataFrame, key: str, digits: int | None = None) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                g, changed = N.make_valid(G.from_wkb(raw)) if raw else ([], False)
+            keys, shapes = b.column(0).to_pylist(), [G.from_wkb(raw) if raw else [] for raw in b.column(1).to_pylist()]
+            for at in range(0, len(keys), TOGETHER):
+                made = N.make_all_valid(shapes[at : at + TOGETHER])
                 if digits is not None:
-                    g, changed = N.set_precision(g, digits), True
-                if g:
-                    rows.append((k, G.to_wkb(g), G.area(g), G.length(g), len(g), sum(map(len, g)), changed))
+                    made = [(g, True) for g in N.set_all_precisions([g for g, _ in made], digits)]
+                rows += [(k, G.to_wkb(g), G.area(g), G.length(g), len(g), sum(map(len, g)), changed) for k, (g, changed) in zip(keys[at : at + TOGETHER], made, strict=True) if g]
             if rows:
                 kinds = [b.schema.field(0).type, pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
