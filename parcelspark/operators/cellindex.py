@@ -83,15 +83,49 @@ def located(points: DataFrame, index: DataFrame, zone: str, cell: float) -> Data
 
 
 def piece_index(shapes: DataFrame, key: str, cell: float) -> DataFrame:
-    """key, cx, cy, rings (WKB, even-odd), its area, and full (the whole cell) for every cell that a polygon covers some of."""
+    """key, cx, cy, rings (WKB, even-odd), its area, bounds, full (the whole cell) and box (all of its bounds) for every cell that a polygon covers some of."""
 
     def rows(g: G.Polygons) -> Iterator[tuple]:
         for c, r, rings in P.cell_pieces(g, cell):
             area = G.area([[x] for x in rings]) if len(rings) == 1 else G.overlap_area([rings], [[rings]])
             if area > 0:
-                yield c, r, G.to_wkb([rings]), float(area), bool(area >= cell * cell * (1 - 1e-12))
+                x0, y0, x1, y1 = G.bounds([rings])
+                yield c, r, G.to_wkb([rings]), float(area), x0, y0, x1, y1, bool(area >= cell * cell * (1 - 1e-12)), bool(area >= (x1 - x0) * (y1 - y0) * (1 - 1e-12))
 
-    return _indexed(shapes, key, "cx long, cy long, rings binary, area double, full boolean", rows)
+    return _indexed(shapes, key, "cx long, cy long, rings binary, area double, x0 double, y0 double, x1 double, y1 double, full boolean, box boolean", rows)
+
+
+def extent(index: DataFrame) -> tuple[float, float, float, float] | None:
+    """Bounds of all pieces; none without any."""
+    r = index.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
+    return None if r[0] is None else tuple(r)
+
+
+def _outside(raw: list[bytes | None], bounds: tuple[float, float, float, float]) -> np.ndarray:
+    """Whether plain polygons of one ring lie beside the bounds; others are not looked at. Those of one size are read at once."""
+    out = np.zeros(len(raw), bool)
+    size = np.array([len(r) if r else 0 for r in raw])
+    for n in np.unique(size[(size > 13) & (size % 16 == 13)]):
+        at = np.flatnonzero(size == n)
+        rows = np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), n)
+        head = np.frombuffer(b"\x01\x03\x00\x00\x00\x01\x00\x00\x00" + int((n - 13) // 16).to_bytes(4, "little"), np.uint8)
+        xy = np.ascontiguousarray(rows[:, 13:]).view("<f8").reshape(len(at), -1, 2)
+        lo, hi = xy.min(1), xy.max(1)
+        out[at] = (rows[:, :13] == head).all(1) & ((hi[:, 0] < bounds[0]) | (hi[:, 1] < bounds[1]) | (lo[:, 0] > bounds[2]) | (lo[:, 1] > bounds[3]))
+    return out
+
+
+def near(shapes: DataFrame, key: str, bounds: tuple[float, float, float, float] | None) -> DataFrame:
+    """key, geometry without rows that share no land with anything inside the bounds, before their rings are read one by one."""
+    if bounds is None:
+        return shapes.select(key, "geometry").where("false")
+    prepare(shapes.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(~_outside(b.column(1).to_pylist(), bounds)))
+
+    return shapes.select(key, "geometry").mapInArrow(run, f"{key} {dict(shapes.dtypes)[key]}, geometry binary")
 
 
 def _covered(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,16 +143,22 @@ def _covered(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _pairs(left: DataFrame, right: DataFrame, zone: str) -> DataFrame:
-    """Pieces of both sides that lie in one cell; an outline that covers the cell is not carried along."""
-    other = F.when(~F.col("r.full"), F.col("r.rings"))
-    both = left.alias("l").join(right.alias("r"), F.expr("l.cx = r.cx AND l.cy = r.cy"))
-    return both.select("l.*", F.col(f"r.{zone}").alias("__zone"), other.alias("other"), F.col("r.full").alias("covers"))
+    """Pieces of both sides that lie in one cell and whose bounds meet; an outline that covers the left piece is not carried along.
+
+    known: the area that both share, where their bounds say it.
+    """
+    both = left.alias("l").join(right.alias("r"), F.expr("l.cx = r.cx AND l.cy = r.cy AND l.x0 < r.x1 AND r.x0 < l.x1 AND l.y0 < r.y1 AND r.y0 < l.y1"))
+    covers = F.expr("r.full OR (r.box AND r.x0 <= l.x0 AND r.y0 <= l.y0 AND r.x1 >= l.x1 AND r.y1 >= l.y1)")
+    known = F.when(covers, F.col("l.area")).when(F.expr("l.box AND r.box"), F.expr("(least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0))"))
+    return both.select("l.*", F.col(f"r.{zone}").alias("__zone"), F.when(~covers, F.col("r.rings")).alias("other"), covers.alias("covers"), known.alias("known"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, key: str, zone: str) -> DataFrame:
     """key, zone, area of all pairs that share land; left and right: piece indexes of one cell size."""
     pairs = _pairs(left, right.withColumnRenamed(zone, "__key"), "__key").withColumnRenamed("__zone", zone)
-    pairs = pairs.withColumns({"others": F.array("other"), "full": F.col("covers")})
+    there = F.col("known").isNotNull()
+    # what is known passes without its outlines
+    pairs = pairs.withColumns({"others": F.when(~there, F.array("other")), "rings": F.when(~there, F.col("rings")), "area": F.coalesce("known", "area"), "full": there})
     return _covered(pairs, [key, zone]).groupBy(key, zone).agg(F.sum("area").alias("area")).where("area > 0")
 
 

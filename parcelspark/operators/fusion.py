@@ -19,7 +19,7 @@ from parcelspark.functions import codes
 from parcelspark.functions import geometry as G
 from parcelspark.operators import cellindex, polygons
 from parcelspark.operators.overlay import nearest_pixel
-from parcelspark.scratch import ship
+from parcelspark.scratch import ship, stash
 
 #: Columns that fusion adds, in order.
 ADDED = "category slope_mean slope_max slope_pixel_count slope_assignment AREA_M2 PDT_PDJB PDT_BZPDJB PDT_OV_PCT PDT_GRADE DEM_GRADE GRD_MATCH ECO_OV_M2 ECO_PCT PBF_OV_M2 PBF_PCT LOCK_C2F LOCK_F2C EXCH_LOCK LOCK_RSN REVIEW_REQ REVIEW_RSN".split()
@@ -47,14 +47,18 @@ def boxed(df: DataFrame, key: str) -> DataFrame:
 
 def dominant(parcels: DataFrame, zones: DataFrame, attrs: list[str], size: float) -> DataFrame:
     """bsm, attributes and area of the zone with the largest overlap; equal areas go to the smaller zone_id."""
-    area = cellindex.overlaps(cellindex.piece_index(parcels, "bsm", size), cellindex.piece_index(zones, "zone_id", size), "bsm", "zone_id")
+    pieces = stash(cellindex.piece_index(zones, "zone_id", size), "zone-pieces")
+    own = cellindex.near(parcels, "bsm", cellindex.extent(pieces))
+    area = cellindex.overlaps(cellindex.piece_index(own, "bsm", size), pieces, "bsm", "zone_id")
     best = area.groupBy("bsm").agg(F.max(F.struct("area", (-F.col("zone_id")).alias("z"))).alias("b")).select("bsm", (-F.col("b.z")).alias("zone_id"), F.col("b.area").alias("ov"))
     return best.join(zones.select("zone_id", *attrs), "zone_id").drop("zone_id")
 
 
 def dissolved(parcels: DataFrame, zones: DataFrame, size: float, name: str) -> DataFrame:
     """bsm, name: area that any zone covers."""
-    area = cellindex.covered(cellindex.piece_index(parcels, "bsm", size), cellindex.piece_index(zones, "zone_id", size), "bsm", "zone_id")
+    pieces = stash(cellindex.piece_index(zones, "zone_id", size), "zone-pieces")
+    own = cellindex.near(parcels, "bsm", cellindex.extent(pieces))
+    area = cellindex.covered(cellindex.piece_index(own, "bsm", size), pieces, "bsm", "zone_id")
     return area.withColumnRenamed("area", name)
 
 
