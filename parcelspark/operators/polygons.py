@@ -18,7 +18,7 @@ from parcelspark.functions import codes
 from parcelspark.functions import geometry as G
 from parcelspark.functions import noding as N
 from parcelspark.operators import cellindex, metrics
-from parcelspark.scratch import ship
+from parcelspark.scratch import ship, stash
 
 #: Decimal places at which vertices are the same (metres: a tenth of a millimetre).
 DIGITS = 4
@@ -197,10 +197,11 @@ def admin_units(parcels: DataFrame, units: DataFrame, attrs: list[str], cell: fl
     """
     from parcelspark.operators.fusion import dominant
 
-    box = measures(parcels).select("bsm", F.col("area_m2").alias("area"))
     zones = units.withColumnRenamed("unit_id", "zone_id")
-    best = dominant(parcels, zones.withColumn("unit_id", F.col("zone_id")), ["unit_id", *attrs], cell)
-    per = best.join(box.select("bsm", "area"), "bsm").groupBy("unit_id", *attrs).agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area_m2"))
+    best = stash(dominant(parcels, zones.withColumn("unit_id", F.col("zone_id")), ["unit_id", *attrs], cell), "dominant")
+    # only parcels of a unit are measured
+    box = measures(parcels.join(best.select("bsm"), "bsm", "left_semi")).select("bsm", F.col("area_m2").alias("area"))
+    per = best.join(box, "bsm").groupBy("unit_id", *attrs).agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area_m2"))
     every = per.agg(F.sum("area_m2").alias("all_m2"))
     return per.crossJoin(F.broadcast(every)).withColumn("share", F.col("area_m2") / F.col("all_m2")).drop("all_m2")  # one row
 
