@@ -10,9 +10,11 @@ first window's start to its last window's end.
    their suffix, then hashes of its 32 bytes and of the whole unit, then place.
    The place is part of the key, so a unit that occurs everywhere is split over
    buckets. Buckets are sorted locally by multikey quicksort. A unit equal to the
-   one before it is a repeat: all its windows start earlier elsewhere. First units
-   whose 32 bytes also occur in a different unit are candidates, and so are the
-   first units of the groups at a bucket's two ends, whose neighbours are unknown.
+   one before it is a repeat: all its windows start earlier elsewhere. Of first units
+   whose 32 bytes also occur in a different unit, those windows are candidates that
+   hold half of the rest before the anchor (after it), if those bytes with the 32 also
+   occur in a different one; a window has one half or the other. The first units of the
+   groups at a bucket's two ends, whose neighbours are unknown, are candidates whole.
 2. Windows of candidates only are partitioned and sorted in the same way, each by
    its leading bytes, its hashes and its place. A window equal to the one before it
    is a repeat; the first window of a bucket is compared across the boundary with
@@ -50,7 +52,8 @@ from parcelspark.scratch import drop, prepare, stash
 _POS_BITS = K.U(23)
 NONE = -(2**63)
 #: A document is its identifier and a tag, 0 but for null and repeated identifiers.
-UNIT = "kind int, lead long, gram int, unit long, doc long, tag long, lo long, hi long"
+#: at: from a unit's first window to its anchor; sides: 16 bits of the hashes of each side with the gram.
+UNIT = "kind int, lead long, gram int, unit long, doc long, tag long, lo long, hi long, at int, sides int"
 RUN = "kind int, doc long, tag long, lo long, hi long"
 WINDOW = "lead int, hash long, more short, doc long, tag long, lo long"
 EDGE = "kind int, doc long, tag long, lo long, hi long, part int, lead int, hash long, more short"
@@ -76,27 +79,35 @@ def leading(buf: np.ndarray, at: np.ndarray, size: int = 8) -> np.ndarray:
 
 
 def units(buf: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Row, first and last window start, leading bytes, gram hash and content hash of each unit, in text order."""
+    """Row, first and last window start, leading bytes, gram hash, content hash, anchor and hashes of its sides of each unit, in text order."""
     n = len(buf) - width + 1
-    z = np.zeros(0, np.int64)
+    z, z4 = np.zeros(0, np.int64), np.zeros(0, np.int32)
     if n < 1:
-        return z, z, z, z, z.astype(np.int32), z
+        return z, z, z, z, z4, z, z4, z4
     rh = K.RangeHash(buf)
-    i = np.arange(len(buf) - gram + 1)
-    g = rh(i, i + gram)
-    key = (g & ~((K.U(1) << _POS_BITS) - K.U(1))) | i.astype(K.U)
-    anchor = (sliding_min(key, width - gram + 1)[:n] & ((K.U(1) << _POS_BITS) - K.U(1))).astype(np.int64)
+    g = rh.all(gram)
+    low = (K.U(1) << _POS_BITS) - K.U(1)
+    key = (g & ~low) | np.arange(len(g), dtype=K.U)
+    anchor = (sliding_min(key, width - gram + 1)[:n] & low).astype(np.int64)
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))[:n]
     p = np.flatnonzero(np.arange(n) + width <= off[1:][row])
     if not len(p):
-        return z, z, z, z, z.astype(np.int32), z
+        return z, z, z, z, z4, z, z4, z4
     a = anchor[p]
     first = np.concatenate([[True], (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)])
     lo = p[first]
     hi = p[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(p) - 1]])]
     a, r = a[first], row[lo]
     whole = rh(lo, hi + width).view(np.int64)
-    return r, lo - off[r], hi - off[r], leading(buf, a), (g[a] >> K.U(32)).astype(np.uint32).view(np.int32), whole
+    # windows that begin up to here hold the left side; those after it one byte more than the rest on the right
+    left = half(width, gram)
+    sides = rh(np.maximum(a - left, 0), a + gram) >> K.U(48) << K.U(16) | rh(a, np.minimum(a + width - left + 1, len(buf))) >> K.U(48)
+    return r, lo - off[r], hi - off[r], leading(buf, a), (g[a] >> K.U(32)).astype(np.uint32).view(np.int32), whole, (a - lo).astype(np.int32), sides.astype(np.uint32).view(np.int32)
+
+
+def half(width: int, gram: int) -> int:
+    """Bytes before its anchor from which on a window is told by its left side."""
+    return (width - gram) // 2
 
 
 def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
@@ -142,7 +153,7 @@ def _map_units(width: int, gram: int, block: int):
         for b in batches:
             doc, tag = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, part, cut, base in _blocks(*K.flat(b.column(2)), width, block):
-                r, lo, hi, lead, g, whole = units(part, cut, width, gram)
+                r, lo, hi, lead, g, whole, at, sides = units(part, cut, width, gram)
                 if not len(r):
                     continue
                 # repeats inside one document, as in periodic text, are known at once
@@ -153,11 +164,12 @@ def _map_units(width: int, gram: int, block: int):
                     same &= k[o][1:] == k[o][:-1]
                 again[o[1:][same]] = True
                 k = ~again
-                yield _batch(UNIT, np.zeros(k.sum(), np.int32), lead[k], g[k], whole[k], doc[i + r[k]], tag[i + r[k]], lo[k] + base, hi[k] + base)
+                yield _batch(UNIT, np.zeros(k.sum(), np.int32), lead[k], g[k], whole[k], doc[i + r[k]], tag[i + r[k]], lo[k] + base, hi[k] + base, at[k], sides[k])
                 if again.any():
                     rr, a, z = _merge(r[again], lo[again], hi[again])
                     n = np.zeros(len(rr), np.int64)
-                    yield _batch(UNIT, n.astype(np.int32) + 1, n, n.astype(np.int32), n, doc[i + rr], tag[i + rr], a + base, z + base)
+                    n4 = n.astype(np.int32)
+                    yield _batch(UNIT, n4 + 1, n, n4, n, doc[i + rr], tag[i + rr], a + base, z + base, n4, n4)
 
     return run
 
@@ -186,20 +198,40 @@ def _repeats(keys: list[np.ndarray], place: list[np.ndarray]) -> tuple[np.ndarra
     return new, again
 
 
-def _sort_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cols = _bucket(batches)
-    if cols is None:
-        return
-    o = multikey_order(cols[:6])
-    lead, gram, unit, doc, tag, lo, hi = (c[o] for c in cols)
-    new, again = _repeats([lead, gram, unit], [doc, tag, lo])
-    group = np.cumsum(np.concatenate([[True], (lead[1:] != lead[:-1]) | (gram[1:] != gram[:-1])])) - 1
-    several = np.bincount(group, weights=new) > 1
-    several[[0, -1]] = True
-    wanted = ~again & several[group]
-    for kind, m in ((1, again), (2, wanted)):
-        if m.any():
-            yield _batch(RUN, np.full(m.sum(), kind, np.int32), doc[m], tag[m], lo[m], hi[m])
+def _candidates(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, sides: np.ndarray, left: int) -> tuple[np.ndarray, np.ndarray]:
+    """Range of the windows of each unit that may occur in another one of its group, by the sides of their anchor; empty where hi < lo."""
+    mid = lo + at - left
+    some = []
+    for has, side in ((at >= left, sides >> 16), (hi > mid, sides & 0xFFFF)):
+        key = group << 16 | side.astype(np.int64) & 0xFFFF
+        _, back, n = np.unique(key[has], return_inverse=True, return_counts=True)
+        several = np.zeros(len(key), bool)
+        several[has] = n[back] > 1
+        some.append(several)
+    return np.where(some[0], lo, np.maximum(lo, mid + 1)), np.where(some[1], hi, np.minimum(hi, mid))
+
+
+def _sort_units(left: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = _bucket(batches)
+        if cols is None:
+            return
+        o = multikey_order(cols[:6])
+        lead, gram, unit, doc, tag, lo, hi, at, sides = (c[o] for c in cols)
+        new, again = _repeats([lead, gram, unit], [doc, tag, lo])
+        group = np.cumsum(np.concatenate([[True], (lead[1:] != lead[:-1]) | (gram[1:] != gram[:-1])])) - 1
+        several = np.bincount(group, weights=new) > 1
+        several[[0, -1]] = True
+        w = np.flatnonzero(~again & several[group])
+        a, z = _candidates(group[w], lo[w], hi[w], at[w], sides[w], left)
+        ends = (group[w] == 0) | (group[w] == group[-1])
+        a, z = np.where(ends, lo[w], a), np.where(ends, hi[w], z)
+        w, a, z = w[a <= z], a[a <= z], z[a <= z]
+        for kind, m, first, last in ((1, again, lo[again], hi[again]), (2, w, a, z)):
+            if len(first):
+                yield _batch(RUN, np.full(len(first), kind, np.int32), doc[m], tag[m], first, last)
+
+    return run
 
 
 def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,21 +263,27 @@ def _map_windows(width: int, block: int):
             spans = b.column(3)
             at = np.frombuffer(spans.buffers()[1], np.int32)[spans.offset : spans.offset + len(spans) + 1]
             values = spans.values
-            lo_all, hi_all = values.field(0).to_numpy(), values.field(1).to_numpy()
-            for i in range(b.num_rows):
-                lo, hi = lo_all[at[i] : at[i + 1]], hi_all[at[i] : at[i + 1]]
-                o = np.argsort(lo)
-                text = buf[off[i] : off[i + 1]]
-                lo, hi = lo[o], np.minimum(hi[o], len(text) - width)
-                lo, hi = lo[lo <= hi], hi[lo <= hi]
-                _, lo, hi = _merge(np.zeros(len(lo), np.int64), lo, hi)
-                for s, e in zip(lo, hi, strict=True):
-                    for a in range(int(s), int(e) + 1, block):
-                        z = min(a + block, int(e) + 1)
-                        part = text[a : z + width - 1]
-                        p = np.arange(z - a)
-                        more = (K.RangeHash(part, 1)(p, p + width) >> K.U(48)).astype(np.uint16).view(np.int16)
-                        yield _batch(WINDOW, leading(part, p, 4), K.RangeHash(part)(p, p + width).view(np.int64), more, np.full(z - a, doc[i]), np.full(z - a, tag[i]), p + a)
+            row = np.repeat(np.arange(b.num_rows), np.diff(at))
+            lo, hi = (values.field(j).to_numpy()[at[0] : at[-1]] for j in (0, 1))
+            hi = np.minimum(hi, np.diff(off)[row] - width)
+            o = np.lexsort((lo, row))
+            o = o[lo[o] <= hi[o]]
+            row, lo, hi = _merge(row[o], lo[o], hi[o])
+            # ranges of at most a block of windows, then as many of them as have a block of bytes
+            times = -(-(hi + 1 - lo) // block)
+            step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, lo, hi = (np.repeat(x, times) for x in (row, lo, hi))
+            lo = lo + step * block
+            n = np.minimum(hi + 1 - lo, block)
+            for i, j in K.groups(np.concatenate([[0], np.cumsum(n + width - 1)]), block):
+                r, s, m = row[i:j], lo[i:j], n[i:j]
+                # the bytes of the ranges end to end, and the places there where windows start
+                size = m + width - 1
+                base = np.cumsum(size) - size
+                part = buf[np.arange(size.sum()) + np.repeat(off[r] + s - base, size)]
+                p = np.arange(m.sum()) + np.repeat(base - np.cumsum(m) + m, m)
+                more = (K.RangeHash(part, 1)(p, p + width) >> K.U(48)).astype(np.uint16).view(np.int16)
+                yield _batch(WINDOW, leading(part, p, 4), K.RangeHash(part)(p, p + width).view(np.int64), more, np.repeat(doc[r], m), np.repeat(tag[r], m), p + np.repeat(s - base, m))
 
     return run
 
@@ -290,7 +328,7 @@ def repeated_windows(rows: DataFrame, width: int, gram: int, bucket_rows: int, b
     heads = found.where("kind = 0").drop("kind")
     ranged = heads.repartitionByRange(parts(heads), "lead", "gram", "unit", "doc", "tag", "lo")
     inner = found.where("kind = 1").select(*[x.split()[0] for x in RUN.split(", ")])
-    runs = stash(ranged.mapInArrow(_sort_units, RUN).unionByName(inner), "suffix-runs")
+    runs = stash(ranged.mapInArrow(_sort_units(half(width, gram)), RUN).unionByName(inner), "suffix-runs")
     drop(found)
     wanted = _per_document(runs.where("kind = 2"))
     windows = stash(rows.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "spans").mapInArrow(_map_windows(width, block), WINDOW), "suffix-windows")

@@ -83,6 +83,11 @@ class RangeHash:
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self._sum[end] - self._sum[start]) * self._down[start])
 
+    def all(self, width: int) -> np.ndarray:
+        """Hashes of the ranges of one width, from each place on."""
+        h = self._sum[width:] - self._sum[:-width]
+        return mix(h * self._down[: len(h)])
+
 
 def words(buf: np.ndarray, off: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each maximal run of bytes with letter[byte]; runs end with their row."""

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,49 @@ def test_suffix_dedup_of_long_texts(spark):
     assert got[2].kept_sha256 == hashlib.sha256((z[:2_500_000] + z[-10:]).encode()).hexdigest()
 
 
+def test_suffix_dedup_windows_of_many_ranges_in_one_batch():
+    """Ranges of windows are hashed together: a batch for a block of bytes, not one for each range."""
+    rnd = np.random.default_rng(3)
+    texts = [rnd.integers(97, 99, n, dtype=np.uint8).tobytes().decode() for n in (4000, 50, 3000)]
+    spans = [[{"lo": a, "hi": a + 3} for a in range(3000, -1, -30)], [], [{"lo": 5, "hi": 2900}, {"lo": 0, "hi": 4}]]
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([7, 8, 9]), pa.array([0, 0, 1]), pa.array(texts), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
+        ["doc", "tag", "text", "spans"],
+    )
+    want = [(d, t, p) for d, t, s in ((7, 0, spans[0]), (9, 1, spans[2])) for x in s[::-1] for p in range(x["lo"], min(x["hi"], 2900 if d == 9 else 3900) + 1)]
+    for block in (1 << 20, 700):
+        got = list(suffix_dedup._map_windows(100, block)(iter([rows])))
+        assert block == 700 or len(got) == 1
+        places = [x for b in got for x in zip(*(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True)]
+        assert places == want
+        keys = [x for b in got for x in zip(*(b.column(i).to_pylist() for i in (0, 1, 2)), strict=True)]
+        content = [texts[d - 7][p : p + 100] for d, _, p in places]
+        assert len(set(keys)) == len(set(content)) == len(set(zip(keys, content, strict=True)))
+
+
+def test_suffix_dedup_candidates_share_a_side_of_their_anchor():
+    """Phrases of 50 bytes in common make no candidates; no window in common is lost."""
+    rnd = np.random.default_rng(4)
+    letters = lambda n: rnd.integers(97, 123, n, dtype=np.uint8).tobytes()
+    for shared in (50, 100, 130):
+        phrase = [letters(shared) for _ in range(20)]
+        texts = [b"".join(letters(int(rnd.integers(80, 200))) + p for p in phrase) + letters(200) for _ in range(3)]
+        buf, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+        r, lo, hi, lead, gram, unit, at, sides = suffix_dedup.units(buf, off, 100, 32)
+        cols = (lead, gram, unit, r, np.zeros_like(r), lo, hi, at, sides)
+        rows = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [x.split()[0] for x in suffix_dedup.UNIT.split(", ")][1:])
+        found = [x for b in suffix_dedup._sort_units(34)(iter([rows])) for x in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True)]
+        again, kept = ({(d, p) for k, d, a, z in found if k == kind for p in range(a, z + 1)} for kind in (1, 2))
+        places = {}
+        for d, t in enumerate(texts):
+            for p in range(len(t) - 99):
+                places.setdefault(t[p : p + 100], []).append((d, p))
+        left = [[x for x in v if x not in again] for v in places.values()]
+        assert {x for v in left if len(v) > 1 for x in v} <= kept
+        # two groups at the bucket's ends are kept whole
+        assert shared > 50 or len(kept) < 250
+
+
 def test_multikey_order():
     rng = np.random.default_rng(0)
     keys = [rng.integers(0, 4, 500) for _ in range(4)]
