@@ -10,14 +10,15 @@ Each of their n-grams is found there, so nothing backs off, and the log score of
 document is a sum over its n-grams: + log c of each one that ends a word's context,
 - log c of each context (those of the first words cancel), - log N.
 
-1. The count table: rows (hash, count), pre-aggregated for each batch of documents
-   and then by hash, so an n-gram that occurs everywhere is one row per batch.
-2. Documents are exploded to rows (hash, document, sign) and joined with the count
-   table on the hash. The table has one row per hash, so adaptive execution splits
-   the rows of an n-gram that occurs everywhere.
+1. Documents are exploded to rows (hash, document, sign), one for each n-gram that is
+   counted, and exchanged by hash once.
+2. These rows are counted by hash, and joined with the counts where they lie. A count
+   of one has the log 0, so only n-grams that occur again are in the table, and rows
+   that find none there go no further. All rows of an n-gram that occurs everywhere
+   are read by one task, as a stream; the table has one row of it.
 3. Signed logs are summed per document, pre-aggregated before the exchange.
 
-Both sides are made and joined in `slices` passes over parts of the hash range. Each
+The rows are made and joined in `slices` passes over parts of the hash range. Each
 pass reads the texts again, and its shuffle files are gone before the next, which
 divides the disk needed, and the table that a task holds, by the number of passes.
 
@@ -105,11 +106,8 @@ def short_grams(rows: DataFrame, order: int) -> np.ndarray | None:
     return np.sort(found.view(K.U)) if len(found) <= MAX_SHORT else None
 
 
-def count_rows(rows: DataFrame, orders: range, part: int = 0, parts: int = 1, id_col: str = "key", text_col: str = "text", low: np.ndarray | None = None) -> DataFrame:
-    """(hash, n): occurrences of n-grams of the given orders, summed over each batch of documents.
-
-    low: the only hashes that are wanted below the two highest orders (None: all).
-    """
+def count_rows(rows: DataFrame, orders: range, id_col: str = "key", text_col: str = "text") -> DataFrame:
+    """(hash, n): occurrences of n-grams of the given orders, summed over each batch of documents."""
     prepare(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,27 +115,24 @@ def count_rows(rows: DataFrame, orders: range, part: int = 0, parts: int = 1, id
             some: list[np.ndarray] = []
             for key, h, r in _words([b]):
                 pos, _ = _positions(r, len(key))
-                for k, g in enumerate(grams(h, r, max(orders)), 1):
-                    if k in orders:
-                        g = g[pos >= k - 1]
-                        if low is not None and k < max(orders) - 1:
-                            g = g[low[np.minimum(np.searchsorted(low, g), len(low) - 1)] == g] if len(low) else g[:0]
-                        some.append(g[_part(g, parts) == part])
+                some += [g[pos >= k - 1] for k, g in enumerate(grams(h, r, max(orders)), 1) if k in orders]
             h, n = np.unique(np.concatenate(some), return_counts=True) if some else (np.zeros(0, K.U), np.zeros(0, np.int64))
             yield _batch("hash n", h.view(np.int64), n)
 
     return rows.select(id_col, text_col).mapInArrow(run, "hash long, n long")
 
 
-def count_table(rows: DataFrame, orders: range, part: int = 0, parts: int = 1, id_col: str = "key", text_col: str = "text", low: np.ndarray | None = None) -> DataFrame:
+def count_table(rows: DataFrame, orders: range, id_col: str = "key", text_col: str = "text") -> DataFrame:
     """(hash, n): occurrences in the whole corpus, partitioned by hash."""
-    return count_rows(rows, orders, part, parts, id_col, text_col, low).groupBy("hash").agg(F.sum("n").alias("n"))
+    return count_rows(rows, orders, id_col, text_col).groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def signed_rows(rows: DataFrame, order: int, part: int, parts: int) -> DataFrame:
-    """(hash, key, code): a row for each n-gram that a document's score takes the log count of.
+def signed_rows(rows: DataFrame, order: int, part: int, parts: int, low: np.ndarray | None = None) -> DataFrame:
+    """(hash, key, code): a row for each n-gram of the two highest orders, and of the lower ones that are wanted.
 
-    code is -1 for a context and 1 for an n-gram, but 2 + the document's number of words on one n-gram of each document.
+    code is 1 for an n-gram and -1 for a context whose log count a document's score takes, 2 + the
+    document's number of words on one n-gram of each document, and 0 for one that is only counted.
+    low: the only hashes that are wanted below the two highest orders (None: all).
     """
     prepare(rows.sparkSession)
 
@@ -148,13 +143,24 @@ def signed_rows(rows: DataFrame, order: int, part: int, parts: int) -> DataFrame
                 # the order-grams, or all words of a text that has fewer; contexts but those of the first words
                 plus = pos >= order - 1 if k == order else (size == k) & (pos == k - 1)
                 minus = (pos >= k) & (pos < size - 1) if k == order - 1 else np.zeros(len(g), bool)
-                at = np.flatnonzero((plus | minus) & (_part(g, parts) == part))
-                code = np.where(plus[at], np.where(pos[at] == np.minimum(size[at], order) - 1, 2 + size[at], 1), -1)
+                some = (pos >= k - 1) & (_part(g, parts) == part)
+                if low is not None and k < order - 1:
+                    some &= low[np.minimum(np.searchsorted(low, g), len(low) - 1)] == g if len(low) else False
+                at = np.flatnonzero(some)
+                code = np.where(plus[at], np.where(pos[at] == np.minimum(size[at], order) - 1, 2 + size[at], 1), np.where(minus[at], -1, 0))
                 yield _batch("hash key code", g[at].view(np.int64), key[r[at]], code.astype(np.int32))
 
     return rows.select("key", "text").mapInArrow(run, "hash long, key long, code int")
 
 
+def with_counts(signed: DataFrame) -> DataFrame:
+    """Rows whose hash occurs again, with its count n, and one n-gram of each document, with or without one; the rows are exchanged once."""
+    # count and join read the same exchange, so neither may leave out columns or rows below it
+    dealt = signed.where("hash IS NOT NULL").repartition("hash")
+    table = dealt.groupBy("hash").agg(F.expr("count(key, code)").alias("n")).where("n > 1")
+    return dealt.join(table.hint("shuffle_hash"), "hash", "left").where("n IS NOT NULL OR code >= 2")
+
+
 #: Bytes of texts whose n-grams one partition of a pass holds as a table, and the least number of passes.
 TABLE_BYTES, SLICES = 32 << 20, 3
 
@@ -173,12 +179,13 @@ def lm_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col:
     rows = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     slices = slices or _slices(docs.select(text_col))
     # lower orders than order - 1 count for texts of so few words only
-    used, low = range(1, order + 1), short_grams(rows, order)
+    low = short_grams(rows, order)
     code, sums = F.col("code"), None
+    z = F.signum(F.col("code")) * F.log(F.coalesce("n", F.lit(1)))
     for part in range(slices):
-        # the table is the hashed side: a row per distinct n-gram of this part, over all partitions of the exchange
-        joined = signed_rows(rows, order, part, slices).join(count_table(rows, used, part, slices, low=low).hint("shuffle_hash"), "hash")
-        own = stash(joined.groupBy("key").agg(F.sum(F.when(code < 0, -F.log("n")).otherwise(F.log("n"))).alias("z"), F.sum(F.greatest(code - 2, F.lit(0))).alias("words"), F.count_if(code >= 2).alias("copies")), "lm-sums")
+        # the table is the hashed side: a row per n-gram of this part that occurs again, over all partitions of the exchange
+        joined = with_counts(signed_rows(rows, order, part, slices, low))
+        own = stash(joined.groupBy("key").agg(F.sum(z).alias("z"), F.sum(F.greatest(code - 2, F.lit(0))).alias("words"), F.count_if(code >= 2).alias("copies")), "lm-sums")
         sums = own if sums is None else sums.unionByName(own)
     summed = stash(sums.groupBy("key").agg(F.sum("z").alias("z"), F.sum("words").alias("words"), F.sum("copies").alias("copies")), "lm-documents")
     total = summed.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]

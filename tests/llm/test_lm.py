@@ -69,3 +69,22 @@ def test_repeated_and_null_identifiers(spark, cases, empty):
     assert got == sorted((repr(i), brute(rows, t, 3)[0], round(brute(rows, t, 3)[1] or 0, 6)) for i, t in rows)
     assert lm_scores.lm_scores(cases).count() == 14
     assert lm_scores.lm_scores(empty).count() == 0
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_ngrams_are_exchanged_once(spark, order):
+    """Counts and the rows that take them come from one exchange; n-grams that occur once go no further."""
+    rows = [(i, t) for i, t in texts(order) if t and t.split()]
+    keys = spark.createDataFrame(rows, "key long, text string").repartition(4)
+    found = lm_scores.with_counts(lm_scores.signed_rows(keys, order, 0, 1, lm_scores.short_grams(keys, order)))
+    got = found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("MapInArrow") == 1 and "ReusedExchange" in final
+    count = Counter(g for _, t in rows for k in range(1, order + 1) for g in grams(t, k))
+    # one n-gram of each document, with its count or without one, has its number of words
+    first = {i: count[tuple(t.split()[: min(order, len(t.split()))])] for i, t in rows}
+    assert {r.key: (r.n or 1, r.code - 2) for r in got if r.code >= 2} == {i: (first[i], len(t.split())) for i, t in rows}
+    assert all(r.n > 1 for r in got if r.code < 2)
+    plus = Counter(i for i, t in rows for g in grams(t, order) if count[g] > 1)
+    ones = Counter(r.key for r in got if (r.code == 1 or r.code >= 2 and r.n) and len(dict(rows)[r.key].split()) >= order)
+    assert ones == plus
