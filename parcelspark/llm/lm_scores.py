@@ -10,8 +10,9 @@ Each of their n-grams is found there, so nothing backs off, and the log score of
 document is a sum over its n-grams: + log c of each one that ends a word's context,
 - log c of each context (those of the first words cancel), - log N.
 
-1. Documents are exploded to rows (hash, document, sign), one for each n-gram that is
-   counted, and exchanged by hash once.
+1. Documents are exploded to rows (hash, document, sign, times) of each n-gram that is
+   counted, and exchanged by hash once. An n-gram that is common in a batch of texts
+   has one row for a document and sign, however often it is there.
 2. These rows are counted by hash, and joined with the counts where they lie. A count
    of one has the log 0, so only n-grams that occur again are in the table, and rows
    that find none there go no further. All rows of an n-gram that occurs everywhere
@@ -127,8 +128,26 @@ def count_table(rows: DataFrame, orders: range, id_col: str = "key", text_col: s
     return count_rows(rows, orders, id_col, text_col).groupBy("hash").agg(F.sum("n").alias("n"))
 
 
+#: Occurrences of the n-grams of one remainder of the hashes from which on a document's rows of one n-gram are one.
+COMMON = 64
+
+
+def _merged(h: np.ndarray, row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hash, row and code, and how often each occurs: common ones once for a row and code, but as they are where code >= 2."""
+    n, keep = np.ones(len(h), np.int32), np.ones(len(h), bool)
+    rest = (h & K.U(0xFFFF)).astype(np.int64)
+    at = np.flatnonzero((np.bincount(rest, minlength=1 << 16) >= COMMON)[rest] & (code < 2))
+    if len(at):
+        o = at[np.lexsort((code[at], row[at], h[at]))]
+        start = np.flatnonzero(np.concatenate([[True], (h[o][1:] != h[o][:-1]) | (row[o][1:] != row[o][:-1]) | (code[o][1:] != code[o][:-1])]))
+        keep[o] = False
+        keep[o[start]] = True
+        n[o[start]] = np.diff(start, append=len(o))
+    return h[keep], row[keep], code[keep], n[keep]
+
+
 def signed_rows(rows: DataFrame, order: int, part: int, parts: int, low: np.ndarray | None = None) -> DataFrame:
-    """(hash, key, code): a row for each n-gram of the two highest orders, and of the lower ones that are wanted.
+    """(hash, key, code, times): rows of each n-gram of the two highest orders, and of the lower ones that are wanted.
 
     code is 1 for an n-gram and -1 for a context whose log count a document's score takes, 2 + the
     document's number of words on one n-gram of each document, and 0 for one that is only counted.
@@ -148,16 +167,17 @@ def signed_rows(rows: DataFrame, order: int, part: int, parts: int, low: np.ndar
                     some &= low[np.minimum(np.searchsorted(low, g), len(low) - 1)] == g if len(low) else False
                 at = np.flatnonzero(some)
                 code = np.where(plus[at], np.where(pos[at] == np.minimum(size[at], order) - 1, 2 + size[at], 1), np.where(minus[at], -1, 0))
-                yield _batch("hash key code", g[at].view(np.int64), key[r[at]], code.astype(np.int32))
+                own, row, code, times = _merged(g[at], r[at], code)
+                yield _batch("hash key code times", own.view(np.int64), key[row], code.astype(np.int32), times)
 
-    return rows.select("key", "text").mapInArrow(run, "hash long, key long, code int")
+    return rows.select("key", "text").mapInArrow(run, "hash long, key long, code int, times int")
 
 
 def with_counts(signed: DataFrame) -> DataFrame:
     """Rows whose hash occurs again, with its count n, and one n-gram of each document, with or without one; the rows are exchanged once."""
     # count and join read the same exchange, so neither may leave out columns or rows below it
     dealt = signed.where("hash IS NOT NULL").repartition("hash")
-    table = dealt.groupBy("hash").agg(F.expr("count(key, code)").alias("n")).where("n > 1")
+    table = dealt.groupBy("hash").agg(F.expr("sum(CASE WHEN key IS NOT NULL AND code IS NOT NULL THEN times END)").alias("n")).where("n > 1")
     return dealt.join(table.hint("shuffle_hash"), "hash", "left").where("n IS NOT NULL OR code >= 2")
 
 
@@ -181,7 +201,7 @@ def lm_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col:
     # lower orders than order - 1 count for texts of so few words only
     low = short_grams(rows, order)
     code, sums = F.col("code"), None
-    z = F.signum(F.col("code")) * F.log(F.coalesce("n", F.lit(1)))
+    z = F.signum(F.col("code")) * F.col("times") * F.log(F.coalesce("n", F.lit(1)))
     for part in range(slices):
         # the table is the hashed side: a row per n-gram of this part that occurs again, over all partitions of the exchange
         joined = with_counts(signed_rows(rows, order, part, slices, low))

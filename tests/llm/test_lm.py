@@ -86,5 +86,20 @@ def test_ngrams_are_exchanged_once(spark, order):
     assert {r.key: (r.n or 1, r.code - 2) for r in got if r.code >= 2} == {i: (first[i], len(t.split())) for i, t in rows}
     assert all(r.n > 1 for r in got if r.code < 2)
     plus = Counter(i for i, t in rows for g in grams(t, order) if count[g] > 1)
-    ones = Counter(r.key for r in got if (r.code == 1 or r.code >= 2 and r.n) and len(dict(rows)[r.key].split()) >= order)
+    ones = Counter()
+    for r in got:
+        if (r.code == 1 or r.code >= 2 and r.n) and len(dict(rows)[r.key].split()) >= order:
+            ones[r.key] += r.times
     assert ones == plus
+
+
+def test_common_ngrams_have_one_row_of_a_document(spark):
+    """A pair of words that fills texts goes to one task as a row of each text and sign."""
+    rows = [(i, "a b " * (100 + i) + f"w{i}") for i in range(30)]
+    keys = spark.createDataFrame(rows, "key long, text string").coalesce(1)
+    signed = lm_scores.signed_rows(keys, 3, 0, 1, lm_scores.short_grams(keys, 3))
+    most = signed.groupBy("hash", "key", "code").count().agg({"count": "max"}).first()[0]
+    assert most == 1 and signed.count() < 30 * 12
+    for r in lm_scores.lm_scores(frame(spark, rows)).collect():
+        n, z = brute(rows, dict(rows)[r.doc_id], 3)
+        assert r.n_words == n and r.log_score == pytest.approx(z)
